@@ -2,21 +2,118 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import _common as C
-from . import near_dedup
+from . import decontamination, fingerprints, language_id, line_dedup, near_dedup, token_planes, url_filters
 
 
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(C.table(spark, sf_dir, "documents"), width=2, threshold=0.8)
 
 
+#: The rules of op10: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op4_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    own = language_id.identify(docs, model)
+    return own.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{C.shared_dir(spark)}/token-planes-{uuid.uuid4().hex}"
+    token_planes.write(C.table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_planes.read(spark, path)
+
+
+def op7_densified_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(C.table(spark, sf_dir, "documents"))
+
+
+def op10_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(C.table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_minmax_near_dedup": op9_minmax_near_dedup,
+    f.__name__: f for f in (op2_wand_decontamination, op4_word_first_language, op5_line_window_dedup, op6_token_planes, op7_densified_fingerprints, op9_minmax_near_dedup, op10_url_sweep)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), q AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), r(rh, rp, v) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), u AS (SELECT DISTINCT host, path FROM q
+), m AS (
+  SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS verdict
+  FROM u JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q LEFT JOIN m USING (host, path)
+"""
+
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+    ELSE list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) END AS sh FROM w
+), n AS (SELECT doc_id, len(sh) AS n FROM s
+), e AS (SELECT doc_id, unnest(sh) AS g FROM s
+), f AS (SELECT g, count(*) AS c FROM e GROUP BY g
+), k AS (
+  SELECT e.doc_id, e.g, n.n, row_number() OVER (PARTITION BY e.doc_id ORDER BY f.c, e.g) AS pos FROM e JOIN f USING (g) JOIN n USING (doc_id)
+), pre AS (SELECT * FROM k WHERE pos <= n - ceil(0.8 * n) + 1
+), cand AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre a JOIN pre b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), link AS (
+  SELECT a, b FROM cand JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * len(list_intersect(x.sh, y.sh)) >= 80 * (len(x.sh) + len(y.sh) - len(list_intersect(x.sh, y.sh)))
+), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT edge.b, reach.root FROM reach JOIN edge ON edge.a = reach.id
+), comp AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN comp ON id = n.doc_id
+"""
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, i - 1 AS i, parts[i] AS line, regexp_replace(parts[i], '^\s+|\s+$', '', 'g') AS s
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL) d, unnest(range(1, len(parts) + 1)) AS t(i)
+), b AS (
+  SELECT doc_id, i, s, lead(s, 1) OVER o AS s2, lead(s, 2) OVER o AS s3, lead(i, 2) OVER o AS last FROM l WHERE s <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), w AS (SELECT doc_id, i AS first, last, row_number() OVER (PARTITION BY s, s2, s3 ORDER BY doc_id, i) AS k FROM b WHERE s3 IS NOT NULL
+), gone AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN w ON l.doc_id = w.doc_id AND w.k > 1 AND l.i BETWEEN w.first AND w.last
+), c AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+         coalesce(string_agg(CASE WHEN gone.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '') AS text
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id
+)
+SELECT documents.doc_id, c.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents LEFT JOIN c USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_window_dedup": OP5_SQL, "op9_minmax_near_dedup": OP9_SQL, "op10_url_sweep": OP10_SQL}
