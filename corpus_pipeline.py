@@ -1,27 +1,67 @@
-"""A corpus pipeline over ``documents``: each stage is one operator of ``fluvispark.llm``."""
+"""A corpus pipeline over ``documents``: each stage is one operator of ``fluvispark.llm``.
+
+Every stage takes all rows that its predecessor kept, with any extra columns, and tolerates nulls in
+all of them. Language ID drops texts without a recognised language; near-dedup keeps the document
+of the least id of each group; decontamination drops documents that hold a benchmark item; mixing
+shows every document at least once and those of rarer sources more often, as repeated rows; the
+last stage writes token ids and returns what reading the files back gives.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluvispark.deploy import ship
 from fluvispark.llm import _common as C
-from fluvispark.llm import near_dedup
+from fluvispark.llm import decontamination, language_id, mixing, near_dedup, queries, token_planes
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a recognised language; the model is fitted on the labelled documents that are not held out."""
+    return language_id.accept(docs, language_id.fit(docs.filter(~language_id.held_out())))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of five-word near-duplicates; repeated rows of an id are one document, rows without id all stay."""
+    kept = near_dedup.near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept"))
+    once = docs.join(kept.filter("_rows = 1 or _kept is null"), same, "left_semi")
+    repeated = docs.join(kept.filter("_rows > 1 and _kept is not null"), same, "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, C.table(spark, sf_dir, "benchmark"))
+
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document once for every epoch of its source; at most twice as often for one source as for another."""
+    shown = mixing.mix(docs, repetition_limit=2.0).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("n_tokens").alias("_n"), "epoch").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (mixing.token_count() == F.col("_n"))
+    return docs.join(shown, same).select(*docs.columns)
 
 
-def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest doc_id."""
-    found = near_dedup.near_duplicates(docs)
-    return docs.select(*COLUMNS).join(found.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = f"{C.shared_dir(spark)}/token-planes-{uuid.uuid4().hex}"
+    token_planes.write(docs, path, queries.tokenizer_path())
+    return token_planes.read(spark, path)
 
 
-STAGES = [("near_dedup", stage_near_dedup)]
+STAGES = [
+    ("language_id", language),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("token_ids", token_ids),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = C.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

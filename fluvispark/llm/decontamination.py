@@ -167,6 +167,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")])
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part: float = 0.5, max_index_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``benchmark``; columns unchanged, no shuffle."""
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+    def keep(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = {row for row, *_ in _matches(shared.value, batch.column(batch.schema.get_field_index("text")), threshold, overlap, part)}
+                yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
+
+        return run
+
+    for part_rows, stats in _parts(items, max_index_bytes):
+        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(build_index(part_rows, *stats))), docs.schema)
+    return docs
+
+
 def _parts(items: DataFrame, max_bytes: int) -> Iterator[tuple[list[tuple[int, str]], tuple[int, dict[int, int], float]]]:
     """The benchmark in parts whose index has at most ``max_bytes``, with the statistics of all of it."""
     n, total, frequency = 0, 0, {}
@@ -189,29 +206,32 @@ def _parts(items: DataFrame, max_bytes: int) -> Iterator[tuple[list[tuple[int, s
         yield part, (n, frequency, total / n)
 
 
+def _matches(index: Index, texts: pa.Array, threshold: float, overlap: float, part: float) -> Iterator[tuple]:
+    """(row, item_id, score, overlap, question overlap, answer overlap) of the verified matches."""
+    block: list[np.ndarray] = []
+    size = at = 0
+
+    def search() -> Iterator[tuple]:
+        for d, p, k, score in retrieve(index, block, threshold):
+            item = index.items[k]
+            whole, question, answer = verify(item, block[d], p)
+            if whole >= overlap and question >= part and answer >= part:
+                yield at + d, item.item_id, score, whole, question, answer
+
+    for words in words_of(texts):
+        block.append(words)
+        size += len(words)
+        if size >= 200_000:
+            yield from search()
+            at, block, size = at + len(block), [], 0
+    yield from search()
+
+
 def _search(shared, threshold: float, overlap: float, part: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            found: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
-            block: list[np.ndarray] = []
-            size, at = 0, 0
-
-            def search() -> None:
-                for d, p, k, score in retrieve(index, block, threshold):
-                    item = index.items[k]
-                    whole, question, answer = verify(item, block[d], p)
-                    if whole >= overlap and question >= part and answer >= part:
-                        found.append((ids[at + d], item.item_id, score, whole, question, answer))
-
-            for words in words_of(batch.column("text")):
-                block.append(words)
-                size += len(words)
-                if size >= 200_000:
-                    search()
-                    at, block, size = at + len(block), [], 0
-            search()
+            found = [(ids[row], *rest) for row, *rest in _matches(shared.value, batch.column("text"), threshold, overlap, part)]
             columns = list(zip(*found, strict=True)) if found else [[]] * 6
             kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])

@@ -192,6 +192,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, by a score of at least ``min_score``; columns unchanged, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for part in _parts(batch.column(batch.schema.get_field_index("text")).to_pylist()):
+                best, share = score_texts(shared.value, part)
+                keep += ((best >= 0) & (share >= min_score)).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """Documents that are never learned from: crc32 of the id as text, modulo 4, is 2."""
     return C.crc_of_id() % 4 == 2

@@ -9,7 +9,8 @@ the *full* shingle sets reaches the threshold.
 Scale. Texts of equal shingle sets collapse to one representative before anything else.
 A band bucket is never collected or paired with itself: every round compares a few pivots of
 the bucket with its other members, drops the pivots, and keeps only buckets whose members are
-not yet in one component. That is linear in a bucket per round, and it ends with every pair of
+not yet in one component; as fewer are left, more serve as pivots at once, such that a round
+pairs at most ``pivots`` times the rows of all buckets. That is linear in the input per round, and it ends with every pair of
 a bucket either compared or already connected, so no link of a bucket is lost, however large
 the bucket. Pairs whose signatures agree on far fewer values than the threshold implies
 (6.5 standard deviations) are not read again. Components come from distributed label
@@ -177,8 +178,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     temporary.append(at)
     texts = docs.join(nodes, F.col("doc_id") == F.col("id"), "left_semi")
 
-    links = tried = None
+    links = tried = labels = None
     k = 1
+    budget = pivots * current.count()
     while True:
         # members of the components that are rarest in the bucket go first
         order = Window.partitionBy("bucket").orderBy("size", "m")
@@ -203,8 +205,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
         )
         found, at = C.materialise(found, "links")
         temporary.append(at)
-        links = found if links is None else links.union(found)
-        labels, labels_at = C.materialise(components(nodes, links), "components")
+        if labels is None or found.limit(1).count():
+            links = found if links is None else links.union(found)
+            labels, at = C.materialise(components(nodes, links), "components")
         rest = current.join(first.select("bucket", F.col("p").alias("m")), ["bucket", "m"], "left_anti").select("bucket", "m")
         rest = rest.join(labels.select(F.col("id").alias("m"), F.col("component").alias("c")), "m")
         counts = rest.groupBy("bucket", "c").agg(F.count("*").cast("int").alias("size"))
@@ -212,10 +215,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
         rest = rest.join(counts.join(unsettled, "bucket", "left_semi"), ["bucket", "c"]).select("bucket", "m", "c", "size")
         current, at = C.materialise(rest, "buckets")
         temporary.append(at)
-        if not current.limit(1).count():
+        rows = current.count()
+        if not rows:
             break
-        temporary.append(labels_at)
-        k = pivots
+        # fewer rows left, more pivots each: a round pairs at most as much as the first full one would
+        k = max(pivots, budget // rows)
     for at in temporary:
         C.delete(spark, at)
     by_set = sets.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))

@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontamination, fingerprints, language_id, line_dedup, near_dedup, token_planes, url_filters
+from . import decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, pii, quality, token_planes, url_filters
 
 
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +27,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(C.table(spark, sf_dir, "documents"))
+
+
 def op2_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(C.table(spark, sf_dir, "documents"), repetition_limit=2.0)
+
+
 def op4_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(~language_id.held_out()))
@@ -51,16 +60,24 @@ def op7_densified_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(C.table(spark, sf_dir, "documents"))
 
 
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(C.table(spark, sf_dir, "documents"))
+    of = lambda n: lambda s: s["kind"] == n
+    counts = [F.size(F.filter("base", of(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
+    spans = pii.joined(F.array_sort(F.concat("base", "added")))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op10_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge(C.table(spark, sf_dir, "pages"), rules)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_wand_decontamination, op4_word_first_language, op5_line_window_dedup, op6_token_planes, op7_densified_fingerprints, op9_minmax_near_dedup, op10_url_sweep)
+    f.__name__: f for f in (op1_weak_label_quality, op2_wand_decontamination, op3_temperature_mixing, op4_word_first_language, op5_line_window_dedup, op6_token_planes, op7_densified_fingerprints, op8_boosted_pii, op9_minmax_near_dedup, op10_url_sweep)
 }
 
-OP10_SQL = """
+OP10_SQL = r"""
 WITH p AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), q AS (
@@ -76,9 +93,9 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q LEFT JOIN m USING (host, path)
 """
 
-OP9_SQL = """
+OP9_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
     ELSE list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) END AS sh FROM w
