@@ -29,7 +29,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ from . import _common as C
 MAGIC = b"BPSH1"
 BLOCK = 16_384
 CHUNK_IDS = 1 << 20
-CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
+CACHE_PIECES, CACHE_WORDS = 1_200_000, 100_000
 
 
 # --- the format ----------------------------------------------------------------------------
@@ -104,12 +106,13 @@ class Encoder:
     """``Tokenizer.encode(text, add_special_tokens=False)`` for a byte-level BPE file, with caches of pieces and words."""
 
     SIMPLE = re.compile("[\n -~À-ÖØ-öø-ɏ]*")
-    ODD = re.compile(r"  | \n|\n | $|^ ")
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
+        assert array("I").itemsize == 4 and sys.byteorder == "little"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -118,44 +121,53 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = _Cache(self._word, CACHE_WORDS)
+        self.pieces = _Cache(self._piece, CACHE_PIECES)
 
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
-            got = self.words[word] = np.array([t.id for t in tokens], "<u4").tobytes()
-        return got
-
-    def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= CACHE_PIECES:
-            self.pieces.clear()
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]).tobytes()
+
+    def _piece(self, tail: str) -> bytes:
+        """The ids of a space and ``tail``; letters, then any marks, are pre-tokens of their own."""
+        if tail.isalpha() and max(tail) <= "ɏ":
+            return self._word(" " + tail)
+        core = tail.rstrip(self.MARKS)
+        if core.isalpha() and max(core) <= "ɏ":
+            return self.pieces[core] + self.words[tail[len(core) :]]
+        return self._ids(" " + tail)
+
+    def _ids(self, piece: str) -> bytes:
         if self.SIMPLE.fullmatch(piece):
-            got = b"".join(map(self._word, self.pattern.findall(piece)))
-        else:
-            got = self._whole(piece)
-        if len(piece) <= 64:
-            self.pieces[piece] = got
-        return got
+            return b"".join(map(self.words.__getitem__, self.pattern.findall(piece)))
+        return self._whole(piece)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.ODD.search(text) or not text.isprintable() and re.search(r"[^\S \n]", text) or any(s in text for s in self.special):
+        if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or not text.isprintable() and re.search(r"[^\S \n]", text) or any(s in text for s in self.special):
             return self._whole(text)
-        head, *rest = text.split(" ")
-        known, out = self.pieces.get, [self._piece(head)]
-        for p in rest:
-            p = " " + p
-            out.append(known(p) or self._piece(p))
-        return b"".join(out)
+        head, *tails = text.split(" ")
+        return self._ids(head) + b"".join(map(self.pieces.__getitem__, tails))
+
+
+class _Cache(dict):
+    """Values of ``make`` by key, emptied when it holds ``most``; long keys are not kept."""
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
 
 
 _ENCODERS: dict[str, Encoder] = {}
