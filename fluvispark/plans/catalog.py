@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import terrain
+
 FLAGSHIP = "flow_chain"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**terrain.QUERIES}
+ORACLE_SQL: dict[str, str] = {**terrain.ORACLE_SQL}
