@@ -92,8 +92,8 @@ def profile_slope(profile: DataFrame, z: str = "z_dem_m") -> DataFrame:
 
 def smooth(profile: DataFrame, width: float, column: str = "z_dem_m", part: str | None = None) -> DataFrame:
     """Adds smooth: the mean within half of ``width`` on each side, nulls left out."""
-    w = (Window.partitionBy(part) if part else Window.partitionBy()).orderBy("chainage_m").rangeBetween(-width / 2, width / 2)
-    return profile.withColumn("smooth", F.avg(column).over(w))
+    group = f"partition by {part} " if part else ""
+    return profile.withColumn("smooth", F.expr(f"avg({column}) over ({group}order by chainage_m range between {width / 2}D preceding and {width / 2}D following)"))
 
 
 def runs(rows: DataFrame, condition: Column, key: str = "chainage_m", part: str | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import terrain
+from . import analysis, terrain
 
 FLAGSHIP = "flow_chain"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**terrain.QUERIES}
-ORACLE_SQL: dict[str, str] = {**terrain.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**terrain.QUERIES, **analysis.QUERIES}
+ORACLE_SQL: dict[str, str] = {**terrain.ORACLE_SQL, **analysis.ORACLE_SQL}
