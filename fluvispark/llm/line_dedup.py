@@ -54,18 +54,18 @@ def covered(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """``docs`` (doc_id, text and any more columns) with repeated lines removed from ``text``, plus n_lines and n_removed."""
-    spans = covered(docs.select("doc_id", "text"), width).withColumnRenamed("doc_id", "_id").withColumnRenamed("part", "_part")
+    """``docs`` (doc_id, text and any more columns) with repeated lines removed from ``text``, plus n_lines and n_removed (replaced if there)."""
+    spans = covered(docs.select("doc_id", "text"), width).select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"), F.col("spans").alias("_spans"))
     joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_part")), "left")
     split = F.split("text", "\n", -1)
     # merged coverage: a position is removed if any span reaches over it
-    gone = F.flatten(F.transform("spans", lambda x: F.sequence(x["first"], x["last"])))
-    gone = F.when(F.col("spans").isNotNull(), F.array_distinct(gone)).otherwise(F.array().cast("array<int>"))
+    gone = F.flatten(F.transform("_spans", lambda x: F.sequence(x["first"], x["last"])))
+    gone = F.when(F.col("_spans").isNotNull(), F.array_distinct(gone)).otherwise(F.array().cast("array<int>"))
     kept = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
     return (
         joined.withColumn("_gone", gone)
         .withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long"))
         .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("_id", "_part", "spans", "_gone")
+        .withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .drop("_id", "_part", "_spans", "_gone")
     )
