@@ -10,7 +10,8 @@ Scale. Texts of equal shingle sets collapse to one representative before anythin
 A band bucket is never collected or paired with itself: every round compares a few pivots of
 the bucket with its other members, drops the pivots, and keeps only buckets whose members are
 not yet in one component; as fewer are left, more serve as pivots at once, such that a round
-pairs at most ``pivots`` times the rows of all buckets. That is linear in the input per round, and it ends with every pair of
+pairs at most ``pivots`` times the rows of all buckets. Groups of ``BIG`` or more that the first round
+finds are settled as wholes: other documents of their buckets are compared with all members, in blocks. That is linear in the input per round, and it ends with every pair of
 a bucket either compared or already connected, so no link of a bucket is lost, however large
 the bucket. Pairs whose signatures agree on far fewer values than the threshold implies
 (6.5 standard deviations) are not read again. Components come from distributed label
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +131,69 @@ def _plausible(threshold: float):
     return run
 
 
+BIG, BLOCK = 32, 128
+PACKED = "component long, block long, ids array<long>, lengths array<long>, data binary"
+
+
+def _pack(width: int):
+    """The shingle sets of a block's rows (component, block, id, text) in one row."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = list(sets_of(pa.array(pdf.text.tolist(), pa.string()), width))
+        return pd.DataFrame({"component": [key[0]], "block": [key[1]], "ids": [pdf.id.tolist()], "lengths": [[len(x) for x in sets]], "data": [b"".join(x.tobytes() for x in sets)]})
+
+    return run
+
+
+def _across(threshold: float):
+    """Links between the sets of two blocks."""
+    share = round(threshold * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = (np.frombuffer(row[c], np.uint64) for c in ("xd", "yd"))
+                nx, ny = np.array(row["xl"], np.int64), np.array(row["yl"], np.int64)
+                yi = np.array(row["yi"], np.int64)
+                starts, a, b, at = np.cumsum(ny) - ny, [], [], 0
+                for i, n in zip(row["xi"], nx.tolist(), strict=True):
+                    own, at = x[at : at + n], at + n
+                    k = np.minimum(np.searchsorted(own, y), n - 1)
+                    both = np.add.reduceat((own[k] == y).astype(np.int64), starts)
+                    hit = yi[1_000_000 * both >= share * (n + ny - both)]
+                    a += [min(i, j) for j in hit.tolist()]
+                    b += [max(i, j) for j in hit.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _settle_big(current: DataFrame, labels: DataFrame, texts: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Links between big components and the other documents that share a bucket with them, and the big components.
+
+    A document is compared with the whole of such a component, sets packed in blocks of about ``BLOCK``, so the rows
+    moved are blocks, not pairs. Of two big components the smaller one's documents are compared.
+    """
+    big = labels.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= BIG)
+    placed = current.select("bucket", "m").join(labels.select(F.col("id").alias("m"), F.col("component").alias("c")), "m")
+    placed = placed.join(big.select(F.col("component").alias("c"), F.col("n").alias("cn")), "c", "left")
+    held = placed.filter("cn is not null").select("bucket", F.col("c").alias("component"), F.col("cn").alias("n")).distinct()
+    ask = placed.join(held, "bucket").filter("c <> component and (cn is null or cn < n or (cn = n and c < component))").select("component", F.col("m").alias("id")).distinct()
+    ask, ask_at = C.materialise(ask, "asking")
+    sizes = ask.groupBy("component").agg(F.count("*").alias("n"))
+
+    def packed(rows: DataFrame, counts: DataFrame, block: int) -> DataFrame:
+        dealt = rows.join(counts, "component").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+        dealt = dealt.select("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)).alias("block"), "id", "text")
+        return dealt.groupBy("component", "block").applyInPandas(_pack(width), PACKED)
+
+    x = packed(ask, sizes, BLOCK).select("component", F.col("ids").alias("xi"), F.col("lengths").alias("xl"), F.col("data").alias("xd"))
+    y = packed(labels.join(sizes.select("component"), "component", "left_semi"), big, BLOCK).select("component", F.col("ids").alias("yi"), F.col("lengths").alias("yl"), F.col("data").alias("yd"))
+    found, at = C.materialise(x.join(y, "component").repartition(C.parallelism(current.sparkSession)).mapInArrow(_across(threshold), "a long, b long").distinct(), "links")
+    big, big_at = C.materialise(big.select(F.col("component").alias("c")), "big")
+    return found, big, [ask_at, at, big_at]
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``links`` (a, b); hooking onto the least neighbour, then pointer jumping.
 
@@ -158,6 +223,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    # pairs of whole texts go to the Python workers: few at a time
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "500")
+    try:
+        return _near_duplicates(docs, width, threshold, pivots)
+    finally:
+        conf.set(name, before)
+
+
+def _near_duplicates(docs: DataFrame, width: int, threshold: float, pivots: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches, _ = C.materialise(
@@ -209,6 +285,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
             links = found if links is None else links.union(found)
             labels, at = C.materialise(components(nodes, links), "components")
         rest = current.join(first.select("bucket", F.col("p").alias("m")), ["bucket", "m"], "left_anti").select("bucket", "m")
+        if k == 1:
+            # groups are recognisable now: settle big ones as wholes, and leave their members out of the pairing
+            more, big, paths = _settle_big(current, labels, texts, width, threshold)
+            temporary += paths
+            settled = labels.join(big.withColumnRenamed("c", "component"), "component", "left_semi").select(F.col("id").alias("m"))
+            rest = rest.join(settled, "m", "left_anti")
+            if more.limit(1).count():
+                links = links.union(more)
+                labels, at = C.materialise(components(nodes, links), "components")
         rest = rest.join(labels.select(F.col("id").alias("m"), F.col("component").alias("c")), "m")
         counts = rest.groupBy("bucket", "c").agg(F.count("*").cast("int").alias("size"))
         unsettled = counts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
