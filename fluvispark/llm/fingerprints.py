@@ -33,7 +33,7 @@ _PROBES: list[np.ndarray] = []
 def _probes(rounds: int) -> np.ndarray:
     """Bins tried by each empty bin, one row a round; grown on demand."""
     while len(_PROBES) < rounds:
-        t = np.uint64(len(_PROBES) + 1) * np.uint64(0xD1342543DE82EF95)
+        t = np.uint64((len(_PROBES) + 1) * 0xD1342543DE82EF95 % (1 << 64))
         _PROBES.append((C.mix(np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + t) % np.uint64(BINS)).astype(np.int64))
     return _PROBES
 

@@ -23,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def _lines(text: str) -> Column:
     """The non-blank lines, trimmed, with their positions (from 0)."""
-    parts = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("i"), F.regexp_replace(x, r"^[\s]+|[\s]+$", "").alias("s")))
+    parts = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(WHITE)).alias("s")))
     return F.filter(parts, lambda x: x["s"] != "")
 
 

@@ -36,7 +36,7 @@ PROBES = 15
 
 
 def token_count(text: str = "text") -> Column:
-    words = F.size(F.split(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""), r"\s+"))
+    words = F.size(F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), r"\s+"))
     return F.when(F.col(text).isNull() | (~F.col(text).rlike(r"\S")), 0).otherwise(words).cast("long")
 
 

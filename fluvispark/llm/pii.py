@@ -88,17 +88,18 @@ def matches(text: Column, pattern: str) -> Column:
     Starts come from the lengths of the pieces between matches, summed in steps of 256 matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("m")))
-    count = F.size(steps)
-    parts = F.transform(F.when(count > 0, F.sequence(F.lit(0), F.floor((count - 1) / 256).cast("int"))).otherwise(F.array().cast("array<int>")), lambda k: F.slice(steps, k * 256 + 1, 256))
+    # an expression used within a lambda runs for every element, so values are bound first
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    steps = let(found, lambda ms: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(ms)), ms, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))))
+    pieces = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / 256).cast("int"))).otherwise(F.array().cast("array<int>"))
+    parts = let(steps, lambda st: F.transform(pieces(F.size(st)), lambda k: F.slice(st, k * 256 + 1, 256)))
     span = "array<struct<start:int,end:int,m:string>>"
     grow = lambda acc, x: F.struct(
         (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
         F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))).alias("out"),
     )
     local = F.transform(parts, lambda p: F.aggregate(p, F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out")), grow))
-    place = F.aggregate(
+    return F.flatten(F.aggregate(
         local,
         F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out")),
         lambda acc, p: F.struct(
@@ -106,8 +107,7 @@ def matches(text: Column, pattern: str) -> Column:
             F.concat(acc["out"], F.array(F.transform(p["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["m"].alias("m"))))).alias("out"),
         ),
         lambda acc: acc["out"],
-    )
-    return F.when(count > 0, F.flatten(place)).otherwise(F.array().cast(span))
+    ))
 
 
 EMPTY = "array<struct<start:int,end:int,m:string>>"
