@@ -41,7 +41,8 @@ def token_count(text: str = "text") -> Column:
 
 
 def find_exponent(sources: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, tolerance: float = 1e-7) -> float:
-    """The largest alpha in [0, 1] whose mixture of ``sources`` (tokens) meets the target."""
+    """The alpha in [0, 1] at which the mixture of ``sources`` (tokens) just meets its target: the least flattening
+    that reaches the entropy, or the most that keeps within the repetition limit."""
     if (target_entropy is None) == (repetition_limit is None):
         raise ValueError("give either target_entropy or repetition_limit")
     positive = sources.filter("tokens > 0")
@@ -58,16 +59,16 @@ def find_exponent(sources: DataFrame, target_entropy: float | None = None, repet
         good = entropy >= target_entropy if target_entropy is not None else F.col("most") <= F.lit(repetition_limit) * F.col("least")
         return [r.good for r in rows.select("k", good.alias("good")).orderBy("k").collect()]
 
+    # entropy is met below some alpha, of which the largest is sought; the limit above some, of which the smallest
+    below = target_entropy is not None
+    if meets([1.0 if below else 0.0])[0]:
+        return 1.0 if below else 0.0
     lo, hi = 0.0, 1.0
-    if meets([1.0])[0]:
-        return 1.0
     while hi - lo > tolerance:
         alphas = [lo + (hi - lo) * (k + 1) / (PROBES + 1) for k in range(PROBES)]
-        good = meets(alphas)
-        # both targets get easier as alpha falls, so what meets it is a prefix
-        n = next((k for k, g in enumerate(good) if not g), len(good))
-        lo, hi = ([lo, *alphas][n], [*alphas, hi][n])
-    return lo
+        n = sum(g == below for g in meets(alphas))  # the probes on the lower side
+        lo, hi = [lo, *alphas][n], [*alphas, hi][n]
+    return lo if below else hi
 
 
 def plan(sources: DataFrame, alpha: float, budget_tokens: float | None = None) -> DataFrame:
