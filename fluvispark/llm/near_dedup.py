@@ -246,9 +246,9 @@ def _near_duplicates(docs: DataFrame, width: int, threshold: float, pivots: int)
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
         "sets",
     )
-    banded = sets.select(F.explode("bands").alias("bucket"), F.col("rep").alias("m"))
+    banded = sets.select(F.explode("bands").alias("bucket"), F.col("rep").alias("m"), "n")
     shared = banded.groupBy("bucket").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).filter("lo < hi").select("bucket")
-    current, at = C.materialise(banded.join(shared, "bucket").select("bucket", "m", F.col("m").alias("c"), F.lit(1).alias("size")), "buckets")
+    current, at = C.materialise(banded.join(shared, "bucket").select("bucket", "m", "n", F.col("m").alias("c"), F.lit(1).alias("size")), "buckets")
     temporary = [at]
     nodes, at = C.materialise(current.select(F.col("m").alias("id")).distinct(), "nodes")
     temporary.append(at)
@@ -260,14 +260,15 @@ def _near_duplicates(docs: DataFrame, width: int, threshold: float, pivots: int)
     while True:
         # members of the components that are rarest in the bucket go first
         order = Window.partitionBy("bucket").orderBy("size", "m")
-        first = current.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k).select("bucket", F.col("m").alias("p"), F.col("c").alias("pc"))
-        pairs = current.join(first, "bucket").filter("pc <> c").select(F.least("m", "p").alias("a"), F.greatest("m", "p").alias("b")).distinct()
+        first = current.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k).select("bucket", F.col("m").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
+        # sizes that differ by more than the threshold allows cannot be linked
+        alike = F.least("n", "pn") >= F.lit(threshold - 1e-9) * F.greatest("n", "pn")
+        pairs = current.join(first, "bucket").filter(F.col("pc") != F.col("c")).filter(alike).select(F.least("m", "p").alias("a"), F.greatest("m", "p").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = (
-            pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-            .join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-            .filter(F.least("na", "nb") >= F.lit(threshold - 1e-9) * F.greatest("na", "nb"))
+            pairs.join(sets.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
+            .join(sets.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
             .select("a", "b", "sa", "sb")
             .mapInArrow(_plausible(threshold), "a long, b long")
         )
@@ -284,7 +285,7 @@ def _near_duplicates(docs: DataFrame, width: int, threshold: float, pivots: int)
         if labels is None or found.limit(1).count():
             links = found if links is None else links.union(found)
             labels, at = C.materialise(components(nodes, links), "components")
-        rest = current.join(first.select("bucket", F.col("p").alias("m")), ["bucket", "m"], "left_anti").select("bucket", "m")
+        rest = current.join(first.select("bucket", F.col("p").alias("m")), ["bucket", "m"], "left_anti").select("bucket", "m", "n")
         if k == 1:
             # groups are recognisable now: settle big ones as wholes, and leave their members out of the pairing
             more, big, paths = _settle_big(current, labels, texts, width, threshold)
@@ -297,7 +298,7 @@ def _near_duplicates(docs: DataFrame, width: int, threshold: float, pivots: int)
         rest = rest.join(labels.select(F.col("id").alias("m"), F.col("component").alias("c")), "m")
         counts = rest.groupBy("bucket", "c").agg(F.count("*").cast("int").alias("size"))
         unsettled = counts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        rest = rest.join(counts.join(unsettled, "bucket", "left_semi"), ["bucket", "c"]).select("bucket", "m", "c", "size")
+        rest = rest.join(counts.join(unsettled, "bucket", "left_semi"), ["bucket", "c"]).select("bucket", "m", "n", "c", "size")
         current, at = C.materialise(rest, "buckets")
         temporary.append(at)
         rows = current.count()
