@@ -1,14 +1,17 @@
 """Benchmark decontamination: BM25 over the test items, block-max WAND, then overlap checks.
 
 The items are the indexed collection and every passage of the corpus is a query (half-overlapping
-windows of ``2 * STRIDE`` words over the whole text). Weights are BM25 contributions divided by the
-item's score of itself, so one threshold serves items of any length. An item whose five-word
-shingles lie to ``overlap`` in a passage shares far more than ``threshold`` of that weight with it.
+windows of ``2 * STRIDE`` words over the whole text). An item of more than ``STRIDE`` words is indexed
+as pieces of that length, which overlap so that every five-word shingle lies in one of them; any
+``STRIDE`` words of a text lie whole in some passage. Weights are BM25 contributions divided by the
+piece's score of itself, so one threshold serves items of any length; an item is retrieved with the
+score of its best piece. If the item's shingles are found to ``overlap``, so are those of some piece,
+and that piece shares far more than ``threshold`` of its weight with a passage.
 
 Block-max WAND, over a batch of passages at a time. (1) Each term's list maximum bounds its
-contribution; passages whose bounds cannot sum to the threshold are skipped. (2) Items are in
+contribution; passages whose bounds cannot sum to the threshold are skipped. (2) Pieces are in
 blocks of ``BLOCK``; the rest get a bound from the terms' block maxima, and only (passage, block)
-pairs that reach the threshold are opened. (3) Opened blocks are scored exactly. All items at or
+pairs that reach the threshold are opened. (3) Opened blocks are scored exactly. All items with a piece at or
 above the threshold are retrieved; there is no top-k and no cap.
 
 Verification. Retrieved pairs are read word for word: the share of the item's distinct five-word
@@ -18,7 +21,7 @@ the last fifth of the item, five words at least.
 
 Scale. One pass over the corpus, no shuffle of it; the index goes out in parts of at most
 ``max_index_bytes`` each, a pass for each part, so that what is broadcast is bounded
-whatever the benchmark's size.
+whatever the benchmark's size; the pieces of one item may be in several parts.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased. Defined
 results: null or wordless texts and items match nothing; items or parts of fewer than five
@@ -55,12 +58,13 @@ class Item:
 
 @dataclass
 class Index:
-    """Terms sorted by hash; ``weights`` (terms x items), their maxima by block and by list."""
+    """Terms sorted by hash; ``weights`` (terms x pieces), their maxima by block and by list; each piece's item."""
 
     terms: np.ndarray
     weights: np.ndarray
     block_max: np.ndarray
     list_max: np.ndarray
+    owner: list[int]
     items: list[Item]
 
 
@@ -85,28 +89,38 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[:-k]), " ".join(words[-k:])
 
 
-def build_index(rows: list[tuple[int, str]], n_items: int, frequency: dict[int, int], mean_words: float) -> Index:
-    """The index of ``rows``; the statistics are those of the whole benchmark."""
-    texts = [t for _, t in rows]
+def piece_starts(n: int) -> list[int]:
+    """Where the pieces of an item of ``n`` words begin; each has ``STRIDE`` words, or all of a shorter item."""
+    if n <= STRIDE:
+        return [0]
+    last = n - STRIDE
+    return [*range(0, last, STRIDE - WIDTH + 1), last]
+
+
+def build_index(rows: list[tuple[int, str, list[int]]], n_items: int, frequency: dict[int, int], mean_words: float) -> Index:
+    """The index of ``rows`` (id, text, starts of pieces); the statistics are those of the whole benchmark."""
+    texts = [t for _, t, _ in rows]
     halves = [split_item(t) for t in texts]
     words = list(words_of(pa.array(texts, pa.string())))
     questions = list(words_of(pa.array([q for q, _ in halves], pa.string())))
     answers = list(words_of(pa.array([a for _, a in halves], pa.string())))
-    terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    weights = np.zeros((len(terms), -(-max(1, len(rows)) // BLOCK) * BLOCK), np.float32)
+    owner = [i for i, (*_, starts) in enumerate(rows) for _ in starts]
+    pieces = [w[a : a + STRIDE] for w, (*_, starts) in zip(words, rows, strict=True) for a in starts]
+    terms = np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+    weights = np.zeros((len(terms), -(-max(1, len(pieces)) // BLOCK) * BLOCK), np.float32)
     idf = np.array([np.log(1 + (n_items - frequency[int(t)] + 0.5) / (frequency[int(t)] + 0.5)) for t in terms])
-    for k, w in enumerate(words):
+    for k, w in enumerate(pieces):
         own, tf = np.unique(w, return_counts=True)
         at = np.searchsorted(terms, own)
         x = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * len(w) / mean_words))
         weights[at, k] = x / x.sum()
     blocks = weights.reshape(len(terms), -1, BLOCK).max(axis=2)
-    items = [Item(i, w, q, a) for (i, _), w, q, a in zip(rows, words, questions, answers, strict=True)]
-    return Index(terms, weights, blocks, weights.max(axis=1, initial=0), items)
+    items = [Item(i, w, q, a) for (i, *_), w, q, a in zip(rows, words, questions, answers, strict=True)]
+    return Index(terms, weights, blocks, weights.max(axis=1, initial=0), owner, items)
 
 
 def retrieve(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int, int, float]]:
-    """(document, passage, item, score) of all passages at or above the threshold in ``docs``, lists of word hashes."""
+    """(document, passage, item, its best piece's score) of all passages at or above the threshold in ``docs``, lists of word hashes."""
     if not len(index.terms):
         return
     lengths = np.array([len(d) for d in docs])
@@ -132,11 +146,15 @@ def retrieve(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator
         if index.list_max[terms].sum() < threshold:
             continue
         blocks = np.flatnonzero(index.block_max[terms].sum(axis=0) >= threshold)
+        best: dict[int, float] = {}
         for b in blocks.tolist():
             scores = index.weights[terms, b * BLOCK : (b + 1) * BLOCK].sum(axis=0)
             for k in np.flatnonzero(scores >= threshold - 1e-6).tolist():
-                if b * BLOCK + k < len(index.items):  # the last block is padded
-                    yield int(doc_of[p]), int(p - base[doc_of[p]]), b * BLOCK + k, float(scores[k])
+                if b * BLOCK + k < len(index.owner):  # the last block is padded
+                    i = index.owner[b * BLOCK + k]
+                    best[i] = max(best.get(i, 0.0), float(scores[k]))
+        for i, score in best.items():
+            yield int(doc_of[p]), int(p - base[doc_of[p]]), i, score
 
 
 def _share(needle: np.ndarray, hay: np.ndarray) -> float:
@@ -184,7 +202,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
     return docs
 
 
-def _parts(items: DataFrame, max_bytes: int) -> Iterator[tuple[list[tuple[int, str]], tuple[int, dict[int, int], float]]]:
+def _parts(items: DataFrame, max_bytes: int) -> Iterator[tuple[list[tuple[int, str, list[int]]], tuple[int, dict[int, int], float]]]:
     """The benchmark in parts whose index has at most ``max_bytes``, with the statistics of all of it."""
     n, total, frequency = 0, 0, {}
     for r in items.toLocalIterator():
@@ -192,16 +210,20 @@ def _parts(items: DataFrame, max_bytes: int) -> Iterator[tuple[list[tuple[int, s
         n, total = n + bool(len(w)), total + len(w)
         for t in np.unique(w).tolist():
             frequency[t] = frequency.get(t, 0) + 1
-    part, terms = [], set()
+    part, terms, pieces = [], set(), 0
     for r in items.orderBy("item_id", "text").toLocalIterator():
         w = next(words_of(pa.array([r.text], pa.string())))
-        if len(w):
-            more = terms | set(w.tolist())
-            if part and 4 * len(more) * (len(part) + BLOCK) > max_bytes:
-                yield part, (n, frequency, total / n)
-                part, more = [], set(w.tolist())
-            part.append((r.item_id, r.text))
-            terms = more
+        starts: list[int] = []
+        for a in piece_starts(len(w)) if len(w) else []:
+            own = set(w[a : a + STRIDE].tolist())
+            if pieces and 4 * len(terms | own) * (pieces + BLOCK) > max_bytes:
+                yield [*part, (r.item_id, r.text, starts)] if starts else part, (n, frequency, total / n)
+                part, terms, pieces, starts = [], set(), 0, []
+            starts.append(a)
+            terms |= own
+            pieces += 1
+        if starts:
+            part.append((r.item_id, r.text, starts))
     if part:
         yield part, (n, frequency, total / n)
 

@@ -98,6 +98,21 @@ def test_every_planted_item_is_found(spark, texts):
     assert got == want and len(want) == 12
 
 
+def test_long_items_are_found_at_every_alignment(spark):
+    r = random.Random(4)
+    word = lambda: r.choice(WORDS) + str(r.randrange(400))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (64, 65, 130, 214, 300, 1000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    fill = [word() for _ in range(decontamination.STRIDE)]
+    docs = {(n, k): " ".join([*fill[:k], t, *fill]) for n, t in items for k in range(decontamination.STRIDE)}
+    keys = list(docs)
+    for size in (32 << 20, 1 << 15):  # also with the pieces of an item in several parts
+        some = keys if size > 1 << 20 else keys[::21]
+        got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(frame(spark, [docs[k] for k in some]), bench, max_index_bytes=size).collect()}
+        assert got == {(i, n) for i, (n, _) in enumerate(some)}
+        assert decontamination.clean(frame(spark, [docs[k] for k in some]), bench, max_index_bytes=size).count() == 0
+
+
 def test_mixture_meets_its_quotas(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "big" if i % 10 else "small") for i in range(900)], "doc_id long, text string, source string")
     rows = mixing.mix(docs, repetition_limit=3.0, block_docs=50).collect()
