@@ -2,14 +2,18 @@
 
 Base spans (fixed patterns with validators, see ``BASE``) are always redacted. Generators propose
 further, overlapping candidates of the same kinds: addresses written with ``[at]``, phone numbers
-without a plus, card numbers with other separators, dotted quads inside longer runs. Gradient-boosted
+without a plus, card numbers with other separators, dotted quads inside longer runs. Within a run of
+digits and separators every span from one group of digits to another that has a number of digits (parts,
+for addresses) its kind allows is a candidate, so that numbers side by side are told apart. Gradient-boosted
 trees score every candidate by its format (digits, separators, grouping) and context (neighbouring
-characters, a key word before it); a candidate is added when its score reaches its kind's threshold and it
-overlaps no base span.
-
-Training needs no hand labels: candidates that overlap an accepted base span of their kind are positive,
-those that hold a base match its validator refuses, or overlap a base span of another kind, are
-negative, and the rest are unlabelled and only scored. Features are small categories that leave out
+characters, a key word before it); a candidate is added when its score reaches its kind's threshold, it
+overlaps no base span and is no negative; of overlapping ones the best scored, then the longest, is added.
+
+Training needs no hand labels. Of the kinds in digits, candidates equal to an accepted base span of their kind are
+positive; those that reach beyond one, those that overlap a refused base match and are refused by the
+validator themselves (not phones), and those that overlap a base span of another kind are negative. Candidates
+for e-mail addresses that overlap an accepted one are positive. The rest, parts of an accepted span among them, are
+unlabelled and only scored. Features are small categories that leave out
 what the validators test. Examples are summed by (features, label) over all documents, so the trees are
 fitted on a table whose size the categories bound, whatever the corpus. A kind's
 threshold is the least score at which the held-out precision's lower confidence bound (Wilson, 95 %)
@@ -42,9 +46,11 @@ BASE = {
 GENERATORS = {
     "email": [r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]++)++"],
     "ip": [r"(?:\G|(?<![0-9.]))[0-9]{1,3}+(?:\.[0-9]{1,3}+)++"],
-    "card": [r"[0-9]++(?:[\x20._/-]?[0-9]++)++"],
+    "card": [r"[0-9]++(?:[\x20._/-]?[0-9]++)*+"],
     "phone": [r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++"],
 }
+#: Least and most digits of a candidate, and groups of digits it may span; other kinds are taken as matched.
+WITHIN = {"ip": (4, 12, 4, 4), "card": (13, 19, 1, 19), "phone": (7, 15, 1, 15)}
 # fixed values: words that announce each kind
 CONTEXT = {
     "email": "mail|e-mail|correo|courriel|contact",
@@ -129,6 +135,29 @@ def _overlaps(spans: Column, c: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
 
 
+def _sub_spans(kind: str, found: Column) -> Column:
+    """Of each matched run, the spans between its groups of digits that ``WITHIN`` allows; an opening + or ( belongs to its group."""
+    if kind not in WITHIN:
+        return found
+    least, most, fewest, longest = WITHIN[kind]
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def spans(c: Column) -> Column:
+        def start(g: Column) -> Column:
+            return g["start"] - F.when(g["start"] > 0, F.substr(c["m"], g["start"], F.lit(1)).isin("+", "(").cast("int")).otherwise(0)
+
+        def span(first: Column, last: Column) -> Column:
+            return F.struct((c["start"] + first).alias("start"), (c["start"] + last["end"]).alias("end"), F.substr(c["m"], first + 1, last["end"] - first).alias("m"))
+
+        def starting(groups: Column):
+            return lambda g, i: let(start(g), lambda first: F.transform(F.slice(groups, i + fewest, longest - fewest + 1), lambda last: span(first, last)))
+
+        every = lambda groups: F.flatten(F.transform(groups, starting(groups)))
+        return F.filter(let(matches(c["m"], "[0-9]++"), every), lambda x: F.length(_digits(x["m"])).between(least, most))
+
+    return F.flatten(F.transform(F.filter(found, lambda c: F.length(c["m"]) >= least), spans))
+
+
 def _features(kind: str, text: Column, c: Column) -> dict[str, Column]:
     m = c["m"]
     core = F.regexp_replace(m, r"^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "")
@@ -158,19 +187,27 @@ def candidates(docs: DataFrame) -> DataFrame:
             name = f"gen_{kind}_{j}"
             names.append((n, kind, name))
             out = out.withColumn(name, F.when(may, matches(F.col("text"), pattern)).otherwise(F.array().cast(EMPTY)))
-    least = {"email": lambda m: F.lit(True), "ip": lambda m: F.size(F.split(m, r"\.")) >= 4, "card": lambda m: F.length(_digits(m)) >= 12, "phone": lambda m: F.length(_digits(m)).between(7, 16)}
 
     def build(n: int, kind: str):
         others = F.concat(*[F.transform(f"base_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS if k != kind])
 
         def candidate(c: Column) -> Column:
-            label = F.when(_overlaps(F.col(f"base_{kind}"), c), 1).when(_overlaps(F.col(f"refused_{kind}"), c) & F.lit(kind != "phone"), 0).when(_overlaps(others, c), 0)
+            own, refused = F.col(f"base_{kind}"), F.col(f"refused_{kind}")
+            if kind not in WITHIN:
+                label = F.when(_overlaps(own, c), 1).when(_overlaps(refused, c), 0)
+            else:
+                label = F.when(F.exists(own, lambda s: (s["start"] == c["start"]) & (s["end"] == c["end"])), 1)
+                label = label.when(F.exists(own, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]) & ((c["start"] < s["start"]) | (s["end"] < c["end"]))), 0)
+                label = label.when(_overlaps(own, c), F.lit(None))
+                if kind != "phone":
+                    label = label.when(_overlaps(refused, c) & ~valid(kind, c["m"]), 0)
+            label = label.when(_overlaps(others, c), 0)
             return F.struct(F.lit(n).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), label.alias("label"), *[x.alias(f) for f, x in _features(kind, F.col("text"), c).items()])
 
         return candidate
 
-    enough = lambda kind: lambda c: least[kind](c["m"])
-    parts = [F.transform(F.filter(name, enough(kind)), build(n, kind)) for n, kind, name in names]
+    out = out.withColumns({name: _sub_spans(kind, F.col(name)) for _, kind, name in names})
+    parts = [F.transform(name, build(n, kind)) for n, kind, name in names]
     return out.withColumn("candidates", F.concat(*parts)).drop(*[x for *_, x in names])
 
 
@@ -284,9 +321,12 @@ def find(docs: DataFrame, precision: float = 0.98, max_cells: int = 200_000, kee
     cells = examples(found).orderBy(F.desc(F.col("positive") + F.col("negative")), "held_out", "kind", *FEATURES).limit(max_cells)
     model = fit([r.asDict() for r in cells.collect()], precision=precision)
     threshold = lambda c: F.get(F.array(*[F.lit(float(model.thresholds[n])) for n in range(len(KINDS))]), c["kind"])
-    free = F.filter("candidates", lambda c: ~_overlaps(F.col("base"), c))
-    chosen = F.filter(free, lambda c: model.expression(lambda f: c[f]) >= threshold(c))
-    added = F.array_distinct(F.array_sort(F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))))
+    free = F.filter("candidates", lambda c: ~_overlaps(F.col("base"), c) & ~c["label"].eqNullSafe(F.lit(0)))
+    scored = F.transform(free, lambda c: F.struct((-model.expression(lambda f: c[f])).alias("last"), (c["start"] - c["end"]).alias("short"), threshold(c).alias("least"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    chosen = F.array_sort(F.filter(scored, lambda c: -c["last"] >= c["least"]))
+    span = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    added = F.array_sort(F.aggregate(chosen, none, lambda acc, c: F.when(_overlaps(acc, c), acc).otherwise(F.concat(acc, F.array(span(c))))))
     return found.withColumn("added", added).drop("candidates")
 
 

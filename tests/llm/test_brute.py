@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from fluvispark.llm import decontamination, fingerprints, mixing, near_dedup, quality, queries, token_planes
+from fluvispark.llm import decontamination, fingerprints, mixing, near_dedup, pii, quality, queries, token_planes
 
 WORDS = [f"{a}{b}" for a in ("al", "be", "co", "du", "er") for b in ("na", "ri", "to", "sum")]
 
@@ -113,6 +113,35 @@ def test_long_items_are_found_at_every_alignment(spark):
         assert decontamination.clean(frame(spark, [docs[k] for k in some]), bench, max_index_bytes=size).count() == 0
 
 
+RUNS = ["pay 7536784127813050 4845168114407329 now", "call +1 (843) 555-7672 170.106.47.218 now", "pay 12 4111 1111 1111 1111 now"]
+
+
+def test_numbers_side_by_side_are_proposed(spark):
+    got = {r.doc_id: {(pii.KINDS[c.kind], RUNS[r.doc_id][c.start : c.end]): c.label for c in r.candidates} for r in pii.candidates(pii.base_spans(frame(spark, RUNS))).collect()}
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    for i, text in enumerate(RUNS):
+        groups = [(m.start(), m.end()) for m in re.finditer("[0-9]+", text)]
+        spans = [text[a:d] for k, (a, _) in enumerate(groups) for _, d in groups[k:]]
+        assert {t for k, t in got[i] if k == "card"} == {t for t in spans if 13 <= len(digits(t)) <= 19 and not re.search(r"[()]|  ", t)}
+        assert {digits(t) for k, t in got[i] if k == "phone"} == {digits(t) for t in spans if 7 <= len(digits(t)) <= 15}
+    assert got[0]["card", "7536784127813050"] is None and got[0]["card", "4845168114407329"] is None
+    assert got[1]["phone", "+1 (843) 555-7672"] is None and got[1]["phone", "+1 (843) 555-7672 170"] == 0 and got[1]["ip", "170.106.47.218"] == 1
+    assert got[2]["card", "4111 1111 1111 1111"] is None
+
+
+def test_numbers_side_by_side_are_added(spark):
+    r = random.Random(8)
+
+    def card():
+        body = "4" + "".join(r.choice("0123456789") for _ in range(14))
+        return next(body + c for c in "0123456789" if sum(int(x) if k % 2 else sum(divmod(2 * int(x), 10)) for k, x in enumerate(body + c)) % 10 == 0)
+
+    four = lambda t: " ".join(t[k : k + 4] for k in range(0, 16, 4))
+    plain = [f"pay {card()} now. pay {four(card())} now. call +1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)} now." for _ in range(1200)]
+    got = {x.doc_id: {RUNS[x.doc_id][s.start : s.end] for s in x.added} for x in pii.find(frame(spark, RUNS + plain)).collect() if x.doc_id < 3}
+    assert got == {0: {"7536784127813050", "4845168114407329"}, 1: {"+1 (843) 555-7672"}, 2: {"4111 1111 1111 1111"}}
+
+
 def test_mixture_meets_its_quotas(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "big" if i % 10 else "small") for i in range(900)], "doc_id long, text string, source string")
     rows = mixing.mix(docs, repetition_limit=3.0, block_docs=50).collect()
