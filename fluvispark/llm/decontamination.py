@@ -15,9 +15,11 @@ pairs that reach the threshold are opened. (3) Opened blocks are scored exactly.
 above the threshold are retrieved; there is no top-k and no cap.
 
 Verification. Retrieved pairs are read word for word: the share of the item's distinct five-word
-shingles inside the passage (stretched by the item's length on both sides) must reach ``overlap``,
-and both the question part and the answer part must be found to ``part`` of theirs. The answer is what follows the last ``?`` or ``Answer:``, or else
-the last fifth of the item, five words at least.
+shingles inside the passage (stretched by the item's length on both sides) must reach ``overlap``.
+Of an item with an answer, which is what follows its last ``?`` or ``Answer:``, both the question part and
+the answer part must be found to ``part`` of theirs as well: by shingles, or, for parts of 3 to ``STRIDE``
+words, word by word in order (one less the edits a word to the nearest stretch of the text), whichever is more.
+Items without an answer have null for these two.
 
 Scale. One pass over the corpus, no shuffle of it; the index goes out in parts of at most
 ``max_index_bytes`` each, a pass for each part, so that what is broadcast is bounded
@@ -52,8 +54,8 @@ class Item:
 
     item_id: int
     words: np.ndarray
-    question: np.ndarray
-    answer: np.ndarray
+    question: np.ndarray | None
+    answer: np.ndarray | None
 
 
 @dataclass
@@ -77,16 +79,14 @@ def words_of(texts: pa.Array) -> Iterator[np.ndarray]:
             yield words[cut[i] : cut[i + 1]]
 
 
-def split_item(text: str) -> tuple[str, str]:
-    """(question, answer) of an item's text."""
+def split_item(text: str) -> tuple[str | None, str | None]:
+    """(question, answer) of an item's text; none where nothing marks an answer or a part has no words."""
     low = text.lower()
     cut = low.rfind("answer:")
     cut = cut + 7 if cut > 0 else text.rfind("?") + 1
     if 0 < cut < len(text) and text[cut:].strip() and text[:cut].strip():
         return text[:cut], text[cut:]
-    words = text.split()
-    k = min(max(WIDTH, len(words) // 5), max(1, len(words) // 2))
-    return " ".join(words[:-k]), " ".join(words[-k:])
+    return None, None
 
 
 def piece_starts(n: int) -> list[int]:
@@ -115,7 +115,8 @@ def build_index(rows: list[tuple[int, str, list[int]]], n_items: int, frequency:
         x = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * len(w) / mean_words))
         weights[at, k] = x / x.sum()
     blocks = weights.reshape(len(terms), -1, BLOCK).max(axis=2)
-    items = [Item(i, w, q, a) for (i, *_), w, q, a in zip(rows, words, questions, answers, strict=True)]
+    parts = [(q, a) if len(q) and len(a) else (None, None) for q, a in zip(questions, answers, strict=True)]
+    items = [Item(i, w, q, a) for (i, *_), w, (q, a) in zip(rows, words, parts, strict=True)]
     return Index(terms, weights, blocks, weights.max(axis=1, initial=0), owner, items)
 
 
@@ -167,10 +168,29 @@ def _share(needle: np.ndarray, hay: np.ndarray) -> float:
     return float(np.isin(np.unique(C.shingles(needle, width)), C.shingles(hay, width)).mean())
 
 
-def verify(item: Item, words: np.ndarray, passage: int) -> tuple[float, float, float]:
-    """Shares of the item's, its question's and its answer's shingles around the passage."""
+def _aligned(needle: np.ndarray, hay: np.ndarray) -> float:
+    """One less the least number of word edits from ``needle`` to any stretch of ``hay``, as a share of its words."""
+    steps = np.arange(len(hay) + 1)
+    edits = np.zeros(len(hay) + 1, np.int64)
+    for word in needle:
+        below = edits + 1
+        below[1:] = np.minimum(below[1:], edits[:-1] + (hay != word))
+        edits = np.minimum.accumulate(below - steps) + steps
+    return 1 - float(edits.min()) / len(needle)
+
+
+def _part_share(needle: np.ndarray, hay: np.ndarray) -> float:
+    share = _share(needle, hay)
+    return max(share, _aligned(needle, hay)) if 2 < len(needle) <= STRIDE and share < 1 else share
+
+
+def verify(item: Item, words: np.ndarray, passage: int, overlap: float) -> tuple[float, float | None, float | None]:
+    """The share of the item's shingles around the passage and, if that reaches ``overlap``, those of its question and answer."""
     near = words[max(0, passage * STRIDE - len(item.words)) : (passage + 2) * STRIDE + len(item.words)]
-    return _share(item.words, near), _share(item.question, near), _share(item.answer, near)
+    whole = _share(item.words, near)
+    if whole < overlap or item.answer is None:
+        return whole, None, None
+    return whole, _part_share(item.question, near), _part_share(item.answer, near)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part: float = 0.5, max_index_bytes: int = 32 << 20) -> DataFrame:
@@ -236,8 +256,8 @@ def _matches(index: Index, texts: pa.Array, threshold: float, overlap: float, pa
     def search() -> Iterator[tuple]:
         for d, p, k, score in retrieve(index, block, threshold):
             item = index.items[k]
-            whole, question, answer = verify(item, block[d], p)
-            if whole >= overlap and question >= part and answer >= part:
+            whole, question, answer = verify(item, block[d], p, overlap)
+            if whole >= overlap and (answer is None or question >= part and answer >= part):
                 yield at + d, item.item_id, score, whole, question, answer
 
     for words in words_of(texts):

@@ -113,6 +113,35 @@ def test_long_items_are_found_at_every_alignment(spark):
         assert decontamination.clean(frame(spark, [docs[k] for k in some]), bench, max_index_bytes=size).count() == 0
 
 
+def test_copies_edited_at_any_word_are_found(spark):
+    r = random.Random(6)
+    word = lambda: r.choice(WORDS) + str(r.randrange(400))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [text(25), text(29), text(39), text(60), text(30) + "? " + text(5), text(6) + "? " + text(30), "Question: " + text(30) + " Answer: " + text(12)]
+    around, docs = text(20), {}
+    for i, t in enumerate(items):
+        words = t.split()
+        for k, w in enumerate(words):
+            changed = "?" if w.endswith("?") else ":" if w.endswith(":") else ""
+            n, lost = len(words) - 4, min(k + 1, len(words) - 4) - max(k - 4, 0)
+            if n - lost >= 0.8 * n:
+                docs[i, k] = " ".join([around, *words[:k], "changed" + changed, *words[k + 1 :], around])
+    keys = list(docs)
+    assert len(keys) == 8 + 29 + 39 + 60 + 35 + 36 + 44
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(frame(spark, [docs[k] for k in keys]), bench).collect()}
+    assert got == {(d, i) for d, (i, _) in enumerate(keys)}
+
+
+def test_a_question_without_its_answer_is_left(spark):
+    r = random.Random(7)
+    question = " ".join(r.choice(WORDS) + str(r.randrange(400)) for _ in range(40)) + "? "
+    bench = spark.createDataFrame([(0, question + "zu"), (1, question + "zu ro"), (2, question + "zu ro mi"), (3, question + "zu ro mi ka lo")], "item_id long, text string")
+    tails = ["", "other words here", "ro it is not", "zu ro mi ka lo"]
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(frame(spark, [question + t for t in tails]), bench).collect()}
+    assert got == {(3, 0), (3, 1), (3, 2), (3, 3)}
+
+
 RUNS = ["pay 7536784127813050 4845168114407329 now", "call +1 (843) 555-7672 170.106.47.218 now", "pay 12 4111 1111 1111 1111 now"]
 
 
