@@ -18,8 +18,8 @@ the bucket. Pairs whose signatures agree on far fewer values than the threshold
 propagation with pointer jumping; nothing but counters reaches the driver.
 
 Defined results: null or wordless texts have an empty set, are linked with nothing and are
-their own component; repeated rows of a ``doc_id`` are one node, linked through any of its
-texts; a null ``doc_id`` has a null component and is kept. Other columns are ignored.
+their own component; repeated rows of a ``doc_id`` are one node with one component, linked through
+any of its texts (a wordless row goes with the others of its id); a null ``doc_id`` has a null component and is kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -306,9 +306,21 @@ def _near_duplicates(docs: DataFrame, width: int, threshold: float, pivots: int)
             break
         # fewer rows left, more pivots each: a round pairs at most as much as the first full one would
         k = max(pivots, budget // rows)
+    # ids that come with different texts link the representatives of these
+    none = F.lit(b"")
+    several = sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("digest", none)).alias("lo"), F.max(F.coalesce("digest", none)).alias("hi")).filter("lo < hi").select("doc_id")
+    held, at = C.materialise(sketches.filter("n_shingles > 0").join(several, "doc_id", "left_semi").join(sets.select("digest", "rep"), "digest").select("doc_id", "rep").distinct(), "held")
+    temporary.append(at)
+    of_id = None
+    if held.limit(1).count():
+        nodes = nodes.union(held.select("doc_id")).union(held.select("rep")).distinct()
+        labels = components(nodes, links.union(held.filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()))
+        of_id, _ = C.materialise(held.select("doc_id").distinct().join(labels.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("component", "own"), "components")
+        labels, _ = C.materialise(labels, "components")
     for at in temporary:
         C.delete(spark, at)
     by_set = sets.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     placed = sketches.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    placed = placed.withColumn("own", F.lit(None).cast("long")) if of_id is None else placed.join(of_id, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "component", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

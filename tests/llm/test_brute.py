@@ -49,6 +49,15 @@ def test_near_duplicates_link_exactly(spark, texts):
     assert got == {i: (len(sets[i]), label[i]) for i in range(len(texts))}
 
 
+def test_an_id_with_unlike_texts_links_them(spark, texts):
+    a, b, c, d = texts[:4]
+    assert min(len(t.split()) for t in (a, b, c, d)) > 3
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, ""), (9, c), (8, c), (8, d), (2, d), (11, c), (20, ""), (20, None), (None, a), (None, b)]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
+    component = {3: 3, 5: 3, 7: 3, 9: 2, 8: 2, 2: 2, 11: 2, 20: 20}
+    assert got == sorted((i or 0, component.get(i, 0), component.get(i, i) == i) for i, _ in rows)
+
+
 def test_token_files_hold_what_the_tokenizer_gives(spark, texts, tmp_path):
     texts = [*texts, "Ünïcode, 日本 and  two spaces\n\nit's 12,5", ""]
     token_planes.write(frame(spark, texts), f"file://{tmp_path}/t", queries.tokenizer_path())
