@@ -28,7 +28,8 @@ whatever the benchmark's size; the pieces of one item may be in several parts.
 Words are maximal runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased. Defined
 results: null or wordless texts and items match nothing; items or parts of fewer than five
 words have their whole sequence as their one shingle; repeated items or documents each match on their own
-(rows equal in both ids count once); extra columns are ignored.
+(rows equal in both ids, null ones too, count once); items without an id are searched like others and have a null
+``item_id``; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -196,7 +197,7 @@ def verify(item: Item, words: np.ndarray, passage: int, overlap: float) -> tuple
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part: float = 0.5, max_index_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): documents of ``docs`` (doc_id, text) that hold items of ``benchmark`` (item_id, text)."""
     spark = docs.sparkSession
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], OUT)
     for part_rows, stats in _parts(items, max_index_bytes):
@@ -207,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part: float = 0.5, max_index_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no item of ``benchmark``; columns unchanged, no shuffle."""
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
 
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

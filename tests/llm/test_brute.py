@@ -122,6 +122,13 @@ def test_long_items_are_found_at_every_alignment(spark):
         assert decontamination.clean(frame(spark, [docs[k] for k in some]), bench, max_index_bytes=size).count() == 0
 
 
+def test_items_without_an_id_are_found(spark, texts):
+    bench = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (4, texts[2])], "item_id long, text string")
+    docs = frame(spark, [*texts[:3], "zu zu zu"])
+    assert {(x.doc_id, x.item_id) for x in decontamination.contaminated(docs, bench).collect()} == {(0, None), (1, None), (2, 4)}
+    assert [x.doc_id for x in decontamination.clean(docs, bench).collect()] == [3]
+
+
 def test_copies_edited_at_any_word_are_found(spark):
     r = random.Random(6)
     word = lambda: r.choice(WORDS) + str(r.randrange(400))
