@@ -7,6 +7,8 @@ rows Spark puts in a batch.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,11 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset: the warehouse, or on a single machine (master ``local``) a folder of our own, deleted at exit."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="fluvispark-"))
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_fluvispark"
+    if "dir" not in _OWN_DIR:
+        _OWN_DIR["dir"] = tempfile.mkdtemp(prefix="fluvispark-")
+        atexit.register(shutil.rmtree, _OWN_DIR["dir"], ignore_errors=True)
+    return _OWN_DIR["dir"]
 
 
 def delete(spark: SparkSession, path: str) -> None:
