@@ -8,10 +8,14 @@ piece's score of itself, so one threshold serves items of any length; an item is
 score of its best piece. If the item's shingles are found to ``overlap``, so are those of some piece,
 and that piece shares far more than ``threshold`` of its weight with a passage.
 
-Block-max WAND, over a batch of passages at a time. (1) Each term's list maximum bounds its
-contribution; passages whose bounds cannot sum to the threshold are skipped. (2) Pieces are in
-blocks of ``BLOCK``; the rest get a bound from the terms' block maxima, and only (passage, block)
-pairs that reach the threshold are opened. (3) Opened blocks are scored exactly. All items with a piece at or
+The index is inverted: for each term a list of its postings (piece, weight) in the order of the pieces, cut into blocks of
+``BLOCK`` pieces; of each block of a list its greatest weight is kept, and of each list the greatest of all. Pieces of similar length (to a
+power of two) have lists of their own, as a word's weight in a short piece says nothing of the long ones. As the threshold is known, the most frequent
+words of a piece, up to a weight that cannot reach it alone, need no postings; their weight is kept as a number of the piece, and its maximum of the block.
+
+Block-max WAND, for a passage at a time. (0) Passages whose lists' maxima cannot sum to the threshold are skipped, a batch of them at once. (1) The block
+maxima of the passage's lists are summed; blocks that cannot reach the threshold with their light words are skipped. (2) The postings of the other
+blocks are read; pieces that cannot reach it are skipped. (3) What is left is scored exactly. All items with a piece at or
 above the threshold are retrieved; there is no top-k and no cap.
 
 Verification. Retrieved pairs are read word for word: the share of the item's distinct five-word
@@ -21,9 +25,9 @@ the answer part must be found to ``part`` of theirs as well: by shingles, or, fo
 words, word by word in order (one less the edits a word to the nearest stretch of the text), whichever is more.
 Items without an answer have null for these two.
 
-Scale. One pass over the corpus, no shuffle of it; the index goes out in parts of at most
-``max_index_bytes`` each, a pass for each part, so that what is broadcast is bounded
-whatever the benchmark's size; the pieces of one item may be in several parts.
+Scale. One pass over the corpus, no shuffle of it. Document frequencies and lengths are counted in Spark. The items are dealt by hash to as many parts as
+keep each part's index at about ``max_index_bytes`` (some 100,000 items of 60 words); parts are built, broadcast and searched one after the other, so that what
+is broadcast, or held by the driver, is bounded whatever the benchmark's size, but for an item that is larger alone.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased. Defined
 results: null or wordless texts and items match nothing; items or parts of fewer than five
@@ -45,6 +49,8 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 WIDTH, STRIDE, BLOCK = 5, 64, 16
+#: How much of the threshold the terms of a piece may weigh that have no postings.
+LIGHT = 0.75
 K1, LENGTH_WEIGHT = 1.2, 0.75
 OUT = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
@@ -59,15 +65,37 @@ class Item:
     answer: np.ndarray | None
 
 
+@dataclass
+class Lists:
+    """The inverted lists of the pieces of one class of lengths; ``owner`` is each piece's item.
+
+    By term: ``list_max``, and ``lists`` (its first block entry). Block entries, by term and block: ``block``,
+    ``block_max`` and ``postings`` (the first posting). Postings: ``piece`` and ``weight``. They hold each piece's
+    essential terms; ``light`` is what its other terms weigh together, and ``light_max`` the most of that in a block. By
+    piece, for exact scores: ``forward`` (its first place), ``term`` and ``term_weight`` of all its terms.
+    """
+
+    list_max: np.ndarray
+    lists: np.ndarray
+    block: np.ndarray
+    block_max: np.ndarray
+    postings: np.ndarray
+    piece: np.ndarray
+    weight: np.ndarray
+    light: np.ndarray
+    light_max: np.ndarray
+    forward: np.ndarray
+    term: np.ndarray
+    term_weight: np.ndarray
+    owner: np.ndarray
+
+
 @dataclass
 class Index:
-    """Terms sorted by hash; ``weights`` (terms x pieces), their maxima by block and by list; each piece's item."""
+    """Sorted hashes of all terms, the lists of each class, and the items."""
 
     terms: np.ndarray
-    weights: np.ndarray
-    block_max: np.ndarray
-    list_max: np.ndarray
-    owner: list[int]
+    classes: list[Lists]
     items: list[Item]
 
 
@@ -98,27 +126,80 @@ def piece_starts(n: int) -> list[int]:
     return [*range(0, last, STRIDE - WIDTH + 1), last]
 
 
-def build_index(rows: list[tuple[int, str, list[int]]], n_items: int, frequency: dict[int, int], mean_words: float) -> Index:
-    """The index of ``rows`` (id, text, starts of pieces); the statistics are those of the whole benchmark."""
-    texts = [t for _, t, _ in rows]
+def build_index(rows: list[tuple[int, str]], n_items: int, frequency: tuple[np.ndarray, np.ndarray], mean_words: float, threshold: float) -> Index:
+    """The index of ``rows`` (id, text); the statistics are those of the whole benchmark: ``frequency`` has sorted term hashes and the numbers of items that hold them."""
+    texts = [t for _, t in rows]
     halves = [split_item(t) for t in texts]
     words = list(words_of(pa.array(texts, pa.string())))
     questions = list(words_of(pa.array([q for q, _ in halves], pa.string())))
     answers = list(words_of(pa.array([a for _, a in halves], pa.string())))
-    owner = [i for i, (*_, starts) in enumerate(rows) for _ in starts]
-    pieces = [w[a : a + STRIDE] for w, (*_, starts) in zip(words, rows, strict=True) for a in starts]
-    terms = np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
-    weights = np.zeros((len(terms), -(-max(1, len(pieces)) // BLOCK) * BLOCK), np.float32)
-    idf = np.array([np.log(1 + (n_items - frequency[int(t)] + 0.5) / (frequency[int(t)] + 0.5)) for t in terms])
-    for k, w in enumerate(pieces):
-        own, tf = np.unique(w, return_counts=True)
-        at = np.searchsorted(terms, own)
-        x = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * len(w) / mean_words))
-        weights[at, k] = x / x.sum()
-    blocks = weights.reshape(len(terms), -1, BLOCK).max(axis=2)
     parts = [(q, a) if len(q) and len(a) else (None, None) for q, a in zip(questions, answers, strict=True)]
-    items = [Item(i, w, q, a) for (i, *_), w, (q, a) in zip(rows, words, parts, strict=True)]
-    return Index(terms, weights, blocks, weights.max(axis=1, initial=0), owner, items)
+    items = [Item(i, w, q, a) for (i, _), w, (q, a) in zip(rows, words, parts, strict=True)]
+    pieces = [(i, w[a : a + STRIDE]) for i, w in enumerate(words) if len(w) for a in piece_starts(len(w))]
+    terms = np.unique(np.concatenate([w for _, w in pieces])) if pieces else np.zeros(0, np.uint64)
+    df = frequency[1][np.searchsorted(frequency[0], terms)] if len(terms) else np.zeros(0)
+    idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
+    classes: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, w in pieces:
+        classes.setdefault((len(w) - 1).bit_length(), []).append((i, w))
+    return Index(terms, [_lists(terms, idf, classes[k], mean_words, threshold) for k in sorted(classes)], items)
+
+
+def _lists(terms: np.ndarray, idf: np.ndarray, pieces: list[tuple[int, np.ndarray]], mean_words: float, threshold: float) -> Lists:
+    sizes = np.array([len(w) for _, w in pieces], np.int64)
+    n, v, blocks = len(pieces), len(terms), -(-len(pieces) // BLOCK)
+    term = np.searchsorted(terms, np.concatenate([w for _, w in pieces]))
+    # by piece, then term
+    place, tf = np.unique(np.repeat(np.arange(n), sizes) * v + term, return_counts=True)
+    piece, term = place // v, place % v
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * sizes[piece] / mean_words))
+    weight /= np.bincount(piece, weights=weight, minlength=n)[piece]
+    forward = np.searchsorted(piece, np.arange(n + 1))
+    # the most frequent terms of a piece that together stay below LIGHT of the threshold are not essential
+    order = np.lexsort((term, idf[term], piece))
+    sums = np.cumsum(weight[order])
+    before = np.concatenate(([0.0], sums))[forward[:-1]]
+    light = np.zeros(len(order), bool)
+    light[order] = sums - before[piece[order]] < LIGHT * threshold
+    rest = np.bincount(piece, weights=weight * light, minlength=n)
+    list_max = np.zeros(v, np.float32)
+    np.maximum.at(list_max, term, weight.astype(np.float32))
+    by_term = np.flatnonzero(~light)
+    by_term = by_term[np.lexsort((piece[by_term], term[by_term]))]
+    key, postings = np.unique(term[by_term] * blocks + piece[by_term] // BLOCK, return_index=True)
+    block_max = np.maximum.reduceat(weight[by_term], postings)
+    light_max = np.maximum.reduceat(rest, np.arange(0, n, BLOCK))
+    return Lists(
+        list_max, np.searchsorted(key, np.arange(v + 1) * blocks), (key % blocks).astype(np.int32), block_max.astype(np.float32), np.append(postings, len(by_term)), piece[by_term].astype(np.int32),
+        weight[by_term].astype(np.float32), rest, light_max, forward, term.astype(np.int32), weight.astype(np.float32), np.array([i for i, _ in pieces], np.int64),
+    )
+
+
+def _ranges(first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """All places of the ranges from ``first`` up to ``after``."""
+    size = after - first
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def search(index: Lists, terms: np.ndarray, held: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, scores) of all pieces whose score for the distinct ``terms`` (numbers) reaches the threshold, by block-max WAND; ``held`` is true at these terms."""
+    none, threshold = (np.zeros(0, np.int64), np.zeros(0)), threshold - 1e-5
+    entries = _ranges(index.lists[terms], index.lists[terms + 1])
+    blocks, place = np.unique(index.block[entries], return_inverse=True)
+    keep = np.bincount(place, weights=index.block_max[entries], minlength=len(blocks)) + index.light_max[blocks] >= threshold
+    if not keep.any():
+        return none
+    entries = entries[keep[place]]
+    read = _ranges(index.postings[entries], index.postings[entries + 1])
+    pieces, place = np.unique(index.piece[read], return_inverse=True)
+    pieces = pieces[np.bincount(place, weights=index.weight[read]) + index.light[pieces] >= threshold]
+    if not len(pieces):
+        return none
+    size = index.forward[pieces + 1] - index.forward[pieces]
+    own = _ranges(index.forward[pieces], index.forward[pieces + 1])
+    scores = np.bincount(np.repeat(np.arange(len(pieces)), size), weights=index.term_weight[own] * held[index.term[own]], minlength=len(pieces))
+    keep = scores >= threshold
+    return pieces[keep], scores[keep]
 
 
 def retrieve(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int, int, float]]:
@@ -138,25 +219,23 @@ def retrieve(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator
     v = len(index.terms)
     own = np.unique(segment * v + term[hit])
     seg, t = own // v, own % v
-    bound = np.bincount(seg, weights=index.list_max[t], minlength=n_segments + 1)
     first = np.searchsorted(seg, np.arange(n_segments + 2))
     doc_of = np.repeat(np.arange(len(docs)), segments + 1)
-    hopeful = np.flatnonzero((bound[:-1] + bound[1:] >= threshold)[:n_segments])
-    for p in hopeful.tolist():
-        lo, hi = first[p], first[min(p + 2, n_segments)] if p + 1 < n_segments else first[p + 1]
-        terms = np.unique(t[lo:hi])
-        if index.list_max[terms].sum() < threshold:
-            continue
-        blocks = np.flatnonzero(index.block_max[terms].sum(axis=0) >= threshold)
-        best: dict[int, float] = {}
-        for b in blocks.tolist():
-            scores = index.weights[terms, b * BLOCK : (b + 1) * BLOCK].sum(axis=0)
-            for k in np.flatnonzero(scores >= threshold - 1e-6).tolist():
-                if b * BLOCK + k < len(index.owner):  # the last block is padded
-                    i = index.owner[b * BLOCK + k]
-                    best[i] = max(best.get(i, 0.0), float(scores[k]))
-        for i, score in best.items():
-            yield int(doc_of[p]), int(p - base[doc_of[p]]), i, score
+    held = np.zeros(v, bool)
+    for lists in index.classes:
+        bound = np.bincount(seg, weights=lists.list_max[t], minlength=n_segments + 1)
+        hopeful = np.flatnonzero((bound[:-1] + bound[1:] >= threshold - 1e-6)[:n_segments])
+        for p in hopeful.tolist():
+            lo, hi = first[p], first[min(p + 2, n_segments)] if p + 1 < n_segments else first[p + 1]
+            best: dict[int, float] = {}
+            terms = np.unique(t[lo:hi])
+            held[terms] = True
+            pieces, scores = search(lists, terms, held, threshold)
+            held[terms] = False
+            for i, score in zip(lists.owner[pieces].tolist(), scores.tolist(), strict=True):
+                best[i] = max(best.get(i, 0.0), score)
+            for i, score in best.items():
+                yield int(doc_of[p]), int(p - base[doc_of[p]]), i, score
 
 
 def _share(needle: np.ndarray, hay: np.ndarray) -> float:
@@ -194,21 +273,25 @@ def verify(item: Item, words: np.ndarray, passage: int, overlap: float) -> tuple
     return whole, _part_share(item.question, near), _part_share(item.answer, near)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part: float = 0.5, max_index_bytes: int = 32 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part: float = 0.5, max_index_bytes: int = 192 << 20) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): documents of ``docs`` (doc_id, text) that hold items of ``benchmark`` (item_id, text)."""
     spark = docs.sparkSession
-    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], OUT)
-    for part_rows, stats in _parts(items, max_index_bytes):
-        shared = spark.sparkContext.broadcast(build_index(part_rows, *stats))
-        out = out.union(texts.mapInArrow(_search(shared, threshold, overlap, part), OUT))
+    indexes = _Parts(benchmark, threshold, max_index_bytes)
+    for index in indexes:
+        shared = spark.sparkContext.broadcast(index)
+        found = texts.mapInArrow(_search(shared, threshold, overlap, part), OUT)
+        if indexes.n > 1:  # searched before the next part is built
+            found, _ = C.materialise(found, "matches")
+            shared.destroy()
+        out = out.union(found)
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part: float = 0.5, max_index_bytes: int = 32 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part: float = 0.5, max_index_bytes: int = 192 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no item of ``benchmark``; columns unchanged, no shuffle."""
-    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    spark = docs.sparkSession
 
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,35 +301,60 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
 
         return run
 
-    for part_rows, stats in _parts(items, max_index_bytes):
-        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(build_index(part_rows, *stats))), docs.schema)
+    indexes, before = _Parts(benchmark, threshold, max_index_bytes), None
+    for index in indexes:
+        shared = spark.sparkContext.broadcast(index)
+        docs = docs.mapInArrow(keep(shared), docs.schema)
+        if indexes.n > 1:
+            docs, at = C.materialise(docs, "clean")
+            shared.destroy()
+            if before:
+                C.delete(spark, before)
+            before = at
     return docs
 
 
-def _parts(items: DataFrame, max_bytes: int) -> Iterator[tuple[list[tuple[int, str, list[int]]], tuple[int, dict[int, int], float]]]:
-    """The benchmark in parts whose index has at most ``max_bytes``, with the statistics of all of it."""
-    n, total, frequency = 0, 0, {}
-    for r in items.toLocalIterator():
-        w = next(words_of(pa.array([r.text], pa.string())))
-        n, total = n + bool(len(w)), total + len(w)
-        for t in np.unique(w).tolist():
-            frequency[t] = frequency.get(t, 0) + 1
-    part, terms, pieces = [], set(), 0
-    for r in items.orderBy("item_id", "text").toLocalIterator():
-        w = next(words_of(pa.array([r.text], pa.string())))
-        starts: list[int] = []
-        for a in piece_starts(len(w)) if len(w) else []:
-            own = set(w[a : a + STRIDE].tolist())
-            if pieces and 4 * len(terms | own) * (pieces + BLOCK) > max_bytes:
-                yield [*part, (r.item_id, r.text, starts)] if starts else part, (n, frequency, total / n)
-                part, terms, pieces, starts = [], set(), 0, []
-            starts.append(a)
-            terms |= own
-            pieces += 1
-        if starts:
-            part.append((r.item_id, r.text, starts))
-    if part:
-        yield part, (n, frequency, total / n)
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, items, words, pieces): a row for each distinct term of each batch, and one without a term that has the batch's totals."""
+    for batch in batches:
+        seen: list[np.ndarray] = []
+        n = words = pieces = 0
+        for w in words_of(batch.column("text")):
+            seen.append(np.unique(w))
+            n, words, pieces = n + bool(len(w)), words + len(w), pieces + (len(w) and sum(min(len(w), STRIDE) for _ in piece_starts(len(w))))
+        terms, count = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
+        blank = [0] * len(terms)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*terms.view(np.int64).tolist(), None], pa.int64()), pa.array([*count.tolist(), n], pa.int64()), pa.array([*blank, words], pa.int64()), pa.array([*blank, pieces], pa.int64())],
+            names=["term", "items", "words", "postings"],
+        )
+
+
+class _Parts:
+    """The benchmark's indexes, of about ``max_bytes`` each, built one at a time; ``n`` is their number."""
+
+    def __init__(self, benchmark: DataFrame, threshold: float, max_bytes: int) -> None:
+        self.threshold = threshold
+        items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+        self.items, self.at = C.materialise(items, "items")
+        self.terms, self.terms_at = C.materialise(self.items.mapInArrow(_item_terms, "term long, items long, words long, postings long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("items", "words", "postings")]), "item-terms")
+        self.totals = self.terms.filter("term is null").first()
+        # at most 24 bytes a posting with its share of a block entry, 8 a place of the forward lists, 16 a word for the check
+        size = 32 * self.totals.postings + 16 * self.totals.words if self.totals else 0
+        self.n = -(-size // max_bytes) if self.totals and self.totals.items else 0
+
+    def __iter__(self) -> Iterator[Index]:
+        key = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, self.n)))
+        for k in range(self.n):
+            own = self.items.filter(key == k)
+            mine = own.mapInArrow(_item_terms, "term long, items long, words long, postings long").filter("term is not null").select("term").distinct() if self.n > 1 else None
+            counts = (self.terms.join(mine, "term") if mine is not None else self.terms.filter("term is not null")).select("term", "items").toArrow()
+            terms, n = counts["term"].to_numpy().view(np.uint64), counts["items"].to_numpy()
+            order = np.argsort(terms)
+            rows = own.toArrow().to_pylist()
+            yield build_index([(r["item_id"], r["text"]) for r in rows], self.totals.items, (terms[order], n[order]), self.totals.words / self.totals["items"], self.threshold)
+        for at in (self.at, self.terms_at):
+            C.delete(self.items.sparkSession, at)
 
 
 def _matches(index: Index, texts: pa.Array, threshold: float, overlap: float, part: float) -> Iterator[tuple]:
@@ -254,7 +362,7 @@ def _matches(index: Index, texts: pa.Array, threshold: float, overlap: float, pa
     block: list[np.ndarray] = []
     size = at = 0
 
-    def search() -> Iterator[tuple]:
+    def matched() -> Iterator[tuple]:
         for d, p, k, score in retrieve(index, block, threshold):
             item = index.items[k]
             whole, question, answer = verify(item, block[d], p, overlap)
@@ -265,9 +373,9 @@ def _matches(index: Index, texts: pa.Array, threshold: float, overlap: float, pa
         block.append(words)
         size += len(words)
         if size >= 200_000:
-            yield from search()
+            yield from matched()
             at, block, size = at + len(block), [], 0
-    yield from search()
+    yield from matched()
 
 
 def _search(shared, threshold: float, overlap: float, part: float):

@@ -4,12 +4,13 @@ A known word scores by its smoothed log frequency in each language. An unseen wo
 to its character 4-grams; if the model knows none of them to its 3-grams, 2-grams and at last
 single letters. A text's language is the one of the greatest mean score over its words.
 
-Fitting counts words and n-grams with ordinary group-bys over at most ``max_training_docs``
-labelled documents (those of the least hash of their id; whole texts), so that it costs the same
-at any corpus size; the model holds at most ``max_words`` words and ``max_grams`` n-grams of each
-length and ``max_languages`` languages, which bounds what is broadcast (about 8 + 4 * languages
-bytes an entry). Scoring is one vectorised pass with no shuffle.
+Fitting counts words and n-grams with ordinary group-bys over about ``max_docs_per_language`` labelled documents of
+each language (all of a language that has fewer; else those whose hash of the id is below the language's share; whole texts), so that it costs the
+same at any corpus size and no language is left out for being rare. Words and n-grams seen fewer than ``min_count`` times in all
+are not learned; nothing is ranked or cut off. The model is sparse: a row for each (entry, language) seen, 8 bytes, and 12 an entry, whatever the number of
+languages; its size is bounded by that of the sample. Scoring is one vectorised pass with no shuffle.
 
+Words are runs of letters and combining marks (Unicode categories L and M, all planes, lower-cased) with at least one letter.
 Defined results: a null text, or one with no letter, is ``und`` with score 0. Training rows with
 a null lang, text or id are left out. With no training rows at all every text is ``und``. Ties go
 to the first language in code-point order. The score is the winner's share, 0 to 1, of the
@@ -33,24 +34,39 @@ from . import _common as C
 ORDERS = (4, 3, 2, 1)
 UNDETERMINED = "und"
 CHUNK_CHARS = 1 << 18
+#: Cells of a matrix of distinct words by languages at a time.
+CELLS = 1 << 21
+
+
+@dataclass
+class Order:
+    """Sorted 64-bit keys; the languages and gains over ``floor`` of each, from ``first[k]`` to ``first[k + 1]``."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    floor: np.ndarray
 
 
 @dataclass
 class Model:
-    """Sorted 64-bit keys and a row of log frequencies for each, by order; order 0 is whole words."""
+    """An ``Order`` for whole words (0) and for each length of n-gram; ``floor`` is the log frequency of an entry never seen in a language."""
 
     languages: list[str]
-    keys: dict[int, np.ndarray]
-    scores: dict[int, np.ndarray]
+    orders: dict[int, Order]
 
 
-def _letter_table() -> np.ndarray:
-    t = np.zeros(0x110000, bool)
-    t[:0x30000] = [unicodedata.category(chr(c))[0] in "LM" for c in range(0x30000)]
-    return t
+def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it belongs to words, and whether it is a letter; no letters are assigned above plane 3."""
+    word, letter = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    kinds = [unicodedata.category(chr(c))[0] for c in range(0x40000)]
+    letter[:0x40000] = [k == "L" for k in kinds]
+    word[:0x40000] = [k in "LM" for k in kinds]
+    return word, letter
 
 
-_LETTERS: list[np.ndarray] = []
+_LETTERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _symbols(points: np.ndarray) -> np.ndarray:
@@ -58,14 +74,17 @@ def _symbols(points: np.ndarray) -> np.ndarray:
 
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbol values of all lower-cased letters, then starts, ends and text numbers of the runs of letters."""
+    """Symbol values of all lower-cased code points, then starts, ends and text numbers of the words."""
     if not _LETTERS:
-        _LETTERS.append(_letter_table())
+        _LETTERS.append(_letter_tables())
+    word, letter = _LETTERS[0]
     lowered = [(t or "").lower() for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in lowered])))
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts, ends, row = C.word_spans(~_LETTERS[0][points], offsets)
-    return _symbols(points), starts, ends, row
+    starts, ends, row = C.word_spans(~word[points], offsets)
+    letters = np.concatenate(([0], np.cumsum(letter[points])))
+    some = letters[ends] > letters[starts]
+    return _symbols(points), starts[some], ends[some], row[some]
 
 
 def gram_spans(starts: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,65 +125,79 @@ def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield part
 
 
-def fit(training: DataFrame, max_training_docs: int = 12_000, max_words: int = 200_000, max_grams: int = 60_000, max_languages: int = 256) -> Model:
+def fit(training: DataFrame, max_docs_per_language: int = 3_000, min_count: int = 2) -> Model:
     """A model from rows (doc_id, text, lang); see the module's docstring for the bounds."""
     rows = training.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training_docs).distinct()
-    sample = rows.join(chosen, "doc_id", "left_semi")
+    docs = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    languages = sorted(docs)
+    if not languages:
+        return Model([], {})
+    # of a large language the documents with a hash below its share
+    steps = 1 << 20
+    share = F.element_at(F.map_from_arrays(F.array(*[F.lit(x) for x in languages]), F.array(*[F.lit(-(-max_docs_per_language * steps // docs[x])) for x in languages])), F.col("lang"))
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select("text", "lang")
+    number = F.element_at(F.map_from_arrays(F.array(*[F.lit(x) for x in languages]), F.array(*[F.lit(k) for k in range(len(languages))])), F.col("lang"))
     counts = sample.mapInArrow(_count_units, "order int, key long, lang string, n long").groupBy("order", "key", "lang").agg(F.sum("n").alias("n"))
-    counts, at = C.materialise(counts, "language-counts")
-    languages = [r.lang for r in counts.filter("order = 1").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
-    languages.sort()
-    keys, scores = {}, {}
+    counts, at = C.materialise(counts.select(F.col("order").cast("byte").alias("order"), "key", number.cast("int").alias("lang"), F.col("n").cast("int").alias("n")), "language-counts")
     totals = {(r.order, r.lang): r.n for r in counts.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect()}
-    wide = counts.groupBy("order", "key").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{k}") for k, x in enumerate(languages)])
-    if languages:
-        limits = F.when(F.col("order") == 0, max_words).otherwise(max_grams)
-        top = wide.withColumn("k", F.row_number().over(Window.partitionBy("order").orderBy(F.desc("total"), "key"))).filter(F.col("k") <= F.lit(max(max_words, max_grams))).filter(F.col("k") <= limits)
-        table = top.select("order", "key", *[F.col(f"l{k}").cast("double") for k in range(len(languages))]).toArrow()
-        order_of, key_of = table["order"].to_numpy(), table["key"].to_numpy().view(np.uint64)
-        n_of = np.stack([table[f"l{k}"].to_numpy() for k in range(len(languages))], axis=1)
-        for order in (0, *ORDERS):
-            own = order_of == order
-            total = np.array([totals.get((order, x), 0) for x in languages], float)
-            sort = np.argsort(key_of[own])
-            keys[order] = key_of[own][sort]
-            scores[order] = np.log((n_of[own][sort] + 0.1) / (total + 0.1 * max(1, own.sum()))).astype(np.float32)
+    often = F.sum("n").over(Window.partitionBy("order", "key"))  # a window holds at most one row a language
+    table = counts.withColumn("often", often).filter(F.col("often") >= min_count).drop("often").toArrow()
     C.delete(training.sparkSession, at)
-    return Model(languages, keys, scores)
-
-
-def score_texts(model: Model, texts: list[str | None], sharpness: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the language or -1, score) of each text."""
-    best, share = np.full(len(texts), -1), np.zeros(len(texts))
-    values, s, e, row = words_of(texts)
-    if not len(s) or not model.languages:
-        return best, share
-    hashes, where = np.unique(C.span_hashes(values, s, e), return_inverse=True)
-    first = np.zeros(len(hashes), np.int64)
-    first[where[::-1]] = np.arange(len(where))[::-1]
-    unit = np.zeros((len(hashes), len(model.languages)), np.float32)
-    open_ = np.ones(len(hashes), bool)
-    us, ue = s[first], e[first]
+    order_of, keys, langs, n = (table[c].to_numpy() for c in ("order", "key", "lang", "n"))
+    keys = keys.view(np.uint64)
+    orders = {}
+    for order in (0, *ORDERS):
+        own = np.flatnonzero(order_of == order)
+        own = own[np.lexsort((langs[own], keys[own]))]
+        distinct, first = np.unique(keys[own], return_index=True)
+        total = np.array([totals.get((order, x), 0) for x in range(len(languages))], float) + 0.1 * max(1, len(distinct))
+        gain = np.log((n[own] + 0.1) / 0.1)
+        orders[order] = Order(distinct, np.append(first, len(own)).astype(np.int64), langs[own], gain.astype(np.float32), np.log(0.1 / total))
+    return Model(languages, orders)
+
+
+def _units(model: Model, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Scores of distinct words (rows) by language, each by the first order that knows something of it; 0 if none does."""
+    languages = len(model.languages)
+    unit, open_ = np.zeros((len(hashes), languages)), np.ones(len(hashes), bool)
     for order in (0, *ORDERS):
-        todo = np.flatnonzero(open_)
-        keys = model.keys[order]
-        if not len(todo) or not len(keys):
+        todo, own = np.flatnonzero(open_), model.orders[order]
+        if not len(todo) or not len(own.keys):
             continue
-        at, word = (us[todo], np.arange(len(todo))) if not order else gram_spans(us[todo], ue[todo], order)
+        at, word = (starts[todo], np.arange(len(todo))) if not order else gram_spans(starts[todo], ends[todo], order)
         grams = hashes[todo] if not order else C.span_hashes(values, at, at + order)
-        k = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-        hit = keys[k] == grams
+        k = np.minimum(np.searchsorted(own.keys, grams), len(own.keys) - 1)
+        hit = own.keys[k] == grams
         word, k = word[hit], k[hit]
         n = np.bincount(word, minlength=len(todo))
         got = n > 0
-        for x in range(len(model.languages)):
-            unit[todo[got], x] = np.bincount(word, weights=model.scores[order][k, x], minlength=len(todo))[got] / n[got]
+        # the languages of every hit
+        size = own.first[k + 1] - own.first[k]
+        place = np.repeat(own.first[k] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(word, size) * languages + own.lang[place]
+        gains = np.bincount(cell, weights=own.gain[place], minlength=len(todo) * languages).reshape(-1, languages)
+        unit[todo[got]] = own.floor + gains[got] / n[got][:, None]
         open_[todo[got]] = False
-    total = np.zeros((len(texts), len(model.languages)))
+    return unit
+
+
+def score_texts(model: Model, texts: list[str | None], sharpness: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the language or -1, score) of each text."""
+    best, share = np.full(len(texts), -1), np.zeros(len(texts))
+    values, s, e, row = words_of(texts)
+    languages = len(model.languages)
+    if not len(s) or not languages:
+        return best, share
+    hashes, first, where = np.unique(C.span_hashes(values, s, e), return_index=True, return_inverse=True)
+    total = np.zeros((len(texts), languages))
+    step = max(1, CELLS // languages)
+    for lo in range(0, len(hashes), step):
+        part = first[lo : lo + step]
+        unit = _units(model, values, s[part], e[part], hashes[lo : lo + step])
+        seen = np.flatnonzero((where >= lo) & (where < lo + step)) if len(hashes) > step else np.arange(len(where))
+        for x in range(languages):
+            total[:, x] += np.bincount(row[seen], weights=unit[where[seen] - lo, x], minlength=len(texts))
     n = np.bincount(row, minlength=len(texts))
-    for x in range(len(model.languages)):
-        total[:, x] = np.bincount(row, weights=unit[where, x], minlength=len(texts))
     mean = total / np.maximum(n, 1)[:, None]
     p = np.exp(sharpness * (mean - mean.max(axis=1, keepdims=True)))
     p /= p.sum(axis=1, keepdims=True)

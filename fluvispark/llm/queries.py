@@ -63,9 +63,9 @@ def op7_densified_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(C.table(spark, sf_dir, "documents"))
     of = lambda n: lambda s: s["kind"] == n
-    counts = [F.size(F.filter("base", of(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
+    counts = [F.size(F.filter("base", of(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.BASE)]
     spans = pii.joined(F.array_sort(F.concat("base", "added")))
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op10_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
