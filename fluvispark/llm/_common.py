@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -59,6 +59,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def pieces(df: DataFrame, bytes_each: int = 32 << 20) -> int:
+    """A number of partitions for ``df`` by the stored size of what it reads: at least the session's, so many more that a partition has about ``bytes_each``."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    least = parallelism(df.sparkSession)
+    return least if size > 1 << 58 else max(least, -(-size // bytes_each))  # a table from the driver has no size
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

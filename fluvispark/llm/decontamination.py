@@ -221,10 +221,11 @@ def retrieve(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator
     seg, t = own // v, own % v
     first = np.searchsorted(seg, np.arange(n_segments + 2))
     doc_of = np.repeat(np.arange(len(docs)), segments + 1)
+    inside = np.arange(n_segments) - base[doc_of] < segments[doc_of]
     held = np.zeros(v, bool)
     for lists in index.classes:
         bound = np.bincount(seg, weights=lists.list_max[t], minlength=n_segments + 1)
-        hopeful = np.flatnonzero((bound[:-1] + bound[1:] >= threshold - 1e-6)[:n_segments])
+        hopeful = np.flatnonzero((bound[:-1] + bound[1:] >= threshold - 1e-6)[:n_segments] & inside)
         for p in hopeful.tolist():
             lo, hi = first[p], first[min(p + 2, n_segments)] if p + 1 < n_segments else first[p + 1]
             best: dict[int, float] = {}

@@ -153,7 +153,7 @@ def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFra
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = 4 * (partitions or C.parallelism(spark))
+    n = 4 * (partitions or C.pieces(docs))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     cuts = rows.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000).alias("q")).first().q or []
     cuts = sorted(set(cuts))

@@ -1,6 +1,6 @@
 """Line dedup over overlapping three-line windows.
 
-Every run of ``WINDOW`` consecutive lines of a document is hashed; windows that occur more than
+Every run of ``WINDOW`` consecutive lines of a document is hashed to 128 bits; windows that occur more than
 once anywhere are found by a group-by on their hash; every occurrence but the first (least doc_id,
 then least position) covers its lines, and covered lines are removed. Overlapping windows thus
 merge into whole repeated passages without any pairwise comparison.
@@ -39,7 +39,9 @@ def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     def window(k: Column) -> Column:
         own = F.slice("lines", k, width)
-        h = F.xxhash64(*[F.element_at(F.col("lines"), k + j)["s"] for j in range(width)])
+        texts = [F.element_at(F.col("lines"), k + j)["s"] for j in range(width)]
+        # one hash of the lines in order and another of them in reverse, after a number
+        h = F.struct(F.xxhash64(*texts).alias("a"), F.xxhash64(F.lit(width), *texts[::-1]).alias("b"))
         return F.struct(h.alias("h"), own[0]["i"].alias("first"), own[width - 1]["i"].alias("last"))
 
     return lines.select("doc_id", "part", F.explode(F.transform(starts, window)).alias("w")).select("doc_id", "part", "w.h", "w.first", "w.last")
@@ -59,14 +61,20 @@ def dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     spans = covered(docs.select("doc_id", "text"), width).select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"), F.col("spans").alias("_spans"))
     joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_part")), "left")
     split = F.split("text", "\n", -1)
-    # merged coverage: a position is removed if any span reaches over it
-    gone = F.flatten(F.transform("_spans", lambda x: F.sequence(x["first"], x["last"])))
-    gone = F.when(F.col("_spans").isNotNull(), F.array_distinct(gone)).otherwise(F.array().cast("array<int>"))
-    kept = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
+    # the windows of a text, in order of their first lines, are in order of their last lines too: what is kept lies between one's last and the next one's first
+    n = F.size("_spans")
+
+    def between(k: Column) -> Column:
+        after = F.when(k > 0, F.get("_spans", k - 1)["last"] + 1).otherwise(0)
+        until = F.when(k < n, F.get("_spans", k)["first"]).otherwise(F.size("_lines"))
+        return F.slice("_lines", after + 1, F.greatest(until - after, F.lit(0)))
+
+    kept = F.when(F.col("_spans").isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), n), between)))
     return (
-        joined.withColumn("_gone", gone)
-        .withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("_id", "_part", "_spans", "_gone")
+        joined.withColumn("_lines", split)
+        .withColumn("_kept", kept)
+        .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
+        .withColumn("n_removed", F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long"))
+        .withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
+        .drop("_id", "_part", "_spans", "_lines", "_kept")
     )

@@ -19,6 +19,8 @@ Scale. Text is read once, for its words. All running sums are two-level: within
 ``block_docs`` rows) and over blocks within groups of about a thousand, then over groups; so a source
 with a third of all rows is many small windows. DataFrame functions only.
 
+``shown`` gives the documents themselves, each as often as it is shown.
+
 Defined results: a token is a word between ASCII white space; a null text has none; a null source
 is a source of its own; sources without tokens have weight 0 and their documents appear once, in
 epoch 1; repeated rows each count; an empty table gives no rows.
@@ -82,18 +84,35 @@ def plan(sources: DataFrame, alpha: float, budget_tokens: float | None = None) -
     return weighed.withColumn("quota", F.when(F.col("tokens") > 0, quota).otherwise(0).cast("long")).withColumn("epochs", F.when(F.col("tokens") > 0, F.col("quota") / F.col("tokens")).otherwise(1.0))
 
 
+def row_key() -> Column:
+    """Tells rows apart by id, source and text, in 128 bits."""
+    parts = [F.col("doc_id").cast("long"), F.col("source"), F.col("text")]
+    missing = [F.col(c).isNull() for c in ("doc_id", "source", "text")]
+    return F.struct(F.xxhash64(*parts, *missing).alias("a"), F.xxhash64(F.lit(1), *missing, *parts[::-1]).alias("b"))
+
+
 def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget_tokens: float | None = None, block_docs: int = 1000, seed: int = 17) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, block, place, weight): one row for each time a row of ``docs`` (doc_id, text, source) is shown."""
+    return _mix(docs, target_entropy, repetition_limit, budget_tokens, block_docs, seed).drop("row")
+
+
+def shown(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as ``mix`` (same parameters) shows it; rows equal in id, source and text are shown alike."""
+    rows = _mix(docs, **how).select(F.col("row").alias("_row"), "epoch").distinct()
+    return docs.join(rows, row_key() == F.col("_row")).select(*docs.columns)
+
+
+def _mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget_tokens: float | None = None, block_docs: int = 1000, seed: int = 17) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    counted, _ = C.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("src"), token_count().alias("n_tokens")), "tokens")
+    counted, _ = C.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("src"), token_count().alias("n_tokens"), row_key().alias("row")), "tokens")
     sources, _ = C.materialise(counted.groupBy("src").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), "sources")
     planned = plan(sources, find_exponent(sources, target_entropy, repetition_limit), budget_tokens).withColumn("blocks", F.ceil(F.col("docs") / block_docs))
 
-    placed = counted.join(planned.select("src", "blocks"), "src").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("block", F.pmod("h", "blocks"))
-    inside = Window.partitionBy("src", "block").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.join(planned.select("src", "blocks"), "src").withColumn("h", F.xxhash64(F.lit(seed), "row.a")).withColumn("block", F.pmod("h", "blocks"))
+    inside = Window.partitionBy("src", "block").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("before_in_block", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
 
-    blocks = counted.join(planned.select("src", "blocks"), "src").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks")).groupBy("src", "block").agg(F.sum("n_tokens").alias("block_tokens"))
+    blocks = counted.join(planned.select("src", "blocks"), "src").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row.a"), "blocks")).groupBy("src", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     visits = blocks.join(planned, "src").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil("epochs").cast("int")))))
     visits = visits.withColumn("r", F.xxhash64(F.lit(seed + 1), "epoch", "block")).withColumn("group", F.pmod(F.shiftright("r", 20), F.greatest(F.lit(1), F.ceil(F.col("blocks") / 1000))))
     in_group = Window.partitionBy("src", "epoch", "group").orderBy("r", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -106,4 +125,4 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit:
     shown = placed.join(visits, ["src", "block"])
     before = (F.col("epoch") - 1) * F.col("tokens") + F.col("before_block") + F.col("before_in_block")
     shown = shown.withColumn("before", before).filter((F.col("before") + F.col("n_tokens") <= F.col("quota")) | (F.col("tokens") == 0))
-    return shown.select("doc_id", "source", "n_tokens", "epoch", "block", F.when(F.col("quota") > 0, F.col("before") / F.col("quota")).otherwise(0.0).alias("place"), "weight")
+    return shown.select("row", "doc_id", "source", "n_tokens", "epoch", "block", F.when(F.col("quota") > 0, F.col("before") / F.col("quota")).otherwise(0.0).alias("place"), "weight")

@@ -4,7 +4,7 @@ Overlapping heuristic labellers each vote good, bad or abstain. Expectation-maxi
 (Dawid and Skene, 1979) estimates, without any hand label, how often each labeller says what for
 good and for bad documents, and the share of good ones. It runs over the counts of vote patterns: at
 most 3**8 rows whatever the corpus, counted over all documents. The posterior of a document's
-pattern is its training label; a logistic scorer over hashed words and word shapes is trained on a
+pattern is its training label; a logistic scorer over hashed words, word shapes and shares of repetition is trained on a
 bounded sample (``max_training_docs`` documents of the least hash of their id, whole texts; at most
 ``2 * BUCKETS`` weights are broadcast) and scores every document, in two scans and no wide shuffle.
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 BUCKETS = 1 << 16
+#: Buckets at the end that are for shapes of words and shares of repetition.
+SHAPES = 512
 LABELLERS = ("symbols", "capitals", "length", "word_length", "variety", "line_ends", "line_repeats", "function_words")
 GOOD, BAD, ABSTAIN = 1, 0, 2
 # fixed values: common function words of the languages expected
@@ -109,11 +111,19 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         wup = np.concatenate(([0], np.cumsum(UPPER[buf])))
         shape = np.minimum(e - s, 15) + 16 * np.minimum(wsym[e] - wsym[s], 3) + 64 * np.minimum(wup[e] - wup[s], 3)
         skey = np.unique(row * 256 + shape, return_counts=True)
-        rows = np.concatenate((r[at], skey[0] // 256))
-        buckets = np.concatenate(((h[at] % np.uint64(BUCKETS - 256)).astype(np.int64), BUCKETS - 256 + skey[0] % 256))
-        weights = np.concatenate((np.log1p(tf), 2 * np.log1p(skey[1]))).astype(np.float32)
-        norm = np.sqrt(np.bincount(rows, weights=weights.astype(float) ** 2, minlength=n))
-        yield votes, rows, buckets, (weights / np.maximum(norm, 1e-9)[rows]).astype(np.float32)
+        # how much of the text repeats itself or is no plain prose, each in ten steps
+        again = np.zeros(len(row), bool)
+        again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
+        most = np.zeros(n)
+        np.maximum.at(most, r[at], tf)
+        shares = [variety, most / some, np.bincount(row, weights=again, minlength=n) / some, symbol / some, upper / letters, common / some, ends / lines1, line_kinds / lines1]
+        steps = np.stack([10 * k + np.minimum(10 * x, 9).astype(np.int64) for k, x in enumerate(shares)], axis=1) + 80 * (words >= 30)[:, None]
+        held = np.flatnonzero(words > 0)
+        rows = np.concatenate((r[at], skey[0] // 256, np.repeat(held, len(shares))))
+        buckets = np.concatenate(((h[at] % np.uint64(BUCKETS - SHAPES)).astype(np.int64), BUCKETS - SHAPES + skey[0] % 256, (BUCKETS - SHAPES + 256 + steps[held]).ravel()))
+        unit = lambda w, of: w / np.maximum(np.sqrt(np.bincount(of, weights=w * w, minlength=n)), 1e-9)[of]  # noqa: B023, E731
+        weights = np.concatenate((unit(np.log1p(tf), r[at]), unit(np.log1p(skey[1]), skey[0] // 256), np.full(len(held) * len(shares), 0.5)))
+        yield votes, rows, buckets, weights.astype(np.float32)
 
 
 def _pattern(votes: np.ndarray) -> np.ndarray:
@@ -183,8 +193,10 @@ def classify(docs: DataFrame, threshold: float = 0.5, max_training_docs: int = 5
                     names=["pattern", "buckets", "weights"],
                 )
 
-    chosen = docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training_docs).distinct()
-    sample = docs.join(chosen, "doc_id", "left_semi").mapInArrow(example, "pattern long, buckets array<int>, weights array<float>").limit(max_training_docs).toArrow()
+    # rows equal in id and text count once; of the rest those of the least hash
+    keyed = docs.filter("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    chosen = keyed.select("doc_id", "h").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(max_training_docs).distinct()
+    sample = keyed.join(chosen, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("text").mapInArrow(example, "pattern long, buckets array<int>, weights array<float>").toArrow()
     model = (np.zeros(BUCKETS), 0.0)
     if sample.num_rows:
         lists = sample["buckets"].combine_chunks()

@@ -16,17 +16,18 @@ shards' totals, one number a shard.
 
 Tokenising. Byte-level BPE never joins symbols across its pre-tokens, and a pre-token never holds
 a space after its first character; so a text is cut at single spaces and each distinct piece is
-encoded once per worker by the library's model, through bounded caches. Pieces with anything but
+encoded once per worker by the library's model, through bounded caches (pieces of letters; others are put together from cached ones). Pieces with anything but
 printable ASCII, line feeds and Latin letters go to the full tokenizer, as does a text with odd
-white space.
+white space, and every text if the file has other settings than plain byte-level BPE.
 
 Defined results: a null text is empty and gives just the end id; repeated ids each get a row,
-ordered by text; null ids come first. Texts that hold a special token's string are
+ordered by a hash of the text, then text, so that many of them are more than one partition; null ids come first. Texts that hold a special token's string are
 encoded as the tokenizer does by default.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
@@ -46,7 +47,7 @@ from . import _common as C
 MAGIC = b"BPSH1"
 BLOCK = 16_384
 CHUNK_IDS = 1 << 20
-CACHE_PIECES, CACHE_WORDS = 1_200_000, 100_000
+CACHE_PIECES, CACHE_WORDS = 400_000, 100_000
 
 
 # --- the format ----------------------------------------------------------------------------
@@ -114,6 +115,9 @@ class Encoder:
 
         assert array("I").itemsize == 4 and sys.byteorder == "little"
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        level = spec["pre_tokenizer"] or {}
+        self.plain = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space")
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # fixed values: the splitting pattern of this family of tokenizers
@@ -148,6 +152,8 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.plain:
+            return self._whole(text)
         if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or not text.isprintable() and re.search(r"[^\S \n]", text) or any(s in text for s in self.special):
             return self._whole(text)
         head, *tails = text.split(" ")
@@ -155,7 +161,7 @@ class Encoder:
 
 
 class _Cache(dict):
-    """Values of ``make`` by key, emptied when it holds ``most``; long keys are not kept."""
+    """Values of ``make`` by key, emptied when it holds ``most``; only short keys of letters, and marks, are kept."""
 
     def __init__(self, make, most: int) -> None:
         super().__init__()
@@ -163,7 +169,7 @@ class _Cache(dict):
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
-        if len(key) <= 64:
+        if len(key) <= 3 or len(key) <= 64 and key.lstrip(" ").isalpha():
             if len(self) >= self.most:
                 self.clear()
             self[key] = value
@@ -218,8 +224,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, partition
         if size:
             yield flush()
 
-    n = partitions or C.parallelism(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = partitions or C.pieces(docs)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    dealt = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     return dealt.mapInArrow(run, CHUNKS)
 
 

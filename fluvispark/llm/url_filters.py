@@ -12,7 +12,8 @@ prefixes that are rules (``chain``, at most as long as the key); the rule in for
 the longest member of the last stack that is a prefix of the key. Keys are range-partitioned; the
 sweep within a partition is a window, and the stack open at its start is carried over from the
 last rule before it, one row a partition. Neither table is broadcast and urls are made distinct
-before anything is shuffled, so a hot host or page costs one row. DataFrame functions only.
+before anything is shuffled, so a hot host or page costs one row; in the last join, back to the pages, a hot url
+is split by adaptive execution, since the other side has one row a url. DataFrame functions only.
 
 Defined results: host and path are empty for a null url or one without ``://``; the longest rule
 wins (host and path together; at equal length the longer host, then block before allow); a url
@@ -76,7 +77,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", partitions
     events = keys.select("key", F.lit(1).alias("kind"), "host", "path", F.lit(None).cast(chains.schema["chain"].dataType).alias("chain")).union(
         chains.select("key", F.lit(0), F.lit(""), F.lit(""), "chain")
     )
-    n = partitions or C.parallelism(pages.sparkSession)
+    n = partitions or C.pieces(pages)
     # the partition's number must not change between the sweep and what is carried, so it is written
     ordered, _ = C.materialise(events.repartitionByRange(n, "key").withColumn("part", F.spark_partition_id()), "url-keys")
     last = ordered.filter("kind = 0").groupBy("part").agg(F.max_by("chain", "key").alias("chain"))
@@ -87,4 +88,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", partitions
     swept = swept.join(carried, "part").withColumn("stack", F.coalesce("stack", "carried", empty))
     best = swept.select("host", "path", F.array_max(F.filter("stack", lambda r: F.col("key").startswith(r["key"]))).alias("r")).groupBy("host", "path").agg(F.max("r").alias("r"))
     best = best.filter("r is not null").select("host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))
-    return parsed.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # pages without a host match nothing and are dealt out by their number
+    nowhere = F.when(F.col("host") == "", F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)))
+    parsed = parsed.withColumn("spread", F.coalesce(nowhere, F.lit(0)))
+    return parsed.join(best.withColumn("spread", F.lit(0).cast("long")), ["host", "path", "spread"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

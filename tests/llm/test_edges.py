@@ -121,6 +121,14 @@ def test_urls(spark):
     assert {r.verdict for r in url_filters.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_a_kept_id_keeps_its_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(5, ONE, 1), (5, ONE, 0), (5, "another text of the same id", 2), (6, ONE, 3), (None, ONE, 4), (None, ONE, 5)], "doc_id long, text string, extra int")
+    got = sorted((r.doc_id or 0, r.text, r.extra) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [(0, ONE, 4), (0, ONE, 5), (5, "another text of the same id", 2), (5, ONE, 0)]
+
+
 def test_pipeline_stages(spark, docs, none, tmp_path):
     import corpus_pipeline
 
