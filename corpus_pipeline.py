@@ -25,12 +25,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word near-duplicates; repeated rows of an id are one document, rows without id all stay."""
+    """One document of each group of five-word near-duplicates. Rows of one id are one document: those of an id that is kept all stay, but for repetitions of the same text; rows without id all stay."""
     kept = near_dedup.near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     same = F.col("doc_id").eqNullSafe(F.col("_kept"))
     once = docs.join(kept.filter("_rows = 1 or _kept is null"), same, "left_semi")
-    repeated = docs.join(kept.filter("_rows > 1 and _kept is not null"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    repeated = docs.join(kept.filter("_rows > 1 and _kept is not null"), same, "left_semi")
+    row = F.struct(*docs.columns)
+    first = repeated.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return once.unionByName(first)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once for every epoch of its source; at most twice as often for one source as for another."""
-    shown = mixing.mix(docs, repetition_limit=2.0).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("n_tokens").alias("_n"), "epoch").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (mixing.token_count() == F.col("_n"))
-    return docs.join(shown, same).select(*docs.columns)
+    return mixing.shown(docs, repetition_limit=2.0)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
