@@ -1,8 +1,9 @@
 """Iterative kernels on parent forests and undirected graphs.
 
 Path doubling takes rounds logarithmic in the longest path; each round is one join and one group-by
-on the id. Accumulation over a grid first contracts every tile to its border cells (the tiled scheme of
-Barnes, 2017), so the rounds run on about 4 / TILE of the cells.
+on the id. Over a grid every tile is first contracted to its border cells (the tiled scheme of
+Barnes, 2017), so the rounds run on about 4 / TILE of the cells, and two passes over the tiles do the rest.
+Within a tile, cells are worked through in waves from the sources downwards, by whole-array arithmetic.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.grids import GridInfo, cut
+from ..sources.grids import GridInfo, State, cut
 from .stencil import OFFSETS, TILE
 
-MAX_ROUNDS = 64
+MAX_ROUNDS = 48
 
 
 def with_receiver(flow: DataFrame, info: GridInfo) -> DataFrame:
@@ -28,11 +29,13 @@ def with_receiver(flow: DataFrame, info: GridInfo) -> DataFrame:
 
 
 def accumulate(nodes: DataFrame, how: str = "sum") -> DataFrame:
-    """(id, total): for (id, parent, w), w of the node and all above it summed, or with ``how='max'`` the longest sum of ``step`` from above.
+    """(id, total): for (id, parent, w), w of the node and all above it summed, or with ``how='max'`` the longest sum of ``w`` from above.
 
-    For the maximum, ``w`` is the length of a node's own link to its parent.
+    For the maximum, ``w`` is the length of a node's own link to its parent, and ``s``, if given, what it starts with.
     """
-    state = cut(nodes.select("id", "parent", F.col("w").cast("double").alias("w"), (F.col("w") if how == "sum" else F.lit(0.0)).cast("double").alias("s")).withColumn("d", F.col("w")), "doubling")
+    start = F.col("w") if how == "sum" else F.col("s") if "s" in nodes.columns else F.lit(0.0)
+    store = State("doubling")
+    state = store.put(nodes.select("id", "parent", start.cast("double").alias("s"), F.col("w").cast("double").alias("d")))
     for _ in range(MAX_ROUNDS):
         moving = state.filter("parent is not null")
         if not moving.limit(1).count():
@@ -41,110 +44,177 @@ def accumulate(nodes: DataFrame, how: str = "sum") -> DataFrame:
         gain = moving.groupBy(F.col("parent").alias("id")).agg(value.alias("gain"))
         up = state.select(F.col("id").alias("parent"), F.col("parent").alias("next"), F.col("d").alias("dn"))
         s = F.col("s") + F.coalesce("gain", F.lit(0.0)) if how == "sum" else F.greatest("s", F.coalesce("gain", "s"))
-        state = state.join(gain, "id", "left").join(up, "parent", "left").select("id", F.col("next").alias("parent"), "w", s.alias("s"), (F.col("d") + F.coalesce("dn", F.lit(0.0))).alias("d"))
-        state = cut(state, "doubling")
+        state = store.put(state.join(gain, "id", "left").join(up, "parent", "left").select("id", F.col("next").alias("parent"), s.alias("s"), (F.col("d") + F.coalesce("dn", F.lit(0.0))).alias("d")))
     else:
         raise ValueError("the receivers hold a cycle")
     return state.select("id", F.col("s").alias("total"))
 
 
-def descend(nodes: DataFrame, marked: str = "marked") -> DataFrame:
-    """(id, target, steps): for (id, parent, marked) the first marked node at or below each, and the steps to it; null if none."""
-    start = F.when(F.col(marked), F.col("id")).otherwise(F.col("parent"))
-    state = cut(nodes.select("id", start.alias("at"), F.col(marked).alias("done"), F.when(F.col(marked), 0).otherwise(1).cast("long").alias("steps")).withColumn("at", F.when(F.col("done") | F.col("at").isNotNull(), F.col("at"))), "descent")
+def settle(links: DataFrame) -> DataFrame:
+    """(id, at, done, steps, length): for (id, at, done, steps, length) the pointers followed to the end, by doubling; only rows not yet done are joined."""
+    store = State("descent")
+    state = store.put(links)
     for _ in range(MAX_ROUNDS):
-        if not state.filter("not done and at is not null").limit(1).count():
-            break
-        ahead = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("done").alias("there"), F.col("steps").alias("more"))
-        joined = state.join(ahead, "at", "left")
-        # a done node stays; one that points at a done node has arrived there
-        state = joined.select(
-            "id",
-            F.when(F.col("done"), F.col("at")).otherwise(F.col("next")).alias("at"),
-            F.when(F.col("done"), True).otherwise(F.coalesce("there", F.lit(False))).alias("done"),
-            F.when(F.col("done"), F.col("steps")).otherwise(F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+        going = state.filter("not done and at is not null")
+        if not going.limit(1).count():
+            return state
+        ahead = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("done").alias("there"), F.col("steps").alias("more"), F.col("length").alias("further"))
+        moved = going.select("id", "at", "steps", "length").join(ahead, "at", "left").select(
+            "id", F.col("next").alias("at"), F.coalesce("there", F.lit(False)).alias("done"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("length") + F.coalesce("further", F.lit(0.0))).alias("length")
         )
-        state = cut(state, "descent")
-    return state.select("id", F.when(F.col("done"), F.col("at")).alias("target"), F.when(F.col("done"), F.col("steps")).alias("steps"))
+        state = store.put(state.filter("done or at is null").unionByName(moved))
+    raise ValueError("the receivers hold a cycle")
+
+
+def descend(nodes: DataFrame, marked: str = "marked", info: GridInfo | None = None, tile: int = TILE) -> DataFrame:
+    """(id, target, steps, length): for (id, parent, marked and perhaps link) the first marked node at or below each, the steps to it and the links' sum; null if none.
+
+    With ``info``, ids are cells of that grid and tiles are contracted first.
+    """
+    link = F.col("link").cast("double") if "link" in nodes.columns else F.lit(0.0)
+    own = nodes.select("id", "parent", F.col(marked).alias("marked"), link.alias("link"))
+    if info is None:
+        at = F.when(F.col("marked"), F.col("id")).otherwise(F.col("parent"))
+        start = own.select("id", at.alias("at"), F.col("marked").alias("done"), F.when(F.col("marked"), 0).otherwise(1).cast("long").alias("steps"), F.when(F.col("marked"), 0.0).otherwise(F.col("link")).alias("length"))
+        # one that points at a marked node has arrived there
+        hit = own.filter("marked").select(F.col("id").alias("at"), F.lit(True).alias("hit"))
+        start = start.join(hit, "at", "left").withColumn("done", F.col("done") | F.coalesce("hit", F.lit(False))).drop("hit")
+        end = settle(start.select("id", "at", "done", "steps", "length"))
+        return end.select("id", F.when(F.col("done"), F.col("at")).alias("target"), F.when(F.col("done"), F.col("steps")).alias("steps"), F.when(F.col("done"), F.col("length")).alias("length"))
+
+    def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        forest = Forest(pdf)
+        stop = pdf.marked.to_numpy(bool)
+        end, steps, length = forest.follow(stop, pdf.link.to_numpy(float))
+        done = stop[end] & forest.ordered
+        leaves = ~done & (forest.raw[end] >= 0) & forest.ordered
+        at = np.where(done, forest.ids[end], forest.raw[end])
+        links = pdf.link.to_numpy(float)[end]
+        return pd.DataFrame({
+            "id": forest.ids, "at": pd.array(np.where(done | leaves, at, 0), "Int64").copy(), "exit": pd.array(forest.ids[end], "Int64"), "done": done,
+            "steps": steps + leaves, "length": length + np.where(leaves, links, 0.0), "ok": done | leaves, "rim": _rim(pdf, info, tile),
+        })
+
+    keyed = _tiled(own, info, tile)
+    within = cut(keyed.groupBy("tr", "tc").applyInPandas(local, "id long, at long, exit long, done boolean, steps long, length double, ok boolean, rim boolean"), "within")
+    within = within.select("id", F.when(F.col("ok"), F.col("at")).alias("at"), "done", "steps", "length", "rim")
+    # every cell that leads out of its tile points at a rim cell of the next; so rim cells are enough to follow
+    rim = settle(within.filter("rim").select("id", "at", "done", "steps", "length"))
+    ahead = rim.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("done").alias("there"), F.col("steps").alias("more"), F.col("length").alias("further"))
+    got = within.join(ahead.withColumn("out", F.lit(False)), (within["at"] == ahead["at"]) & ~within["done"], "left").select(
+        "id", F.when(F.col("done"), within["at"]).when(F.col("there"), F.col("next")).alias("target"), F.when(F.col("done"), F.col("steps")).when(F.col("there"), F.col("steps") + F.col("more")).alias("steps"),
+        F.when(F.col("done"), F.col("length")).when(F.col("there"), F.col("length") + F.col("further")).alias("length"),
+    )
+    return got
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each connected component of undirected ``edges`` (a, b)."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    edge_store, store = State("edges"), State("labels")
+    both = edge_store.put(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = store.put(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         hooked = labels.join(near, "id").select("id", F.least("component", "m").alias("c"), F.col("component").alias("old"))
         roots = hooked.groupBy(F.col("old").alias("root")).agg(F.min("c").alias("up"))
         raised = hooked.join(roots, F.col("old") == F.col("root")).select("id", F.least("c", "up").alias("c"), "old")
         ahead = labels.select(F.col("id").alias("c"), F.col("component").alias("cc"))
-        labels = cut(raised.join(ahead, "c", "left").select("id", F.least("c", F.coalesce("cc", "c")).alias("component"), "old"), "labels")
-        if not labels.filter("component <> old").limit(1).count():
-            return labels.select("id", "component")
-        labels = labels.select("id", "component")
-
-
-def _order(parent: np.ndarray) -> np.ndarray:
-    """Local indices from sources downwards; nodes of cycles are left out."""
-    n = len(parent)
-    degree = np.bincount(parent[parent >= 0], minlength=n)
-    wave, out = np.flatnonzero(degree == 0), []
-    while len(wave):
-        out.append(wave)
-        down = parent[wave]
-        down = down[down >= 0]
-        np.subtract.at(degree, down, 1)
-        down = np.unique(down)
-        wave = down[degree[down] == 0]
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        new = store.put(raised.join(ahead, "c", "left").select("id", F.least("c", F.coalesce("cc", "c")).alias("component"), "old"))
+        labels = new.select("id", "component")
+        if not new.filter("component <> old").limit(1).count():
+            edge_store.drop(edges.sparkSession)
+            return labels
+
+
+# --- within a tile --------------------------------------------------------------------------------
+
+
+class Forest:
+    """The receivers within a tile, and its cells in waves from the sources downwards; cells of cycles are in no wave."""
+
+    def __init__(self, pdf: pd.DataFrame) -> None:
+        self.ids = pdf.id.to_numpy()
+        sort = np.argsort(self.ids)
+        self.raw = pdf.parent.fillna(-1).to_numpy().astype(np.int64)
+        at = np.minimum(np.searchsorted(self.ids[sort], self.raw), len(self.ids) - 1)
+        self.inner = np.where((self.raw >= 0) & (self.ids[sort][at] == self.raw), sort[at], -1)
+        self.waves: list[np.ndarray] = []
+        degree = np.bincount(self.inner[self.inner >= 0], minlength=len(self.ids))
+        wave = np.flatnonzero(degree == 0)
+        while len(wave):
+            self.waves.append(wave)
+            below = self.inner[wave]
+            below, n = np.unique(below[below >= 0], return_counts=True)
+            degree[below] -= n
+            wave = below[degree[below] == 0]
+        self.ordered = np.zeros(len(self.ids), bool)
+        for wave in self.waves:
+            self.ordered[wave] = True
+
+    def sums(self, amount: np.ndarray) -> np.ndarray:
+        """Sums of ``amount`` over each cell and all above it."""
+        total = amount.astype(float)
+        for wave in self.waves:
+            own = wave[self.inner[wave] >= 0]
+            np.add.at(total, self.inner[own], total[own])
+        return total
+
+    def longest(self, start: np.ndarray, link: np.ndarray) -> np.ndarray:
+        """The greatest of each cell's start and what arrives from above, links added on the way."""
+        best = start.astype(float)
+        for wave in self.waves:
+            own = wave[self.inner[wave] >= 0]
+            np.maximum.at(best, self.inner[own], best[own] + link[own])
+        return best
+
+    def follow(self, stop: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(last cell, steps, length) of the way down from each cell, to the first that stops or has no receiver here."""
+        end, steps, length = np.arange(len(self.ids)), np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids))
+        for wave in reversed(self.waves):
+            own = wave[(self.inner[wave] >= 0) & ~stop[wave]]
+            below = self.inner[own]
+            end[own], steps[own], length[own] = end[below], steps[below] + 1, length[below] + link[own]
+        return end, steps, length
+
+
+def _tiled(nodes: DataFrame, info: GridInfo, tile: int) -> DataFrame:
+    """Adds r, c and the tile (tr, tc) of cell ids."""
+    r, c = F.expr(f"id div {info.cols}").cast("int"), F.expr(f"id % {info.cols}").cast("int")
+    return nodes.withColumn("r", r).withColumn("c", c).withColumn("tr", F.expr(f"r div {tile}")).withColumn("tc", F.expr(f"c div {tile}"))
+
+
+def _rim(pdf: pd.DataFrame, info: GridInfo, tile: int) -> np.ndarray:
+    r, c = pdf.r.to_numpy() % tile, pdf.c.to_numpy() % tile
+    return (r == 0) | (c == 0) | (r == tile - 1) | (c == tile - 1)
+
+
+def _valid(flow: DataFrame) -> DataFrame:
+    """``flow`` with receivers that are no cells of it taken out."""
+    there = flow.select(F.col("id").alias("parent"), F.lit(True).alias("_ok"))
+    return flow.join(there, "parent", "left").withColumn("parent", F.when(F.col("_ok"), F.col("parent"))).drop("_ok")
 
 
 def flow_accumulation(flow: DataFrame, info: GridInfo, weight: str | None = None, tile: int = TILE) -> DataFrame:
-    """(id, r, c, dir, acc): the weights (cells if none) of all cells upstream, the cell itself left out.
+    """(id, r, c, dir, parent, acc): the weights (cells if none) of all cells upstream, the cell itself left out; NaN in a cycle.
 
     ``flow`` has r, c, dir and the weight. Each tile is solved alone; what leaves it is summed along the
     contracted graph of border cells by path doubling; a second pass adds what enters.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    cells = with_receiver(flow, info).select("id", "r", "c", "dir", "parent", w.alias("w"))
-    valid = cells.select(F.col("id").alias("parent"), F.lit(True).alias("_ok"))
-    cells = cut(cells.join(valid, "parent", "left").withColumn("parent", F.when(F.col("_ok"), F.col("parent"))).drop("_ok").withColumn("tr", F.expr(f"r div {tile}")).withColumn("tc", F.expr(f"c div {tile}")), "flow")
-
-    def local(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = pdf.id.to_numpy()
-        sort = np.argsort(ids)
-        raw = pdf.parent.fillna(-1).to_numpy().astype(np.int64)
-        at = np.minimum(np.searchsorted(ids[sort], raw), len(ids) - 1)
-        inner = np.where((raw >= 0) & (ids[sort][at] == raw), sort[at], -1)
-        return ids, raw, inner
-
-    def down(inner: np.ndarray, order: np.ndarray, amount: np.ndarray) -> np.ndarray:
-        """Sums of ``amount`` over each node and all above it within the tile."""
-        total = amount.copy()
-        depth = np.zeros(len(inner), np.int64)
-        for i in order:
-            p = inner[i]
-            if p >= 0:
-                total[p] += total[i]
-                depth[p] = max(depth[p], depth[i] + 1)
-        return total
+    cells = _valid(with_receiver(flow, info).select("id", "dir", "parent", w.alias("w")))
+    cells = cut(_tiled(cells, info, tile), "flow")
 
     def exits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, raw, inner = local(pdf)
-        order = _order(inner)
-        total = down(inner, order, pdf.w.to_numpy(float))
-        leave = np.arange(len(ids))
-        for i in order[::-1]:
-            if inner[i] >= 0:
-                leave[i] = leave[inner[i]]
-        out = np.flatnonzero((inner < 0) & (raw >= 0))
-        r, c = pdf.r.to_numpy() % tile, pdf.c.to_numpy() % tile
-        rim = np.flatnonzero((r == 0) | (c == 0) | (r == tile - 1) | (c == tile - 1))
+        forest = Forest(pdf)
+        total = forest.sums(pdf.w.to_numpy(float))
+        leave, _, _ = forest.follow(np.zeros(len(pdf), bool), np.zeros(len(pdf)))
+        out = np.flatnonzero((forest.inner < 0) & (forest.raw >= 0))
+        rim = np.flatnonzero(_rim(pdf, info, tile))
         goes = np.isin(leave[rim], out)
         return pd.concat(
             [
-                pd.DataFrame({"kind": 0, "id": ids[out], "other": raw[out], "w": total[out]}),
-                pd.DataFrame({"kind": 1, "id": ids[rim[goes]], "other": ids[leave[rim[goes]]], "w": 0.0}),
+                pd.DataFrame({"kind": 0, "id": forest.ids[out], "other": forest.raw[out], "w": total[out]}),
+                pd.DataFrame({"kind": 1, "id": forest.ids[rim[goes]], "other": forest.ids[leave[rim[goes]]], "w": 0.0}),
             ]
         )
 
@@ -156,12 +226,79 @@ def flow_accumulation(flow: DataFrame, info: GridInfo, weight: str | None = None
     inflow = totals.join(leaving.select("id", "enters"), "id").groupBy(F.col("enters").alias("id")).agg(F.sum("total").alias("inflow"))
 
     def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, raw, inner = local(pdf)
-        own, entering = pdf.w.to_numpy(float), pdf.inflow.fillna(0).to_numpy(float)
-        order = _order(inner)
-        total = down(inner, order, own + entering)
-        acc = total - own
-        acc[np.setdiff1d(np.arange(len(ids)), order)] = np.nan  # in a cycle
-        return pd.DataFrame({"id": ids, "r": pdf.r, "c": pdf.c, "dir": pdf.dir.astype("Int32"), "parent": pdf.parent.astype("Int64"), "acc": acc})
+        forest = Forest(pdf)
+        own = pdf.w.to_numpy(float)
+        acc = forest.sums(own + pdf.inflow.fillna(0).to_numpy(float)) - own
+        acc[~forest.ordered] = np.nan
+        return pd.DataFrame({"id": forest.ids, "r": pdf.r, "c": pdf.c, "dir": pdf.dir.astype("Int32"), "parent": pdf.parent.astype("Int64"), "acc": acc})
 
     return cells.join(inflow, "id", "left").groupBy("tr", "tc").applyInPandas(finish, "id long, r int, c int, dir int, parent long, acc double")
+
+
+def upstream_longest(nodes: DataFrame, info: GridInfo, tile: int = TILE) -> DataFrame:
+    """(id, total): the longest sum of links (id, parent, link) arriving at each cell of the grid, 0 at sources; tiles are contracted as for accumulation."""
+    cells = cut(_tiled(nodes.select("id", "parent", F.col("link").cast("double").alias("link")), info, tile), "links")
+
+    def exits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        forest, link = Forest(pdf), pdf.link.to_numpy(float)
+        best = forest.longest(np.zeros(len(pdf)), link)
+        leave, _, length = forest.follow(np.zeros(len(pdf), bool), link)
+        out = np.flatnonzero((forest.inner < 0) & (forest.raw >= 0))
+        rim = np.flatnonzero(_rim(pdf, info, tile))
+        goes = np.isin(leave[rim], out)
+        return pd.concat(
+            [
+                pd.DataFrame({"kind": 0, "id": forest.ids[out], "other": forest.raw[out], "s": best[out], "link": link[out]}),
+                pd.DataFrame({"kind": 1, "id": forest.ids[rim[goes]], "other": forest.ids[leave[rim[goes]]], "s": length[rim[goes]], "link": 0.0}),
+            ]
+        )
+
+    rim = cut(cells.groupBy("tr", "tc").applyInPandas(exits, "kind int, id long, other long, s double, link double"), "rim")
+    leaving = rim.filter("kind = 0").select("id", F.col("other").alias("enters"), "s", "link")
+    through = rim.filter("kind = 1").select(F.col("id").alias("enters"), F.col("other").alias("parent"), F.col("s").alias("across"))
+    graph = leaving.join(through, "enters", "left").select("id", "parent", "s", (F.col("link") + F.coalesce("across", F.lit(0.0))).alias("w"))
+    totals = accumulate(graph, how="max")
+    arriving = totals.join(leaving, "id").groupBy(F.col("enters").alias("id")).agg(F.max(F.col("total") + F.col("link")).alias("arriving"))
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        forest = Forest(pdf)
+        best = forest.longest(pdf.arriving.fillna(0).to_numpy(float), pdf.link.to_numpy(float))
+        return pd.DataFrame({"id": forest.ids, "total": np.where(forest.ordered, best, np.nan)})
+
+    return cells.join(arriving, "id", "left").groupBy("tr", "tc").applyInPandas(finish, "id long, total double")
+
+
+def walk_down(nodes: DataFrame, starts: DataFrame, info: GridInfo, limit_m: float, tile: int = TILE) -> DataFrame:
+    """(start, pos, id, cum_m): the cells on the way down from ``starts`` (start, id), as long as the sum of links (id, parent, link) is within ``limit_m``.
+
+    A walk goes on within a tile as far as it can, so there are as many rounds as tiles on the way.
+    """
+    cells = cut(_tiled(_valid(nodes.select("id", "parent", F.col("link").cast("double").alias("link"))), info, tile).select("tr", "tc", "id", "parent", "link"), "links")
+    front = _tiled(starts.select("start", "id").withColumn("pos", F.lit(0)).withColumn("cum_m", F.lit(0.0)), info, tile).select("tr", "tc", "start", "id", "pos", "cum_m")
+    kind = starts.schema["start"].dataType.simpleString()
+
+    def run(key: tuple, walks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        below = {i: (p, d) for i, p, d in zip(own.id.tolist(), own.parent.tolist(), own.link.tolist(), strict=True)}
+        rows = []
+        for start, i, pos, cum in zip(walks.start.tolist(), walks.id.tolist(), walks.pos.tolist(), walks.cum_m.tolist(), strict=True):
+            here = i in below  # a start beside the grid goes nowhere
+            while i in below:
+                rows.append((start, pos, i, cum, False))
+                p, d = below[i]
+                if p is None or p != p or cum + d > limit_m + 1e-9:
+                    break
+                i, pos, cum = int(p), pos + 1, cum + d
+            else:
+                if here:
+                    rows.append((start, pos, i, cum, True))
+        return pd.DataFrame(rows, columns=["start", "pos", "id", "cum_m", "goes_on"])
+
+    done = None
+    while True:
+        here = cells.join(front.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+        step = cut(front.groupBy("tr", "tc").cogroup(here.groupBy("tr", "tc")).applyInPandas(run, f"start {kind}, pos int, id long, cum_m double, goes_on boolean"), "walk")
+        found = step.filter("not goes_on").drop("goes_on")
+        done = found if done is None else done.union(found)
+        front = _tiled(step.filter("goes_on").select("start", "id", "pos", "cum_m"), info, tile).select("tr", "tc", "start", "id", "pos", "cum_m")
+        if not step.filter("goes_on").limit(1).count():
+            return done

@@ -40,23 +40,165 @@ def renumber_log(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("action", action)
 
 
+SEVERITIES = ("high", "medium", "low", "info")
+
+
 def register(rows: DataFrame, rules: list[tuple]) -> DataFrame:
-    """Findings of ``rows`` (outlet_uid, chainage_m, ...) by rules (condition, severity 1-3, title): most severe first, then along the road."""
-    parts = [rows.filter(condition).select("outlet_uid", "chainage_m", F.lit(severity).alias("severity"), F.lit(title).alias("finding")) for condition, severity, title in rules]
+    """Findings of ``rows`` (outlet_uid, chainage_m, ...) by rules (condition, severity, title, and perhaps an evidence column and a check): most severe first, then along the road.
+
+    Severity is a number (greater is worse) or one of ``SEVERITIES``. Ids are padded to three digits, or as many as the number of findings has.
+    """
+    level = lambda v: len(SEVERITIES) - 1 - SEVERITIES.index(v) if isinstance(v, str) else v
+    evidence = any(len(r) > 3 for r in rules)
+    parts = []
+    for condition, severity, title, *more in rules:
+        extra = [(more[0] if more else F.lit("")).cast("string").alias("evidence"), F.lit(more[1] if len(more) > 1 else "").alias("check")] if evidence else []
+        parts.append(rows.filter(condition).select("outlet_uid", "chainage_m", F.lit(level(severity)).alias("severity"), F.lit(title).alias("finding"), *extra))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    k = F.row_number().over(Window.orderBy(F.desc("severity"), F.col("chainage_m").asc_nulls_last(), "outlet_uid", "finding"))
-    return out.withColumn("finding_id", F.concat(F.lit("F"), F.lpad(k.cast("string"), 3, "0")))
-
-
-def depressions(labels: DataFrame, cell_area_m2: float, most: int = 50, least_depth: float = 0.5) -> DataFrame:
-    """(component, n_cells, area_m2, max_depth_m, volume_m3, deepest_r, deepest_c) of labelled depressions, deepest first: the ``most`` deepest."""
+    order = Window.orderBy(F.desc("severity"), F.col("chainage_m").asc_nulls_last(), "outlet_uid", "finding")  # findings of one project
+    k, n = F.row_number().over(order), F.count("*").over(Window.partitionBy())
+    return out.withColumn("finding_id", F.concat(F.lit("F"), F.lpad(k.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), F.lit("0"))))
+
+
+def register_counts(findings: DataFrame) -> DataFrame:
+    """(severity, n), every severity present once."""
+    return findings.groupBy("severity").agg(F.count("*").alias("n"))
+
+
+def package_rules(cell_m: float) -> list[tuple]:
+    """The rules of a package's register on crossings joined with their figures; a column that is not there counts as null (see ``package_findings``)."""
+    c = F.col
+    methods = ("kirpich", "kerby_kirpich", "scs_lag", "tr55", "bransby")
+    have = sum((F.when(c(f"tc_{m}").isNotNull(), 1).otherwise(0) for m in methods), F.lit(0))
+    outside = sum((F.when(c(f"tc_{m}").isNotNull() & F.lower(c(f"{m}_flag")).startswith("outside"), 1).otherwise(0) for m in methods), F.lit(0))
+    text = lambda *parts: F.concat(*[F.coalesce(p.cast("string"), F.lit("-")) if not isinstance(p, str) else F.lit(p) for p in parts])
+    return [
+        (c("truncated") == 1, "high", "Catchment is cut off by the edge of the data", text(c("truncated_cells"), " cells on the edge"), "Extend the elevation model and run again; the area is a lower bound."),
+        (c("clip_edge") == 1, "high", "Catchment touches the edge of the clip", text(c("area_km2"), " km2"), "Run again with a wider clip."),
+        (c("flat_moved") == 1, "high", "The channel runs elsewhere under the other flat method", text(c("area_barnes_km2"), " and ", c("area_toward_km2"), " km2"), "Confirm the channel on a map or on site."),
+        ((F.coalesce(c("flat_moved"), F.lit(0)) != 1) & (c("flat_sensitive") == 1), "medium", "The area depends on how flats are routed", text(c("flat_sensitivity_pct"), " %"), "Verify the divide."),
+        ((F.coalesce(c("switch_pct"), F.lit(0.0)) > 0) | (F.coalesce(c("lost_pct"), F.lit(0.0)) > 0), "medium", "The area is unstable under elevation error", text("moved in ", c("switch_pct"), " %, lost in ", c("lost_pct"), " %"), "Treat the area as a range."),
+        (c("map_agrees") == 0, "medium", "The outlet is not on a mapped waterway", text(c("map_dist_m"), " m"), "Check which of both is right."),
+        (c("snap_dist_m") > 2.5 * cell_m, "low", "The outlet is far from the input point", text(c("snap_dist_m"), " m"), "Check that it is on the intended channel."),
+        ((have > 0) & (2 * outside > have), "low", "Outside the range of most methods for the time of concentration", text(outside, " of ", have), "Choose with care."),
+        (c("lfp_nonmonotonic") == 1, "low", "The longest path rises on its way", text(c("lfp_drop_m"), " m"), "Use the slope between 10 and 85 %."),
+        (c("has_soil") & c("k_williams").isNull(), "low", "The soil data gave no erodibility", text(c("soil_coverage_pct"), " % covered"), "Give it from another source."),
+        ((F.abs(c("sens_max_area_pct")) > 25), "medium", "The area depends on the snap radius or the stream threshold", text(c("sens_max_area_pct"), " %"), "Move the input point onto the channel."),
+        (c("status") == "proposed", "info", "Proposed by the coverage check", text(c("proposed_reason")), "Adopt it or delete it, then renumber."),
+    ]
+
+
+def package_findings(rows: DataFrame, cell_m: float) -> DataFrame:
+    """The register of ``package_rules`` over ``rows``, whatever of their columns it has."""
+    kinds = {"status": "string", "proposed_reason": "string", "has_soil": "boolean"} | {f"{m}_flag": "string" for m in ("kirpich", "kerby_kirpich", "scs_lag", "tr55", "bransby")}
+    names = ["truncated", "truncated_cells", "clip_edge", "area_km2", "flat_moved", "flat_sensitive", "flat_sensitivity_pct", "area_barnes_km2", "area_toward_km2", "switch_pct", "lost_pct", "map_agrees", "map_dist_m", "snap_dist_m", "lfp_nonmonotonic", "lfp_drop_m", "k_williams", "soil_coverage_pct", "sens_max_area_pct", *kinds, *[f"tc_{m}" for m in ("kirpich", "kerby_kirpich", "scs_lag", "tr55", "bransby")]]
+    for n in names:
+        if n not in rows.columns:
+            rows = rows.withColumn(n, F.lit(None).cast(kinds.get(n, "double")))
+    return register(rows, package_rules(cell_m))
+
+
+def depressions(labels: DataFrame, cell_area_m2: float, most: int = 5000, least_depth: float = 0.5) -> DataFrame:
+    """(component, n_cells, area_m2, max_depth_m, mean_depth_m, volume_m3, deepest_r, deepest_c) of labelled depressions, deepest first: the ``most`` deepest."""
     got = labels.groupBy("component").agg(F.count("*").alias("n_cells"), F.max(F.struct("depth", (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))).alias("d"), F.sum("depth").alias("s"))
-    got = got.select("component", "n_cells", (F.col("n_cells") * cell_area_m2).alias("area_m2"), F.col("d.depth").alias("max_depth_m"), (F.col("s") * cell_area_m2).alias("volume_m3"), (-F.col("d.r")).alias("deepest_r"), (-F.col("d.c")).alias("deepest_c"))
+    got = got.select("component", "n_cells", (F.col("n_cells") * cell_area_m2).alias("area_m2"), F.col("d.depth").alias("max_depth_m"), (F.col("s") / F.col("n_cells")).alias("mean_depth_m"), (F.col("s") * cell_area_m2).alias("volume_m3"), (-F.col("d.r")).alias("deepest_r"), (-F.col("d.c")).alias("deepest_c"))
     return got.filter(F.col("max_depth_m") >= least_depth).orderBy(F.desc("max_depth_m"), "component").limit(most)
 
 
+def depressions_by_road(found: DataFrame, labels: DataFrame, segments: DataFrame, info, crossings: DataFrame | None = None, deep_m: float = 1.0, half_width_m: float = 15.0, near_m: float = 100.0) -> DataFrame:
+    """``found`` (of ``depressions``) with dist_road_m, road, chainage_m, nearest_m, touches_road and flag: ``deep_at_road`` or ``deep_near_road``.
+
+    The distance is that of the nearest cell's centre less half a diagonal; the chainage that of the deepest cell. Cells farther than ``near_m`` and half a diagonal from any road have none.
+    """
+    from . import linear
+
+    half = 0.5 * (info.cw**2 + info.ch**2) ** 0.5
+    cells = labels.join(found.select("component"), "component", "left_semi").select(F.struct("component", "r", "c").alias("fid"), info.x(F.col("c")).alias("x"), info.y(F.col("r")).alias("y"))
+    near = linear.locate(cells, segments, radius=near_m + half, within=near_m + half).groupBy(F.col("fid.component").alias("component")).agg(F.greatest(F.min("distance") - half, F.lit(0.0)).alias("dist_road_m"))
+    deep = linear.locate(found.select(F.col("component").alias("fid"), info.x(F.col("deepest_c")).alias("x"), info.y(F.col("deepest_r")).alias("y")), segments).select(F.col("fid").alias("component"), "road", F.col("chainage").alias("chainage_m"))
+    out = found.join(near, "component", "left").join(deep, "component", "left").withColumn("touches_road", F.coalesce(F.col("dist_road_m") <= half_width_m, F.lit(False)))
+    if crossings is not None:
+        along = linear.nearest_along(out.filter("chainage_m is not null").select("road", "chainage_m", "component"), crossings).select("component", "nearest_m")
+        out = out.join(along, "component", "left")
+    deep_ = F.col("max_depth_m") >= deep_m
+    return out.withColumn("flag", F.when(deep_ & F.col("touches_road"), "deep_at_road").when(deep_ & (F.col("dist_road_m") <= near_m), "deep_near_road"))
+
+
+def flat_sensitivity(flows: dict[str, DataFrame], outlets: DataFrame, flats: DataFrame, info, members: DataFrame | None = None, paths: DataFrame | None = None, tolerance: float = 0.10, search: int = 1, threshold_cells: float | None = None) -> DataFrame:
+    """(outlet, area_barnes_km2, area_toward_km2, flat_sensitivity_pct, flat_sensitive, flat_area_ratio, flat_moved, flat_catch_share_pct, flat_lfp_share_pct).
+
+    ``flows`` has the routings ``barnes`` and ``toward``; an outlet's area is the greatest within ``search`` cells. The channel has moved if one routing reaches the stream threshold there and the other does not (without a threshold:
+    if the smaller area is under a tenth of the larger). ``flats`` (id) are cells without descent off the boundary; shares are those of zones (outlet, id) and longest paths (outlet, id).
+    """
+    here = outlets.select("outlet", F.expr(f"cast(id div {info.cols} as int)").alias("r0"), F.expr(f"cast(id % {info.cols} as int)").alias("c0"))
+    near = here.withColumn("r", F.explode(F.sequence(F.col("r0") - search, F.col("r0") + search))).withColumn("c", F.explode(F.sequence(F.col("c0") - search, F.col("c0") + search))).select("outlet", "r", "c")
+    out = outlets.select("outlet").distinct()
+    for name in ("barnes", "toward"):
+        out = out.join(near.join(flows[name].select("r", "c", "acc"), ["r", "c"]).groupBy("outlet").agg((F.max("acc") + 1).alias(f"n_{name}")), "outlet", "left")
+    a, b = F.col("n_barnes"), F.col("n_toward")
+    rel = F.abs(a - b) / F.greatest(a, b)
+    moved = (a >= threshold_cells) != (b >= threshold_cells) if threshold_cells else F.least(a, b) < 0.1 * F.greatest(a, b)
+    out = out.select("outlet", (a * info.cell_area_km2).alias("area_barnes_km2"), (b * info.cell_area_km2).alias("area_toward_km2"), (100 * rel).alias("flat_sensitivity_pct"), (rel > tolerance).cast("int").alias("flat_sensitive"), (b / a).alias("flat_area_ratio"), moved.cast("int").alias("flat_moved"))
+    mark = flats.select("id", F.lit(1.0).alias("flat")).distinct()
+    for rows, name in ((members, "flat_catch_share_pct"), (paths, "flat_lfp_share_pct")):
+        if rows is not None:
+            out = out.join(rows.select("outlet", "id").join(mark, "id", "left").groupBy("outlet").agg((100 * F.avg(F.coalesce("flat", F.lit(0.0)))).alias(name)), "outlet", "left")
+    return out
+
+
+def crossing_sensitivity(flows: dict[str, tuple[DataFrame, DataFrame]], points: DataFrame, info, threshold_cells: float = 200.0, radius: int = 5, method: str = "barnes", dem_error: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(long table (outlet_uid, factor, setting, area_km2, d_area_pct, lfp_length_m, d_lfp_pct, outlet_moved, outlet_lost), summary (outlet_uid, base_area_km2, base_lfp_length_m, sens_max_area_pct, sens_area_factor, sens_max_lfp_pct,
+    sens_lfp_factor, sens_moved)) of crossings (outlet_uid, x, y and perhaps outlet_x, outlet_y).
+
+    ``flows`` maps a flat method to (flow, longest upstream lengths (id, up_len)). The base is the outlet, where there is one; else, as all variants but that of the flat method, which starts at the outlet, the input point is snapped. Variants are the other flat
+    method, half and twice the snap radius, half and twice the threshold, and ``dem_error`` (outlet_uid, q, area_km2, lfp_length_m).
+    """
+    from . import drainage
+
+    other = "toward" if method == "barnes" else "barnes"
+    flow, lengths = flows[method]
+    has_outlet = "outlet_x" in points.columns
+
+    def at(cells: DataFrame, name: str) -> DataFrame:
+        f, up = flows[name]
+        return cells.join(f.select("r", "c", "id", "acc"), ["r", "c"]).join(up.select("id", "up_len"), "id").select("outlet_uid", "r", "c", ((F.col("acc") + 1) * info.cell_area_km2).alias("area_km2"), F.col("up_len").alias("lfp_length_m"))
+
+    def snap(name: str, n: int, threshold: float, x: str = "x", y: str = "y") -> DataFrame:
+        f, _ = flows[name]
+        stream = drainage.streams(f, threshold_cells=threshold)
+        got = drainage.snap(points.select(F.col("outlet_uid").alias("fid"), F.col(x).alias("x"), F.col(y).alias("y")), stream, info, n).select(F.col("fid").alias("outlet_uid"), F.col("snap_r").alias("r"), F.col("snap_c").alias("c"))
+        return at(got.join(stream.select("r", "c"), ["r", "c"], "left_semi"), name)
+
+    if has_outlet:
+        base = at(points.select("outlet_uid", info.row(F.col("outlet_y")).alias("r"), info.col(F.col("outlet_x")).alias("c")), method)
+    else:
+        base = snap(method, radius, threshold_cells)
+    ox, oy = ("outlet_x", "outlet_y") if has_outlet else ("x", "y")
+    variants = [("flat method", other, snap(other, max(1, radius), threshold_cells, ox, oy))]
+    variants += [("snap radius", f"{n} cells", snap(method, n, threshold_cells)) for n in (max(1, radius // 2), max(2, 2 * radius))]
+    variants += [("stream threshold", f"{t:g} cells", snap(method, radius, t)) for t in (max(1.0, threshold_cells / 2), threshold_cells * 2)]
+    every = points.select("outlet_uid")
+    b = base.select("outlet_uid", F.col("area_km2").alias("ba"), F.col("lfp_length_m").alias("bl"), F.col("r").alias("br"), F.col("c").alias("bc"))
+    b = every.join(b, "outlet_uid", "left")
+    pct = lambda v, w: F.when(F.col(w) != 0, 100 * (F.col(v) - F.col(w)) / F.col(w))
+    long = b.select("outlet_uid", F.lit("base").alias("factor"), F.lit(method).alias("setting"), F.col("ba").alias("area_km2"), F.when(F.col("ba").isNotNull(), 0.0).alias("d_area_pct"), F.col("bl").alias("lfp_length_m"), F.when(F.col("bl").isNotNull(), 0.0).alias("d_lfp_pct"), F.lit(0).alias("outlet_moved"), F.col("ba").isNull().cast("int").alias("outlet_lost"))
+    for factor, setting, got in variants:
+        own = b.join(got, "outlet_uid", "left")
+        moved = F.coalesce(F.greatest(F.abs(F.col("r") - F.col("br")), F.abs(F.col("c") - F.col("bc"))) > 1, F.lit(False)).cast("int")
+        long = long.union(own.select("outlet_uid", F.lit(factor), F.lit(setting), "area_km2", pct("area_km2", "ba"), "lfp_length_m", pct("lfp_length_m", "bl"), moved, F.col("area_km2").isNull().cast("int")))
+    if dem_error is not None:
+        own = b.join(dem_error, "outlet_uid")
+        long = long.union(own.select("outlet_uid", F.lit("elevation error"), F.upper("q"), "area_km2", pct("area_km2", "ba"), "lfp_length_m", pct("lfp_length_m", "bl"), F.lit(None).cast("int"), F.lit(None).cast("int")))
+    name = F.concat("factor", F.lit(" ("), "setting", F.lit(")"))
+    other_rows = long.filter("factor <> 'base'")
+    worst = lambda v: F.max(F.when(F.col(v).isNotNull(), F.struct(F.abs(v).alias("d"), name.alias("n"))))
+    summary = other_rows.groupBy("outlet_uid").agg(worst("d_area_pct").alias("a"), worst("d_lfp_pct").alias("l"), F.array_join(F.array_sort(F.collect_set(F.when((F.col("outlet_moved") == 1) | (F.col("outlet_lost") == 1), name))), "; ").alias("sens_moved"))
+    summary = b.select("outlet_uid", F.col("ba").alias("base_area_km2"), F.col("bl").alias("base_lfp_length_m")).join(summary, "outlet_uid", "left").select("outlet_uid", "base_area_km2", "base_lfp_length_m", F.col("a.d").alias("sens_max_area_pct"), F.col("a.n").alias("sens_area_factor"), F.col("l.d").alias("sens_max_lfp_pct"), F.col("l.n").alias("sens_lfp_factor"), "sens_moved")
+    return long, summary
+
+
 def agreement(stream: DataFrame, mapped: DataFrame) -> DataFrame:
     """Precision, recall and F1 of stream cells (r, c, w) against mapped cells (r, c, w), weighted by length."""
     tp = stream.join(mapped.select("r", "c"), ["r", "c"], "left_semi").agg(F.sum("w").alias("tp"))

@@ -245,6 +245,22 @@ def repeated_lines(cells: DataFrame, least_overlap: int = 50, share: float = 0.9
     return parts[0].union(parts[1])
 
 
+def tied_pairs(cells: DataFrame) -> DataFrame:
+    """n_all_pairs, n_all_tied: east and south neighbour pairs, and those exactly equal."""
+
+    def run(a: dict[str, np.ndarray], h: int) -> dict[str, np.ndarray]:
+        z = a["z"]
+        own, pairs, tied = shifted(z, 0, 0, h), 0, 0
+        for dr, dc in ((0, 1), (1, 0)):
+            other = shifted(z, dr, dc, h)
+            pairs = pairs + (~np.isnan(own) & ~np.isnan(other)).astype(int)
+            tied = tied + (own == other).astype(int)
+        return {"pairs": pairs, "tied": tied}
+
+    return stencil(cells, ["z"], run, "pairs int, tied int").agg(F.sum("pairs").alias("n_all_pairs"), F.sum("tied").alias("n_all_tied"))
+
+
+# fixed values: steps of storage that are tried, largest first
 STEPS = (1.0, 0.5, 0.25, 0.2, 0.1, 0.05, 0.02, 0.01)
 
 
@@ -252,24 +268,26 @@ def vertical_quantum(cells: DataFrame, share: float = 0.999) -> DataFrame:
     """quantum: the largest step of which nearly all elevations are multiples (null if none), over all valid cells."""
     z = cells.filter("z is not null")
     steps = F.array(*[F.lit(s) for s in STEPS])
-    # tolerance: 2 % of the step or 4 units in the last place of single precision
+    # tolerance: 2 % of the step, or 4 units in the last place of the greatest elevation in single precision
     off = F.abs(F.col("z") - F.round(F.col("z") / F.col("q")) * F.col("q"))
-    ulp = F.greatest(F.abs("z"), F.lit(1e-30)) * F.lit(4 * 2.0**-23)
-    per = z.select("z", F.explode(steps).alias("q")).groupBy("q").agg(F.avg((off <= F.greatest(0.02 * F.col("q"), ulp)).cast("double")).alias("share"))
+    most = z.agg(F.max(F.abs("z")).alias("m")).first().m or 0.0
+    ulp = 4 * float(np.spacing(np.float32(most)))
+    per = z.select("z", F.explode(steps).alias("q")).groupBy("q").agg(F.avg((off <= F.greatest(0.02 * F.col("q"), F.lit(ulp))).cast("double")).alias("share"))
     return per.agg(F.max(F.when(F.col("share") >= share, F.col("q"))).alias("quantum"))
 
 
-SUSPECTS = (0.0, -9999.0, -32768.0, -3.4e38)
+# fixed values: what grids hold where their header says nothing of NoData
+SUSPECTS = (0.0, -9999.0, -32768.0, -3.4028235e38)
 
 
 def nodata_suspects(cells: DataFrame, share: float = 0.005, gap: float = 0.25) -> DataFrame:
-    """(value, n, share, suspect) of values often used for NoData, against the spread of the rest."""
+    """(value, n, share, suspect) of values often used for NoData: suspect if more than ``share`` of the cells hold one that lies below all others by more than ``gap`` of their spread."""
     z = cells.filter("z is not null")
     suspects = F.array(*[F.lit(s) for s in SUSPECTS])
-    hit = F.abs(F.col("z") - F.col("value")) <= F.abs(F.col("value")) * 1e-6
+    hit = F.col("z").cast("float") == F.col("value").cast("float")
     per = z.select("z", F.explode(suspects).alias("value")).groupBy("value").agg(
         F.sum(hit.cast("long")).alias("n"), F.count("*").alias("total"), F.min(F.when(~hit, F.col("z"))).alias("lo"), F.max(F.when(~hit, F.col("z"))).alias("hi")
     )
-    away = F.least(F.abs(F.col("lo") - F.col("value")), F.abs(F.col("hi") - F.col("value")))
-    outside = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
-    return per.select("value", "n", (F.col("n") / F.col("total")).alias("share"), F.coalesce((F.col("n") > share * F.col("total")) & outside & (away > gap * (F.col("hi") - F.col("lo"))), F.lit(False)).alias("suspect"))
+    spread = F.col("hi") - F.col("lo")
+    bad = (F.col("n") > share * F.col("total")) & (spread > 0) & (F.col("lo") - F.col("value") > gap * spread)
+    return per.select("value", "n", (F.col("n") / F.col("total")).alias("share"), F.coalesce(bad, F.lit(False)).alias("suspect"))

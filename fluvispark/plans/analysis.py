@@ -38,26 +38,24 @@ k AS (SELECT *, (p_x - x) * (p_x - x) + (y0 - y) * (y0 - y) AS d2 FROM (SELECT *
 SELECT fid, round(ch0 + s, 6) AS chainage, round(CASE WHEN side >= 0 THEN sqrt(d2) ELSE -sqrt(d2) END, 6) + 0.0 AS "offset", round(sqrt(d2), 6) AS distance FROM k QUALIFY row_number() OVER (PARTITION BY fid ORDER BY d2, seg_id) = 1""")
 def road_locate(spark, sf_dir):
     segments = road(spark, info_of(grid(spark, sf_dir, "dem_orders")))
-    return rounded(linear.locate(grid(spark, sf_dir, "outlets"), segments))
+    return rounded(linear.locate(grid(spark, sf_dir, "outlets"), segments).select("fid", "chainage", "offset", "distance"))
 
 
-@query(f"WITH {ROAD}, s AS (SELECT 1000.0 + 50.0 * unnest(range(0, 115)) AS ch) SELECT CAST(ch AS DOUBLE) AS chainage_m, CAST(CASE WHEN ch <= 3850 THEN 75.0 + ch - 1000 ELSE 2925.0 - (ch - 3850) END AS DOUBLE) AS x, y - CASE WHEN ch <= 3850 THEN 0.0 ELSE 120.0 END AS y, CAST(CASE WHEN ch <= 3850 THEN 1 ELSE 2 END AS INT) AS part FROM s, d")
+@query(f"WITH {ROAD}, s AS (SELECT 1000.0 + 50.0 * unnest(range(0, 115)) AS ch) SELECT CAST(ch AS DOUBLE) AS chainage_m, CAST(CASE WHEN ch < 3850 THEN 75.0 + ch - 1000 ELSE 2925.0 - (ch - 3850) END AS DOUBLE) AS x, y - CASE WHEN ch < 3850 THEN 0.0 ELSE 120.0 END AS y, CAST(CASE WHEN ch < 3850 THEN 1 ELSE 2 END AS INT) AS part FROM s, d")
 def road_stations(spark, sf_dir):
-    return rounded(linear.stations(road(spark, info_of(grid(spark, sf_dir, "dem_orders"))), 50.0))
+    return rounded(linear.stations(road(spark, info_of(grid(spark, sf_dir, "dem_orders"))), 50.0).drop("road"))
 
 
-PROFILE = f"""{ROAD}, g AS ({GRID_SQL['dem_orders']}), s AS (SELECT 1000.0 + 50.0 * unnest(range(0, 58)) AS ch), p AS (SELECT ch, 75.0 + ch - 1000 AS x, y FROM s, d),
-q AS (SELECT ch, x / 30.0 - 0.5 AS fc, -y / 30.0 - 0.5 AS fr FROM p), b AS (SELECT ch, fc - floor(fc) AS u, CAST(floor(fc) AS INT) AS c0, CAST(floor(fr) AS INT) AS r0, fr - floor(fr) AS v FROM q),
-z AS (SELECT ch, sum(g.z * (CASE WHEN g.c = c0 THEN 1 - u ELSE u END) * (CASE WHEN g.r = r0 THEN 1 - v ELSE v END)) AS z FROM b JOIN g ON g.r IN (r0, r0 + 1) AND g.c IN (c0, c0 + 1) GROUP BY ch HAVING count(*) = 4)"""
+PROFILE = f"""{ROAD}, g AS ({GRID_SQL['dem_orders']}), s AS (SELECT 1000.0 + 50.0 * unnest(range(0, 115)) AS ch), p AS (SELECT ch, CASE WHEN ch < 3850 THEN 1 ELSE 2 END AS part, CASE WHEN ch < 3850 THEN 75.0 + ch - 1000 ELSE 2925.0 - (ch - 3850) END AS x, y - CASE WHEN ch < 3850 THEN 0.0 ELSE 120.0 END AS y FROM s, d),
+q AS (SELECT ch, part, x / 30.0 - 0.5 AS fc, -y / 30.0 - 0.5 AS fr FROM p), b AS (SELECT ch, part, fc - floor(fc) AS u, CAST(floor(fc) AS INT) AS c0, CAST(floor(fr) AS INT) AS r0, fr - floor(fr) AS v FROM q),
+z AS (SELECT ch, part, sum(g.z * (CASE WHEN g.c = c0 THEN 1 - u ELSE u END) * (CASE WHEN g.r = r0 THEN 1 - v ELSE v END)) AS z FROM b JOIN g ON g.r IN (r0, r0 + 1) AND g.c IN (c0, c0 + 1) GROUP BY ch, part HAVING count(*) = 4)"""
 
 
-@query(f"WITH {PROFILE}, w AS (SELECT ch, z, coalesce(lag(z) OVER (ORDER BY ch), z) AS z0, coalesce(lead(z) OVER (ORDER BY ch), z) AS z1, coalesce(lag(ch) OVER (ORDER BY ch), ch) AS c0, coalesce(lead(ch) OVER (ORDER BY ch), ch) AS c1 FROM z) SELECT CAST(ch AS DOUBLE) AS chainage_m, round(z, 6) AS z_dem_m, round((z1 - z0) / (c1 - c0), 6) + 0.0 AS slope FROM w")
+@query(f"WITH {PROFILE}, w AS (SELECT ch, part, z, coalesce(lag(z) OVER o, z) AS z0, coalesce(lead(z) OVER o, z) AS z1, coalesce(lag(ch) OVER o, ch) AS c0, coalesce(lead(ch) OVER o, ch) AS c1 FROM z WINDOW o AS (PARTITION BY part ORDER BY ch)) SELECT CAST(ch AS DOUBLE) AS chainage_m, CAST(part AS INT) AS part, round(CAST(z AS DOUBLE), 6) AS z_dem_m, round(CAST(100 * (z1 - z0) / (c1 - c0) AS DOUBLE), 6) + 0.0 AS slope_long_pct FROM w")
 def road_profile(spark, sf_dir):
     cells = grid(spark, sf_dir, "dem_orders")
     info = info_of(cells)
-    st = linear.stations(road(spark, info), 50.0).filter("part = 1 and chainage_m <= 3850")
-    z = linear.bilinear(st, cells, info, "chainage_m").withColumnRenamed("value", "z_dem_m")
-    return rounded(linear.profile_slope(st.join(z, "chainage_m")).select("chainage_m", "z_dem_m", "slope"))
+    return rounded(linear.profile(road(spark, info), cells, info, 50.0).select("chainage_m", "part", "z_dem_m", "slope_long_pct"))
 
 
 @query(f"""WITH RECURSIVE {ROAD}, {ctes('dem_orders')}, {PAIRS}, {D8}, {CLOSURE}, {ACC}, lk AS (SELECT f.cell_id AS id, f.c * 30.0 + 15.0 AS ax, -(f.r * 30.0 + 15.0) AS ay, n.c * 30.0 + 15.0 AS bx, -(n.r * 30.0 + 15.0) AS b_y FROM flow f JOIN acc USING (cell_id) JOIN g n ON n.cell_id = f.parent WHERE acc.acc >= 20),
@@ -68,7 +66,7 @@ def road_intersections(spark, sf_dir):
     stream = drainage.streams(flow, threshold_cells=20).filter("parent is not null")
     pts = stream.select("id", "parent", info.x(F.col("c")).alias("ax"), info.y(F.col("r")).alias("ay"))
     ends = flow.select(F.col("id").alias("parent"), info.x(F.col("c")).alias("bx"), info.y(F.col("r")).alias("by"))
-    return rounded(linear.intersections(pts.join(ends, "parent"), road(spark, info)))
+    return rounded(linear.intersections(pts.join(ends, "parent"), road(spark, info)).select("id", "seg_id", "x", "y", "chainage", "angle_deg"))
 
 
 @query()
@@ -81,49 +79,49 @@ ST = f"st AS ({GRID_SQL['stations']})"
 
 
 def profile_fixture(spark, sf_dir):
-    return grid(spark, sf_dir, "stations").withColumn("part", F.lit(1))
+    return grid(spark, sf_dir, "stations").withColumn("part", F.lit(1))  # roads of 500 stations
 
 
-@query(f"WITH {ST} SELECT chainage_m, round(avg(z_dem_m) OVER (ORDER BY chainage_m RANGE BETWEEN 50.0 PRECEDING AND 50.0 FOLLOWING), 6) AS smooth FROM st")
+@query(f"WITH {ST} SELECT road, chainage_m, round(avg(z_dem_m) OVER (PARTITION BY road ORDER BY chainage_m RANGE BETWEEN 50.0 PRECEDING AND 50.0 FOLLOWING), 6) AS smooth FROM st")
 def road_smooth(spark, sf_dir):
-    return rounded(linear.smooth(profile_fixture(spark, sf_dir), 100.0).select("chainage_m", "smooth"))
+    return rounded(linear.smooth(profile_fixture(spark, sf_dir), 100.0).select("road", "chainage_m", "smooth"))
 
 
-@query(f"""WITH {ST}, s AS (SELECT chainage_m AS c, round(avg(z_dem_m) OVER (ORDER BY chainage_m RANGE BETWEEN 50.0 PRECEDING AND 50.0 FOLLOWING), 6) AS z FROM st), n AS (SELECT c, z, lag(z) OVER (ORDER BY c) AS b FROM s), u AS (SELECT c, z, b, lead(z) OVER (ORDER BY c) AS a FROM n WHERE b IS NULL OR b <> z),
-m AS (SELECT c, z FROM u WHERE b > z AND a > z), e AS (SELECT m.c, m.z, max(CASE WHEN s.c < m.c AND s.z < m.z THEN s.c END) AS l, min(CASE WHEN s.c > m.c AND s.z < m.z THEN s.c END) AS r FROM m, s GROUP BY m.c, m.z),
-p AS (SELECT e.c, e.z, max(CASE WHEN s.c < e.c AND (l IS NULL OR s.c > l) THEN s.z END) AS lz, max(CASE WHEN s.c > e.c AND (r IS NULL OR s.c < r) THEN s.z END) AS rz FROM e, s GROUP BY e.c, e.z)
-SELECT c AS chainage_m, z, round(least(lz, rz) - z, 6) AS prominence_m FROM p WHERE least(lz, rz) - z >= 0.3""")
+@query(f"""WITH {ST}, s AS (SELECT road, chainage_m AS c, round(avg(z_dem_m) OVER (PARTITION BY road ORDER BY chainage_m RANGE BETWEEN 50.0 PRECEDING AND 50.0 FOLLOWING), 6) AS z FROM st), n AS (SELECT road, c, z, lag(z) OVER (PARTITION BY road ORDER BY c) AS b FROM s), u AS (SELECT road, c, z, b, lead(z) OVER (PARTITION BY road ORDER BY c) AS a FROM n WHERE b IS NULL OR b <> z),
+m AS (SELECT road, c, z FROM u WHERE b > z AND a > z), e AS (SELECT m.road, m.c, m.z, max(CASE WHEN s.c < m.c AND s.z < m.z THEN s.c END) AS l, min(CASE WHEN s.c > m.c AND s.z < m.z THEN s.c END) AS r FROM m JOIN s USING (road) GROUP BY m.road, m.c, m.z),
+p AS (SELECT e.road, e.c, e.z, max(CASE WHEN s.c < e.c AND (l IS NULL OR s.c > l) THEN s.z END) AS lz, max(CASE WHEN s.c > e.c AND (r IS NULL OR s.c < r) THEN s.z END) AS rz FROM e JOIN s USING (road) GROUP BY e.road, e.c, e.z)
+SELECT road, c AS chainage_m, z, round(least(lz, rz) - z, 6) AS prominence_m FROM p WHERE least(lz, rz) - z >= 0.3""")
 def road_sags(spark, sf_dir):
     smooth = linear.smooth(profile_fixture(spark, sf_dir), 100.0).withColumn("smooth", F.round("smooth", 6))
-    return rounded(linear.sags(smooth).select("chainage_m", "z", "prominence_m"))
+    return rounded(linear.sags(smooth).select("road", "chainage_m", "z", "prominence_m"))
 
 
-@query(f"""WITH {ST}, s AS (SELECT *, abs(z_dem_m - 50) < 45 AS f, (chainage_m + coalesce(lag(chainage_m) OVER o, chainage_m)) / 2 AS lo, (chainage_m + coalesce(lead(chainage_m) OVER o, chainage_m)) / 2 AS hi FROM st WINDOW o AS (ORDER BY chainage_m)),
-n AS (SELECT *, sum(CASE WHEN f AND NOT coalesce(pf, false) THEN 1 ELSE 0 END) OVER (ORDER BY chainage_m) AS run FROM (SELECT *, lag(f) OVER (ORDER BY chainage_m) AS pf FROM s)) SELECT CAST(run AS BIGINT) AS run, min(lo) AS start_m, max(hi) AS end_m, max(hi) - min(lo) AS length_m FROM n WHERE f GROUP BY run HAVING max(hi) - min(lo) >= 30""")
+@query(f"""WITH {ST}, s AS (SELECT *, abs(z_dem_m - 50) < 45 AS f, (chainage_m + coalesce(lag(chainage_m) OVER o, chainage_m)) / 2 AS lo, (chainage_m + coalesce(lead(chainage_m) OVER o, chainage_m)) / 2 AS hi FROM st WINDOW o AS (PARTITION BY road ORDER BY chainage_m)),
+n AS (SELECT *, sum(CASE WHEN f AND NOT coalesce(pf, false) THEN 1 ELSE 0 END) OVER (PARTITION BY road ORDER BY chainage_m) AS run FROM (SELECT *, lag(f) OVER (PARTITION BY road ORDER BY chainage_m) AS pf FROM s)) SELECT road, CAST(run AS BIGINT) AS run, min(lo) AS start_m, max(hi) AS end_m, max(hi) - min(lo) AS length_m FROM n WHERE f GROUP BY road, run HAVING max(hi) - min(lo) >= 30""")
 def road_flat_runs(spark, sf_dir):
     p = profile_fixture(spark, sf_dir).withColumn("slope", F.when(F.abs(F.col("z_dem_m") - 50) < 45, 0.0).otherwise(1.0)).withColumn("cross_fall", F.lit(0.0))
-    return linear.flat_stretches(p, least_m=30.0).select("run", "start_m", "end_m", "length_m")
+    return linear.flat_stretches(p, least_m=30.0).select("road", "run", "start_m", "end_m", "length_m")
 
 
-@query(f"""WITH {ST}, s AS (SELECT chainage_m AS c, z_dem_m AS a, sum(CASE WHEN chainage_m - p <= 30 THEN 0 ELSE 1 END) OVER (ORDER BY chainage_m) AS run FROM (SELECT *, lag(chainage_m) OVER (ORDER BY chainage_m) AS p FROM st WHERE stream = 1)),
-b AS (SELECT run, max(a) AS a, min(c) FILTER (WHERE a = m) AS c FROM (SELECT *, max(a) OVER (PARTITION BY run) AS m FROM s) GROUP BY run), x AS (SELECT 400.0 * unnest(range(0, 12)) AS ce)
-SELECT CAST(run AS BIGINT) AS run, c AS chainage_m, a AS acc_km2, CAST(min(abs(ce - c)) AS DOUBLE) AS nearest_m, min(abs(ce - c)) <= 50 AS covered FROM b, x GROUP BY run, c, a""")
+@query(f"""WITH {ST}, s AS (SELECT road, chainage_m AS c, z_dem_m AS a, sum(CASE WHEN chainage_m - p <= 30 THEN 0 ELSE 1 END) OVER (PARTITION BY road ORDER BY chainage_m) AS run FROM (SELECT *, lag(chainage_m) OVER (PARTITION BY road ORDER BY chainage_m) AS p FROM st WHERE stream = 1)),
+b AS (SELECT road, run, max(a) AS a, min(c) FILTER (WHERE a = m) AS c FROM (SELECT *, max(a) OVER (PARTITION BY road, run) AS m FROM s) GROUP BY road, run), x AS (SELECT 400.0 * unnest(range(0, 12)) AS ce)
+SELECT road, CAST(run AS BIGINT) AS run, c AS chainage_m, a AS acc_km2, CAST(min(abs(ce - c)) AS DOUBLE) AS nearest_m, min(abs(ce - c)) <= 50 AS covered FROM b, x GROUP BY road, run, c, a""")
 def road_missing(spark, sf_dir):
-    existing = spark.range(12).select((F.col("id") * 400.0).alias("chainage_m"))
-    return linear.missing_crossings(profile_fixture(spark, sf_dir).withColumn("acc_km2", F.col("z_dem_m")), existing)
+    stations = profile_fixture(spark, sf_dir).withColumn("acc_km2", F.col("z_dem_m"))
+    existing = stations.select("road").distinct().select("road", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).select("road", (F.col("k") * 400.0).alias("chainage_m"))
+    return linear.missing_crossings(stations, existing)
 
 
-@query()
+@query(f"""WITH {ST}, lo AS (SELECT road, min(z_dem_m) AS z FROM st GROUP BY road), ix AS (SELECT st.*, row_number() OVER (PARTITION BY road ORDER BY chainage_m) AS k FROM st),
+b AS (SELECT ix.road, arg_min(k, (ix.z_dem_m, chainage_m)) AS k FROM ix GROUP BY ix.road), r(rise) AS (VALUES (CAST(0.5 AS DOUBLE)), (1.0), (2.0)),
+w AS (SELECT ix.road, rise, lo.z AS bed, ix.k, b.k AS kb, chainage_m AS c, z_dem_m AS v, lo.z + rise AS lv FROM ix JOIN lo USING (road) JOIN b USING (road), r),
+e AS (SELECT road, rise, bed, lv, kb, coalesce(max(k) FILTER (WHERE v > lv AND k < kb), 0) AS l, min(k) FILTER (WHERE v > lv AND k > kb) AS h, max(k) AS n FROM w GROUP BY ALL),
+p AS (SELECT e.*, a.c AS la, a.v AS lav, a2.c AS lb, a2.v AS lbv, z.c AS ra, z.v AS rav, z2.c AS rb, z2.v AS rbv FROM e LEFT JOIN w a ON a.road = e.road AND a.rise = e.rise AND a.k = e.l LEFT JOIN w a2 ON a2.road = e.road AND a2.rise = e.rise AND a2.k = e.l + 1 LEFT JOIN w z ON z.road = e.road AND z.rise = e.rise AND z.k = coalesce(e.h, e.n + 1) - 1 LEFT JOIN w z2 ON z2.road = e.road AND z2.rise = e.rise AND z2.k = e.h)
+SELECT road, rise AS rise_m, round(bed, 6) AS bed_m, round(CASE WHEN l = 0 THEN lb ELSE la + (lv - lav) / (lbv - lav) * (lb - la) END, 6) AS from_m, round(CASE WHEN h IS NULL THEN ra ELSE ra + (lv - rav) / (rbv - rav) * (rb - ra) END, 6) AS to_m, l = 0 AS open_left, h IS NULL AS open_right FROM p""")
 def road_floodplain_widths(spark, sf_dir):
     p = profile_fixture(spark, sf_dir)
-    out = None
-    for rise in (0.5, 1.0, 2.0):
-        low = p.agg(F.min_by("chainage_m", F.struct("z_dem_m", "chainage_m")).alias("c"), F.min("z_dem_m").alias("z")).first()
-        if low.c is None:
-            continue
-        got = linear.run_width(p, low.c, F.lit(low.z + rise)).withColumn("rise_m", F.lit(rise))
-        out = got if out is None else out.union(got)
-    return rounded(out)
+    low = p.groupBy("road").agg(F.min_by("chainage_m", F.struct("z_dem_m", "chainage_m")).alias("chainage_m")).withColumn("uid", F.col("road")).withColumn("area_km2", F.lit(12.0))
+    return rounded(linear.floodplain(p, low, window_m=0.0).select("road", "rise_m", "bed_m", "from_m", "to_m", "open_left", "open_right"))
 
 
 @query()
@@ -145,13 +143,13 @@ def attrs(spark, sf_dir):
 
 
 def shares_sql(column: str = "lc_class") -> str:
-    return ", ".join(f"round(100.0 * count(*) FILTER (WHERE {column} = {k}) / count({column}), 6) AS lc_pct_{k}" for k in (10, 20, 30, 40, 50, 60))
+    return ", ".join(f"round(100.0 * count(*) FILTER (WHERE {column} IN {codes if len(codes) > 1 else f'({codes[0]})'}) / count({column}), 6) AS lc_pct_{k}" for k, codes in H.COVER_GROUPS.items())
 
 
 @query(f"WITH {ATTRS}, {MEM}, cn(lc, g, cn) AS (VALUES {CN}) SELECT outlet, round(avg(cn), 6) AS cn_ii, round(100.0 * count(cn) / count(*), 6) AS cn_coverage_pct, {shares_sql()} FROM member JOIN attrs ON cell_id = id LEFT JOIN cn ON lc = lc_class AND g = hsg GROUP BY outlet")
 def zonal_curve_number(spark, sf_dir):
     cells, member = attrs(spark, sf_dir)
-    return rounded(zonal.runoff_block(zonal.curve_number(cells, zonal.cn_table(spark)), member))
+    return rounded(zonal.runoff_block(zonal.curve_number(cells, zonal.cn_table(spark)), member).drop("cn_export"))
 
 
 @query(f"WITH {ATTRS}, {MEM}, cn(lc, g, cn) AS (VALUES {CN}) SELECT outlet, round(avg(a.cn), 6) AS cn_base, round(avg(b.cn), 6) AS cn_scenario, round(avg(b.cn) - avg(a.cn), 6) AS cn_change FROM member JOIN attrs ON cell_id = id LEFT JOIN cn a ON a.lc = lc_class AND a.g = hsg LEFT JOIN cn b ON b.lc = CASE WHEN lc_class IN (20, 30) THEN 50 ELSE lc_class END AND b.g = hsg GROUP BY outlet")
@@ -159,7 +157,7 @@ def zonal_scenario(spark, sf_dir):
     cells, member = attrs(spark, sf_dir)
     numbers = zonal.cn_table(spark)
     built = cells.withColumn("lc_class", F.when(F.col("lc_class").isin(20, 30), 50).otherwise(F.col("lc_class")))
-    return rounded(zonal.scenario_block(zonal.runoff_block(zonal.curve_number(cells, numbers), member), zonal.runoff_block(zonal.curve_number(built, numbers), member)))
+    return rounded(zonal.scenario_block(zonal.runoff_block(zonal.curve_number(cells, numbers), member), zonal.runoff_block(zonal.curve_number(built, numbers), member)).select("outlet", "cn_base", "cn_scenario", "cn_change"))
 
 
 @query(f"""WITH {ATTRS}, {MEM}, z AS (SELECT outlet, id % 25 AS zone, map_mm FROM member JOIN attrs ON cell_id = id), n AS (SELECT outlet, n_name AS name, count(*) AS n FROM z JOIN nation ON n_nationkey = zone GROUP BY 1, 2),
@@ -169,19 +167,22 @@ SELECT outlet, name AS rain_zone, round(100.0 * n / t, 6) AS rain_zone_pct, m AS
 def zonal_rain_zone(spark, sf_dir):
     cells, member = attrs(spark, sf_dir)
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("zone"), F.col("n_name").alias("name"))
-    return rounded(zonal.rain_block(cells.withColumn("zone", F.col("id") % 25), member, names))
+    return rounded(zonal.rain_block(cells.withColumn("zone", F.col("id") % 25), member, names).select("outlet", "rain_zone", "rain_zone_pct", "n_zones", "map_mm", "r_factor"))
 
 
 UNITS = f"u AS ({GRID_SQL['soil_units']})"
 KW = "(0.2 + 0.3 * exp(-0.0256 * sand * (1 - silt / 100))) * pow(silt / (clay + silt), 0.3) * (1 - 0.25 * oc_pct / (oc_pct + exp(3.72 - 2.95 * oc_pct))) * (1 - 0.7 * (1 - sand / 100) / (1 - sand / 100 + exp(-5.51 + 22.9 * (1 - sand / 100)))) * 0.1317"
-TEX = """CASE WHEN silt + 1.5 * clay < 15 THEN 'sand' WHEN silt + 1.5 * clay >= 15 AND silt + 2 * clay < 30 THEN 'loamy sand'
- WHEN (clay >= 7 AND clay < 20 AND sand > 52 AND silt + 2 * clay >= 30) OR (clay < 7 AND silt < 50 AND silt + 2 * clay >= 30) THEN 'sandy loam' WHEN clay >= 7 AND clay < 27 AND silt >= 28 AND silt < 50 AND sand <= 52 THEN 'loam'
- WHEN (silt >= 50 AND clay >= 12 AND clay < 27) OR (silt >= 50 AND silt < 80 AND clay < 12) THEN 'silt loam' WHEN silt >= 80 AND clay < 12 THEN 'silt' WHEN clay >= 20 AND clay < 35 AND silt < 28 AND sand > 45 THEN 'sandy clay loam'
- WHEN clay >= 27 AND clay < 40 AND sand > 20 AND sand <= 45 THEN 'clay loam' WHEN clay >= 27 AND clay < 40 AND sand <= 20 THEN 'silty clay loam' WHEN clay >= 35 AND sand > 45 THEN 'sandy clay' WHEN clay >= 40 AND silt >= 40 THEN 'silty clay' WHEN clay >= 40 AND sand <= 45 AND silt < 40 THEN 'clay' ELSE 'loam' END"""
+# the triangle as a list of its classes' conditions on fractions of 100, in the order they are tried
+TRIANGLE = (
+    ("sand", "si + 1.5 * cl < 15"), ("loamy sand", "si + 1.5 * cl < 30"), ("sandy loam", "(cl >= 7 AND cl < 20 AND sa > 52 AND si + 2 * cl >= 30) OR (cl < 7 AND si < 50 AND si + 2 * cl >= 30)"), ("loam", "cl >= 7 AND cl < 27 AND si >= 28 AND si < 50 AND sa <= 52"),
+    ("silt loam", "(si >= 50 AND cl >= 12 AND cl < 27) OR (si >= 50 AND si < 80 AND cl < 12)"), ("silt", "si >= 80 AND cl < 12"), ("sandy clay loam", "cl >= 20 AND cl < 35 AND si < 28 AND sa > 45"), ("clay loam", "cl >= 27 AND cl < 40 AND sa > 20 AND sa <= 45"),
+    ("silty clay loam", "cl >= 27 AND cl < 40 AND sa <= 20"), ("sandy clay", "cl >= 35 AND sa > 45"), ("silty clay", "cl >= 40 AND si >= 40"), ("clay", "cl >= 40 AND sa <= 45 AND si < 40"),
+)
+TEX = "(SELECT CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in TRIANGLE) + " ELSE 'loam' END FROM (SELECT 100 * sand / (sand + silt + clay) AS sa, 100 * silt / (sand + silt + clay) AS si, 100 * clay / (sand + silt + clay) AS cl))"
 HSG = "CASE WHEN texture IN ('sand', 'loamy sand') THEN 'A' WHEN texture IN ('sandy loam', 'loam', 'silt loam', 'silt') THEN 'B' WHEN texture = 'sandy clay loam' THEN 'C' ELSE 'D' END"
 
 
-@query(f"WITH {UNITS} SELECT soil_unit, round({KW}, 6) AS k_williams, round(0.0034 + 0.0405 * exp(-0.5 * pow((0.01 * (clay * ln(0.001) + silt * ln(0.026) + sand * ln(1.025)) / ln(10) + 1.659) / 0.7101, 2)), 6) AS k_diameter FROM u")
+@query(f"WITH {UNITS} SELECT soil_unit, round({KW}, 6) AS k_williams, round(0.0034 + 0.0405 * exp(-0.5 * pow(((clay * ln(0.001) + silt * ln(0.026) + sand * ln(1.025)) / (sand + silt + clay) / ln(10) + 1.659) / 0.7101, 2)), 6) AS k_diameter FROM u")
 def soil_k(spark, sf_dir):
     return rounded(zonal.soil_properties(grid(spark, sf_dir, "soil_units")).select("soil_unit", "k_williams", "k_diameter"))
 
@@ -196,7 +197,7 @@ d AS (SELECT outlet, soil_unit FROM j GROUP BY 1, 2 QUALIFY row_number() OVER (P
 SELECT outlet, round(100.0 * count(sand) / count(*), 6) AS soil_coverage_pct, round(avg(sand), 6) AS sand, round(avg(silt), 6) AS silt, round(avg(clay), 6) AS clay, round(avg(oc_pct), 6) AS oc_pct, round(avg(k), 6) AS k_williams, round(100.0 * count(*) FILTER (WHERE g = 'A') / count(g), 6) AS hsg_pct_a, round(100.0 * count(*) FILTER (WHERE g = 'B') / count(g), 6) AS hsg_pct_b, round(100.0 * count(*) FILTER (WHERE g = 'C') / count(g), 6) AS hsg_pct_c, round(100.0 * count(*) FILTER (WHERE g = 'D') / count(g), 6) AS hsg_pct_d, any_value(d.soil_unit) AS dominant_unit FROM j JOIN d USING (outlet) GROUP BY outlet""")
 def zonal_soil(spark, sf_dir):
     cells, member = attrs(spark, sf_dir)
-    return rounded(zonal.soil_block(cells, member, zonal.soil_properties(grid(spark, sf_dir, "soil_units"))))
+    return rounded(zonal.soil_block(cells, member, zonal.soil_properties(grid(spark, sf_dir, "soil_units"))).select("outlet", "soil_coverage_pct", "sand", "silt", "clay", "oc_pct", "k_williams", "hsg_pct_a", "hsg_pct_b", "hsg_pct_c", "hsg_pct_d", "dominant_unit"))
 
 
 @query(f"""WITH {UNITS}, l AS (SELECT soil_unit AS unit, 20.0 * k AS top, 20.0 * k + 20.0 AS bottom, clay + k AS clay FROM u, (VALUES (0), (1), (2)) v(k)), o AS (SELECT unit, clay, least(bottom, 30.0) - greatest(top, 0.0) AS w FROM l) SELECT unit, round(CAST(sum(w * clay) / sum(w) AS DOUBLE), 6) AS clay FROM o WHERE w > 0 GROUP BY unit""")
@@ -248,30 +249,33 @@ def erosion_catchment(spark, sf_dir):
     return rounded(got.select("outlet", "a_mean", "a_p90", "ls_mean", "ls_p90", "ln_spi_p90", F.round("yield_m3", 4).alias("yield_m3")))
 
 
-@query(f"WITH {ATTRS}, x AS (SELECT {cover_case(H.COVER_C)} AS f FROM attrs) SELECT min(f) AS least, max(f) AS most, round(quantile_cont(f, 0.5), 6) AS median, round(quantile_cont(f, 0.995), 6) AS p995, count(f) AS n, min(f) < 0 OR quantile_cont(f, 0.995) > 1 AS implausible FROM x")
+@query(f"WITH {ATTRS}, x AS (SELECT {cover_case(H.COVER_C)} AS f FROM attrs) SELECT min(f) AS least, max(f) AS most, round(quantile_cont(f, 0.5), 6) AS median, round(quantile_cont(f, 0.995), 6) AS p995, count(f) AS n, round(avg(CASE WHEN f IN (10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100) THEN 1.0 ELSE 0.0 END), 6) AS code_share, min(f) < 0 OR quantile_cont(f, 0.995) > 1 AS implausible FROM x")
 def erosion_factor_check(spark, sf_dir):
     cells, _ = attrs(spark, sf_dir)
     return rounded(zonal.check_factor(cells.withColumn("c_factor", H.lookup(F.col("lc_class"), H.COVER_C)), "c_factor", 0, 1))
 
 
-TC_IN = "SELECT s_suppkey AS outlet, CAST(500 + 25 * s_suppkey AS DOUBLE) AS lfp_length_m, 0.01 + 0.0005 * s_suppkey AS lfp_slope_1085, CAST(50 + s_suppkey AS DOUBLE) AS lfp_overland_m, 0.02 + 0.0002 * s_suppkey AS lfp_overland_slope, 0.05 + 0.01 * s_suppkey AS area_km2, 0.05 + 0.001 * s_suppkey AS catch_slope_horn, CAST(55 + s_suppkey % 40 AS DOUBLE) AS cn_ii FROM supplier WHERE s_suppkey < 100"
+TC_IN = "SELECT s_suppkey AS outlet, CAST(500 + 25 * (s_suppkey % 100) AS DOUBLE) AS lfp_length_m, 0.01 + 0.0005 * (s_suppkey % 200) AS lfp_slope_1085, CAST(50 + s_suppkey % 400 AS DOUBLE) AS lfp_overland_m, 0.02 + 0.0002 * (s_suppkey % 100) AS lfp_overland_slope, CAST(100 + s_suppkey % 300 AS DOUBLE) AS lfp_channel_m, 0.03 + 0.0001 * (s_suppkey % 100) AS lfp_channel_slope, 0.05 + 0.01 * (s_suppkey % 900) AS area_km2, 0.05 + 0.001 * (s_suppkey % 100) AS catch_slope_horn, CAST(45 + s_suppkey % 60 AS DOUBLE) AS cn_ii, CAST(0.4 AS DOUBLE) AS kerby_n, CAST(0.24 AS DOUBLE) AS sheet_n, CAST(80.0 AS DOUBLE) AS p2_mm, CAST(3.0 AS DOUBLE) AS xs_area_m2, CAST(6.0 AS DOUBLE) AS xs_perimeter_m FROM supplier"
+FT3 = "3.280839895013123"
 
 
-@query(f"""WITH t AS (SELECT outlet, lfp_length_m AS l, CAST(lfp_slope_1085 AS DOUBLE) AS s, lfp_overland_m AS lo, CAST(lfp_overland_slope AS DOUBLE) AS so, CAST(area_km2 AS DOUBLE) AS a, CAST(catch_slope_horn AS DOUBLE) AS y, cn_ii AS cn FROM ({TC_IN}))
-SELECT outlet, round(0.0195 * pow(l, 0.77) * pow(s, -0.385), 4) AS tc_kirpich, round(1.44 * pow(least(lo, 365.0) * 0.4, 0.467) * pow(so, -0.235), 4) AS tc_kerby, round(100 * pow(l * 3.280839895013123, 0.8) * pow(1000 / cn - 9, 0.7) / (1900 * sqrt(y * 100)), 4) AS tc_scs_lag, round(14.6 * l / 1000 / (pow(a, 0.1) * pow(s * 1000, 0.2)), 4) AS tc_bransby, round(60 * 0.007 * pow(0.24 * least(lo, 30.0) * 3.280839895013123, 0.8) / (sqrt(80.0 / 25.4) * pow(so, 0.4)), 4) AS tc_sheet,
-CASE WHEN a BETWEEN 0.004 AND 0.45 AND s BETWEEN 0.03 AND 0.1 THEN 'within' ELSE 'outside: area or slope' END AS kirpich_range, CASE WHEN a <= 8 AND cn BETWEEN 50 AND 95 THEN 'within' ELSE 'outside: area or curve number' END AS scs_range FROM t""")
+@query(f"""WITH t AS (SELECT outlet, lfp_length_m AS l, CAST(lfp_slope_1085 AS DOUBLE) AS s, lfp_overland_m AS lo, CAST(lfp_overland_slope AS DOUBLE) AS so, lfp_channel_m AS lc, CAST(lfp_channel_slope AS DOUBLE) AS sc, CAST(area_km2 AS DOUBLE) AS a, CAST(catch_slope_horn AS DOUBLE) AS y, cn_ii AS cn FROM ({TC_IN}))
+SELECT outlet, round(0.0195 * pow(l, 0.77) * pow(s, -0.385), 4) AS tc_kirpich, round(1.44 * pow(lo * 0.4, 0.467) * pow(so, -0.235) + 0.0195 * pow(lc, 0.77) * pow(sc, -0.385), 4) AS tc_kerby_kirpich, round(100 * pow(l * {FT3}, 0.8) * pow(1000 / cn - 9, 0.7) / (1900 * sqrt(y * 100)), 4) AS tc_scs_lag, round(14.6 * l / 1000 / (pow(a, 0.1) * pow(s * 1000, 0.2)), 4) AS tc_bransby,
+round(60 * 0.007 * pow(0.24 * least(lo, 30.0) * {FT3}, 0.8) / (sqrt(80.0 / 25.4) * pow(so, 0.4)) + greatest(lo - 30, 0) * {FT3} / (16.1345 * sqrt(so)) / 60 + lc / (pow(0.5, 2.0 / 3) * sqrt(sc) / 0.035) / 60, 4) AS tc_tr55,
+CASE WHEN a BETWEEN 0.004 AND 0.45 AND s BETWEEN 0.03 AND 0.1 THEN 'within' ELSE 'outside: ' || concat_ws('; ', CASE WHEN a NOT BETWEEN 0.004 AND 0.45 THEN 'area' END, CASE WHEN s NOT BETWEEN 0.03 AND 0.1 THEN 'slope' END) END AS kirpich_flag, CASE WHEN lo > 365 THEN 'outside: overland length' ELSE 'within' END AS kerby_kirpich_flag,
+CASE WHEN a <= 8 AND cn BETWEEN 50 AND 95 THEN 'within' ELSE 'outside: ' || concat_ws('; ', CASE WHEN a > 8 THEN 'area' END, CASE WHEN cn NOT BETWEEN 50 AND 95 THEN 'curve number' END) END AS scs_lag_flag FROM t""")
 def tc_methods(spark, sf_dir):
     rows = spark.sql(TC_IN.replace("FROM supplier", "FROM {src}"), src=table(spark, sf_dir, "supplier"))
     rows = rows.select("outlet", *[F.col(c).cast("double") for c in rows.columns[1:]])
     got = zonal.tc_block(rows)
-    return got.select("outlet", *[F.round(c, 4).alias(c) for c in ("tc_kirpich", "tc_kerby", "tc_scs_lag", "tc_bransby", "tc_sheet")], "kirpich_range", "scs_range")
+    return got.select("outlet", *[F.round(c, 4).alias(c) for c in ("tc_kirpich", "tc_kerby_kirpich", "tc_scs_lag", "tc_bransby", "tc_tr55")], "kirpich_flag", "kerby_kirpich_flag", "scs_lag_flag")
 
 
-@query(f"""WITH s AS (SELECT CAST(p_partkey % 20 AS INT) AS outlet, CAST(floor(p_partkey / 20) AS DOUBLE) AS dist, CAST(p_size AS DOUBLE) / 4 AS z FROM part WHERE p_partkey < 800), w AS (SELECT *, lead(dist) OVER o - dist AS dx, lead(z) OVER o AS z2, 5.0 - z AS h1, 5.0 - lead(z) OVER o AS h2 FROM s WINDOW o AS (PARTITION BY outlet ORDER BY dist)),
-v AS (SELECT *, CASE WHEN h1 > 0 AND h2 > 0 THEN 1.0 WHEN h1 > 0 THEN h1 / (h1 - h2) WHEN h2 > 0 THEN h2 / (h2 - h1) ELSE 0.0 END AS f, CASE WHEN h1 > 0 AND h2 > 0 THEN (h1 + h2) / 2 ELSE greatest(h1, h2, 0.0) / 2 END AS d FROM w WHERE dx IS NOT NULL)
+@query(f"""WITH s AS (SELECT CAST(floor(p_partkey / 40) AS INT) AS outlet, CAST(p_partkey % 40 AS DOUBLE) AS dist, CAST(p_size AS DOUBLE) / 4 AS z FROM part), w AS (SELECT *, sum(CASE WHEN z <= 5 THEN 0 ELSE 1 END) OVER o AS run, lead(dist) OVER o - dist AS dx, lead(z) OVER o AS z2, 5.0 - z AS h1, 5.0 - lead(z) OVER o AS h2 FROM s WINDOW o AS (PARTITION BY outlet ORDER BY dist)),
+b AS (SELECT outlet, arg_min(run, (z, dist)) AS run, min(z) AS bed FROM w GROUP BY outlet), v AS (SELECT w.*, CASE WHEN h1 > 0 AND h2 > 0 THEN 1.0 WHEN h1 > 0 THEN h1 / (h1 - h2) WHEN h2 > 0 THEN h2 / (h2 - h1) ELSE 0.0 END AS f, CASE WHEN h1 > 0 AND h2 > 0 THEN (h1 + h2) / 2 ELSE greatest(h1, h2, 0.0) / 2 END AS d FROM w JOIN b ON b.outlet = w.outlet AND b.run = w.run AND bed <= 5 WHERE dx IS NOT NULL)
 SELECT outlet, round(sum(f * dx * d), 6) AS area_m2, round(sum(sqrt(f * dx * f * dx + f * (z2 - z) * f * (z2 - z))), 6) AS perimeter_m, round(sum(f * dx), 6) AS top_m FROM v GROUP BY outlet""")
 def section_hydraulics(spark, sf_dir):
-    s = table(spark, sf_dir, "part").filter("p_partkey < 800").select((F.col("p_partkey") % 20).cast("int").alias("outlet"), F.floor(F.col("p_partkey") / 20).cast("double").alias("dist"), (F.col("p_size").cast("double") / 4).alias("z"))
+    s = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 40).cast("int").alias("outlet"), (F.col("p_partkey") % 40).cast("double").alias("dist"), (F.col("p_size").cast("double") / 4).alias("z"))
     return rounded(zonal.section_hydraulics(s, F.lit(5.0)))
 
 
@@ -311,7 +315,7 @@ def pkg_renumber(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT 'X' || s_suppkey AS u, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE CAST(s_suppkey * 10 AS DOUBLE) END AS ch, s_acctbal AS b, s_nationkey AS n FROM supplier), f AS (SELECT u, ch, 3 AS severity, 'balance below zero' AS finding FROM r WHERE b < 0 UNION ALL SELECT u, ch, 1, 'first nations' FROM r WHERE n < 3)
-SELECT u AS outlet_uid, ch AS chainage_m, severity, finding, 'F' || lpad(CAST(row_number() OVER (ORDER BY severity DESC, ch NULLS LAST, u, finding) AS VARCHAR), 3, '0') AS finding_id FROM f""")
+SELECT u AS outlet_uid, ch AS chainage_m, severity, finding, 'F' || lpad(CAST(row_number() OVER (ORDER BY severity DESC, ch NULLS LAST, u, finding) AS VARCHAR), CAST(greatest(3, length(CAST(count(*) OVER () AS VARCHAR))) AS INT), '0') AS finding_id FROM f""")
 def pkg_register(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     rows = s.select(F.concat(F.lit("X"), F.col("s_suppkey").cast("string")).alias("outlet_uid"), F.when(F.col("s_suppkey") % 6 != 0, F.col("s_suppkey") * 10.0).alias("chainage_m"), "s_acctbal", "s_nationkey")
@@ -322,7 +326,7 @@ def pkg_register(spark, sf_dir):
 def review_depressions(spark, sf_dir):
     cells, info = terrain.dem(spark, sf_dir, "dem_part")
     labels = fill.depression_labels(fill.fill_depth(fill.fill_depressions(cells, info)), info)
-    return rounded(review.depressions(labels, info.cw * info.ch))
+    return rounded(review.depressions(labels, info.cw * info.ch, most=50))
 
 
 @query(f"WITH {ctes('dem_part')}, n AS (SELECT count(*) FILTER (WHERE z < 225 AND abs(c - 20) <= 5) AS tp, count(*) FILTER (WHERE z < 225) AS s, count(*) FILTER (WHERE abs(c - 20) <= 5) AS m FROM g), q AS (SELECT tp / s AS p, tp / m AS r FROM n) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) END, 6) AS f1 FROM q")
@@ -340,7 +344,7 @@ def unc_summary(spark, sf_dir):
 
 @query()
 def unc_realisations(spark, sf_dir):
-    """Mean drop of 20 perturbed surfaces and the base run."""
+    """Mean elevation and relief of 20 perturbed surfaces and the base run."""
     import numpy as np
 
     def measure(z, k):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drainage, fill, graph, stencil
-from ..sources.grids import GRID_SQL, GridInfo, grid, info_of
+from ..sources.grids import GRID_SQL, GridInfo, cut, grid, info_of
 
 ROUND = 6
 # the rows (k, dr, dc, rank) of the eight directions
@@ -120,15 +120,15 @@ def audit_resampling_rows(spark, sf_dir):
     return stencil.repeated_lines(dem(spark, sf_dir, "dem_part")[0], least_overlap=10)
 
 
-@query(f"""WITH {ctes('dem_part')}, q(q) AS (VALUES (CAST(1.0 AS DOUBLE)), (0.5), (0.25), (0.2), (0.1), (0.05), (0.02), (0.01)),
-s AS (SELECT q, avg(CASE WHEN abs(z - round(z / q) * q) <= greatest(0.02 * q, abs(z) * 4.76837158203125e-07) THEN 1.0 ELSE 0.0 END) AS share FROM g, q GROUP BY q) SELECT max(CASE WHEN share >= 0.999 THEN q END) AS quantum FROM s""")
+@query(f"""WITH {ctes('dem_part')}, q(q) AS (VALUES (CAST(1.0 AS DOUBLE)), (0.5), (0.25), (0.2), (0.1), (0.05), (0.02), (0.01)), e AS (SELECT 4 * pow(2.0, floor(log2(max(abs(z)))) - 23) AS e FROM g),
+s AS (SELECT q, avg(CASE WHEN abs(z - round(z / q) * q) <= greatest(0.02 * q, e) THEN 1.0 ELSE 0.0 END) AS share FROM g, q, e GROUP BY q) SELECT max(CASE WHEN share >= 0.999 THEN q END) AS quantum FROM s""")
 def audit_quantum(spark, sf_dir):
     return stencil.vertical_quantum(dem(spark, sf_dir, "dem_part")[0])
 
 
-@query(f"""WITH {ctes('dem_part')}, h AS (SELECT CASE WHEN r = 3 AND c % 4 = 0 THEN CAST(-9999.0 AS DOUBLE) ELSE z END AS z FROM g), v(value) AS (VALUES (CAST(0.0 AS DOUBLE)), (-9999.0), (-32768.0), (CAST(-3.4e38 AS DOUBLE))),
-s AS (SELECT value, CAST(sum(CASE WHEN abs(z - value) <= abs(value) * 1e-6 THEN 1 ELSE 0 END) AS BIGINT) AS n, count(*) AS total, min(CASE WHEN abs(z - value) > abs(value) * 1e-6 THEN z END) AS lo, max(CASE WHEN abs(z - value) > abs(value) * 1e-6 THEN z END) AS hi FROM h, v GROUP BY value)
-SELECT value, n, round(n / total, 6) AS share, coalesce(n > 0.005 * total AND (value < lo OR value > hi) AND least(abs(lo - value), abs(hi - value)) > 0.25 * (hi - lo), false) AS suspect FROM s""")
+@query(f"""WITH {ctes('dem_part')}, h AS (SELECT CASE WHEN r = 3 AND c % 4 = 0 THEN CAST(-9999.0 AS DOUBLE) ELSE z END AS z FROM g), v(value) AS (VALUES (CAST(0.0 AS DOUBLE)), (-9999.0), (-32768.0), (CAST(-3.4028235e38 AS DOUBLE))),
+s AS (SELECT value, CAST(sum(CASE WHEN z = value THEN 1 ELSE 0 END) AS BIGINT) AS n, count(*) AS total, min(CASE WHEN z <> value THEN z END) AS lo, max(CASE WHEN z <> value THEN z END) AS hi FROM h, v GROUP BY value)
+SELECT value, n, round(n / total, 6) AS share, coalesce(n > 0.005 * total AND hi > lo AND lo - value > 0.25 * (hi - lo), false) AS suspect FROM s""")
 def audit_nodata_suspects(spark, sf_dir):
     cells = dem(spark, sf_dir, "dem_part")[0].withColumn("z", F.expr("CASE WHEN r = 3 AND c % 4 = 0 THEN double(-9999.0) ELSE z END"))
     return stencil.nodata_suspects(cells).select("value", "n", F.round("share", ROUND).alias("share"), "suspect")
@@ -145,7 +145,7 @@ def routed(spark, sf_dir, name="dem_orders", conditioned=False):
     else:
         plain = stencil.d8(cells, info).join(cells.select("r", "c", "z"), ["r", "c"])
     acc = graph.flow_accumulation(plain, info)
-    return acc.join(plain.select("r", "c", "z"), ["r", "c"]), info
+    return cut(acc.join(plain.select("r", "c", "z"), ["r", "c"]), "routed"), info
 
 
 @query(f"WITH {ctes('dem_orders')}, {PAIRS}, {D8} SELECT r, c, CAST(dir AS INT) AS dir, CAST(CASE WHEN dir IS NULL THEN 0 ELSE 1 << dir END AS INT) AS code, round(m, 6) AS \"drop\" FROM flow")
@@ -188,14 +188,14 @@ def top_outlets(flow, n=12, least=20):
 
 @query(f"WITH RECURSIVE {ctes('dem_orders')}, {PAIRS}, {D8}, {CLOSURE}, {ACC}, {OUT}, m AS (SELECT outlet, src FROM up JOIN outs ON up.dst = oid UNION ALL SELECT outlet, oid FROM outs) SELECT outlet, count(*) AS n_cells, CAST(sum(src) AS BIGINT) AS id_sum FROM m GROUP BY outlet")
 def drain_catchment_full(spark, sf_dir):
-    flow, _ = routed(spark, sf_dir)
-    return drainage.catchments(flow, top_outlets(flow), full=True).groupBy("outlet").agg(F.count("*").alias("n_cells"), F.sum("id").alias("id_sum"))
+    flow, info = routed(spark, sf_dir)
+    return drainage.catchments(flow, top_outlets(flow), full=True, info=info).groupBy("outlet").agg(F.count("*").alias("n_cells"), F.sum("id").alias("id_sum"))
 
 
 @query(f"WITH RECURSIVE {ctes('dem_orders')}, {PAIRS}, {D8}, {CLOSURE}, {ACC}, {OUT}, m AS (SELECT outlet, src, depth FROM up JOIN outs ON up.dst = oid UNION ALL SELECT outlet, oid, 0 FROM outs), l AS (SELECT src, arg_min(outlet, depth) AS outlet FROM m GROUP BY src) SELECT outlet, count(*) AS n_cells, CAST(sum(src) AS BIGINT) AS id_sum FROM l GROUP BY outlet")
 def drain_catchment_local(spark, sf_dir):
-    flow, _ = routed(spark, sf_dir)
-    return drainage.catchments(flow, top_outlets(flow)).groupBy("outlet").agg(F.count("*").alias("n_cells"), F.sum("id").alias("id_sum"))
+    flow, info = routed(spark, sf_dir)
+    return drainage.catchments(flow, top_outlets(flow), info=info).groupBy("outlet").agg(F.count("*").alias("n_cells"), F.sum("id").alias("id_sum"))
 
 
 CHAR = """SELECT outlet, count(*) AS n_cells, round(count(*) * 900 / 1e6, 6) AS area_km2, max(z) AS elev_max_m, min(z) AS elev_min_m, round(avg(z), 6) AS elev_mean_m, max(z) - min(z) AS relief_m, round(avg(slope), 6) AS catch_slope_horn, round(quantile_cont(slope, 0.5), 6) AS slope_median"""
@@ -206,7 +206,7 @@ def zonal_characteristics(spark, sf_dir):
     flow, info = routed(spark, sf_dir)
     slope = stencil.horn(flow.select("r", "c", "z"), info)
     cells = flow.select("id", "r", "c", "z").join(slope, ["r", "c"])
-    return rounded(drainage.characteristics(cells, drainage.catchments(flow, top_outlets(flow), full=True), info))
+    return rounded(drainage.characteristics(cells, drainage.catchments(flow, top_outlets(flow), full=True, info=info), info))
 
 
 ROOT = "root AS (SELECT src AS id, arg_max(dst, depth) AS root FROM up GROUP BY src), member AS (SELECT flow.cell_id AS id, coalesce(root.root, flow.cell_id) AS root FROM flow LEFT JOIN root ON root.id = flow.cell_id), top AS (SELECT root, count(*) AS n FROM member GROUP BY root ORDER BY n DESC, root LIMIT 20), outs AS (SELECT root AS oid, 'X' || lpad(CAST(row_number() OVER (ORDER BY n DESC, root) AS VARCHAR), 3, '0') AS outlet FROM top)"
@@ -216,7 +216,7 @@ ROOT = "root AS (SELECT src AS id, arg_max(dst, depth) AS root FROM up GROUP BY
 def flow_chain(spark, sf_dir):
     """Routing without flat resolution, then the catchments of the 20 largest terminal cells (interior pits included)."""
     flow, info = routed(spark, sf_dir)
-    root = drainage.roots(flow)
+    root = drainage.roots(flow, info)
     ends = top_outlets(flow.filter("parent is null"), n=20, least=0)
     member = root.join(ends.select(F.col("id").alias("root"), "outlet"), "root").select("outlet", "id")
     slope = stencil.horn(flow.select("r", "c", "z"), info)
@@ -254,26 +254,26 @@ def lfp_split(spark, sf_dir):
 @query(f"""WITH RECURSIVE {ctes('dem_orders')}, {PAIRS}, {D8}, {CLOSURE}, {ACC}, s AS (SELECT cell_id FROM acc WHERE acc >= 50), c AS (SELECT src, dst, depth FROM up UNION ALL SELECT cell_id, cell_id, 0 FROM flow),
 t AS (SELECT src, arg_min(dst, depth) AS dst FROM c JOIN s ON s.cell_id = c.dst GROUP BY src) SELECT flow.cell_id, round(flow.z - b.z, 6) + 0.0 AS hand FROM flow LEFT JOIN t ON t.src = flow.cell_id LEFT JOIN g b ON b.cell_id = t.dst""")
 def drain_hand(spark, sf_dir):
-    flow, _ = routed(spark, sf_dir)
-    return rounded(drainage.hand(flow, flow, drainage.streams(flow, threshold_cells=50)).select(F.col("id").alias("cell_id"), "hand"))
+    flow, info = routed(spark, sf_dir)
+    return rounded(drainage.hand(flow, flow, drainage.streams(flow, threshold_cells=50), info).select(F.col("id").alias("cell_id"), "hand"))
 
 
 @query()
 def drain_strahler(spark, sf_dir):
-    flow, _ = routed(spark, sf_dir)
-    return drainage.strahler(flow, drainage.streams(flow, threshold_cells=20)).select(F.col("id").alias("cell_id"), "order")
+    flow, info = routed(spark, sf_dir)
+    return drainage.strahler(flow, drainage.streams(flow, threshold_cells=20), info).select(F.col("id").alias("cell_id"), "order")
 
 
 @query()
 def drain_reaches(spark, sf_dir):
     flow, info = routed(spark, sf_dir)
-    return rounded(drainage.reaches(flow, flow, drainage.strahler(flow, drainage.streams(flow, threshold_cells=20)), info))
+    return rounded(drainage.reaches(flow, flow, drainage.strahler(flow, drainage.streams(flow, threshold_cells=20), info), info))
 
 
 @query()
 def network_summary(spark, sf_dir):
     flow, info = routed(spark, sf_dir)
-    lines = drainage.reaches(flow, flow, drainage.strahler(flow, drainage.streams(flow, threshold_cells=20)), info)
+    lines = drainage.reaches(flow, flow, drainage.strahler(flow, drainage.streams(flow, threshold_cells=20), info), info)
     return rounded(drainage.network_summary(lines, info.rows * info.cols * info.cell_area_km2))
 
 

@@ -6,6 +6,9 @@ row or a null z. ``GridInfo`` is its georeference: rows grow southwards, ``ch``
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -44,25 +47,50 @@ def info_of(cells: DataFrame, cw: float = 30.0, ch: float = 30.0) -> GridInfo:
     return GridInfo((got.r if got.r is not None else -1) + 1, (got.c if got.c is not None else -1) + 1, cw=cw, ch=ch)
 
 
-def checkpoint_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``; our own where unset)."""
+def scratch(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset: the warehouse, or on a single machine (master ``local``) a folder of our own, deleted at exit."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="fluvispark-grid-"))
-    return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_fluvispark"
+    if "dir" not in _OWN:
+        _OWN["dir"] = tempfile.mkdtemp(prefix="fluvispark-grid-")
+        atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
+    return _OWN["dir"]
 
 
 _OWN: dict[str, str] = {}
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+class State:
+    """The state of a loop, written to the shared folder at each step: cuts its lineage durably. What the step before wrote is deleted."""
+
+    def __init__(self, label: str) -> None:
+        self.label, self.path = label, ""
+
+    def put(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{scratch(spark)}/{self.label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(spark)
+        self.path = path
+        return spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, spark: SparkSession) -> None:
+        if self.path:
+            delete(spark, self.path)
+        self.path = ""
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage of a loop durably."""
-    spark = df.sparkSession
-    path = checkpoint_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back; it stays there as long as the folder."""
+    return State(label).put(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,8 +110,8 @@ GRID_SQL = {
   CAST(p_size % 4 + 1 AS INT) AS hsg, p_brand AS soil_unit, CAST(400.0 + 8.0 * (p_retailprice - 900.0) AS DOUBLE) AS map_mm FROM part""",
     "soil_units": """SELECT p_brand AS soil_unit, CAST(20 + min(p_partkey) % 50 AS DOUBLE) AS sand, CAST(5 + min(p_partkey) % 25 AS DOUBLE) AS clay,
   CAST(75 - min(p_partkey) % 50 - min(p_partkey) % 25 AS DOUBLE) AS silt, CAST(0.5 + (min(p_partkey) % 6) * 0.25 AS DOUBLE) AS oc_pct FROM part GROUP BY p_brand""",
-    "outlets": """SELECT s_suppkey AS fid, CAST(5 + 10 * (s_suppkey % 10) AS DOUBLE) * 30.0 AS x, 0.0 - CAST(8 + 14 * floor(s_suppkey / 10) AS DOUBLE) * 30.0 AS y FROM supplier WHERE s_suppkey < 100""",
-    "stations": """SELECT CAST(event_id AS DOUBLE) * 10.0 AS chainage_m, value AS z_dem_m, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS stream FROM events WHERE event_id < 500""",
+    "outlets": """SELECT s_suppkey AS fid, CAST(5 + 10 * (s_suppkey % 10) AS DOUBLE) * 30.0 + 7.0 * floor(s_suppkey / 100) AS x, 0.0 - CAST(8 + 14 * floor((s_suppkey % 100) / 10) AS DOUBLE) * 30.0 AS y FROM supplier""",
+    "stations": """SELECT CAST(floor(event_id / 500) AS INT) AS road, CAST(event_id % 500 AS DOUBLE) * 10.0 AS chainage_m, value AS z_dem_m, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS stream FROM events""",
 }
 BASE_TABLE = {"dem_part": "part", "dem_orders": "orders", "dem_flat": "part", "attrs": "part", "soil_units": "part", "outlets": "supplier", "stations": "events"}
 
