@@ -78,7 +78,7 @@ def burn(cells: DataFrame, crossings: DataFrame, info: GridInfo, half_m: float =
         cells_ = pd.DataFrame([{"r": r, "c": c, "z": z[r, c]} for r, c in sorted(changed)], columns=["r", "c", "z"])
         return pd.concat([out, cells_]).reindex(columns=[x.split()[0] for x in f"{LOG}, r int, c int, z double".split(", ")])
 
-    got = cut(here.groupBy("g").cogroup(own.select("g", "uid", "pos", "x", "y", "azimuth_deg").groupBy("g")).applyInPandas(run, f"{LOG}, r int, c int, z double"), "burnt")
+    got = cut(here.groupBy("g").cogroup(own.select(*[F.col(c).alias(c) for c in ("g", "uid", "pos", "x", "y", "azimuth_deg")]).groupBy("g")).applyInPandas(run, f"{LOG}, r int, c int, z double"), "burnt")
     low = got.filter("r is not null").select("r", "c", F.col("z").alias("_z"))
     burnt = cells.join(low, ["r", "c"], "left").withColumn("z", F.least("z", F.coalesce("_z", "z"))).drop("_z")
     return burnt, got.filter("uid is not null").select(*[x.split()[0] for x in LOG.split(", ")])

@@ -97,8 +97,8 @@ def locate(points: DataFrame, segments: DataFrame, radius: float = 250.0, within
 
 
 def on_segments(chainages: DataFrame, segments: DataFrame) -> DataFrame:
-    """``chainages`` ([road], chainage_m, ...) with the segment each lies on (the later one at a joint) and its x and y, clamped to the alignment."""
-    rows = by_road(chainages)
+    """``chainages`` ([road], chainage_m, ...) with the segment each lies on (the later one at a joint) and its x and y (in place of columns of these names), clamped to the alignment."""
+    rows = by_road(chainages).drop("seg_id", "part", "x0", "y0", "x1", "y1", "seg_len", "ch0", "x", "y")
     seg = segments.select("road", F.col("ch0").alias("_at"), F.lit(0).alias("_kind"), F.struct("seg_id", "part", "x0", "y0", "x1", "y1", "seg_len", "ch0").alias("_seg"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != "road"])
     own = rows.join(segments.groupBy("road").agg(F.min("ch0").alias("_lo")), "road").select("road", F.greatest("_lo", "chainage_m").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(seg.schema["_seg"].dataType).alias("_seg"), *[c for c in rows.columns if c != "road"])
     w = Window.partitionBy("road").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -161,7 +161,9 @@ def bilinear(points: DataFrame, cells: DataFrame, info: GridInfo, key: str | lis
     inside = F.col("x").between(info.x0, info.x0 + info.cols * info.cw) & F.col("y").between(info.y0 - info.rows * info.ch, info.y0)
     p = points.filter(inside).select(*keys, fc.alias("fc"), fr.alias("fr")).withColumn("c0", F.least(F.floor("fc"), F.lit(max(0, info.cols - 2)))).withColumn("r0", F.least(F.floor("fr"), F.lit(max(0, info.rows - 2))))
     corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    q = p.withColumn("k", corners).select(*keys, F.least(F.col("r0") + F.col("k.i"), F.lit(info.rows - 1)).cast("int").alias("r"), F.least(F.col("c0") + F.col("k.j"), F.lit(info.cols - 1)).cast("int").alias("c"), (F.when(F.col("k.i") == 1, F.col("fr") - F.col("r0")).otherwise(1 - F.col("fr") + F.col("r0")) * F.when(F.col("k.j") == 1, F.col("fc") - F.col("c0")).otherwise(1 - F.col("fc") + F.col("c0"))).alias("w"))
+    i, j = F.col("_corner.i"), F.col("_corner.j")
+    weight = F.when(i == 1, F.col("fr") - F.col("r0")).otherwise(1 - F.col("fr") + F.col("r0")) * F.when(j == 1, F.col("fc") - F.col("c0")).otherwise(1 - F.col("fc") + F.col("c0"))
+    q = p.withColumn("_corner", corners).select(*keys, F.least(F.col("r0") + i, F.lit(info.rows - 1)).cast("int").alias("r"), F.least(F.col("c0") + j, F.lit(info.cols - 1)).cast("int").alias("c"), weight.alias("w"))
     got = q.join(cells.select("r", "c", column), ["r", "c"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col(column)).alias("v"), F.count(column).alias("n"))
     return points.select(*keys).join(got, keys, "left").select(*keys, F.when(F.col("n") == 4, F.col("v")).alias("value"))
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,7 +100,7 @@ def build_records(flow: DataFrame, cells: DataFrame, points: DataFrame, info: Gr
     figures = figures.join(conditioning.truncation(member, cells, outlets, info), "outlet", "left")
     length = F.col("lfp_length_m")
     figures = figures.join(geometry.perimeters(member.select("outlet", F.expr(f"cast(id div {info.cols} as int)").alias("r"), F.expr(f"cast(id % {info.cols} as int)").alias("c")), info), "outlet", "left")
-    figures = figures.withColumn("form_factor", F.when(length > 0, H.form_factor(F.col("area_km2"), length))).withColumn("elongation_ratio", F.when(length > 0, H.elongation(F.col("area_km2"), length))).withColumn("circularity_ratio", H.circularity(F.col("area_km2"), F.col("perimeter_m")))
+    figures = figures.withColumn("form_factor", F.when(length > 0, H.form_factor(F.col("area_km2"), length))).withColumn("elongation_ratio", F.when(length > 0, H.elongation(F.col("area_km2"), length))).withColumn("circularity_ratio", F.when(F.col("perimeter_m") > 0, H.circularity(F.col("area_km2"), F.col("perimeter_m"))))
     if channel_cells:
         begins = drainage.streams(flow, threshold_cells=channel_cells)
         figures = figures.join(drainage.path_split(paths, flow, ground, channel_cells, sheet_cap_m).drop("length_m"), "outlet", "left")
@@ -125,12 +126,9 @@ def build_records(flow: DataFrame, cells: DataFrame, points: DataFrame, info: Gr
 
 
 def _point(x: str, y: str):
-    """Well-known binary of a point, from the bits of its coordinates; JVM-side."""
-    import pandas as pd
+    """Well-known binary of points."""
 
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("binary")
+    @F.pandas_udf("binary")
     def encode(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([geometry.wkb_point(p, q) for p, q in zip(a.tolist(), b.tolist(), strict=True)])
 
