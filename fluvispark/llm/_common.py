@@ -8,6 +8,7 @@ rows Spark puts in a batch.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -67,6 +68,31 @@ def pieces(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     return least if size > 1 << 58 else max(least, -(-size // bytes_each))  # a table from the driver has no size
 
 
+#: Caches that an operator keeps in a worker from task to task.
+SPARE: list[dict] = []
+
+
+def tidy(run):
+    """``run`` over batches; before, caches of other operators are emptied, after, the worker gives back memory it no longer needs. Workers live on and serve other tasks."""
+
+    def wrapped(batches):
+        for cache in SPARE:
+            cache.clear()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
+def pieces_of(batch: pa.RecordBatch, rows: int = 256):
+    """A batch a few rows at a time, so that what is made of them is never all in memory."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

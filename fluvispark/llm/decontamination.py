@@ -185,6 +185,8 @@ def search(index: Lists, terms: np.ndarray, held: np.ndarray, threshold: float)
     """(pieces, scores) of all pieces whose score for the distinct ``terms`` (numbers) reaches the threshold, by block-max WAND; ``held`` is true at these terms."""
     none, threshold = (np.zeros(0, np.int64), np.zeros(0)), threshold - 1e-5
     entries = _ranges(index.lists[terms], index.lists[terms + 1])
+    if not len(entries):
+        return none
     blocks, place = np.unique(index.block[entries], return_inverse=True)
     keep = np.bincount(place, weights=index.block_max[entries], minlength=len(blocks)) + index.light_max[blocks] >= threshold
     if not keep.any():
@@ -223,9 +225,13 @@ def retrieve(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator
     doc_of = np.repeat(np.arange(len(docs)), segments + 1)
     inside = np.arange(n_segments) - base[doc_of] < segments[doc_of]
     held = np.zeros(v, bool)
+    # terms that a segment shares with the next count once in the passage of both
+    again = np.minimum(np.searchsorted(own, own + v), len(own) - 1) if len(own) else own
+    both = np.flatnonzero(own[again] == own + v)
     for lists in index.classes:
         bound = np.bincount(seg, weights=lists.list_max[t], minlength=n_segments + 1)
-        hopeful = np.flatnonzero((bound[:-1] + bound[1:] >= threshold - 1e-6)[:n_segments] & inside)
+        twice = np.bincount(seg[both], weights=lists.list_max[t[both]], minlength=n_segments + 1)
+        hopeful = np.flatnonzero((bound[:-1] + bound[1:] - twice[:-1] >= threshold - 1e-6)[:n_segments] & inside)
         for p in hopeful.tolist():
             lo, hi = first[p], first[min(p + 2, n_segments)] if p + 1 < n_segments else first[p + 1]
             best: dict[int, float] = {}
@@ -282,7 +288,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     indexes = _Parts(benchmark, threshold, max_index_bytes)
     for index in indexes:
         shared = spark.sparkContext.broadcast(index)
-        found = texts.mapInArrow(_search(shared, threshold, overlap, part), OUT)
+        found = texts.mapInArrow(C.tidy(_search(shared, threshold, overlap, part)), OUT)
         if indexes.n > 1:  # searched before the next part is built
             found, _ = C.materialise(found, "matches")
             shared.destroy()
@@ -305,7 +311,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
     indexes, before = _Parts(benchmark, threshold, max_index_bytes), None
     for index in indexes:
         shared = spark.sparkContext.broadcast(index)
-        docs = docs.mapInArrow(keep(shared), docs.schema)
+        docs = docs.mapInArrow(C.tidy(keep(shared)), docs.schema)
         if indexes.n > 1:
             docs, at = C.materialise(docs, "clean")
             shared.destroy()

@@ -128,9 +128,8 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares each row with the next of its bucket; a bucket's closing row only closes it."""
     bucket, block, prints = None, [], []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "closing")]
-        for lo in range(0, batch.num_rows, ROWS):
-            rows = list(zip(*(c[lo : lo + ROWS] for c in columns), strict=True))
+        for part in C.pieces_of(batch, ROWS):
+            rows = list(zip(*(part.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "closing")), strict=True))
             found = fingerprints([r[2] for r in rows])
             for (b, doc_id, text, closing), p in zip(rows, found, strict=True):
                 if b != bucket:

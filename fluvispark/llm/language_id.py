@@ -97,7 +97,7 @@ def gram_spans(starts: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.nda
 
 def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(order, key, lang, n): words and n-grams of each batch, counted before the shuffle."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in C.pieces_of(whole, 1024)):
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
         for lang in sorted(set(langs)):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -137,7 +137,7 @@ def fit(training: DataFrame, max_docs_per_language: int = 3_000, min_count: int
     share = F.element_at(F.map_from_arrays(F.array(*[F.lit(x) for x in languages]), F.array(*[F.lit(-(-max_docs_per_language * steps // docs[x])) for x in languages])), F.col("lang"))
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select("text", "lang")
     number = F.element_at(F.map_from_arrays(F.array(*[F.lit(x) for x in languages]), F.array(*[F.lit(k) for k in range(len(languages))])), F.col("lang"))
-    counts = sample.mapInArrow(_count_units, "order int, key long, lang string, n long").groupBy("order", "key", "lang").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(C.tidy(_count_units), "order int, key long, lang string, n long").groupBy("order", "key", "lang").agg(F.sum("n").alias("n"))
     counts, at = C.materialise(counts.select(F.col("order").cast("byte").alias("order"), "key", number.cast("int").alias("lang"), F.col("n").cast("int").alias("n")), "language-counts")
     totals = {(r.order, r.lang): r.n for r in counts.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect()}
     often = F.sum("n").over(Window.partitionBy("order", "key"))  # a window holds at most one row a language
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNDETERMINED], object)
-        for batch in batches:
+        for batch in (part for whole in batches for part in C.pieces_of(whole)):
             texts = batch.column("text")
             best, share, i = np.full(batch.num_rows, -1), np.zeros(batch.num_rows), 0
             for part in _parts(texts.to_pylist()):
@@ -222,7 +222,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 i += len(part)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(share)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(C.tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def accept(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
@@ -230,14 +230,14 @@ def accept(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in C.pieces_of(whole)):
             keep = []
             for part in _parts(batch.column(batch.schema.get_field_index("text")).to_pylist()):
                 best, share = score_texts(shared.value, part)
                 keep += ((best >= 0) & (share >= min_score)).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.tidy(run), docs.schema)
 
 
 def held_out() -> Column:

@@ -157,7 +157,7 @@ def _verify(threshold: float):
 def _linked(pairs: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     one, other = (full.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "ha", "hb").mapInArrow(_verify(threshold), "a long, b long")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "ha", "hb").mapInArrow(C.tidy(_verify(threshold)), "a long, b long")
 
 
 def _alike(n: str | Column, other: str | Column, threshold: float) -> Column:
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches, _ = C.materialise(
-        docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"), "sketches"
+        docs.mapInArrow(C.tidy(_sketch(width)), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"), "sketches"
     )
     # one representative per set of shingles
     sets, _ = C.materialise(
@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     members = kept(banded.join(shared, "bucket").select("bucket", "m", "n"), "buckets")
     nodes = kept(members.select(F.col("m").alias("id")).distinct(), "nodes")
     texts = docs.join(nodes, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
-    full = kept(texts.mapInArrow(_full_sets(width), "id long, hashes binary"), "full-sets")
+    full = kept(texts.mapInArrow(C.tidy(_full_sets(width)), "id long, hashes binary"), "full-sets")
 
     def unsettled(labels: DataFrame) -> DataFrame:
         """The members of buckets that hold several components, with their component as ``c``."""
@@ -379,7 +379,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     counts = loose.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket", "count", "shingles")
     loose = loose.join(counts, "bucket")
     few = loose.filter(F.col("count") <= RUN).join(sets.select(F.col("rep").alias("m"), "sig"), "m").select("bucket", "m", "n", "c", "sig")
-    pairs = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_runs(threshold), "a long, b long").distinct()
+    pairs = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy(_in_runs(threshold)), "a long, b long").distinct()
     tasks = tasks.union(_within_buckets(loose.filter(F.col("count") > RUN)))
     found = tasks.join(full, "id").groupBy("kind", "key", "bi", "bj").applyInArrow(_blocks(threshold), "a long, b long")
     links = links.union(kept(_linked(pairs, full, threshold).union(found), "links"))

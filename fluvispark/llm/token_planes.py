@@ -16,7 +16,7 @@ shards' totals, one number a shard.
 
 Tokenising. Byte-level BPE never joins symbols across its pre-tokens, and a pre-token never holds
 a space after its first character; so a text is cut at single spaces and each distinct piece is
-encoded once per worker by the library's model, through bounded caches (pieces of letters; others are put together from cached ones). Pieces with anything but
+encoded once per worker by the library's model, through bounded caches. Pieces with anything but
 printable ASCII, line feeds and Latin letters go to the full tokenizer, as does a text with odd
 white space, and every text if the file has other settings than plain byte-level BPE.
 
@@ -47,7 +47,7 @@ from . import _common as C
 MAGIC = b"BPSH1"
 BLOCK = 16_384
 CHUNK_IDS = 1 << 20
-CACHE_PIECES, CACHE_WORDS = 400_000, 100_000
+CACHE_PIECES, CACHE_WORDS = 1_200_000, 100_000
 
 
 # --- the format ----------------------------------------------------------------------------
@@ -161,15 +161,16 @@ class Encoder:
 
 
 class _Cache(dict):
-    """Values of ``make`` by key, emptied when it holds ``most``; only short keys of letters, and marks, are kept."""
+    """Values of ``make`` by key, emptied when it holds ``most``, and when the worker turns to another operator; long keys are not kept."""
 
     def __init__(self, make, most: int) -> None:
         super().__init__()
         self.make, self.most = make, most
+        C.SPARE.append(self)
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
-        if len(key) <= 3 or len(key) <= 64 and key.lstrip(" ").isalpha():
+        if len(key) <= 64:
             if len(self) >= self.most:
                 self.clear()
             self[key] = value
