@@ -297,7 +297,7 @@ def fill_sql(select: str, eps: str = "0.0") -> str:
 
 @query(fill_sql("SELECT g.r, g.c, f.f AS filled, f.f > g.z AS raised FROM f JOIN g USING (cell_id)"))
 def fill_depressions(spark, sf_dir):
-    return fill.fill_depressions(*dem(spark, sf_dir, "dem_part"), tile=16).select("r", "c", "filled", "raised")
+    return fill.fill_depressions(*dem(spark, sf_dir, "dem_part")).select("r", "c", "filled", "raised")
 
 
 @query(fill_sql("SELECT g.r, g.c, round(f.f - g.z, 6) AS depth FROM f JOIN g USING (cell_id)"))
