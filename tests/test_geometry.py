@@ -24,11 +24,6 @@ def test_line_cells_touch():
         assert all(max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1 for p, q in zip(cells, cells[1:]))
 
 
-def test_breach_never_raises():
-    z = np.random.default_rng(3).random((6, 6))
-    assert (G.breach(z, (0, 0), (5, 4)) <= z).all()
-
-
 def test_wkb_round_trip():
     ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
     assert G.parse_wkb(G.wkb_point(1.5, 2.5)) == ("Point", (1.5, 2.5))
