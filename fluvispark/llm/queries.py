@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, pii, quality, token_planes, url_filters
+from . import conversation_repair, decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, packing, pii, quality, token_planes, url_filters, vector_codes
 
 
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +73,24 @@ def op10_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(C.table(spark, sf_dir, "pages"), rules)
 
 
+def op11_va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.fit(vectors)
+    coded, _ = C.materialise(vector_codes.encode(vectors, books, carry=("label",)), "vector-codes")
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def op12_tight_arc_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = C.table(spark, sf_dir, "conversations")
+    return conversation_repair.audit(conversation_repair.damaged(conversations), conversations)
+
+
+def op13_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(C.table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_weak_label_quality, op2_wand_decontamination, op3_temperature_mixing, op4_word_first_language, op5_line_window_dedup, op6_token_planes, op7_densified_fingerprints, op8_boosted_pii, op9_minmax_near_dedup, op10_url_sweep)
+    f.__name__: f for f in (op1_weak_label_quality, op2_wand_decontamination, op3_temperature_mixing, op4_word_first_language, op5_line_window_dedup, op6_token_planes, op7_densified_fingerprints, op8_boosted_pii, op9_minmax_near_dedup, op10_url_sweep, op11_va_file_codes, op12_tight_arc_repair, op13_configuration_packing)
 }
 
 OP10_SQL = r"""
@@ -133,4 +149,34 @@ WITH l AS (
 SELECT documents.doc_id, c.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents LEFT JOIN c USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_line_window_dedup": OP5_SQL, "op9_minmax_near_dedup": OP9_SQL, "op10_url_sweep": OP10_SQL}
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """k-means of the parts, a table of assignments and one of codebooks a round; the distances are whole numbers that a double holds."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, p.part, p.s, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (
+    SELECT vec_id, p.part, p.s, e, list_dot_product(p.s, p.s) - 2 * list_dot_product(p.s, b.s) + list_dot_product(b.s, b.s) AS d FROM p JOIN b{k} b ON b.part = p.part
+  ) p GROUP BY vec_id, p.part, p.s
+)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (
+  SELECT part, e, list(m ORDER BY i) AS s FROM (
+    SELECT part, e, i, CAST((t - ((t % n) + n) % n) // n AS DOUBLE) AS m FROM (
+      SELECT part, e, i, sum(CAST(s[i] AS BIGINT)) AS t, count(*) AS n FROM a{k}, range(1, 17) AS r(i) GROUP BY part, e, i)) GROUP BY part, e
+), b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m.s, b.s) AS s FROM b{k} b LEFT JOIN m{k} m USING (part, e))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), p AS MATERIALIZED (SELECT vec_id, k AS part, v[16 * k + 1 : 16 * k + 16] AS s FROM kept, range(4) AS r(k)
+), b0 AS MATERIALIZED (SELECT part, e, s FROM (SELECT part, s, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e FROM p) WHERE e < 256
+), {", ".join(steps)}, c AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+), h AS (SELECT sha256(string_agg(CAST(CAST(s[i] AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM b{rounds}, range(1, 17) AS r(i))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN kept USING (vec_id), h
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_va_file_codes": _op11_sql(), "op5_line_window_dedup": OP5_SQL, "op9_minmax_near_dedup": OP9_SQL, "op10_url_sweep": OP10_SQL}
