@@ -2,7 +2,7 @@
 
 Method. Pieces of one length are alike, so the problem is one over the histogram of lengths (at most ``capacity`` rows). Lengths are put into
 classes of ``UNIT`` tokens (rounded up) and a configuration linear program over the classes is solved by multiplicative weights: a class's
-weight is its size (to a power a little above 1) times exp(-ETA * share covered so far); a knapsack dynamic program finds the configuration of greatest
+weight is its size squared times exp(-ETA * share covered so far); a knapsack dynamic program finds the configuration of greatest
 weight among classes that still have demand; it is taken as often as half of what its scarcest class has left allows, and the weights follow.
 Every step halves a class, so the steps are at most classes x log2(pieces). Then the solution is rounded: each configuration that all but fills a sequence is
 realised its whole number of times with lengths of its classes, all but its smallest member; what is left (those smallest members,
@@ -43,7 +43,9 @@ from .token_planes import _Cache
 CAPACITY = 4096
 #: classes of so many tokens; how fast weights fall; how much more a large piece weighs than its size says; the share of a sequence that a configuration
 #: must fill to be used; the share up to which a piece is left to best fit
-UNIT, ETA, BEND, FULL, SAND = 16, 1.0, 1.3, 63 / 64, 1 / 16
+UNIT, ETA, BEND, FULL, SAND = 16, 0.3, 2.0, 63 / 64, 1 / 16
+#: up to so many different lengths, each is a class of its own
+FEW = 64
 CACHE_WORDS = 600_000
 
 
@@ -224,6 +226,8 @@ class _Open:
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths in order, number of sequences)] that hold exactly the pieces of ``histogram`` (length: count)."""
     left = {length: n for length, n in histogram.items() if n > 0}
+    if len(left) <= FEW:
+        unit = 1
     open_ = _Open(capacity)
     classes: dict[int, list[int]] = {}
     demand: Counter[int] = Counter()
