@@ -1,6 +1,6 @@
 """Vector geometry of zones: outlines of cell masks, rasterised polygons and lines.
 
-Each zone is one group: its edges meet in one task, whose size is that of the zone's outline.
+Outlines are traced in tiles (``rings``); only what is one cell of a result, a geometry's bytes, comes together.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.grids import GridInfo
+from . import rings
 
 
 def outline(mask: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed rings of grid corners (row, col) around 4-connected cells, the cells on the right-hand side; corners where two cells touch split rings."""
+    """Of a small mask, the plain way: closed rings of grid corners (row, col) around 4-connected cells, the cells on the right-hand side; corners where two cells touch split rings."""
     step: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for r, c in mask:
         for inside, a, b in (((r - 1, c), (r, c), (r, c + 1)), ((r, c + 1), (r, c + 1), (r + 1, c + 1)), ((r + 1, c), (r + 1, c + 1), (r + 1, c)), ((r, c - 1), (r + 1, c), (r, c))):
@@ -48,60 +49,34 @@ def signed_area(ring: list[tuple[float, float]]) -> float:
     return float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y) / 2)
 
 
-def zone_outlines(member: DataFrame, info: GridInfo) -> DataFrame:
-    """(outlet, ring, hole, area_m2, xs, ys) of the zones of ``member`` (outlet, r, c)."""
+def zone_outlines(member: DataFrame, info: GridInfo, tile: int = 256) -> DataFrame:
+    """(outlet, ring, part, hole, area_m2, xs, ys): a row a ring of the zones of ``member`` (outlet, r, c); see ``rings.trace``. A ring's vertices are one row; with ``trace`` itself they are a table."""
+    found, vertices = rings.trace(member, info, tile)
+    corner = lambda name, column, v: F.transform("corners", lambda p: column(p[v])).alias(name)
+    whole = vertices.groupBy("outlet", "ring").agg(F.array_sort(F.collect_list(F.struct("pos", "r", "c"))).alias("corners"))
+    xy = whole.select(F.col("outlet").alias("z"), F.col("ring").alias("k"), corner("xs", lambda c: F.lit(info.x0) + c * info.cw, "c"), corner("ys", lambda r: F.lit(info.y0) - r * info.ch, "r"))
+    both = found.join(xy, found["outlet"].eqNullSafe(F.col("z")) & (found["ring"] == F.col("k")))
+    return both.select("outlet", "ring", "part", "hole", (F.abs("cells") * (info.cw * info.ch)).alias("area_m2"), "xs", "ys")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for k, ring in enumerate(outline(set(zip(pdf.r.tolist(), pdf.c.tolist(), strict=True)))):
-            xy = [(info.x0 + c * info.cw, info.y0 - r * info.ch) for r, c in ring]
-            area = signed_area(xy)
-            # traced clockwise around cells, so holes come out anticlockwise
-            rows.append((key[0], k, area > 0, abs(area), [p[0] for p in xy], [p[1] for p in xy]))
-        return pd.DataFrame(rows, columns=["outlet", "ring", "hole", "area_m2", "xs", "ys"])
 
-    kind = member.schema["outlet"].dataType.simpleString()
-    return member.select("outlet", "r", "c").groupBy("outlet").applyInPandas(run, f"outlet {kind}, ring int, hole boolean, area_m2 double, xs array<double>, ys array<double>")
-
-
-def _within(point: tuple[float, float], ring: list[tuple[float, float]]) -> bool:
-    inside = False
-    for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True):
-        if (y0 <= point[1]) != (y1 <= point[1]) and point[0] < x0 + (point[1] - y0) * (x1 - x0) / (y1 - y0):
-            inside = not inside
-    return inside
-
-
-def assemble(mask: set[tuple[int, int]], info: GridInfo) -> list[list[list[tuple[float, float]]]]:
-    """Polygons of 4-connected cells: anticlockwise outer rings, largest first (then by their first vertex), each with its clockwise holes; a hole belongs to the smallest ring around it."""
-    outer, holes = [], []
-    for ring in outline(mask):
-        xy = [(info.x0 + c * info.cw, info.y0 - r * info.ch) for r, c in ring]
-        area = signed_area(xy)
-        # cells lie to the right of traced rings: those around cells run clockwise
-        (holes if area > 0 else outer).append((abs(area), xy[::-1]))
-    outer.sort(key=lambda o: (-o[0], o[1][0]))
-    parts = [[ring] for _, ring in outer]
-    for area, ring in holes:
-        # a point just inside the hole, beside its first edge
-        (x0, y0), (x1, y1) = ring[0], ring[1]
-        d = 0.25 * min(info.cw, info.ch) / max(abs(x1 - x0) + abs(y1 - y0), 1e-12)
-        at = ((x0 + x1) / 2 + (y1 - y0) * d, (y0 + y1) / 2 - (x1 - x0) * d)
-        around = [(a, k) for k, (a, o) in enumerate(outer) if a > area and _within(at, o)]
-        parts[min(around)[1]].append(ring)
-    return parts
-
-
-def zone_polygons(member: DataFrame, info: GridInfo) -> DataFrame:
-    """(outlet, area_m2, n_parts, n_vertices, wkb): the cells of each zone of ``member`` (outlet, r, c) as one multipolygon; the area is exact."""
+def zone_polygons(member: DataFrame, info: GridInfo, tile: int = 256) -> DataFrame:
+    """(outlet, area_m2, n_parts, n_holes, n_vertices, wkb): the cells of each zone of ``member`` (outlet, r, c) as one multipolygon; the area is exact.
+
+    Parts are 4-connected, largest first, each with its holes. Only the rings' vertices, whose bytes are the result, come together by zone.
+    """
+    outlines = zone_outlines(member, info, tile)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = assemble(set(zip(pdf.r.tolist(), pdf.c.tolist(), strict=True)), info)
-        area = sum(signed_area(ring) for part in parts for ring in part)
-        return pd.DataFrame({"outlet": [key[0]], "area_m2": [area], "n_parts": [len(parts)], "n_vertices": [sum(len(ring) + 1 for part in parts for ring in part)], "wkb": [wkb_multipolygon(parts)]})
+        pdf = pdf.sort_values(["hole", "area_m2", "ring"], ascending=[True, False, True])
+        parts: dict[int, list] = {}
+        for part, xs, ys in zip(pdf["part"].tolist(), pdf["xs"].tolist(), pdf["ys"].tolist(), strict=True):
+            parts.setdefault(part, []).append(list(zip(xs, ys, strict=True)))
+        return pd.DataFrame({"outlet": [key[1]], "n_parts": [len(parts)], "n_holes": [int(pdf.hole.sum())], "n_vertices": [sum(len(x) + 1 for x in pdf["xs"])], "wkb": [wkb_multipolygon(list(parts.values()))]})
 
     kind = member.schema["outlet"].dataType.simpleString()
-    return member.select("outlet", "r", "c").groupBy("outlet").applyInPandas(run, f"outlet {kind}, area_m2 double, n_parts int, n_vertices int, wkb binary")
+    shapes = outlines.withColumn("none", F.col("outlet").isNull()).groupBy("none", "outlet").applyInPandas(run, f"outlet {kind}, n_parts int, n_holes int, n_vertices int, wkb binary")
+    areas = member.select("outlet", "r", "c").distinct().groupBy(F.col("outlet").alias("z")).agg((F.count("*") * (info.cw * info.ch)).alias("area_m2"))
+    return shapes.join(areas, F.col("outlet").eqNullSafe(F.col("z"))).select("outlet", "area_m2", "n_parts", "n_holes", "n_vertices", "wkb")
 
 
 def path_lines(paths: DataFrame, info: GridInfo, key: str = "outlet", down: bool = True) -> DataFrame:

@@ -1,164 +1,133 @@
-"""Grids in TIFF files: cell tables from them, and files from cell tables.
+"""Grids in TIFF files: cell tables from them, files from cell tables, and other grids on this one.
 
-A file is decoded by the task that holds it, a strip or tile of it at a time. What is read: classic TIFF, strips or tiles, uncompressed or deflate, predictors
-1 to 3, one sample of 8 to 64 bits, georeferenced by scale and tie point, north up. A large grid is best kept in many files, which also are read in parallel.
+Files are read by ``tiff.TiffCells``, a source whose partitions are runs of a file's blocks; files in a store that only Spark reaches are read whole, a file a task.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import math
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grids import GridInfo
+from .tiff import KINDS, RasterError, Stored, Tiff, TiffCells, placed, store_of, valid
 
-# fixed values: numbers of TIFF and GeoTIFF tags, sizes and letters of its types
-TAGS = {"cols": 256, "rows": 257, "bits": 258, "compression": 259, "offsets": 273, "samples": 277, "per_strip": 278, "counts": 279, "planar": 284, "predictor": 317, "tile_w": 322, "tile_h": 323, "tile_offsets": 324, "tile_counts": 325, "format": 339, "scale": 33550, "tie": 33922, "matrix": 34264, "keys": 34735, "metadata": 42112, "nodata": 42113}
-KINDS = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 11: (4, "f"), 12: (8, "d")}
-
-
-class RasterError(ValueError):
-    pass
-
-
-class Tiff:
-    """The header of a file's content, and its blocks."""
-
-    def __init__(self, data: bytes) -> None:
-        self.data = data
-        if data[:4] not in (b"II*\0", b"MM\0*"):
-            raise RasterError("not a classic TIFF file")
-        self.order = "<" if data[:2] == b"II" else ">"
-        (at,) = struct.unpack_from(self.order + "I", data, 4)
-        (n,) = struct.unpack_from(self.order + "H", data, at)
-        found = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(self.order + "HHI", data, at + 2 + 12 * k)
-            if kind in KINDS:
-                size, letter = KINDS[kind]
-                place = at + 10 + 12 * k
-                if size * count > 4:
-                    (place,) = struct.unpack_from(self.order + "I", data, place)
-                found[tag] = data[place : place + count].split(b"\0")[0].decode("latin-1") if kind == 2 else struct.unpack_from(f"{self.order}{count}{letter}", data, place)
-        self.tag = {name: found.get(number) for name, number in TAGS.items()}
-        one = lambda name, default=None: default if self.tag[name] is None else self.tag[name][0]
-        self.rows, self.cols = one("rows"), one("cols")
-        self.compression, self.predictor = one("compression", 1), one("predictor", 1)
-        if self.compression not in (1, 8, 32946):
-            raise RasterError(f"compression {self.compression} is not read")
-        if one("samples", 1) != 1:
-            raise RasterError("more than one band")
-        letter = {1: "u", 2: "i", 3: "f"}[one("format", 1)]
-        self.kind = np.dtype(f"{self.order}{letter}{one('bits', 8) // 8}")
-        self._georeference()
-        self.tags = dict(re.findall(r'<Item name="([^"]*)"[^>]*>([^<]*)</Item>', self.tag["metadata"] or ""))
-        self.nodata = float(self.tag["nodata"]) if self.tag["nodata"] not in (None, "") else None
-        keys = self.tag["keys"] or ()
-        codes = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4)}
-        self.epsg = codes.get(3072) or codes.get(2048)
-        self.projected = 3072 in codes
-
-    def _georeference(self) -> None:
-        if self.tag["matrix"]:
-            m = self.tag["matrix"]
-            cw, rx, x0, ry, ch, y0 = m[0], m[1], m[3], m[4], m[5], m[7]
-        elif self.tag["scale"] and self.tag["tie"]:
-            (sx, sy), t = self.tag["scale"][:2], self.tag["tie"]
-            cw, ch, rx, ry, x0, y0 = sx, -sy, 0.0, 0.0, t[3] - t[0] * sx, t[4] + t[1] * sy
-        else:
-            raise RasterError("the file has no georeference")
-        if abs(rx) > 1e-9 or abs(ry) > 1e-9:
-            raise RasterError("the grid is rotated or skewed; a north-up grid is needed")
-        if cw <= 0 or ch >= 0:
-            raise RasterError("the grid does not run from west to east and from north to south")
-        self.info = GridInfo(self.rows, self.cols, x0, y0, cw, -ch)
-
-    def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(first row, first column, values) of each strip or tile."""
-        tiled = self.tag["tile_offsets"] is not None
-        offsets, counts = (self.tag["tile_offsets"], self.tag["tile_counts"]) if tiled else (self.tag["offsets"], self.tag["counts"])
-        h, w = (self.tag["tile_h"][0], self.tag["tile_w"][0]) if tiled else ((self.tag["per_strip"] or (self.rows,))[0], self.cols)
-        across = -(-self.cols // w)
-        for k, (at, size) in enumerate(zip(offsets, counts, strict=True)):
-            r, c = k // across * h, k % across * w
-            raw = self.data[at : at + size]
-            raw = raw if self.compression == 1 else zlib.decompress(raw)
-            height = h if tiled else min(h, self.rows - r)
-            yield r, c, self._values(raw, height, w)[: self.rows - r, : self.cols - c]
-
-    def _values(self, raw: bytes, h: int, w: int) -> np.ndarray:
-        size = self.kind.itemsize
-        if self.predictor == 3:  # bytes of like significance side by side, differences along the row
-            b = np.cumsum(np.frombuffer(raw, np.uint8, h * w * size).reshape(h, w * size), axis=1, dtype=np.uint8)
-            b = b.reshape(h, size, w).transpose(0, 2, 1)
-            return np.ascontiguousarray(b).view(f">f{size}")[:, :, 0]
-        a = np.frombuffer(raw, self.kind, h * w).reshape(h, w)
-        if self.predictor == 2:
-            whole = a.view(self.kind.str.replace("f", "u")) if self.kind.kind == "f" else a
-            return np.cumsum(whole, axis=1, dtype=whole.dtype).view(self.kind)
-        return a
-
-
-HEADER = "path string, rows int, cols int, x0 double, y0 double, cw double, ch double, nodata double, epsg int, projected boolean, tags map<string,string>"
+HEADER = "path string, rows int, cols int, bands int, blocks int, x0 double, y0 double, cw double, ch double, nodata double, epsg int, projected boolean, tags map<string,string>"
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the files at ``path``: a file, a folder or a pattern, in any store Spark reads; their content is not."""
+    return spark.read.format("binaryFile").load(path).select("path", "length").select("path")
+
+
+def _reached(path: str) -> bool:
+    """Whether tasks can read ranges of the file themselves."""
+    try:
+        store_of(path)
+    except Exception:  # no file system of Arrow's for it
+        return False
+    return True
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """A row a file: its size, georeference, NoData value, coordinate system and tags."""
+    """A row a file: its size, bands, blocks, georeference, NoData value, coordinate system and tags; only the files' directories are read."""
+    files = listing(spark, path)
+    first = files.first()
+    ranges = first is not None and _reached(first.path)
+    files = files if ranges else spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, p in enumerate(pdf.path.tolist()):
+                t = Tiff(Stored(p) if ranges else bytes(pdf.content.iloc[k]))
+                i = t.info
+                rows.append({"path": p, "rows": i.rows, "cols": i.cols, "bands": t.samples, "blocks": t.across * t.down, "x0": i.x0, "y0": i.y0, "cw": i.cw, "ch": i.ch, "nodata": t.nodata, "epsg": t.epsg, "projected": t.projected, "tags": t.tags})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER.split(", ")])
+
+    return files.mapInPandas(run, HEADER)
+
+
+def cells_of(spark: SparkSession, paths: list[str], bands: tuple[int, ...] = (1,), window: tuple[int, int, int, int] | None = None, origin: tuple[float, float] | None = None, nodata: float | None = None, run_bytes: int = 32 << 20) -> DataFrame:
+    """(path, band, r, c, z) of the valid cells of files, read by their blocks; see ``tiff.TiffCells``."""
+    spark.dataSource.register(TiffCells)
+    options = {"paths": json.dumps(paths), "bands": ",".join(map(str, bands)), "run_bytes": str(run_bytes), "push": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")}
+    if window is not None:
+        options["window"] = ",".join(map(str, window))
+    if origin is not None:
+        options["origin"] = f"{origin[0]!r},{origin[1]!r}"
+    if nodata is not None:
+        options["nodata"] = repr(float(nodata))
+    return spark.read.format("tiff_cells").options(**options).load()
+
+
+def _cells_of_whole(spark: SparkSession, path: str, bands: tuple[int, ...], window, origin: tuple[float, float], nodata: float | None) -> DataFrame:
+    """As ``cells_of``, of files that only Spark can read, each by one task."""
+    r0, r1, c0, c1 = window or (0, 1 << 40, 0, 1 << 40)
 
     def run(batches):
         for pdf in batches:
             for p, data in zip(pdf.path.tolist(), pdf.content.tolist(), strict=True):
                 t = Tiff(bytes(data))
-                i = t.info
-                yield pd.DataFrame([{"path": p, "rows": i.rows, "cols": i.cols, "x0": i.x0, "y0": i.y0, "cw": i.cw, "ch": i.ch, "nodata": t.nodata, "epsg": t.epsg, "projected": t.projected, "tags": t.tags}])
+                dr, dc = placed(t.info, *origin)
+                for k in range(t.across * t.down):
+                    r, c, values = t.block(k, bands)
+                    for band, a in zip(bands, values, strict=True):
+                        i, j = np.nonzero(valid(a, (t.nodata, nodata)))
+                        own = pd.DataFrame({"path": p, "band": band, "r": i + r + dr, "c": j + c + dc, "z": a[i, j].astype(float)})
+                        yield own[(own.r >= r0) & (own.r < r1) & (own.c >= c0) & (own.c < c1)]
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, HEADER)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, band int, r int, c int, z double")
 
 
-def read_grid(spark: SparkSession, path: str, nodata: float | None = None) -> tuple[DataFrame, GridInfo]:
+def read_grid(spark: SparkSession, path: str, nodata: float | None = None, band: int = 1, window: tuple[int, int, int, int] | None = None, run_bytes: int = 32 << 20) -> tuple[DataFrame, GridInfo]:
     """(cells (r, c, z), georeference) of one file or of several on one grid; where files overlap, the last by path that has a value wins.
 
-    Cells are valid if finite and neither the file's NoData value nor ``nodata``; the others have no row. An error if there are none.
+    Cells are valid if finite and neither the file's NoData value nor ``nodata``; the others have no row. An error if there are none. ``window``: only rows from the first
+    to before the second number, and columns likewise, on the common grid.
     """
     found = headers(spark, path).orderBy("path").collect()  # one row a file
     if not found:
         raise RasterError(f"no file at {path}")
     cw, ch = found[0].cw, found[0].ch
     x0, y0 = min(h.x0 for h in found), max(h.y0 for h in found)
-    place = {}
-    for h in found:
-        r, c = (y0 - h.y0) / ch, (h.x0 - x0) / cw
-        if abs(h.cw - cw) > 1e-9 * cw or abs(h.ch - ch) > 1e-9 * ch or abs(r - round(r)) > 1e-6 or abs(c - round(c)) > 1e-6:
-            raise RasterError("the files are not on one grid")
-        place[h.path] = (round(r), round(c))
-    info = GridInfo(max(place[h.path][0] + h.rows for h in found), max(place[h.path][1] + h.cols for h in found), x0, y0, cw, ch)
-
-    def run(batches):
-        for pdf in batches:
-            for p, data in zip(pdf.path.tolist(), pdf.content.tolist(), strict=True):
-                t, (r0, c0) = Tiff(bytes(data)), place[p]
-                for r, c, a in t.blocks():
-                    z = a.astype(float)
-                    ok = np.isfinite(z)
-                    for bad in (t.nodata, nodata):
-                        if bad is not None:
-                            ok &= (a != np.array(bad).astype(a.dtype)) if a.dtype.kind == "f" else (z != bad)
-                    i, j = np.nonzero(ok)
-                    yield pd.DataFrame({"path": p, "r": i + r + r0, "c": j + c + c0, "z": z[i, j]})
-
-    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, r int, c int, z double")
-    cells = cells.drop("path") if len(found) == 1 else cells.groupBy("r", "c").agg(F.max_by("z", "path").alias("z"))
-    if not cells.limit(1).count():
+    if any(abs(h.cw - cw) > 1e-9 * cw or abs(h.ch - ch) > 1e-9 * ch for h in found):
+        raise RasterError("the files are not on one grid")
+    place = [(*placed(GridInfo(h.rows, h.cols, h.x0, h.y0, cw, ch), x0, y0), h.rows, h.cols) for h in found]
+    info = GridInfo(max(r + rows for r, _, rows, _ in place), max(c + cols for _, c, _, cols in place), x0, y0, cw, ch)
+    if _reached(found[0].path):
+        cells = cells_of(spark, [h.path for h in found], (band,), window, (x0, y0), nodata, run_bytes)
+    else:
+        cells = _cells_of_whole(spark, path, (band,), window, (x0, y0), nodata)
+    cells = cells.groupBy("r", "c").agg(F.max_by("z", "path").alias("z")) if overlapping(place) else cells.select("r", "c", "z")
+    if cells.isEmpty():
         raise RasterError("the grid has no valid cell")
     return cells, info
 
 
+def overlapping(place: list[tuple[int, int, int, int]]) -> bool:
+    """Whether two of the boxes (row, column, rows, columns) share a cell: a sweep down the rows, with the boxes of the row by column."""
+    from bisect import bisect_left, insort
+
+    events = sorted([(r, 1, c, w, r + h) for r, c, h, w in place] + [(r + h, 0, c, w, r + h) for r, c, h, w in place])
+    here: list[tuple[int, int]] = []
+    for _, opens, c, w, _ in events:
+        if not opens:
+            here.pop(bisect_left(here, (c, c + w)))
+            continue
+        k = bisect_left(here, (c, c + w))
+        if k < len(here) and here[k][0] < c + w or k and here[k - 1][1] > c:
+            return True
+        insort(here, (c, c + w))
+    return False
+
+
 def encode(a: np.ndarray, info: GridInfo, nodata: float = -9999.0, epsg: int | None = None, tags: dict[str, str] | None = None, tile: int = 256) -> bytes:
     """A tiled deflate file of float32, or int32 or uint8 if ``a`` is of whole numbers; what is not finite becomes NoData."""
     kind = np.dtype("<f4") if a.dtype.kind == "f" else np.dtype("u1") if a.dtype == np.uint8 else np.dtype("<i4")
@@ -176,7 +145,8 @@ def encode(a: np.ndarray, info: GridInfo, nodata: float = -9999.0, epsg: int | N
         (324, 4, [0] * len(blocks)), (325, 4, [len(b) for b in blocks]), (339, 3, [{"u": 1, "i": 2, "f": 3}[kind.kind]]), (33550, 12, [info.cw, info.ch, 0.0]), (33922, 12, [0.0, 0.0, 0.0, info.x0, info.y0, 0.0]),
     ]
     if epsg:
-        entries.append((34735, 3, [1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg]))
+        model, key = (2, 2048) if epsg == 4326 else (1, 3072)  # degrees or projected
+        entries.append((34735, 3, [1, 1, 0, 3, 1024, 0, 1, model, 1025, 0, 1, 1, key, 0, 1, epsg]))
     if text:
         entries.append((42112, 2, f"<GDALMetadata>{text}</GDALMetadata>"))
     if kind.kind != "u":
@@ -221,6 +191,29 @@ def pieces(cells: DataFrame, info: GridInfo, column: str, size: int = 2048, whol
     return own.groupBy("tr", "tc").applyInPandas(run, "tr int, tc int, content binary")
 
 
+def write_folder(cells: DataFrame, info: GridInfo, column: str, folder: str, size: int = 2048, **options) -> DataFrame:
+    """``pieces`` written by the tasks that make them, a file each, into a folder that all executors reach; gives (path, bytes). A piece that is made again is the same, and replaces the first in one step."""
+    spark = cells.sparkSession
+    if not _reached(folder):
+        raise RasterError(f"executors can't write to {folder} themselves")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for tr, tc, content in zip(pdf.tr.tolist(), pdf.tc.tolist(), pdf.content.tolist(), strict=True):
+                fs, base = store_of(folder)
+                fs.create_dir(base, recursive=True)
+                name, part = f"{base}/{tr:06d}_{tc:06d}.tif", f"{base}/_{tr}_{tc}.{np.random.default_rng().integers(1 << 62)}"
+                with fs.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                fs.move(part, name)
+                rows.append({"path": name, "bytes": len(content)})
+            yield pd.DataFrame(rows, columns=["path", "bytes"])
+
+    written = pieces(cells, info, column, size, **options).mapInPandas(run, "path string, bytes long").collect()  # one row a file
+    return spark.createDataFrame([tuple(r) for r in written], "path string, bytes long")
+
+
 def write_grid(cells: DataFrame, info: GridInfo, column: str, path: str, max_cells: int = 64_000_000, **options) -> str:
     """One file at ``path`` (any store Spark reaches), for grids of at most ``max_cells``; larger ones are written as ``pieces``."""
     if info.rows * info.cols > max_cells:
