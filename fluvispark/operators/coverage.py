@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..sources.grids import GridInfo, State, cut
 from . import fill, graph, linear, stencil
 from .drainage import link_length
+from .ranks import numbered
 
 CLASSES = ("low", "moderate", "high", "very high")
 
@@ -234,12 +235,11 @@ def divergence(stream: DataFrame, agreeing: DataFrame, flow: DataFrame, info: Gr
     dis = own.filter("not ag")
     heads = own.filter("ag and parent is not null").select(F.col("parent").alias("id")).distinct().join(dis, "id").select("id", "acc")
     # a rank of the heads; the best that reaches a cell is the least number from above
-    rank = F.row_number().over(Window.orderBy(F.desc("acc"), "id"))  # heads of runs, few against the cells
-    ranked = heads.withColumn("rank", rank)
+    ranked, _ = numbered(heads, [F.desc("acc"), F.col("id")], "rank")
     inside = dis.select(F.col("id").alias("parent"), F.lit(True).alias("_in"))
     nodes = dis.join(inside, "parent", "left").select("id", F.when(F.col("_in"), F.col("parent")).alias("parent")).join(ranked.select("id", "rank"), "id", "left")
     best = graph.accumulate(nodes.select("id", "parent", F.lit(0.0).alias("w"), F.coalesce(-F.col("rank").cast("double"), F.lit(float("-inf"))).alias("s")), how="max")
-    member = best.filter(F.col("total") > float("-inf")).select("id", (-F.col("total")).cast("int").alias("rank")).join(ranked.select(F.col("id").alias("head"), F.col("acc").alias("head_acc"), "rank"), "rank")
+    member = best.filter(F.col("total") > float("-inf")).select("id", (-F.col("total")).cast("long").alias("rank")).join(ranked.select(F.col("id").alias("head"), F.col("acc").alias("head_acc"), "rank"), "rank")
     rows = member.join(dis.select("id", "parent", "link"), "id").join(own.select(F.col("id").alias("parent"), F.col("ag").alias("below")), "parent", "left").join(member.select(F.col("id").alias("parent"), F.col("head").alias("next")), "parent", "left")
     last = F.coalesce(F.col("next") != F.col("head"), F.lit(True))
     got = rows.groupBy("head").agg(F.count("*").alias("cells"), F.sum("link").alias("length_m"), ((F.max("head_acc") + 1) * info.cell_area_km2).alias("area_km2"), F.max(F.when(last, F.coalesce("below", F.lit(False)))).cast("int").alias("rejoins"))

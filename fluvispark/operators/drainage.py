@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..sources.grids import GridInfo, cut
 from . import graph
+from .ranks import quantiles
 from .stencil import distances
 
 
@@ -216,9 +217,11 @@ def path_down(flow: DataFrame, starts: DataFrame, info: GridInfo, limit_m: float
 
 def characteristics(cells: DataFrame, member: DataFrame, info: GridInfo) -> DataFrame:
     """Zonal figures of each outlet's catchment from ``cells`` (id, z, slope)."""
-    own = member.join(cells.select("id", "z", "slope"), "id")
-    return own.groupBy("outlet").agg(
+    own = cut(member.join(cells.select("id", "z", "slope"), "id"), "zone-cells")
+    median = quantiles(own, {"slope_median": (F.col("slope"), 0.5)}, ("outlet",))
+    figures = own.groupBy("outlet").agg(
         F.count("*").alias("n_cells"), (F.count("*") * F.lit(info.cell_area_km2)).alias("area_km2"), F.max("z").alias("elev_max_m"), F.min("z").alias("elev_min_m"), F.avg("z").alias("elev_mean_m"),
-        (F.max("z") - F.min("z")).alias("relief_m"), F.avg("slope").alias("catch_slope_horn"), F.percentile("slope", 0.5).alias("slope_median"),
+        (F.max("z") - F.min("z")).alias("relief_m"), F.avg("slope").alias("catch_slope_horn"),
     )
+    return figures.join(median, "outlet", "left")
 

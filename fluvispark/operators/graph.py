@@ -28,28 +28,52 @@ def with_receiver(flow: DataFrame, info: GridInfo) -> DataFrame:
     return flow.withColumn("id", F.col("r").cast("long") * info.cols + F.col("c")).withColumn("parent", F.when(inside, r.cast("long") * info.cols + c))
 
 
+class CycleError(ValueError):
+    pass
+
+
 def accumulate(nodes: DataFrame, how: str = "sum") -> DataFrame:
     """(id, total): for (id, parent, w), w of the node and all above it summed, or with ``how='max'`` the longest sum of ``w`` from above.
 
-    For the maximum, ``w`` is the length of a node's own link to its parent, and ``s``, if given, what it starts with.
+    For the maximum, ``w`` is the length of a node's own link to its parent, and ``s``, if given, what it starts with. An error if the parents hold a cycle: after as many rounds
+    as the number of nodes has binary digits every other way has ended.
     """
     start = F.col("w") if how == "sum" else F.col("s") if "s" in nodes.columns else F.lit(0.0)
     store = State("doubling")
     state = store.put(nodes.select("id", "parent", start.cast("double").alias("s"), F.col("w").cast("double").alias("d")))
-    for _ in range(MAX_ROUNDS):
+    rounds, most = 0, None
+    while True:
         moving = state.filter("parent is not null")
         if not moving.limit(1).count():
             break
+        if rounds >= 8:  # deep enough to ask how deep it can be
+            most = most or state.count().bit_length() + 1
+            if rounds > most:
+                store.drop(nodes.sparkSession)
+                raise CycleError("the receivers hold a cycle")
+        rounds += 1
         value = F.sum("s") if how == "sum" else F.max(F.col("s") + F.col("d"))
         gain = moving.groupBy(F.col("parent").alias("id")).agg(value.alias("gain"))
         up = state.select(F.col("id").alias("parent"), F.col("parent").alias("next"), F.col("d").alias("dn"))
         s = F.col("s") + F.coalesce("gain", F.lit(0.0)) if how == "sum" else F.greatest("s", F.coalesce("gain", "s"))
         state = store.put(state.join(gain, "id", "left").join(up, "parent", "left").select("id", F.col("next").alias("parent"), s.alias("s"), (F.col("d") + F.coalesce("dn", F.lit(0.0))).alias("d")))
-    else:
-        raise ValueError("the receivers hold a cycle")
     return state.select("id", F.col("s").alias("total"))
 
 
+def cycles(nodes: DataFrame) -> DataFrame:
+    """(id, cycle): the nodes of (id, parent) that lie on cycles, and the least id of each one's cycle.
+
+    Pointers double until they reach as far as there are nodes; then every way without a cycle has ended, and what the others point at are the nodes of cycles, whose way has been all round.
+    """
+    store = State("cycles")
+    state = store.put(nodes.filter("parent is not null").select("id", F.col("parent").alias("at"), "id", F.col("id").alias("least")).toDF("id", "at", "_", "least").drop("_"))
+    for _ in range(state.count().bit_length() + 1):
+        ahead = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("least").alias("other"))
+        state = store.put(state.join(ahead, "at").select("id", F.col("next").alias("at"), F.least("least", "other").alias("least")))
+    on = state.select(F.col("at").alias("id")).distinct()
+    return on.join(state.select("id", F.col("least").alias("cycle")), "id")
+
+
 def settle(links: DataFrame) -> DataFrame:
     """(id, at, done, steps, length): for (id, at, done, steps, length) the pointers followed to the end, by doubling; only rows not yet done are joined."""
     store = State("descent")
@@ -195,7 +219,7 @@ def _valid(flow: DataFrame) -> DataFrame:
 
 
 def flow_accumulation(flow: DataFrame, info: GridInfo, weight: str | None = None, tile: int = TILE) -> DataFrame:
-    """(id, r, c, dir, parent, acc): the weights (cells if none) of all cells upstream, the cell itself left out; NaN in a cycle.
+    """(id, r, c, dir, parent, acc): the weights (cells if none) of all cells upstream, the cell itself left out; null for the cells of a cycle (``cells_in_cycles`` counts them), within a tile or over many.
 
     ``flow`` has r, c, dir and the weight. Each tile is solved alone; what leaves it is summed along the
     contracted graph of border cells by path doubling; a second pass adds what enters.
@@ -222,19 +246,35 @@ def flow_accumulation(flow: DataFrame, info: GridInfo, weight: str | None = None
     leaving = rim.filter("kind = 0").select("id", F.col("other").alias("enters"), "w")
     through = rim.filter("kind = 1").select(F.col("id").alias("enters"), F.col("other").alias("parent"))
     graph = leaving.join(through, "enters", "left")
-    totals = accumulate(graph.select("id", "parent", "w"))
-    inflow = totals.join(leaving.select("id", "enters"), "id").groupBy(F.col("enters").alias("id")).agg(F.sum("total").alias("inflow"))
+    try:
+        totals, on = accumulate(graph.select("id", "parent", "w")), None
+    except CycleError:
+        # cycles over several tiles are cut; what they enter a tile by marks their way through it
+        on = cut(cycles(graph.select("id", "parent")).select("id", F.lit(True).alias("on")), "cycles")
+        totals = accumulate(graph.join(on, "id", "left").select("id", F.when(F.col("on").isNull(), F.col("parent")).alias("parent"), "w"))
+    sums = totals.join(leaving.select("id", "enters"), "id")
+    sums = sums.withColumn("on", F.lit(None).cast("boolean")) if on is None else sums.join(on, "id", "left")
+    inflow = sums.groupBy(F.col("enters").alias("id")).agg(F.sum("total").alias("inflow"), F.max("on").alias("round"))
 
     def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         forest = Forest(pdf)
         own = pdf.w.to_numpy(float)
         acc = forest.sums(own + pdf.inflow.fillna(0).to_numpy(float)) - own
         acc[~forest.ordered] = np.nan
+        for k in np.flatnonzero(pdf["round"].eq(True).to_numpy(bool)):
+            while k >= 0 and not np.isnan(acc[k]):
+                acc[k] = np.nan
+                k = forest.inner[k]
         return pd.DataFrame({"id": forest.ids, "r": pdf.r, "c": pdf.c, "dir": pdf.dir.astype("Int32"), "parent": pdf.parent.astype("Int64"), "acc": acc})
 
     return cells.join(inflow, "id", "left").groupBy("tr", "tc").applyInPandas(finish, "id long, r int, c int, dir int, parent long, acc double")
 
 
+def cells_in_cycles(accumulated: DataFrame) -> DataFrame:
+    """(cells, in_cycles) of what ``flow_accumulation`` gives."""
+    return accumulated.agg(F.count("*").alias("cells"), F.coalesce(F.sum((F.col("acc").isNull() | F.isnan("acc")).cast("long")), F.lit(0)).alias("in_cycles"))
+
+
 def upstream_longest(nodes: DataFrame, info: GridInfo, tile: int = TILE) -> DataFrame:
     """(id, total): the longest sum of links (id, parent, link) arriving at each cell of the grid, 0 at sources; tiles are contracted as for accumulation."""
     cells = cut(_tiled(nodes.select("id", "parent", F.col("link").cast("double").alias("link")), info, tile), "links")

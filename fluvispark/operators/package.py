@@ -10,11 +10,11 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import hydrology as H
 from ..sources.grids import GridInfo, cut
 from . import channel, conditioning, drainage, geometry, review, stencil
+from .ranks import numbered, padded
 
 LAYERS = ("crossings", "catchments", "flowpaths")
 
@@ -68,9 +68,8 @@ def with_uids(points: DataFrame, scheme: str = "sequential", order: str = "downs
     by = {"downstream": [F.desc("acc"), F.col("fid")], "input": [F.col("fid")], "chainage": [F.col("chainage"), F.col("fid")]}[order]
     if order == "chainage" and points.filter("chainage is null").limit(1).count():
         raise PackageError("numbering along the road needs every chainage")
-    k = F.row_number().over(Window.orderBy(*by)) + (start - 1)  # crossings of one project
-    most = F.length((F.count("*").over(Window.partitionBy()) + (start - 1)).cast("string"))
-    return points.withColumn("_k", k).withColumn("outlet_uid", F.concat(F.lit(prefix), F.lpad(F.col("_k").cast("string"), F.greatest(F.lit(width), most), F.lit("0")))).drop("_k")
+    own, n = numbered(points, by, "_k", start)
+    return own.withColumn("outlet_uid", F.concat(F.lit(prefix), padded(F.col("_k"), n + start - 1, width))).drop("_k")
 
 
 def build_records(flow: DataFrame, cells: DataFrame, points: DataFrame, info: GridInfo, stream: DataFrame | None = None, radius: int = 5, local: bool = False, orders: DataFrame | None = None, channel_cells: float | None = None, sheet_cap_m: float = 100.0, slope_m: float = 200.0, blocks: dict[str, DataFrame] | None = None, polygons: bool = True, **numbering) -> dict[str, DataFrame]:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import numbered, padded
 
 
 def sequential_ids(rows: DataFrame, order: list, prefix: str = "X") -> DataFrame:
     """Adds outlet_uid: prefix and number in ``order``, zero-padded to three digits or as many as are needed."""
-    k = F.row_number().over(Window.orderBy(*order))  # crossings of one project
-    n = F.count("*").over(Window.partitionBy())
-    return rows.withColumn("_k", k).withColumn("outlet_uid", F.concat(F.lit(prefix), F.lpad(F.col("_k").cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), F.lit("0")))).drop("_k")
+    own, n = numbered(rows, order, "_k")
+    return own.withColumn("outlet_uid", F.concat(F.lit(prefix), padded(F.col("_k"), n))).drop("_k")
 
 
 def id_problems(rows: DataFrame, column: str) -> DataFrame:
@@ -57,9 +60,8 @@ def register(rows: DataFrame, rules: list[tuple]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    order = Window.orderBy(F.desc("severity"), F.col("chainage_m").asc_nulls_last(), "outlet_uid", "finding")  # findings of one project
-    k, n = F.row_number().over(order), F.count("*").over(Window.partitionBy())
-    return out.withColumn("finding_id", F.concat(F.lit("F"), F.lpad(k.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), F.lit("0"))))
+    own, n = numbered(out, [F.desc("severity"), F.col("chainage_m").asc_nulls_last(), F.col("outlet_uid"), F.col("finding")], "_k")
+    return own.withColumn("finding_id", F.concat(F.lit("F"), padded(F.col("_k"), n))).drop("_k")
 
 
 def register_counts(findings: DataFrame) -> DataFrame:
@@ -67,37 +69,64 @@ def register_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"))
 
 
-def package_rules(cell_m: float) -> list[tuple]:
-    """The rules of a package's register on crossings joined with their figures; a column that is not there counts as null (see ``package_findings``)."""
-    c = F.col
-    methods = ("kirpich", "kerby_kirpich", "scs_lag", "tr55", "bransby")
-    have = sum((F.when(c(f"tc_{m}").isNotNull(), 1).otherwise(0) for m in methods), F.lit(0))
-    outside = sum((F.when(c(f"tc_{m}").isNotNull() & F.lower(c(f"{m}_flag")).startswith("outside"), 1).otherwise(0) for m in methods), F.lit(0))
-    text = lambda *parts: F.concat(*[F.coalesce(p.cast("string"), F.lit("-")) if not isinstance(p, str) else F.lit(p) for p in parts])
-    return [
-        (c("truncated") == 1, "high", "Catchment is cut off by the edge of the data", text(c("truncated_cells"), " cells on the edge"), "Extend the elevation model and run again; the area is a lower bound."),
-        (c("clip_edge") == 1, "high", "Catchment touches the edge of the clip", text(c("area_km2"), " km2"), "Run again with a wider clip."),
-        (c("flat_moved") == 1, "high", "The channel runs elsewhere under the other flat method", text(c("area_barnes_km2"), " and ", c("area_toward_km2"), " km2"), "Confirm the channel on a map or on site."),
-        ((F.coalesce(c("flat_moved"), F.lit(0)) != 1) & (c("flat_sensitive") == 1), "medium", "The area depends on how flats are routed", text(c("flat_sensitivity_pct"), " %"), "Verify the divide."),
-        ((F.coalesce(c("switch_pct"), F.lit(0.0)) > 0) | (F.coalesce(c("lost_pct"), F.lit(0.0)) > 0), "medium", "The area is unstable under elevation error", text("moved in ", c("switch_pct"), " %, lost in ", c("lost_pct"), " %"), "Treat the area as a range."),
-        (c("map_agrees") == 0, "medium", "The outlet is not on a mapped waterway", text(c("map_dist_m"), " m"), "Check which of both is right."),
-        (c("snap_dist_m") > 2.5 * cell_m, "low", "The outlet is far from the input point", text(c("snap_dist_m"), " m"), "Check that it is on the intended channel."),
-        ((have > 0) & (2 * outside > have), "low", "Outside the range of most methods for the time of concentration", text(outside, " of ", have), "Choose with care."),
-        (c("lfp_nonmonotonic") == 1, "low", "The longest path rises on its way", text(c("lfp_drop_m"), " m"), "Use the slope between 10 and 85 %."),
-        (c("has_soil") & c("k_williams").isNull(), "low", "The soil data gave no erodibility", text(c("soil_coverage_pct"), " % covered"), "Give it from another source."),
-        ((F.abs(c("sens_max_area_pct")) > 25), "medium", "The area depends on the snap radius or the stream threshold", text(c("sens_max_area_pct"), " %"), "Move the input point onto the channel."),
-        (c("status") == "proposed", "info", "Proposed by the coverage check", text(c("proposed_reason")), "Adopt it or delete it, then renumber."),
+METHODS = ("kirpich", "kerby_kirpich", "scs_lag", "tr55", "bransby")
+
+
+@dataclass(frozen=True)
+class Limit:
+    """A figure of a crossing and what makes it a finding: ``passed`` is over the figure's column, ``level`` 0 (a note) to 3 (do not use)."""
+
+    code: str
+    figure: str
+    passed: Callable[[Column], Column]
+    level: int
+    unit: str = ""
+    unless: str | None = None
+
+
+def package_limits(cell_m: float) -> list[Limit]:
+    """What is asked of the figures of a package's crossings, by what they describe: the outlet's place, the area above it, the path, the derived quantities, the record itself."""
+    yes, above = (lambda c: c == 1), (lambda most: lambda c: c > most)
+    outlet = [
+        Limit("outlet.far", "snap_dist_m", above(2.5 * cell_m), 1, "m"),
+        Limit("outlet.unmapped", "map_agrees", lambda c: c == 0, 2),
+        Limit("outlet.other-channel", "flat_moved", yes, 3),
+        Limit("outlet.unsteady", "sens_max_area_pct", lambda c: F.abs(c) > 25, 2, "%"),
+    ]
+    area = [
+        Limit("area.open", "truncated", yes, 3, "cells"),
+        Limit("area.clipped", "clip_edge", yes, 3),
+        Limit("area.flats", "flat_sensitive", yes, 2, "%", unless="flat_moved"),
+        Limit("area.noise", "unc_worst_pct", above(0), 2, "%"),
+    ]
+    derived = [
+        Limit("path.rises", "lfp_nonmonotonic", yes, 1),
+        Limit("time.extrapolated", "tc_outside_share", above(0.5), 1),
+        Limit("soil.no-erodibility", "soil_unknown", yes, 1),
     ]
+    return [*outlet, *area, *derived, Limit("record.proposed", "is_proposed", yes, 0)]
 
 
 def package_findings(rows: DataFrame, cell_m: float) -> DataFrame:
-    """The register of ``package_rules`` over ``rows``, whatever of their columns it has."""
-    kinds = {"status": "string", "proposed_reason": "string", "has_soil": "boolean"} | {f"{m}_flag": "string" for m in ("kirpich", "kerby_kirpich", "scs_lag", "tr55", "bransby")}
-    names = ["truncated", "truncated_cells", "clip_edge", "area_km2", "flat_moved", "flat_sensitive", "flat_sensitivity_pct", "area_barnes_km2", "area_toward_km2", "switch_pct", "lost_pct", "map_agrees", "map_dist_m", "snap_dist_m", "lfp_nonmonotonic", "lfp_drop_m", "k_williams", "soil_coverage_pct", "sens_max_area_pct", *kinds, *[f"tc_{m}" for m in ("kirpich", "kerby_kirpich", "scs_lag", "tr55", "bransby")]]
-    for n in names:
-        if n not in rows.columns:
-            rows = rows.withColumn(n, F.lit(None).cast(kinds.get(n, "double")))
-    return register(rows, package_rules(cell_m))
+    """The register of ``package_limits`` over ``rows`` (outlet_uid, chainage_m and whatever figures they have): severity, finding (the limit's code), figure, value, unit and finding_id, worst first, then along the road."""
+    kinds = {"status": "string", "has_soil": "boolean"} | {f"{m}_flag": "string" for m in METHODS}
+    limits = package_limits(cell_m)
+    plain = {"switch_pct", "lost_pct", "k_williams", *kinds, *(f"tc_{m}" for m in METHODS)} | {x.figure for x in limits} - {"unc_worst_pct", "tc_outside_share", "soil_unknown", "is_proposed"}
+    for n in sorted(plain - set(rows.columns)):
+        rows = rows.withColumn(n, F.lit(None).cast(kinds.get(n, "double")))
+    known = [F.col(f"tc_{m}").isNotNull().cast("int") for m in METHODS]
+    beyond = [(F.col(f"tc_{m}").isNotNull() & F.coalesce(F.lower(f"{m}_flag").startswith("outside"), F.lit(False))).cast("int") for m in METHODS]
+    rows = rows.withColumns({
+        "unc_worst_pct": F.greatest(F.col("switch_pct"), F.col("lost_pct")), "tc_outside_share": F.try_divide(sum(beyond[1:], beyond[0]).cast("double"), sum(known[1:], known[0])),
+        "soil_unknown": (F.col("has_soil") & F.col("k_williams").isNull()).cast("int"), "is_proposed": (F.col("status") == "proposed").cast("int"),
+    })
+    found = []
+    for x in limits:
+        hit = x.passed(F.col(x.figure)) & ((F.coalesce(F.col(x.unless), F.lit(0)) != 1) if x.unless else F.lit(True))
+        found.append(F.when(hit, F.struct(F.lit(x.level).alias("severity"), F.lit(x.code).alias("finding"), F.lit(x.figure).alias("figure"), F.col(x.figure).cast("double").alias("value"), F.lit(x.unit).alias("unit"))))
+    out = rows.select("outlet_uid", "chainage_m", F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("f")).select("outlet_uid", "chainage_m", "f.*")
+    own, n = numbered(out, [F.desc("severity"), F.col("chainage_m").asc_nulls_last(), F.col("outlet_uid"), F.col("finding")], "_k")
+    return own.withColumn("finding_id", F.concat(F.lit("F"), padded(F.col("_k"), n))).drop("_k")
 
 
 def depressions(labels: DataFrame, cell_area_m2: float, most: int = 5000, least_depth: float = 0.5) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import hydrology as H
+from ..sources.grids import cut
+from .ranks import quantiles
 
 
 def cn_table(spark, numbers: dict = H.CURVE_NUMBERS) -> DataFrame:
@@ -69,7 +71,7 @@ def rain_block(cells: DataFrame, member: DataFrame, names: DataFrame, threshold_
 
 def check_rain(cells: DataFrame, low_mm: float = 5.0, high_mm: float = 12000.0) -> DataFrame:
     """One row: the greatest annual rainfall and its verdict: ``empty``, ``daily or monthly``, ``above the record``, ``negative``, ``doubtful`` (at most 100 mm) or ``ok``."""
-    got = cells.agg(F.min("map_mm").alias("least"), F.percentile("map_mm", 0.995).alias("most"))
+    got = cells.agg(F.min("map_mm").alias("least")).join(quantiles(cells, {"most": (F.col("map_mm"), 0.995)}))  # a row each
     verdict = F.when(F.col("most").isNull(), "empty").when(F.col("least") < 0, "negative").when(F.col("most") < low_mm, "daily or monthly").when(F.col("most") > high_mm, "above the record").when(F.col("most") < 100, "doubtful").otherwise("ok")
     return got.withColumn("verdict", verdict)
 
@@ -161,7 +163,7 @@ def soil_loss(cells: DataFrame) -> DataFrame:
 def check_factor(cells: DataFrame, factor: str, low: float, high: float) -> DataFrame:
     """One row: extent, median and 99.5 % quantile of a factor, the share of land-cover codes among its values, and whether it leaves its plausible range."""
     code = F.avg(F.when(F.col(factor).isNotNull(), F.col(factor).isin(*[float(x) for x in H.COVER_C]).cast("double")))
-    got = cells.agg(F.min(factor).alias("least"), F.max(factor).alias("most"), F.percentile(factor, 0.5).alias("median"), F.percentile(factor, 0.995).alias("p995"), F.count(factor).alias("n"), code.alias("code_share"))
+    got = cells.agg(F.min(factor).alias("least"), F.max(factor).alias("most"), F.count(factor).alias("n"), code.alias("code_share")).join(quantiles(cells, {"median": (F.col(factor), 0.5), "p995": (F.col(factor), 0.995)}))  # a row each
     return got.withColumn("implausible", (F.col("least") < low) | (F.col("p995") > high))
 
 
@@ -186,7 +188,7 @@ def cover_factor(cells: DataFrame, values: dict, default: float | None = None) -
 
 def percentile_breaks(cells: DataFrame, column: str, shares=(0.5, 0.75, 0.9, 0.97)) -> DataFrame:
     """One row of class breaks, each pushed just above the one before where they tie."""
-    q = cells.agg(F.percentile(column, list(shares)).alias("q"))
+    q = quantiles(cells, {f"q{k}": (F.col(column), p) for k, p in enumerate(shares)}).select(F.array(*[f"q{k}" for k in range(len(shares))]).alias("q"))
     breaks = F.aggregate("q", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, F.greatest(x, F.element_at(acc, -1) + 1e-9)).otherwise(x))))
     return q.select(*[F.get(breaks, F.lit(i)).alias(f"break_{i + 1}") for i in range(len(shares))])
 
@@ -212,10 +214,12 @@ def erosion_block(cells: DataFrame, member: DataFrame, cell_area_km2: float, bul
 
     Stream power is that of the channel cells; the composite is null if one of its three scores is missing.
     """
-    own = member.join(cells, "id")
+    own = cut(member.join(cells, "id"), "erosion-members")
     shares = [(100 * F.sum((F.col("score") == k).cast("int")) / F.count(F.when(F.col("score") > 0, 1))).alias(f"pct_s{k}") for k in range(1, 6)] if "score" in cells.columns else []
     factors = [F.avg(c).alias(f"{c[0]}_mean") for c in ("k_factor", "c_factor", "p_factor") if c in cells.columns]
-    got = own.groupBy("outlet").agg(F.avg("a_loss").alias("a_mean"), F.percentile("a_loss", 0.9).alias("a_p90"), F.avg("ls").alias("ls_mean"), F.percentile("ls", 0.9).alias("ls_p90"), F.percentile(F.when(F.col("channel"), F.col("ln_spi")), 0.9).alias("ln_spi_p90"), (F.count("*") * cell_area_km2).alias("area_km2"), *shares, *factors)
+    got = own.groupBy("outlet").agg(F.avg("a_loss").alias("a_mean"), F.avg("ls").alias("ls_mean"), (F.count("*") * cell_area_km2).alias("area_km2"), *shares, *factors)
+    high = quantiles(own, {"a_p90": (F.col("a_loss"), 0.9), "ls_p90": (F.col("ls"), 0.9), "ln_spi_p90": (F.when(F.col("channel"), F.col("ln_spi")), 0.9)}, ("outlet",))
+    got = got.join(high, "outlet", "left")
     got = got.withColumn("gross_t", F.coalesce("a_mean", F.lit(0.0)) * F.col("area_km2") * 100).withColumn("sdr", H.sediment_delivery(F.col("area_km2"))).withColumn("yield_t", F.col("gross_t") * F.col("sdr"))
     got = got.withColumn("yield_m3", F.col("yield_t") * 1000 / bulk)
     loss, volume = H.classify(F.col("a_mean"), list(H.SCHEMES["soil_loss"][0])), H.classify(F.col("yield_m3"), list(H.SCHEMES["volume"][0]))

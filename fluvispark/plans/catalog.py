@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, crossings, terrain
+from . import analysis, crossings, layers, terrain
 
 FLAGSHIP = "flow_chain"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**terrain.QUERIES, **analysis.QUERIES, **crossings.QUERIES}
-ORACLE_SQL: dict[str, str] = {**terrain.ORACLE_SQL, **analysis.ORACLE_SQL, **crossings.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**terrain.QUERIES, **analysis.QUERIES, **crossings.QUERIES, **layers.QUERIES}
+ORACLE_SQL: dict[str, str] = {**terrain.ORACLE_SQL, **analysis.ORACLE_SQL, **crossings.ORACLE_SQL, **layers.ORACLE_SQL}

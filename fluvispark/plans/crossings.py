@@ -33,10 +33,20 @@ def zones(spark, sf_dir):
     return flow, info, outlets, cut(drainage.catchments(flow, outlets, full=True, info=info), "members")
 
 
-@query(f"{BASE} SELECT outlet, round(CAST(count(*) * 900 AS DOUBLE), 6) AS area_m2 FROM m GROUP BY outlet")
+# zones' cells, their corners (one for a convex or concave one, two where cells meet crosswise) and runs of cells, joined to parts
+SHAPES = """z AS (SELECT outlet, id // nc AS r, id % nc AS c FROM m, dims), v AS (SELECT outlet, vr, vc, count(*) AS n, count(DISTINCT (q // 2 + q % 2) % 2) AS sides FROM (SELECT outlet, r + q // 2 AS vr, c + q % 2 AS vc, q FROM z, range(4) AS t(q)) GROUP BY ALL),
+k AS (SELECT outlet, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND sides = 1 THEN 2 ELSE 0 END) AS n_corners FROM v GROUP BY outlet),
+s AS (SELECT outlet, r, min(c) AS a, max(c) AS b FROM (SELECT *, c - row_number() OVER (PARTITION BY outlet, r ORDER BY c) AS g FROM z) GROUP BY outlet, r, g),
+near AS (SELECT x.outlet, x.r AS r0, x.a AS a0, y.r AS r1, y.a AS a1 FROM s x JOIN s y ON x.outlet = y.outlet AND abs(x.r - y.r) = 1 AND x.a <= y.b AND y.a <= x.b),
+reach AS (SELECT outlet, r, a, r AS pr, a AS pa FROM s UNION SELECT n.outlet, n.r1, n.a1, pr, pa FROM reach JOIN near n ON n.outlet = reach.outlet AND n.r0 = reach.r AND n.a0 = reach.a),
+p AS (SELECT outlet, count(DISTINCT root) AS n_parts FROM (SELECT outlet, r, a, min(pr * 1000000 + pa) AS root FROM reach GROUP BY ALL) GROUP BY outlet)"""
+
+
+@query(f"{BASE}, {SHAPES} SELECT outlet, round(CAST(count(*) * 900 AS DOUBLE), 6) AS area_m2, CAST(any_value(n_parts) AS INT) AS n_parts, CAST(any_value(n_corners) AS INT) AS n_corners FROM m JOIN p USING (outlet) JOIN k USING (outlet) GROUP BY outlet")
 def zone_polygons(spark, sf_dir):
     flow, info, _, member = zones(spark, sf_dir)
-    return rounded(geometry.zone_polygons(member.join(flow.select("id", "r", "c"), "id"), info).select("outlet", "area_m2"))
+    got = geometry.zone_polygons(member.join(flow.select("id", "r", "c"), "id"), info)
+    return rounded(got.select("outlet", "area_m2", "n_parts", (F.col("n_vertices") - F.col("n_parts") - F.col("n_holes")).alias("n_corners")))
 
 
 @query(f"{BASE}, edge AS (SELECT g.cell_id AS id FROM g LEFT JOIN pair USING (cell_id) GROUP BY g.cell_id HAVING count(nid) < 8), t AS (SELECT m.outlet, count(*) AS n FROM m JOIN edge USING (id) JOIN outs ON outs.outlet = m.outlet JOIN g a ON a.cell_id = m.id JOIN g b ON b.cell_id = oid WHERE abs(a.r - b.r) > 1 OR abs(a.c - b.c) > 1 GROUP BY m.outlet) SELECT outs.outlet, coalesce(n, 0) AS truncated_cells, CAST(CASE WHEN n > 0 THEN 1 ELSE 0 END AS INT) AS truncated FROM outs LEFT JOIN t ON t.outlet = outs.outlet")

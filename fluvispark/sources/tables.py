@@ -127,11 +127,11 @@ def depth_mean(layers: list[tuple[float, float, DataFrame]], top: float, bottom:
 
 def points(rows: DataFrame, info: GridInfo, x: str = "x", y: str = "y", source: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(pour points (fid, x, y, source_id and the other columns), those outside the grid) of rows with coordinates; rows without an ``fid`` are numbered by x, then y, then source."""
-    from pyspark.sql.window import Window
+    from ..operators.ranks import numbered
 
     own = rows.withColumn("x", F.col(x).cast("double")).withColumn("y", F.col(y).cast("double")).withColumn("source_id", F.col(source).cast("string") if source else F.lit(None).cast("string"))
     if "fid" not in rows.columns:
-        own = own.withColumn("fid", F.row_number().over(Window.orderBy("x", "y", "source_id")).cast("long"))  # crossings of a project
+        own, _ = numbered(own, [F.col("x"), F.col("y"), F.col("source_id")], "fid")
     inside = F.coalesce(F.col("x").between(info.x0, info.x0 + info.cols * info.cw) & F.col("y").between(info.y0 - info.rows * info.ch, info.y0), F.lit(False))
     return own.filter(inside), own.filter(~inside)
 
@@ -145,10 +145,14 @@ def points_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(feature, part, pos, x, y, attributes): vertices of line features of GeoJSON files, parts in the order of features and their parts."""
+    """(file, feature, part, pos, x, y, attributes): vertices of line features of GeoJSON files; features and their parts are numbered in the order of the files' names, over all files."""
+    from ..operators.ranks import numbered
+
     doc = spark.read.option("multiLine", True).schema("features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>").json(path)
-    f = doc.select(F.posexplode("features").alias("feature", "f")).filter(F.col("f.geometry.type").isin("LineString", "MultiLineString"))
+    f = doc.select(F.input_file_name().alias("file"), F.posexplode("features").alias("feature", "f")).filter(F.col("f.geometry.type").isin("LineString", "MultiLineString"))
     many = F.when(F.col("f.geometry.type") == "LineString", F.concat(F.lit("["), F.col("f.geometry.coordinates"), F.lit("]"))).otherwise(F.col("f.geometry.coordinates"))
-    parts = f.select("feature", F.col("f.properties").alias("attributes"), F.posexplode(F.from_json(many, "array<array<array<double>>>")).alias("p", "line"))
-    v = parts.select("feature", (F.col("feature") * 10_000 + F.col("p")).alias("part"), "attributes", F.posexplode("line").alias("pos", "v"))
-    return v.select("feature", "part", "pos", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), "attributes")
+    parts = f.select("file", "feature", F.col("f.properties").alias("attributes"), F.posexplode(F.from_json(many, "array<array<array<double>>>")).alias("p", "line"))
+    numbers, _ = numbered(parts, [F.col("file"), F.col("feature"), F.col("p")], "part", 0)
+    features, _ = numbered(parts.select("file", "feature").distinct(), [F.col("file"), F.col("feature")], "number", 0)
+    v = numbers.join(features, ["file", "feature"]).select("file", F.col("number").alias("feature"), "part", "attributes", F.posexplode("line").alias("pos", "v"))
+    return v.select("file", "feature", "part", "pos", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), "attributes")
