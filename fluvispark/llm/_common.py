@@ -28,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset: the warehouse, or on a single machine (master ``local``) a folder of our own, deleted at exit."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset: the warehouse (an error if that is a local folder), or on a single machine (master ``local``) a folder of our own, deleted at exit."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_fluvispark"
+        house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if house.startswith("file:") or house.startswith("/"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is on each machine's own disk")
+        return f"{house}/_fluvispark"
     if "dir" not in _OWN_DIR:
         _OWN_DIR["dir"] = tempfile.mkdtemp(prefix="fluvispark-")
         atexit.register(shutil.rmtree, _OWN_DIR["dir"], ignore_errors=True)
@@ -56,6 +59,17 @@ def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind as keep it apart from the columns ``taken`` (in any case) and from the others."""
+    known, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in known:
+            n += "_"
+        known.add(n.lower())
+        out.append(n)
+    return out
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

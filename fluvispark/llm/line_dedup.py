@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _common as C
+
 WINDOW = 3
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -57,24 +59,23 @@ def covered(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """``docs`` (doc_id, text and any more columns) with repeated lines removed from ``text``, plus n_lines and n_removed (replaced if there)."""
-    spans = covered(docs.select("doc_id", "text"), width).select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_part")), "left")
-    split = F.split("text", "\n", -1)
+    """``docs`` (doc_id, text and any more columns, of whatever names) with repeated lines removed from ``text``, plus n_lines and n_removed (replaced if there)."""
+    own_id, part, found, lines, kept = C.fresh([*docs.columns, "n_lines", "n_removed"], "_id", "_part", "_spans", "_lines", "_kept")
+    spans = covered(docs.select("doc_id", "text"), width).select(F.col("doc_id").alias(own_id), F.col("part").alias(part), F.col("spans").alias(found))
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(part)), "left")
     # the windows of a text, in order of their first lines, are in order of their last lines too: what is kept lies between one's last and the next one's first
-    n = F.size("_spans")
+    n = F.size(found)
 
     def between(k: Column) -> Column:
-        after = F.when(k > 0, F.get("_spans", k - 1)["last"] + 1).otherwise(0)
-        until = F.when(k < n, F.get("_spans", k)["first"]).otherwise(F.size("_lines"))
-        return F.slice("_lines", after + 1, F.greatest(until - after, F.lit(0)))
+        after = F.when(k > 0, F.get(found, k - 1)["last"] + 1).otherwise(0)
+        until = F.when(k < n, F.get(found, k)["first"]).otherwise(F.size(lines))
+        return F.slice(lines, after + 1, F.greatest(until - after, F.lit(0)))
 
-    kept = F.when(F.col("_spans").isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), n), between)))
     return (
-        joined.withColumn("_lines", split)
-        .withColumn("_kept", kept)
-        .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long"))
-        .withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
-        .drop("_id", "_part", "_spans", "_lines", "_kept")
+        joined.withColumn(lines, F.split("text", "\n", -1))
+        .withColumn(kept, F.when(F.col(found).isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), n), between))))
+        .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+        .withColumn("n_removed", F.when(F.col(found).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long"))
+        .withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .drop(own_id, part, found, lines, kept)
     )

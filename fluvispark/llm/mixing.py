@@ -98,8 +98,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit:
 
 def shown(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as ``mix`` (same parameters) shows it; rows equal in id, source and text are shown alike."""
-    rows = _mix(docs, **how).select(F.col("row").alias("_row"), "epoch").distinct()
-    return docs.join(rows, row_key() == F.col("_row")).select(*docs.columns)
+    key, epoch = C.fresh(docs.columns, "_row", "_epoch")
+    rows = _mix(docs, **how).select(F.col("row").alias(key), F.col("epoch").alias(epoch)).distinct()
+    return docs.join(rows, row_key() == F.col(key)).drop(key, epoch)
 
 
 def _mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget_tokens: float | None = None, block_docs: int = 1000, seed: int = 17) -> DataFrame:

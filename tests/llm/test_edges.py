@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from fluvispark.llm import decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, pii, quality, queries, token_planes, url_filters
 
@@ -142,3 +143,20 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
             else:
                 assert out.columns == docs.columns, name
                 kept = spark.createDataFrame(out.collect(), out.schema)
+
+
+CLASH = ["_id", "_part", "_spans", "_lines", "_kept", "_Kept", "_rows", "_row", "_row_", "_epoch", "epoch", "row", "src", "blocks", "lang_pred", "item_id", "kept", "component_id", "h", "ids"]
+
+
+def test_columns_of_any_name_are_kept(spark, docs):
+    import corpus_pipeline
+
+    wide = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(k) for k, c in enumerate(c for c in CLASH if c != "_Kept")})
+    values = [k for k, _ in enumerate(CLASH[:-1])]
+    texts = lambda df: sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect())
+    stages = [line_dedup.dedup, lambda d: mixing.shown(d, repetition_limit=2.0), lambda d: corpus_pipeline.near_duplicates(spark, d, "")]
+    for stage in stages:
+        got = stage(wide)
+        assert [c for c in wide.columns if c not in got.columns] == []
+        assert got.select(*[c for c in CLASH if c != "_Kept"]).distinct().collect() == [tuple(values)]
+        assert texts(got) == texts(stage(docs.select("doc_id", "text", "lang", "source", "n_chars")))
