@@ -26,12 +26,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word near-duplicates. Rows of one id are one document: those of an id that is kept all stay, but for repetitions of the same text; rows without id all stay."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept"))
-    once = docs.join(kept.filter("_rows = 1 or _kept is null"), same, "left_semi")
-    repeated = docs.join(kept.filter("_rows > 1 and _kept is not null"), same, "left_semi")
+    own_id, rows, whole = C.fresh(docs.columns, "_kept", "_rows", "_row")
+    kept = near_dedup.near_duplicates(docs.select("doc_id", "text")).filter("kept").groupBy(F.col("doc_id").alias(own_id)).agg(F.count("*").alias(rows))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id))
+    once = docs.join(kept.filter((F.col(rows) == 1) | F.col(own_id).isNull()), same, "left_semi")
+    repeated = docs.join(kept.filter((F.col(rows) > 1) & F.col(own_id).isNotNull()), same, "left_semi")
     row = F.struct(*docs.columns)
-    first = repeated.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    first = repeated.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias(whole)).select(f"{whole}.*")
     return once.unionByName(first)
 
 
