@@ -1,6 +1,8 @@
-"""Elevation-error Monte Carlo: correlated Gaussian fields added to a window of a DEM, routed anew in one task a realisation, and what that does to each crossing.
+"""Elevation-error Monte Carlo: correlated Gaussian fields added to a grid, routed anew by the operators of any grid, and what that does to each crossing.
 
-A window is a dense array that goes to every task, so its size is checked; the routing within a task uses the same kernels as the tiles of a large grid.
+A field is a function of seed, realisation and cell: white noise comes from a counter-based generator, so a tile makes the noise of its own surroundings and smooths it, and agrees
+with its neighbours without an exchange. Realisations are laid one below the other on one tall grid, with rows without data between; filling, flats, accumulation,
+snapping and longest paths then run over all of them at once, distributed as for any grid of that size.
 """
 
 from __future__ import annotations
@@ -12,214 +14,95 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.grids import GridInfo
-from .fill import SCAN, _Tile, lowest_ways
-from .graph import Forest
-from .stencil import OFFSETS, d8_kernel, distances
+from ..functions import hydrology as H
+from ..sources.grids import GridInfo, cut
+from . import drainage, fill, graph, stencil
+from .stencil import TILE
 
 # fixed values: published vertical errors (m) of two elevation models; no model is assumed
 PRESETS = {"AW3D30": 4.4, "FABDEM": 2.5}
 QUANTITIES = ("area_km2", "lfp_length_m", "lfp_slope_1085", "tc_kirpich_min")
 
 
-def error_field(rows: int, cols: int, sigma: float, length_m: float, cell_m: float, seed) -> np.ndarray:
-    """A field of standard deviation ``sigma`` with correlation exp(-(r / L)^2).
-
-    The spectral density of that correlation is a Gaussian too, exp(-(pi L f)^2), so independent complex coefficients of that variance are drawn and
-    transformed back once. The grid is larger than the window by more than the correlation reaches, as the transform wraps around.
-    """
-    if sigma == 0:
-        return np.zeros((rows, cols))
-    extra = math.ceil(3 * length_m / cell_m)
-    n, m = rows + extra, cols + extra
-    f2 = np.fft.fftfreq(n, cell_m)[:, None] ** 2 + np.fft.fftfreq(m, cell_m)[None, :] ** 2
-    density = np.exp(-((math.pi * length_m) ** 2) * f2)
-    draw = np.random.default_rng(seed)
-    wave = np.sqrt(density) * (draw.standard_normal((n, m)) + 1j * draw.standard_normal((n, m)))
-    return sigma * (np.fft.ifft2(wave).real * (n * m / math.sqrt(density.sum())))[:rows, :cols]
-
-
-# --- routing of a window ------------------------------------------------------------------------------
-
-
-def _near(a: np.ndarray, fill=np.nan) -> list[np.ndarray]:
-    """The eight neighbours' values of every cell."""
-    p = np.pad(a, 1, constant_values=fill)
-    return [p[1 + dr : 1 + dr + a.shape[0], 1 + dc : 1 + dc + a.shape[1]] for dr, dc in OFFSETS]
-
-
-def filled(z: np.ndarray) -> np.ndarray:
-    """The surface without depressions (NaN for no data), draining to its boundary cells, or to the lowest if there are none."""
-    valid = ~np.isnan(z)
-    seed = valid & (sum((~np.isnan(x)).astype(int) for x in _near(z)) < 8)
-    if not seed.any():
-        seed = z == np.nanmin(z)
-    r, c = np.nonzero(valid)
-    tile = _Tile(pd.DataFrame({"r": r, "c": c, "z": z[r, c], "seed": seed[r, c]}), (0, 0), max(z.shape) + 2, z.shape[1])
-    out = np.full(z.shape, np.nan)
-    out[r, c] = np.maximum(tile.z, lowest_ways(len(tile.nodes), tile.a, tile.b, tile.w, tile.level)[tile.node])
-    return out
-
-
-def _layers(start: np.ndarray, flat: np.ndarray, z: np.ndarray, tolerance: float) -> np.ndarray:
-    """Breadth-first layers from ``start`` over ``flat`` cells of equal elevation; 0 where not reached."""
-    level, front, n = start.astype(int), start, 1
-    height = np.where(flat, z, np.nan)
-    while front.any():
-        n += 1
-        spread = np.zeros_like(flat)
-        for near_front, near_z in zip(_near(front.astype(float), 0), _near(height), strict=True):
-            spread |= (near_front > 0) & (np.abs(near_z - z) <= tolerance)
-        front = spread & flat & (level == 0)
-        level[front] = n
-    return level
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def directions(z: np.ndarray, cw: float, ch: float, method: str = "barnes") -> np.ndarray:
-    """Steepest descent with resolved flats, -1 where there is none."""
-    got = d8_kernel(cw, ch)({"z": np.pad(z, 1, constant_values=np.nan)}, 1)["dir"]
-    out = np.where(np.isnan(got), -1, got).astype(int)
-    valid = ~np.isnan(z)
-    drain = valid & (out < 0) & (sum((~np.isnan(x)).astype(int) for x in _near(z)) < 8)
-    tol, scan = (1e-9, SCAN) if method == "barnes" else (0.0, tuple(range(8)))
-    order = sorted(range(8), key=lambda k: (k % 2 if method == "barnes" else 0, scan.index(k)))
-    while True:
-        flat = valid & (out < 0) & ~drain
-        if not flat.any():
-            return out
-        near_z, near_done = _near(z), [x > 0 for x in _near((((out >= 0) | drain) & valid).astype(float), 0)]
-        exit_ = np.full(z.shape, -1)
-        for k in reversed(order):
-            exit_ = np.where(flat & near_done[k] & (near_z[k] <= z + tol), k, exit_)
-        outs = exit_ >= 0
-        toward = _layers(outs, flat, z, tol)
-        mask = toward.astype(float)
-        if method == "barnes":
-            reached = toward > 0
-            high = reached & ~outs & np.any([x > z + tol for x in near_z], axis=0)
-            away = _layers(high, reached, z, tol)
-            label = np.where(reached, np.arange(z.size).reshape(z.shape), -1)
-            while True:  # the least label of a flat spreads through it
-                least = label.copy()
-                for near_l, near in zip(_near(label.astype(float), -1), _near(np.where(reached, z, np.nan)), strict=True):
-                    least = np.where(reached & (near_l >= 0) & (np.abs(near - z) <= tol), np.minimum(least, np.where(near_l >= 0, near_l, np.inf)), least)
-                least = least.astype(int)
-                jumped = np.where(reached, label.ravel()[np.maximum(least, 0)], -1)
-                least = np.where(reached, np.minimum(least, jumped), -1)
-                if (least == label).all():
-                    break
-                label = least
-            height = np.zeros(z.size)
-            np.maximum.at(height, label[reached], away[reached])
-            mask = np.where(reached, 2.0 * toward + np.where(away > 0, height[np.maximum(label, 0)] - away, 0), 0)
-        best, step = np.where(mask > 0, mask, np.inf), np.full(z.shape, -1)
-        near_mask = [np.where((m > 0) & (np.abs(n - z) <= tol), m, np.inf) for m, n in zip(_near(mask, 0), near_z, strict=True)]
-        low = np.min(near_mask, axis=0)
-        for k in reversed(order):
-            step = np.where((mask > 0) & (near_mask[k] == low) & (low < best), k, step)
-        new = np.where(outs, exit_, step)
-        if not (flat & (new >= 0)).any():
-            return out
-        out = np.where(flat & (new >= 0), new, out)
+def noise(rows: np.ndarray, cols: np.ndarray, seed: int, realisation: int) -> np.ndarray:
+    """Independent standard normal numbers of the cells rows x cols, each a function of its row, column, seed and realisation alone."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    key = _mixed(_mixed(np.array([seed], np.int64).astype(np.uint64) + step) + np.array([realisation], np.int64).astype(np.uint64) * step)
+    line = _mixed(key + (rows.astype(np.int64).astype(np.uint64) + np.uint64(1)) * step)
+    a = _mixed(line[:, None] + (cols.astype(np.int64).astype(np.uint64) + np.uint64(1))[None, :] * step)
+    b = _mixed(a ^ step)
+    unit = lambda h: ((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+    return np.sqrt(-2 * np.log(unit(a))) * np.cos(2 * math.pi * unit(b))
 
 
-class Routed:
-    """A routed window: accumulation, longest ways, and measures of cells."""
+def error_field(top: int, left: int, rows: int, cols: int, sigma: float, length: float, seed: int, realisation: int) -> np.ndarray:
+    """The part from (top, left) of a field of standard deviation ``sigma`` with correlation exp(-(d / length)^2), distances in cells.
 
-    def __init__(self, z: np.ndarray, cw: float, ch: float, method: str = "barnes") -> None:
-        self.z, self.cw, self.ch = z, cw, ch
-        d = directions(filled(z), cw, ch, method)
-        rows, cols = z.shape
-        r, c = np.nonzero(~np.isnan(z))
-        k = d[r, c]
-        dr, dc = (np.array([o[i] for o in OFFSETS])[np.maximum(k, 0)] for i in (0, 1))
-        inside = (k >= 0) & (r + dr >= 0) & (r + dr < rows) & (c + dc >= 0) & (c + dc < cols)
-        self.forest = Forest(pd.DataFrame({"id": r * cols + c, "parent": np.where(inside, (r + dr) * cols + c + dc, -1)}))
-        link = np.where(self.forest.inner >= 0, np.array(distances(cw, ch))[np.maximum(k, 0)], 0.0)
-        acc = self.forest.sums(np.ones(len(r))) - 1
-        up = self.forest.longest(np.zeros(len(r)), link)
-        # the donor at the end of the longest way to each cell: greatest length, then accumulation, then the lesser place
-        own = np.flatnonzero(self.forest.inner >= 0)
-        order = own[np.lexsort((-own, acc[own], up[own] + link[own]))]
-        self.donor = np.full(len(r), -1)
-        self.donor[self.forest.inner[order]] = order
-        self.acc, self.up = np.full(z.shape, np.nan), np.full(z.shape, np.nan)
-        self.acc[r, c], self.up[r, c] = acc, up
-        self.place = np.full(z.shape, -1)
-        self.place[r, c] = np.arange(len(r))
-        self.r, self.c = r, c
-
-    def snap(self, r: int, c: int, threshold: float, radius: int) -> tuple[int, int] | None:
-        """The nearest stream cell by ring, then the greatest accumulation, then row order; none within ``radius``: nothing."""
-        a, b, x, y = max(0, r - radius), r + radius + 1, max(0, c - radius), c + radius + 1
-        i, j = np.nonzero(np.nan_to_num(self.acc[a:b, x:y], nan=-1) >= threshold)
-        if not len(i):
-            return None
-        i, j = i + a, j + x
-        k = np.lexsort((j, i, -self.acc[i, j], np.maximum(abs(i - r), abs(j - c))))[0]
-        return int(i[k]), int(j[k])
-
-    def measure(self, at: tuple[int, int]) -> dict[str, float | None]:
-        """Area, length of the longest path, its slope between 10 % and 85 % from the outlet, and the time that follows."""
-        k, path = self.place[at], []
-        while k >= 0:
-            path.append(k)
-            k = self.donor[k]
-        r, c = self.r[path], self.c[path]
-        cum = np.concatenate(([0.0], np.cumsum(np.hypot(np.diff(c) * self.cw, np.diff(r) * self.ch))))
-        length, slope = float(cum[-1]), None
-        if length > 0:
-            low, high = np.interp([0.1 * length, 0.85 * length], cum, self.z[r, c])
-            slope = float((high - low) / (0.75 * length))
-        time = 0.0195 * length**0.77 * slope**-0.385 if slope and slope > 0 else None
-        return {"area_km2": (float(self.acc[at]) + 1) * self.cw * self.ch / 1e6, "lfp_length_m": length, "lfp_slope_1085": slope, "tc_kirpich_min": time}
-
-
-# --- realisations -------------------------------------------------------------------------------------
+    White noise is weighted by exp(-2 (d / length)^2), rows first, then columns, out to three lengths, where the weight is 2e-8. The sums are made in one order, so any two windows agree to the last bit.
+    """
+    if sigma == 0:
+        return np.zeros((rows, cols))
+    reach = math.ceil(3 * length)
+    d = np.arange(-reach, reach + 1)
+    weight = np.exp(-2.0 * (d / max(length, 1e-6)) ** 2)
+    white = noise(np.arange(top - reach, top + rows + reach), np.arange(left - reach, left + cols + reach), seed, realisation)
+    half = sum(w * white[k : k + rows] for k, w in enumerate(weight))
+    return sigma / float((weight * weight).sum()) * sum(w * half[:, k : k + cols] for k, w in enumerate(weight))
 
 
-def realisations(cells: DataFrame, n: int, sigma: float, length_m: float, cell_m: float, measure, schema: str, seed: int = 2026, max_cells: int = 4_000_000) -> DataFrame:
-    """``measure(z + error, realisation)`` as rows of ``schema`` (realisation first), for ``n`` seeded realisations and the error-free run 0.
+def realisations(cells: DataFrame, n: int, sigma: float | None, length_m: float, cell_m: float, seed: int = 2026, tile: int = TILE, together: int = 8) -> DataFrame:
+    """(realisation, r, c, z): the surface (r, c, z) with the error of each of ``n`` realisations, and without as realisation 0. ``sigma`` has no default.
 
-    The window goes to every task, so its size is checked; larger grids are to be cut into windows first.
+    A task makes ``together`` realisations of a tile; what is shuffled is the grid, once for every so many.
     """
-    spark = cells.sparkSession
-    size = cells.agg(F.count("*").alias("n"), F.max("r").alias("r"), F.max("c").alias("c")).first()
-    if (size.n or 0) > max_cells or ((size.r or 0) + 1) * ((size.c or 0) + 1) > 4 * max_cells:
-        raise ValueError(f"{size.n} cells; a window has at most {max_cells}")
-    if not size.n:
-        return spark.createDataFrame([], schema)
-    own = cells.select("r", "c", "z").toPandas()
-    z = np.full((size.r + 1, size.c + 1), np.nan)
-    z[own.r, own.c] = own.z
-    shared = spark.sparkContext.broadcast(z)
+    if sigma is None or sigma < 0:
+        raise ValueError("the standard deviation of the elevation error must be given")
+    length = length_m / cell_m
 
-    def run(batches):
-        for pdf in batches:
-            for k in pdf.id.tolist():
-                surface = shared.value if not k else shared.value + error_field(*shared.value.shape, sigma, length_m, cell_m, [seed, k])
-                yield pd.DataFrame(measure(surface, k))
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(key[0]) * tile, int(key[1]) * tile
+        r, c, z = pdf.r.to_numpy(np.int64), pdf.c.to_numpy(np.int64), pdf.z.to_numpy(float)
+        out = []
+        for k in range(int(key[2]), min(int(key[2]) + together, n + 1)):
+            error = error_field(top, left, tile, tile, sigma, length, seed, k)[r - top, c - left] if k else 0.0
+            out.append(pd.DataFrame({"realisation": k, "r": r, "c": c, "z": z + error}))
+        return pd.concat(out)
 
-    return spark.range(n + 1).repartition(min(n + 1, 64)).mapInPandas(run, schema)
+    dealt = cells.select("r", "c", F.col("z").cast("double").alias("z")).filter("z is not null")
+    dealt = dealt.withColumn("tr", F.expr(f"r div {tile}")).withColumn("tc", F.expr(f"c div {tile}")).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n), F.lit(together))))
+    return dealt.groupBy("tr", "tc", "first").applyInPandas(run, "realisation long, r int, c int, z double")
 
 
-def crossings(cells: DataFrame, points: DataFrame, info: GridInfo, n: int, sigma: float | None, length_m: float = 90.0, threshold_cells: float = 200.0, snap_cells: int = 5, seed: int = 2026) -> DataFrame:
+def crossings(cells: DataFrame, points: DataFrame, info: GridInfo, n: int, sigma: float | None, length_m: float = 90.0, threshold_cells: float = 200.0, snap_cells: int = 5, seed: int = 2026, tile: int = TILE) -> DataFrame:
     """(realisation, uid, area_km2, lfp_length_m, lfp_slope_1085, tc_kirpich_min): each crossing (uid, x, y) in each realisation; null where it has lost its stream. ``sigma`` has no default."""
-    if sigma is None or sigma < 0:
-        raise ValueError("the standard deviation of the elevation error must be given")
-    at = [(r.uid, math.floor((info.y0 - r.y) / info.ch), math.floor((r.x - info.x0) / info.cw)) for r in points.select("uid", "x", "y").collect()]  # crossings of one window
-    cw, ch = info.cw, info.ch
-
-    def measure(z: np.ndarray, k: int) -> dict[str, list]:
-        routed, out = Routed(z, cw, ch), []
-        for uid, r, c in at:
-            hit = routed.snap(r, c, threshold_cells, snap_cells)
-            got = dict.fromkeys(QUANTITIES) if hit is None else routed.measure(hit)
-            out.append({"realisation": k, "uid": uid} | got)
-        return {c: pd.array([o[c] for o in out], "Float64" if c in QUANTITIES else None) for c in ("realisation", "uid", *QUANTITIES)}
-
-    kind = points.schema["uid"].dataType.simpleString()
-    return realisations(cells, n, sigma, length_m, min(cw, ch), measure, f"realisation long, uid {kind}, " + ", ".join(f"{q} double" for q in QUANTITIES), seed)
+    every = realisations(cells, n, sigma, length_m, min(info.cw, info.ch), seed, tile)
+    # one tall grid: each realisation begins at a tile's edge, with more empty rows above than a snap reaches
+    step = -(-(info.rows + snap_cells + 2) // tile) * tile
+    tall = GridInfo(step * (n + 1), info.cols, info.x0, info.y0, info.cw, info.ch)
+    ground = cut(every.select((F.col("r") + F.col("realisation") * step).cast("int").alias("r"), "c", "z"), "realisations")
+    surface = cut(fill.fill_depressions(ground, tall, tile=tile).select("r", "c", F.col("filled").alias("z")), "realisations-filled")
+    routed = fill.resolve_flats(stencil.d8(surface, tall).join(surface, ["r", "c"]), tall, tile=tile)
+    flow = cut(graph.flow_accumulation(routed.select("r", "c", "dir"), tall, tile=tile), "realisations-flow")
+
+    inside = F.col("x").between(info.x0, info.x0 + info.cols * info.cw) & F.col("y").between(info.y0 - info.rows * info.ch, info.y0)
+    asked = points.select("uid", "x", "y").crossJoin(cells.sparkSession.range(n + 1).withColumnRenamed("id", "realisation"))  # crossings times realisations: the rows of the result
+    asked = cut(asked.select(F.struct("realisation", "uid").alias("fid"), "x", (F.col("y") - F.col("realisation") * (step * info.ch)).alias("y"), F.coalesce(inside, F.lit(False)).alias("inside")), "realisations-points")
+    stream = drainage.streams(flow, threshold_cells=threshold_cells)
+    snapped = drainage.snap(asked.filter("inside"), stream, tall, snap_cells).select("fid", (F.col("snap_r").cast("long") * tall.cols + F.col("snap_c")).alias("id"))
+    at = cut(snapped.join(stream.select("id", "acc"), "id").select(F.col("fid").alias("outlet"), "id", "acc"), "realisations-outlets")
+    paths = cut(drainage.longest_paths(flow, at.select("outlet", "id"), tall), "realisations-paths")
+    heights = ground.select((F.col("r").cast("long") * tall.cols + F.col("c")).alias("id"), "z")
+    slopes = drainage.slope_1085(paths, heights).select("outlet", "length_m", "slope_1085")
+    found = at.join(slopes, "outlet", "left").select(F.col("outlet").alias("fid"), ((F.col("acc") + 1) * info.cell_area_km2).alias("area_km2"), F.coalesce("length_m", F.lit(0.0)).alias("lfp_length_m"), F.col("slope_1085").alias("lfp_slope_1085"))
+    time = F.when((F.col("lfp_length_m") > 0) & (F.col("lfp_slope_1085") > 0), H.kirpich(F.col("lfp_length_m"), F.col("lfp_slope_1085")))
+    return asked.join(found, "fid", "left").select("fid.realisation", "fid.uid", "area_km2", "lfp_length_m", "lfp_slope_1085", time.alias("tc_kirpich_min"))
 
 
 def summarise(rows: DataFrame, reference: DataFrame | None = None, switch: float = 0.25) -> DataFrame:

@@ -244,7 +244,7 @@ def erosion_catchment(spark, sf_dir):
     cells, info = erosion_cells(spark, sf_dir)
     layers, member = attrs(spark, sf_dir)
     units = zonal.soil_properties(grid(spark, sf_dir, "soil_units")).select("soil_unit", F.col("k_williams").alias("k_factor"))
-    full = cells.join(layers, "id").join(F.broadcast(units), "soil_unit").withColumn("r_factor", H.rainfall_erosivity(F.col("map_mm"))).withColumn("c_factor", H.lookup(F.col("lc_class"), H.COVER_C)).withColumn("p_factor", H.lookup(F.col("lc_class"), H.SUPPORT_P, 1.0))
+    full = cells.join(layers, "id").join(units, "soil_unit").withColumn("r_factor", H.rainfall_erosivity(F.col("map_mm"))).withColumn("c_factor", H.lookup(F.col("lc_class"), H.COVER_C)).withColumn("p_factor", H.lookup(F.col("lc_class"), H.SUPPORT_P, 1.0))
     got = zonal.erosion_block(zonal.soil_loss(full), member, info.cell_area_km2)
     return rounded(got.select("outlet", "a_mean", "a_p90", "ls_mean", "ls_p90", "ln_spi_p90", F.round("yield_m3", 4).alias("yield_m3")))
 
@@ -345,13 +345,9 @@ def unc_summary(spark, sf_dir):
 @query()
 def unc_realisations(spark, sf_dir):
     """Mean elevation and relief of 20 perturbed surfaces and the base run."""
-    import numpy as np
-
-    def measure(z, k):
-        return {"realisation": [k], "mean_z": [float(np.nanmean(z))], "relief": [float(np.nanmax(z) - np.nanmin(z))]}
-
     cells, info = terrain.dem(spark, sf_dir, "dem_part")
-    return rounded(uncertainty.realisations(cells, 20, uncertainty.PRESETS["FABDEM"], 90.0, info.cw, measure, "realisation long, mean_z double, relief double"))
+    every = uncertainty.realisations(cells, 20, uncertainty.PRESETS["FABDEM"], 90.0, info.cw)
+    return rounded(every.groupBy("realisation").agg(F.avg("z").alias("mean_z"), (F.max("z") - F.min("z")).alias("relief")))
 
 
 @query("WITH v AS (SELECT p_partkey % 50 AS outlet, CASE p_size % 4 WHEN 0 THEN 'base' ELSE 'v' || (p_size % 4) END AS variant, avg(p_retailprice) AS value FROM part GROUP BY 1, 2), b AS (SELECT outlet, value AS base FROM v WHERE variant = 'base'), d AS (SELECT outlet, variant, 100 * (value - base) / base AS ch FROM v JOIN b USING (outlet) WHERE variant <> 'base') SELECT CAST(outlet AS BIGINT) AS outlet, variant AS worst_variant, round(ch, 6) AS worst_change_pct FROM d QUALIFY row_number() OVER (PARTITION BY outlet ORDER BY abs(ch) DESC, variant DESC) = 1")

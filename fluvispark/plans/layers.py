@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import projection
 from ..operators import graph, intervals, stencil
-from ..sources import prepare, raster
+from ..sources import packages, prepare, raster
 from ..sources.grids import GRID_SQL, GridInfo, grid, info_of, scratch, table
 from .terrain import D8, NB, PAIRS, ctes, rounded
 
@@ -77,6 +77,22 @@ def warp_zones(spark, sf_dir):
     return prepare.warp_between(cells, source, target, 32737, 32736).select("r", "c", F.round("z", 3).alias("z"))
 
 
+# --- packages -----------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT 'X' || CAST(s_suppkey AS VARCHAR) AS outlet_uid, CAST(s_suppkey * 12.5 AS DOUBLE) AS chainage_m, CAST(s_suppkey % 900 AS DOUBLE) AS snap_dist_m FROM supplier),
+k AS (SELECT 'X' || CAST(s_suppkey AS VARCHAR) AS outlet_uid, CAST(CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END AS INT) AS truncated, CAST(s_acctbal AS DOUBLE) AS area_km2 FROM supplier WHERE s_suppkey % 7 <> 0),
+f AS (SELECT c.outlet_uid, chainage_m, 3 AS severity, 'area.open' AS finding FROM c JOIN k USING (outlet_uid) WHERE truncated = 1 UNION ALL SELECT outlet_uid, chainage_m, 1, 'outlet.far' FROM c WHERE snap_dist_m > 75)
+SELECT outlet_uid, chainage_m, CAST(severity AS INT) AS severity, finding, 'F' || lpad(CAST(row_number() OVER (ORDER BY severity DESC, chainage_m, outlet_uid, finding) AS VARCHAR), greatest(3, length(CAST(count(*) OVER () AS VARCHAR))), '0') AS finding_id FROM f""")
+def pkg_written_findings(spark, sf_dir):
+    """A package written from a table and read back: its register."""
+    s = table(spark, sf_dir, "supplier").withColumn("outlet_uid", F.concat(F.lit("X"), F.col("s_suppkey").cast("string")))
+    crossings = s.select("outlet_uid", (F.col("s_suppkey") * 12.5).cast("double").alias("chainage_m"), (F.col("s_suppkey") % 900).cast("double").alias("snap_dist_m"))
+    catchments = s.filter("s_suppkey % 7 <> 0").select("outlet_uid", F.when(F.col("s_acctbal") < 0, 1).otherwise(0).alias("truncated"), F.col("s_acctbal").cast("double").alias("area_km2"))
+    path = packages.write_package({"crossings": crossings, "catchments": catchments, "flowpaths": catchments.select("outlet_uid")}, f"{scratch(spark)}/package-{uuid.uuid4().hex}")
+    return packages.findings(spark, path, 30.0).select("outlet_uid", "chainage_m", "severity", "finding", "finding_id")
+
+
 # --- intervals ------------------------------------------------------------------------------------------
 
 REACHES = """SELECT o_orderkey AS reach, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 7 END AS INT) AS road, CAST(o_orderkey * 2.5 AS DOUBLE) AS a0,

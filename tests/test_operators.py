@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import window_router
 from fluvispark.functions import hydrology as H
 from fluvispark.operators import channel, conditioning, coverage, drainage, fill, geometry, graph, linear, package, review, stencil, uncertainty, zonal
+from fluvispark.operators.stencil import OFFSETS
 from fluvispark.sources.grids import GridInfo
 
 
@@ -418,9 +420,9 @@ def test_window_routing_is_that_of_the_grid(spark, method):
     info = GridInfo(24, 22)
     own = cells(spark, z)
     surface = fill.fill_depressions(own, info, tile=8).select("r", "c", F.col("filled").alias("z"))
-    assert {(x.r, x.c): x.z for x in surface.collect()} == {(i, j): v for (i, j), v in np.ndenumerate(uncertainty.filled(z)) if not np.isnan(v)}
+    assert {(x.r, x.c): x.z for x in surface.collect()} == {(i, j): v for (i, j), v in np.ndenumerate(window_router.filled(z)) if not np.isnan(v)}
     flow = fill.resolve_flats(stencil.d8(surface, info).join(surface, ["r", "c"]), info, method=method, tile=8)
-    d = uncertainty.directions(uncertainty.filled(z), 30.0, 30.0, method)
+    d = window_router.directions(window_router.filled(z), 30.0, 30.0, method)
     assert {(x.r, x.c): -1 if x.dir is None else x.dir for x in flow.collect()} == {(i, j): int(v) for (i, j), v in np.ndenumerate(d) if not np.isnan(z[i, j])}
 
 
@@ -435,3 +437,43 @@ def test_realisations_of_crossings(spark):
     assert {r.uid: r.area_km2_p50 for r in off.collect()}["X001"] is None
     with pytest.raises(ValueError, match="must be given"):
         uncertainty.crossings(cells(spark, z), marks, info, 2, None)
+
+
+def test_error_fields_do_not_depend_on_windows():
+    whole = uncertainty.error_field(0, 0, 60, 70, 2.5, 3.0, 11, 4)
+    assert (uncertainty.error_field(17, 23, 20, 31, 2.5, 3.0, 11, 4) == whole[17:37, 23:54]).all()
+    assert not np.allclose(uncertainty.error_field(0, 0, 60, 70, 2.5, 3.0, 11, 5), whole) and not np.allclose(uncertainty.error_field(0, 0, 60, 70, 2.5, 3.0, 12, 4), whole)
+    assert (uncertainty.error_field(0, 0, 5, 5, 0.0, 3.0, 1, 1) == 0).all()
+
+
+@pytest.mark.parametrize("length", [1e-9, 1.5, 4.0])
+def test_error_fields_have_their_deviation_and_correlation(length):
+    a = uncertainty.error_field(0, 0, 900, 900, 2.5, length, 7, 1)
+    assert abs(a.mean()) < 0.1 and abs(a.std() / 2.5 - 1) < 0.03
+    for d in (1, 2, 4, 7):
+        for x, y in ((a[:, d:], a[:, :-d]), (a[d:], a[:-d])):
+            assert abs((x * y).mean() / a.var() - math.exp(-((d / length) ** 2))) < 0.03
+
+
+def test_realisations_do_not_depend_on_tiles(spark):
+    z = golden()
+    got = [{(x.realisation, x.r, x.c): x.z for x in uncertainty.realisations(cells(spark, z), 10, 0.5, 50.0, 10.0, tile=tile).collect()} for tile in (16, 256)]
+    assert got[0] == got[1] and len(got[0]) == 11 * z.size and all(got[0][0, i, j] == v for (i, j), v in np.ndenumerate(z))
+
+
+def test_crossings_are_those_of_each_surface_alone(spark):
+    z, info = golden(), GridInfo(60, 50, 0.0, 600.0, 10.0, 10.0)
+    marks = spark.createDataFrame([("X001", 205.0, 45.0), ("X003", 1e6, 0.0)], "uid string, x double, y double")
+    rows = {(x.realisation, x.uid): x for x in uncertainty.crossings(cells(spark, z), marks, info, 1, 0.8, 40.0, threshold_cells=100.0, snap_cells=3, tile=32).collect()}
+    assert len(rows) == 4 and rows[0, "X003"].area_km2 is None
+    noisy = z + uncertainty.error_field(0, 0, 60, 50, 0.8, 4.0, 2026, 1)
+    d = window_router.directions(window_router.filled(noisy), 10.0, 10.0)
+    parent = {(i, j): (i + OFFSETS[k][0], j + OFFSETS[k][1]) for (i, j), k in np.ndenumerate(d) if k >= 0}
+    parent = {a: b for a, b in parent.items() if 0 <= b[0] < 60 and 0 <= b[1] < 50}
+    above: dict = {}
+    for x in np.ndindex(60, 50):
+        while x in parent:
+            x = parent[x]
+            above[x] = above.get(x, 0) + 1
+    near = [(max(abs(i - 55), abs(j - 20)), -above.get((i, j), 0), i, j) for i in range(52, 59) for j in range(17, 24) if above.get((i, j), 0) >= 100]
+    assert abs(rows[1, "X001"].area_km2 - (1 - min(near)[1]) * 1e-4) < 1e-12 and rows[1, "X001"].lfp_length_m > 0
