@@ -83,7 +83,7 @@ def warp_zones(spark, sf_dir):
 @query("""WITH c AS (SELECT 'X' || CAST(s_suppkey AS VARCHAR) AS outlet_uid, CAST(s_suppkey * 12.5 AS DOUBLE) AS chainage_m, CAST(s_suppkey % 900 AS DOUBLE) AS snap_dist_m FROM supplier),
 k AS (SELECT 'X' || CAST(s_suppkey AS VARCHAR) AS outlet_uid, CAST(CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END AS INT) AS truncated, CAST(s_acctbal AS DOUBLE) AS area_km2 FROM supplier WHERE s_suppkey % 7 <> 0),
 f AS (SELECT c.outlet_uid, chainage_m, 3 AS severity, 'area.open' AS finding FROM c JOIN k USING (outlet_uid) WHERE truncated = 1 UNION ALL SELECT outlet_uid, chainage_m, 1, 'outlet.far' FROM c WHERE snap_dist_m > 75)
-SELECT outlet_uid, chainage_m, CAST(severity AS INT) AS severity, finding, 'F' || lpad(CAST(row_number() OVER (ORDER BY severity DESC, chainage_m, outlet_uid, finding) AS VARCHAR), greatest(3, length(CAST(count(*) OVER () AS VARCHAR))), '0') AS finding_id FROM f""")
+SELECT outlet_uid, chainage_m, CAST(severity AS INT) AS severity, finding, 'F' || lpad(CAST(row_number() OVER (ORDER BY severity DESC, chainage_m, outlet_uid, finding) AS VARCHAR), CAST(greatest(3, length(CAST(count(*) OVER () AS VARCHAR))) AS INT), '0') AS finding_id FROM f""")
 def pkg_written_findings(spark, sf_dir):
     """A package written from a table and read back: its register."""
     s = table(spark, sf_dir, "supplier").withColumn("outlet_uid", F.concat(F.lit("X"), F.col("s_suppkey").cast("string")))
