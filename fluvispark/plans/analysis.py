@@ -322,7 +322,9 @@ def pkg_register(spark, sf_dir):
     return review.register(rows, [(F.col("s_acctbal") < 0, 3, "balance below zero"), (F.col("s_nationkey") < 3, 1, "first nations")])
 
 
-@query()
+@query(terrain.fill_sql("SELECT component, n_cells").replace(" SELECT component, n_cells", f""", {terrain.WET}, d AS (SELECT component, count(*) AS n_cells, max(depth) AS deep, sum(depth) AS s FROM wc JOIN w USING (id) GROUP BY component),
+a AS (SELECT component, w.r, w.c, row_number() OVER (PARTITION BY component ORDER BY depth DESC, w.r, w.c) AS k FROM wc JOIN w USING (id))
+SELECT component, n_cells, round(CAST(n_cells * 900.0 AS DOUBLE), 6) AS area_m2, round(deep, 6) AS max_depth_m, round(s / n_cells, 6) AS mean_depth_m, round(s * 900.0, 6) AS volume_m3, r AS deepest_r, c AS deepest_c FROM d JOIN a USING (component) WHERE k = 1 AND deep >= 0.5 ORDER BY deep DESC, component LIMIT 50"""))
 def review_depressions(spark, sf_dir):
     cells, info = terrain.dem(spark, sf_dir, "dem_part")
     labels = fill.depression_labels(fill.fill_depth(fill.fill_depressions(cells, info)), info)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import channel, conditioning, coverage, drainage, fill, geometry, graph, linear, package, review, stencil, uncertainty, zonal
 from ..sources.grids import GRID_SQL, cut, grid
 from .analysis import road
-from .terrain import ACC, CLOSURE, D8, OUT, PAIRS, ctes, dem, routed, rounded, top_outlets
+from .terrain import ACC, CLOSURE, D8, OUT, PAIRS, PATHS, along, ctes, dem, routed, rounded, top_outlets
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -67,7 +67,9 @@ def zone_perimeters(spark, sf_dir):
     return rounded(geometry.perimeters(member.join(flow.select("id", "r", "c"), "id"), info))
 
 
-@query()
+@query(f"""{BASE}, {PATHS}, {along('pz', 's')}, e AS (SELECT outlet, max(cum) AS l, max(z) AS hi, min(z) AS lo, arg_max(z, pos) AS head, arg_min(z, pos) AS foot FROM pz GROUP BY outlet)
+SELECT outlet, round(l, 6) AS lfp_length_m, hi AS lfp_elev_max_m, lo AS lfp_elev_min_m, head AS lfp_z_head_m, foot AS lfp_z_outlet_m, round(hi - lo, 6) AS lfp_drop_m, CAST(CASE WHEN hi - lo - (head - foot) > 0.5 THEN 1 ELSE 0 END AS INT) AS lfp_nonmonotonic, round(CASE WHEN l > 0 THEN (hi - lo) / l END, 6) AS lfp_slope,
+round(CASE WHEN length_m > 0 THEN (z85 - z10) / (0.75 * length_m) END, 6) AS lfp_slope_1085, round(z10, 6) AS lfp_z10_m, round(z85, 6) AS lfp_z85_m FROM e JOIN s USING (outlet)""")
 def lfp_figures(spark, sf_dir):
     flow, info, outlets, _ = zones(spark, sf_dir)
     return rounded(drainage.path_figures(drainage.longest_paths(flow, outlets, info), flow))

@@ -239,13 +239,30 @@ def drain_longest_path(spark, sf_dir):
     return rounded(drainage.longest_paths(flow, top_outlets(flow), info).groupBy("outlet").agg(F.max("cum_m").alias("length_m")))
 
 
-@query()
+# the cells of each outlet's longest path, from the outlet up: at each the donor of the longest way, then of the greater accumulation, then the lesser id
+PATHS = f"""{UPLEN}, ln AS (SELECT lk.cell_id AS id, lk.parent, len, coalesce(u.m, 0) AS up_len, acc.acc FROM lk LEFT JOIN (SELECT dst, max(d) AS m FROM ul GROUP BY dst) u ON u.dst = lk.cell_id JOIN acc ON acc.cell_id = lk.cell_id),
+bd AS (SELECT parent AS id, id AS donor, len FROM ln WHERE parent IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent ORDER BY round(up_len + len, 6) DESC, acc DESC, id) = 1),
+pth AS (SELECT outlet, 0 AS pos, oid AS id, CAST(0 AS DOUBLE) AS cum FROM outs UNION ALL SELECT outlet, pos + 1, donor, cum + len FROM pth JOIN bd USING (id)),
+pz AS (SELECT outlet, pos, pth.id, cum, z, acc, max(cum) OVER (PARTITION BY outlet) AS total FROM pth JOIN g ON g.cell_id = pth.id JOIN acc ON acc.cell_id = pth.id)"""
+
+
+def along(rows: str, name: str) -> str:
+    """Elevations at 10 and 85 % of the paths in ``rows`` (outlet, pos, cum, z, total), as tables ``name``."""
+    at = lambda t: f"max(CASE WHEN cum <= {t} * total AND c2 > {t} * total THEN z + (z2 - z) * ({t} * total - cum) / (c2 - cum) END)"
+    return f"{name} AS (SELECT outlet, max(total) AS length_m, {at(0.1)} AS z10, {at(0.85)} AS z85 FROM (SELECT *, lead(cum) OVER w AS c2, lead(z) OVER w AS z2 FROM {rows} WINDOW w AS (PARTITION BY outlet ORDER BY pos)) GROUP BY outlet)"
+
+
+@query(f"WITH RECURSIVE {ctes('dem_orders')}, {PAIRS}, {D8}, {CLOSURE}, {ACC}, {OUT}, {PATHS}, {along('pz', 's')} SELECT outlet, round(length_m, 6) AS length_m, round(z10, 6) AS z10, round(z85, 6) AS z85, round(CASE WHEN length_m > 0 THEN (z85 - z10) / (0.75 * length_m) END, 6) AS slope_1085 FROM s")
 def lfp_1085(spark, sf_dir):
     flow, info = routed(spark, sf_dir)
     return rounded(drainage.slope_1085(drainage.longest_paths(flow, top_outlets(flow), info), flow))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ctes('dem_orders')}, {PAIRS}, {D8}, {CLOSURE}, {ACC}, {OUT}, {PATHS}, h AS (SELECT outlet, max(cum) AS hc, arg_max(z, cum) AS hz FROM pz WHERE acc >= 50 GROUP BY outlet),
+e AS (SELECT outlet, max(cum) AS length_m, arg_max(z, cum) AS top, arg_min(z, cum) AS low FROM pz GROUP BY outlet), i AS (SELECT pz.outlet, pos, cum, z, max(cum) OVER (PARTITION BY pz.outlet) AS total FROM pz LEFT JOIN h USING (outlet) WHERE cum <= coalesce(hc, 0)), {along('i', 's')},
+f AS (SELECT e.outlet, e.length_m, coalesce(hc, 0) AS channel_m, e.length_m - coalesce(hc, 0) AS over, top, low, hz, hc, s.length_m AS sl, z10, z85 FROM e LEFT JOIN h USING (outlet) LEFT JOIN s USING (outlet))
+SELECT outlet, round(length_m, 6) AS length_m, round(channel_m, 6) AS channel_m, round(over, 6) AS overland_m, round(least(over, 100.0), 6) AS sheet_m, round(greatest(over - 100.0, 0.0), 6) AS shallow_m, round(CASE WHEN over > 0 THEN (top - coalesce(hz, low)) / over END, 6) AS overland_slope,
+round(CASE WHEN channel_m > 0 THEN (hz - low) / channel_m END, 6) AS channel_slope, CAST(CASE WHEN hc IS NULL THEN 1 ELSE 0 END AS INT) AS no_channel, round(CASE WHEN channel_m > 0 THEN (z85 - z10) / (0.75 * sl) END, 6) AS channel_slope_1085 FROM f""")
 def lfp_split(spark, sf_dir):
     flow, info = routed(spark, sf_dir)
     return rounded(drainage.path_split(drainage.longest_paths(flow, top_outlets(flow), info), flow, flow, 50))
@@ -258,19 +275,28 @@ def drain_hand(spark, sf_dir):
     return rounded(drainage.hand(flow, flow, drainage.streams(flow, threshold_cells=50), info).select(F.col("id").alias("cell_id"), "hand"))
 
 
-@query()
+# stream cells with their stream receivers; orders that rise from 1 until they agree with those of the donors
+NET = "s AS (SELECT cell_id FROM acc WHERE acc >= 20), net AS (SELECT flow.cell_id AS id, p.cell_id AS parent, flow.z, CASE WHEN p.cell_id IS NULL THEN 0.0 WHEN dir % 2 = 1 THEN sqrt(1800.0) ELSE 30.0 END AS len FROM flow JOIN s ON s.cell_id = flow.cell_id LEFT JOIN s p ON p.cell_id = flow.parent)"
+ORDERS = """so(id, ord) USING KEY (id) AS (SELECT id, 1 FROM net UNION ALL (SELECT q.id, q.new FROM (SELECT n.parent AS id, CAST(max(o.ord) + CASE WHEN count(*) > 1 AND list_sort(list(o.ord), 'DESC')[2] = max(o.ord) THEN 1 ELSE 0 END AS INT) AS new
+FROM (SELECT DISTINCT net.parent FROM so JOIN net ON net.id = so.id WHERE net.parent IS NOT NULL) c JOIN net n ON n.parent = c.parent JOIN recurring.so o ON o.id = n.id GROUP BY n.parent) q JOIN recurring.so old ON old.id = q.id WHERE q.new > old.ord))"""
+REACHES = """nd AS (SELECT net.*, net.parent IS NULL OR coalesce(k.n, 0) <> 1 AS tail FROM net LEFT JOIN (SELECT parent, count(*) AS n FROM net WHERE parent IS NOT NULL GROUP BY parent) k ON k.parent = net.parent),
+rw AS (SELECT id, id AS foot, tail, parent FROM nd UNION ALL SELECT rw.id, nd.id, nd.tail, nd.parent FROM rw JOIN nd ON nd.id = rw.parent WHERE NOT rw.tail), rr AS (SELECT id, foot AS reach FROM rw WHERE tail),
+rl AS (SELECT reach, max(ord) AS "order", count(*) + max(CASE WHEN nd.id = reach AND nd.parent IS NOT NULL THEN 1 ELSE 0 END) AS n_cells, sum(len) AS length_m, max(nd.z) - max(CASE WHEN nd.id = reach THEN coalesce(p.z, nd.z) END) AS drop_m FROM rr JOIN nd USING (id) JOIN so USING (id) LEFT JOIN g p ON p.cell_id = nd.parent GROUP BY reach HAVING n_cells >= 2)"""
+
+
+@query(f"WITH RECURSIVE {ctes('dem_orders')}, {PAIRS}, {D8}, {CLOSURE}, {ACC}, {NET}, {ORDERS} SELECT id AS cell_id, CAST(ord AS INT) AS \"order\" FROM so")
 def drain_strahler(spark, sf_dir):
     flow, info = routed(spark, sf_dir)
     return drainage.strahler(flow, drainage.streams(flow, threshold_cells=20), info).select(F.col("id").alias("cell_id"), "order")
 
 
-@query()
+@query(f"WITH RECURSIVE {ctes('dem_orders')}, {PAIRS}, {D8}, {CLOSURE}, {ACC}, {NET}, {ORDERS}, {REACHES} SELECT reach, CAST(\"order\" AS INT) AS \"order\", n_cells, round(length_m, 6) AS length_m, round(drop_m, 6) + 0.0 AS drop_m, round(drop_m / length_m, 6) + 0.0 AS slope FROM rl")
 def drain_reaches(spark, sf_dir):
     flow, info = routed(spark, sf_dir)
     return rounded(drainage.reaches(flow, flow, drainage.strahler(flow, drainage.streams(flow, threshold_cells=20), info), info))
 
 
-@query()
+@query(f"WITH RECURSIVE {ctes('dem_orders')}, {PAIRS}, {D8}, {CLOSURE}, {ACC}, {NET}, {ORDERS}, {REACHES} SELECT CAST(\"order\" AS INT) AS \"order\", count(*) AS n_reaches, round(sum(length_m), 6) AS length_m, round(avg(length_m), 6) AS mean_length_m, round(avg(drop_m / length_m), 6) AS mean_slope, round(sum(length_m) / 1000 / (any_value(nr) * any_value(nc) * 0.0009), 6) AS density_km_km2 FROM rl, dims GROUP BY \"order\"")
 def network_summary(spark, sf_dir):
     flow, info = routed(spark, sf_dir)
     lines = drainage.reaches(flow, flow, drainage.strahler(flow, drainage.streams(flow, threshold_cells=20), info), info)
@@ -310,7 +336,11 @@ def fill_min_slope(spark, sf_dir):
     return rounded(fill.fill_depressions(*dem(spark, sf_dir, "dem_part"), min_slope=0.001, tile=16).select("r", "c", "filled"))
 
 
-@query()
+# cells under more than a centimetre of water, and the least cell of all that hang together
+WET = "w AS (SELECT f.cell_id AS id, g.r, g.c, f.f - g.z AS depth FROM f JOIN g USING (cell_id) WHERE f.f - g.z > 0.01), wr AS (SELECT id, id AS root FROM w UNION SELECT y.id, wr.root FROM wr JOIN w x ON x.id = wr.id JOIN w y ON abs(y.r - x.r) <= 1 AND abs(y.c - x.c) <= 1), wc AS (SELECT id, min(root) AS component FROM wr GROUP BY id)"
+
+
+@query(fill_sql("SELECT component, count(*) AS n_cells, round(max(depth), 6) AS max_depth, round(sum(depth), 6) AS sum_depth FROM wc JOIN w USING (id) GROUP BY component").replace(" SELECT component, count", f", {WET} SELECT component, count"))
 def fill_components(spark, sf_dir):
     cells, info = dem(spark, sf_dir, "dem_part")
     got = fill.depression_labels(fill.fill_depth(fill.fill_depressions(cells, info)), info)
