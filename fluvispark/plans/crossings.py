@@ -149,7 +149,18 @@ def unc_crossings(spark, sf_dir):
     return rounded(uncertainty.summarise(uncertainty.crossings(cells, points, info, 20, uncertainty.PRESETS["FABDEM"], threshold_cells=20)))
 
 
-@query()
+@query(f"""WITH {ctes('dem_part')}, {PAIRS}, l AS (SELECT 'row' AS axis, r AS line, c AS pos, z FROM g UNION ALL SELECT 'col', c, r, z FROM g),
+j AS (SELECT a.axis, a.line, count(*) AS n, sum(CASE WHEN a.z = b.z THEN 1 ELSE 0 END) AS n_equal, min(a.z) AS lo, max(a.z) AS hi FROM l a JOIN l b ON a.axis = b.axis AND a.pos = b.pos AND b.line = a.line - 1 GROUP BY 1, 2),
+k AS (SELECT axis, sum(CASE WHEN n >= 50 AND n_equal >= 0.99 * n AND lo < hi THEN 1 ELSE 0 END) AS rep, sum(CASE WHEN n >= 50 THEN 1 ELSE 0 END) AS cmp FROM j GROUP BY axis),
+lines AS (SELECT CAST(coalesce(max(CASE WHEN axis = 'row' THEN rep END), 0) AS BIGINT) AS rn, coalesce(max(CASE WHEN axis = 'row' THEN rep / greatest(cmp, 1) END), 0) AS rs, CAST(coalesce(max(CASE WHEN axis = 'col' THEN rep END), 0) AS BIGINT) AS cn, coalesce(max(CASE WHEN axis = 'col' THEN rep / greatest(cmp, 1) END), 0) AS cs FROM k),
+rel AS (SELECT g.cell_id, greatest(g.z, coalesce(max(zn), g.z)) - least(g.z, coalesce(min(zn), g.z)) AS rel FROM g LEFT JOIN pair USING (cell_id) GROUP BY g.cell_id, g.z),
+ties AS (SELECT count(*) AS n, sum(CASE WHEN z = zn THEN 1 ELSE 0 END) AS tied, sum(CASE WHEN z = zn AND a.rel > 0.1 AND b.rel > 0.1 THEN 1 ELSE 0 END) AS sloped FROM pair JOIN rel a ON a.cell_id = pair.cell_id JOIN rel b ON b.cell_id = nid WHERE k IN (0, 2)),
+q(q) AS (VALUES (CAST(1.0 AS DOUBLE)), (0.5), (0.25), (0.2), (0.1), (0.05), (0.02), (0.01)), ulp AS (SELECT 4 * pow(2.0, floor(log2(max(abs(z)))) - 23) AS e FROM g),
+step AS (SELECT max(CASE WHEN share >= 0.999 THEN q END) AS quantum FROM (SELECT q, avg(CASE WHEN abs(z - round(z / q) * q) <= greatest(0.02 * q, e) THEN 1.0 ELSE 0.0 END) AS share FROM g, q, ulp GROUP BY q)),
+fall AS (SELECT avg(d) AS mean_drop, count(*) AS n_cells FROM (SELECT max(greatest(0.0, z - zn)) AS d FROM pair GROUP BY cell_id)),
+none AS (SELECT max(CASE WHEN n > 0.005 * total AND hi > lo AND lo - value > 0.25 * (hi - lo) THEN value END) AS nodata FROM (SELECT value, sum(CASE WHEN z = value THEN 1 ELSE 0 END) AS n, count(*) AS total, min(CASE WHEN z <> value THEN z END) AS lo, max(CASE WHEN z <> value THEN z END) AS hi FROM g, (VALUES (CAST(0.0 AS DOUBLE)), (-9999.0), (-32768.0), (CAST(-3.4028235e38 AS DOUBLE))) v(value) GROUP BY value))
+SELECT rn AS repeated_row_n, round(rs, 6) AS repeated_row_share, cn AS repeated_col_n, round(cs, 6) AS repeated_col_share, quantum, round(mean_drop, 6) AS mean_drop, n_cells, nodata, round(sloped / greatest(n, 1), 6) AS sloped_tied_share, round(tied / greatest(n, 1), 6) AS tied_share,
+CASE WHEN greatest(rs, cs) >= 0.002 THEN 'repeated lines' WHEN coalesce(quantum, 0) <= 0.01 AND sloped / greatest(n, 1) >= 0.02 THEN 'tied cells' ELSE 'ok' END AS resampling, round(mean_drop / quantum, 6) AS precision_ratio, CASE WHEN mean_drop / quantum < 1 THEN 'warning' WHEN mean_drop / quantum < 10 THEN 'caution' ELSE 'ok' END AS precision FROM lines, ties, step, fall, none""")
 def audit_grid(spark, sf_dir):
     return rounded(conditioning.audit(*dem(spark, sf_dir, "dem_part")))
 
