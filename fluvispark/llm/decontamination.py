@@ -5,8 +5,8 @@ windows of ``2 * STRIDE`` words over the whole text). An item of more than ``STR
 as pieces of that length, which overlap so that every five-word shingle lies in one of them; any
 ``STRIDE`` words of a text lie whole in some passage. Weights are BM25 contributions divided by the
 piece's score of itself, so one threshold serves items of any length; an item is retrieved with the
-score of its best piece. If the item's shingles are found to ``overlap``, so are those of some piece,
-and that piece shares far more than ``threshold`` of its weight with a passage.
+score of its best piece. Retrieval is by BM25 alone: a copy that keeps the shingle overlap but has lost just those words that hold nearly
+all of an item's weight is not retrieved (items of one template, which differ in a few words of their own, when these are what was cut or changed).
 
 The index is inverted: for each term a list of its postings (piece, weight) in the order of the pieces, cut into blocks of
 ``BLOCK`` pieces; of each block of a list its greatest weight is kept, and of each list the greatest of all. Pieces of similar length (to a
@@ -25,7 +25,7 @@ the answer part must be found to ``part`` of theirs as well: by shingles, or, fo
 words, word by word in order (one less the edits a word to the nearest stretch of the text), whichever is more.
 Items without an answer have null for these two.
 
-Scale. One pass over the corpus, no shuffle of it. Document frequencies and lengths are counted in Spark. The items are dealt by hash to as many parts as
+Scale. A pass over the corpus for each part of the index, no shuffle of it. Document frequencies and lengths are counted in Spark. The items are dealt by hash to as many parts as
 keep each part's index at about ``max_index_bytes`` (some 100,000 items of 60 words); parts are built, broadcast and searched one after the other, so that what
 is broadcast, or held by the driver, is bounded whatever the benchmark's size, but for an item that is larger alone.
 

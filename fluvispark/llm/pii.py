@@ -16,10 +16,11 @@ reach beyond an accepted span or (phones) are a part of one, that overlap a base
 validator of their kind, or that are of another make (``UNLIKE``: bare runs of digits, dates and years for phones, sentence ends for e-mail) without a key word of
 their kind before them. All others are unlabelled and only scored. A secret is positive after an assignment to a telling name
 (``password=``) or with a known prefix, else negative. Features are small categories that leave out
-what the validators test. Examples are summed by (features, label) over all documents; the trees are
-fitted on the ``max_cells`` most frequent of these sums (200,000, the bound of the fit). A kind's
-threshold lies below the least score at which the held-out precision's lower confidence bound (Wilson, 95 %)
-reaches ``precision``, half-way to the next score seen, and is 0.5 at least; without such a score nothing of that kind is added.
+what the validators test. Examples are summed by (features, label, fold) over all documents; the trees are
+fitted on the ``max_cells`` most frequent of these sums (200,000, the bound of the fit). Thresholds are calibrated on the scores of all examples, each
+scored by trees that have not seen its fold (of four): a kind's lies below the least score from which its precision, with a few
+examples lent at the precision of all kinds (``fit``), reaches ``precision``, half-way to the next score seen, and is 0.5 at least. So a kind
+with few examples leans on the others; if even so no score passes, nothing of it is added.
 
 Everything on the way of the rows is DataFrame functions; the trees become one expression. Patterns are
 possessive or anchored at the beginnings of runs, so that long runs neither overflow the matcher's
@@ -325,27 +326,37 @@ def _grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int,
     return (COLUMNS[best[1]], best[2], *(_grow(x[m], gradient[m], hessian[m], depth - 1, least, shrink) for m in (below, ~below)))
 
 
-def fit(table: list[dict], rounds: int = 40, depth: int = 4, shrink: float = 0.3, precision: float = 0.95) -> Model:
-    """Boosting on rows {kind, features..., held_out, positive, negative} (counts), then thresholds on the held-out ones."""
+def _boosted(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, rounds: int, depth: int, shrink: float) -> Model:
+    model = Model(math.log((positive.sum() + 1) / (negative.sum() + 1)), [], {})
+    z = np.full(len(x), model.start)
+    for _ in range(rounds if positive.any() and negative.any() else 0):
+        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        model.trees.append(_grow(x, positive - (positive + negative) * q, np.maximum((positive + negative) * q * (1 - q), 1e-9), depth, 1.0, shrink))
+        z = z + _leaves(model.trees[-1], x)
+    return model
+
+
+def fit(table: list[dict], rounds: int = 40, depth: int = 4, shrink: float = 0.3, precision: float = 0.95, lent: float = 10.0) -> Model:
+    """Boosting on rows {kind, features..., fold, positive, negative} (counts), then a threshold for each kind from scores that every fold gets of trees fitted on the others.
+
+    A kind's precision from a score upwards is that of its own examples and ``lent`` more at the precision of all kinds from there: kinds with many examples stand for themselves, rare ones lean on the rest.
+    """
     x = np.array([[r[c] for c in COLUMNS] for r in table], np.int64).reshape(-1, len(COLUMNS))
     positive, negative = (np.array([r[c] for r in table], float) for c in ("positive", "negative"))
-    held = np.array([r["held_out"] for r in table], bool)
-    own, p, n = x[~held], positive[~held], negative[~held]
-    model = Model(math.log((p.sum() + 1) / (n.sum() + 1)), [], {})
-    z = np.full(len(own), model.start)
-    for _ in range(rounds if p.any() and n.any() else 0):
-        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        model.trees.append(_grow(own, p - (p + n) * q, np.maximum((p + n) * q * (1 - q), 1e-9), depth, 1.0, shrink))
-        z = z + _leaves(model.trees[-1], own)
-    scores = 1 / (1 + np.exp(-np.clip(model.raw(x), -30, 30)))
+    fold = np.array([r["fold"] for r in table], int)
+    scores = np.zeros(len(x))
+    for f in np.unique(fold):
+        own = fold == f
+        scores[own] = 1 / (1 + np.exp(-np.clip(_boosted(x[~own], positive[~own], negative[~own], rounds, depth, shrink).raw(x[own]), -30, 30)))
+    model = _boosted(x, positive, negative, rounds, depth, shrink)
+    level, code = np.unique(-scores, return_inverse=True)
+    upto = lambda w, mine: np.cumsum(np.bincount(code[mine], weights=w[mine], minlength=len(level)))
+    everything = np.ones(len(x), bool)
+    whole = upto(positive, everything) / np.maximum(upto(positive, everything) + upto(negative, everything), 1)
     for k in range(len(KINDS)):
-        mine = np.flatnonzero(held & (x[:, 0] == k))
-        level, code = np.unique(-scores[mine], return_inverse=True)
-        good, bad = (np.cumsum(np.bincount(code, weights=w[mine], minlength=len(level))) for w in (positive, negative))
-        m, z95 = np.maximum(good + bad, 1), 1.645
-        share = good / m
-        low = (share + z95 * z95 / (2 * m) - z95 * np.sqrt(share * (1 - share) / m + z95 * z95 / (4 * m * m))) / (1 + z95 * z95 / m)
-        passing = np.flatnonzero(low >= precision)
+        mine = x[:, 0] == k
+        good, bad = upto(positive, mine), upto(negative, mine)
+        passing = np.flatnonzero((good + lent * whole) / (good + bad + lent) >= precision)
         model.thresholds[k] = 2.0
         if len(passing):
             # half-way, in log odds, to the next lower score seen
@@ -356,10 +367,10 @@ def fit(table: list[dict], rounds: int = 40, depth: int = 4, shrink: float = 0.3
 
 def examples(found: DataFrame) -> DataFrame:
     """Counts of labelled candidates by kind, features and fold."""
-    fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 0).alias("held_out")
+    fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4).cast("int").alias("fold")
     every = F.filter(F.concat("candidates", "planted"), lambda c: c["label"].isNotNull())
-    rows = found.filter("size(candidates) > 0 or size(planted) > 0").select(fold, F.explode(every).alias("c")).select("held_out", "c.*")
-    return rows.groupBy("held_out", "kind", *FEATURES).agg(F.sum("label").alias("positive"), F.sum(1 - F.col("label")).alias("negative"))
+    rows = found.filter("size(candidates) > 0 or size(planted) > 0").select(fold, F.explode(every).alias("c")).select("fold", "c.*")
+    return rows.groupBy("fold", "kind", *FEATURES).agg(F.sum("label").alias("positive"), F.sum(1 - F.col("label")).alias("negative"))
 
 
 def find(docs: DataFrame, precision: float = 0.95, max_cells: int = 200_000, keep_text: bool = False) -> DataFrame:
@@ -371,7 +382,7 @@ def find(docs: DataFrame, precision: float = 0.95, max_cells: int = 200_000, kee
     bare = lambda n: lambda s: F.struct(F.lit(n).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.array_sort(F.concat(*[F.transform(f"base_{k}", bare(n)) for n, k in enumerate(BASE)]))
     found, _ = C.materialise(found.select("doc_id", *(["text"] if keep_text else []), base.alias("base"), "candidates", "planted"), "spans")
-    cells = examples(found).orderBy(F.desc(F.col("positive") + F.col("negative")), "held_out", "kind", *FEATURES).limit(max_cells)
+    cells = examples(found).orderBy(F.desc(F.col("positive") + F.col("negative")), "fold", "kind", *FEATURES).limit(max_cells)
     model = fit([r.asDict() for r in cells.collect()], precision=precision)
     threshold = lambda c: F.get(F.array(*[F.lit(float(model.thresholds[n])) for n in range(len(KINDS))]), c["kind"])
     free = F.filter("candidates", lambda c: c["free"])
