@@ -98,3 +98,17 @@ def test_planted_variants_are_added_and_decoys_left(spark):
         recall, precision = len(found & planted) / len(planted), len(found & planted) / max(1, len(found))
         print(name, len(planted), "recall", round(recall, 3), "precision", round(precision, 3))
         assert recall >= 0.9 and precision >= 0.9, name
+
+
+def test_a_kind_with_few_examples_is_found_too(spark):
+    r = random.Random(5)
+    texts = [f"{filler(r)} {r.choice(base(r))} {filler(r)} {decoy(r)}" for _ in range(300)]
+    tokens = {}
+    for k in range(6):  # of another make than the templates: upper case, a colon, no quotes
+        i, token = 50 * k, "".join(r.choice("0123456789ABCDEF") for _ in range(40))
+        head = f"{texts[i]} {r.choice(['api_key: ', 'SECRET = ', 'password='])}"
+        tokens[i] = (4, len(head), len(head) + 40)
+        texts[i] = f"{head}{token} {filler(r)}"
+    got = {x.doc_id: {(s.kind, s.start, s.end) for s in x.added} for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(t in got[i] for i, t in tokens.items())
+    assert sum(s[0] == 4 for own in got.values() for s in own) == len(tokens)
