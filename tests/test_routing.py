@@ -67,6 +67,6 @@ def test_strahler_of_a_confluence(spark):
 
 
 def test_error_field_has_its_deviation_and_correlation():
-    f = uncertainty.error_field(200, 200, 2.5, 50.0, 10.0, 7)
+    f = uncertainty.error_field(0, 0, 200, 200, 2.5, 5.0, 7, 1)
     assert abs(f.std() - 2.5) < 0.25
     assert abs(np.corrcoef(f[:, :-5].ravel(), f[:, 5:].ravel())[0, 1] - np.exp(-1)) < 0.08
