@@ -314,18 +314,24 @@ def sags(rows: DataFrame, column: str = "smooth", prominence: float = 0.3) -> Da
     """(road, chainage_m, z, prominence_m, low_m, z_low): local minima (first station of a plateau) whose lower enclosing rise reaches ``prominence``; ``low_m`` is the lowest raw
     station (z_dem_m, if there is one) from three before it to three after its end.
 
-    The rise on a side is the highest point before the profile falls below the minimum again. A road's stations are one group.
+    The rise on a side is the highest point before the profile falls below the minimum again, over gaps; a station beside a gap (a null) is no minimum. A road's stations are one group.
     """
     own = by_road(rows)
     raw = F.col("z_dem_m") if "z_dem_m" in own.columns else F.col(column)
     kind = own.schema["road"].dataType.simpleString()
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.z.notna()].sort_values("chainage_m")
+        pdf = pdf.sort_values("chainage_m")
         z, ch, low = pdf.z.to_numpy(float), pdf.chainage_m.to_numpy(float), pdf.raw.to_numpy(float)
+        known = np.flatnonzero(~np.isnan(z))
         out = []
-        for i, j, depth in _prominences(z) if len(z) else []:
-            if depth >= prominence:
+        for i, _, depth in _prominences(z[known]) if len(known) else []:
+            i = known[i]
+            beside = 0 < i < len(z) - 1 and not np.isnan(z[i - 1]) and not np.isnan(z[i + 1])
+            if depth >= prominence and beside:
+                j = i
+                while j + 1 < len(z) and z[j + 1] == z[i]:
+                    j += 1
                 lo, hi = max(0, i - 3), min(len(z), j + 4)
                 m = lo + int(np.nanargmin(low[lo:hi])) if not np.isnan(low[lo:hi]).all() else i
                 out.append((key[0], ch[i], z[i], depth, ch[m], low[m]))

@@ -477,3 +477,10 @@ def test_crossings_are_those_of_each_surface_alone(spark):
             above[x] = above.get(x, 0) + 1
     near = [(max(abs(i - 55), abs(j - 20)), -above.get((i, j), 0), i, j) for i in range(52, 59) for j in range(17, 24) if above.get((i, j), 0) >= 100]
     assert abs(rows[1, "X001"].area_km2 - (1 - min(near)[1]) * 1e-4) < 1e-12 and rows[1, "X001"].lfp_length_m > 0
+
+
+def test_sags_beside_gaps(spark):
+    profiles = {1: [5, 3, 5], 2: [5, 3, None, 5], 3: [5, None, 3, 5], 4: [5, 3, 3, None, 3, 5], 5: [5, 4, 3, None, 2, 5, 5], 6: [5, 3, 4, None, 1, 9], 7: [5, 3, None, 3, 5], 8: [3, 5], 9: [5, 2, 6, None, 4, 6, 3, 7]}
+    rows = spark.createDataFrame([(road, 10.0 * k, None if z is None else float(z)) for road, own in profiles.items() for k, z in enumerate(own)], "road int, chainage_m double, smooth double")
+    got = sorted((r.road, r.chainage_m, r.prominence_m) for r in linear.sags(rows).collect())
+    assert got == [(1, 10.0, 2.0), (4, 10.0, 2.0), (6, 10.0, 1.0), (9, 10.0, 3.0), (9, 60.0, 3.0)]
