@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -347,19 +349,43 @@ def fill_components(spark, sf_dir):
     return rounded(got.groupBy("component").agg(F.count("*").alias("n_cells"), F.max("depth").alias("max_depth"), F.sum("depth").alias("sum_depth")))
 
 
-@query()
+# cells without descent inside the grid, their neighbours, those beside a routed cell that is no higher (by preference ``first``), and layers of like cells from those on
+FLATS = """edge AS (SELECT g.cell_id, count(nid) < 8 AS b FROM g LEFT JOIN pair USING (cell_id) GROUP BY g.cell_id), st AS (SELECT flow.*, b AND dir IS NULL AS drain FROM flow JOIN edge USING (cell_id)), fl AS (SELECT cell_id, z FROM st WHERE dir IS NULL AND NOT drain),
+np AS (SELECT pair.cell_id AS a, k, nid AS b, pair.z AS za, zn AS zb, o.dir IS NOT NULL OR o.drain AS routed FROM pair JOIN fl USING (cell_id) JOIN st o ON o.cell_id = nid), outlet AS (SELECT a, arg_min(k, {first}) AS k FROM np WHERE routed AND zb <= za GROUP BY a),
+d(id, l) USING KEY (id) AS (SELECT a, 1 FROM outlet UNION ALL (SELECT np.b, min(d.l) + 1 FROM d JOIN np ON np.a = d.id AND NOT np.routed AND np.za = np.zb LEFT JOIN recurring.d o ON o.id = np.b WHERE o.id IS NULL GROUP BY np.b))"""
+
+
+@query(f"WITH RECURSIVE {ctes('dem_flat')}, {PAIRS}, {D8}, {FLATS.format(first='k')}, step AS (SELECT x.id, arg_min(np.k, y.l * 10 + np.k) AS k FROM d x JOIN np ON np.a = x.id AND NOT routed AND za = zb JOIN d y ON y.id = np.b WHERE y.l < x.l GROUP BY x.id) SELECT st.r, st.c, CAST(coalesce(st.dir, outlet.k, step.k) AS INT) AS dir FROM st LEFT JOIN outlet ON outlet.a = st.cell_id LEFT JOIN step ON step.id = st.cell_id")
 def flats_toward(spark, sf_dir):
     cells, info = dem(spark, sf_dir, "dem_flat")
     return fill.resolve_flats(stencil.d8(cells, info).join(cells.select("r", "c", "z"), ["r", "c"]), info, method="toward").select("r", "c", "dir")
 
 
-@query()
+# layers away from higher ground within each flat, and its greatest; of the steps to a lesser mask the least, then straight ones, then W, NW, N, NE, E, SE, S, SW
+BARNES = """high AS (SELECT DISTINCT np.a FROM np JOIN d ON d.id = np.a WHERE zb > za AND np.a NOT IN (SELECT a FROM outlet)),
+aw(id, l) USING KEY (id) AS (SELECT a, 1 FROM high UNION ALL (SELECT np.b, min(aw.l) + 1 FROM aw JOIN np ON np.a = aw.id AND NOT np.routed AND np.za = np.zb JOIN d ON d.id = np.b LEFT JOIN recurring.aw o ON o.id = np.b WHERE o.id IS NULL GROUP BY np.b)),
+lb AS (SELECT id, id AS root FROM d UNION SELECT np.b, lb.root FROM lb JOIN np ON np.a = lb.id AND NOT routed AND za = zb JOIN d ON d.id = np.b), co AS (SELECT id, min(root) AS root FROM lb GROUP BY id),
+he AS (SELECT root, max(aw.l) AS h FROM co JOIN aw USING (id) GROUP BY root), mk AS (SELECT d.id, 2 * d.l + CASE WHEN aw.l IS NOT NULL THEN h - aw.l ELSE 0 END AS m FROM d JOIN co USING (id) LEFT JOIN aw USING (id) LEFT JOIN he USING (root)),
+step AS (SELECT x.id, arg_min(np.k, y.m * 100 + np.k % 2 * 10 + (np.k + 4) % 8) AS k FROM mk x JOIN np ON np.a = x.id AND NOT routed AND za = zb JOIN mk y ON y.id = np.b WHERE y.m < x.m GROUP BY x.id)"""
+
+
+@query(f"WITH RECURSIVE {ctes('dem_flat')}, {PAIRS}, {D8}, {FLATS.format(first='k % 2 * 10 + (k + 4) % 8')}, {BARNES} SELECT st.r, st.c, CAST(coalesce(st.dir, outlet.k, step.k) AS INT) AS dir FROM st LEFT JOIN outlet ON outlet.a = st.cell_id LEFT JOIN step ON step.id = st.cell_id")
 def flats_barnes(spark, sf_dir):
     cells, info = dem(spark, sf_dir, "dem_flat")
     return fill.resolve_flats(stencil.d8(cells, info).join(cells.select("r", "c", "z"), ["r", "c"]), info).select("r", "c", "dir")
 
 
-@query()
+def on_filled(text: str) -> str:
+    """Tables over ``g`` and ``pair`` as tables over the filled surface."""
+    return re.sub(r"\bpair\b", "pairf", re.sub(r"\bg\b", "gf", text))
+
+
+ROUTED = f"""gf AS (SELECT g.cell_id, g.r, g.c, f.f AS z FROM g JOIN f USING (cell_id)), {on_filled(PAIRS)}, {on_filled(D8)}, {on_filled(FLATS.format(first='k % 2 * 10 + (k + 4) % 8'))}, {on_filled(BARNES)},
+fd AS (SELECT st.cell_id, st.r, st.c, CAST(coalesce(st.dir, outlet.k, step.k) AS INT) AS dir FROM st LEFT JOIN outlet ON outlet.a = st.cell_id LEFT JOIN step ON step.id = st.cell_id),
+fp AS (SELECT fd.cell_id, dir, q.cell_id AS parent FROM fd LEFT JOIN {NB} ON nb.k = fd.dir LEFT JOIN gf q ON q.r = fd.r + nb.dr AND q.c = fd.c + nb.dc), fu AS (SELECT cell_id AS src, parent AS dst FROM fp WHERE parent IS NOT NULL UNION ALL SELECT fu.src, fp.parent FROM fu JOIN fp ON fp.cell_id = fu.dst WHERE fp.parent IS NOT NULL)"""
+
+
+@query(fill_sql("SELECT 1").replace(" SELECT 1", f", {ROUTED} SELECT fp.cell_id, fp.dir, CAST(count(fu.src) AS DOUBLE) AS acc FROM fp JOIN fu ON fu.dst = fp.cell_id GROUP BY fp.cell_id, fp.dir HAVING count(fu.src) >= 100"))
 def flow_chain_conditioned(spark, sf_dir):
     """Fill, descent, flats, accumulation: the cells of greatest accumulation."""
     flow, _ = routed(spark, sf_dir, "dem_part", conditioned=True)
