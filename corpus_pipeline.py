@@ -9,6 +9,7 @@ last stage writes token ids and returns what reading the files back gives.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,12 +52,30 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_planes.read(spark, path)
 
 
+#: Bytes of a batch that goes to a Python worker, where the session has Spark's default of 64 MB: executors live through all stages, and keep what their largest batches took.
+BATCH_BYTES = "8388608b"
+
+
+def _in_small_batches(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if spark.conf.get(key) in ("67108864", "67108864b", "64m", "64MB"):
+            spark.conf.set(key, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", language),
-    ("near_dedup", near_duplicates),
-    ("decontamination", decontaminate),
-    ("mixing", mix_sources),
-    ("token_ids", token_ids),
+    (name, _in_small_batches(stage))
+    for name, stage in (
+        ("language_id", language),
+        ("near_dedup", near_duplicates),
+        ("decontamination", decontaminate),
+        ("mixing", mix_sources),
+        ("token_ids", token_ids),
+    )
 ]
 ORACLE_SQL = None
 
