@@ -128,9 +128,21 @@ def overlapping(place: list[tuple[int, int, int, int]]) -> bool:
     return False
 
 
+def free_nodata(values: np.ndarray, kind: np.dtype, asked: float) -> float:
+    """``asked``, if none of the valid ``values`` is that in a file of ``kind``; else NaN or, of whole numbers, the least that none is."""
+    held = np.unique(values.astype(kind))
+    if not (held == np.array(asked).astype(kind)).any():
+        return asked
+    if kind.kind == "f":
+        return math.nan
+    least = np.arange(len(held)) + np.iinfo(kind).min
+    return float(np.append(least, least[-1] + 1)[np.append(held != least, True).argmax()])
+
+
 def encode(a: np.ndarray, info: GridInfo, nodata: float = -9999.0, epsg: int | None = None, tags: dict[str, str] | None = None, tile: int = 256) -> bytes:
-    """A tiled deflate file of float32, or int32 or uint8 if ``a`` is of whole numbers; what is not finite becomes NoData."""
+    """A tiled deflate file of float32, or int32 or uint8 if ``a`` is of whole numbers; what is not finite becomes NoData (NaN where a cell has the value ``nodata``)."""
     kind = np.dtype("<f4") if a.dtype.kind == "f" else np.dtype("u1") if a.dtype == np.uint8 else np.dtype("<i4")
+    nodata = free_nodata(a[np.isfinite(a)], kind, nodata) if kind.kind == "f" else nodata
     a = np.where(np.isfinite(a), a, nodata).astype(kind) if a.dtype.kind == "f" else a.astype(kind)
     rows, cols = a.shape
     blocks = []
@@ -150,7 +162,7 @@ def encode(a: np.ndarray, info: GridInfo, nodata: float = -9999.0, epsg: int | N
     if text:
         entries.append((42112, 2, f"<GDALMetadata>{text}</GDALMetadata>"))
     if kind.kind != "u":
-        entries.append((42113, 2, f"{nodata:g}"))
+        entries.append((42113, 2, f"{nodata:.17g}"))
 
     def packed(at: list[int]) -> tuple[bytes, int]:
         """The directory and its long values; and where the blocks begin."""
@@ -175,17 +187,19 @@ def encode(a: np.ndarray, info: GridInfo, nodata: float = -9999.0, epsg: int | N
 
 
 def pieces(cells: DataFrame, info: GridInfo, column: str, size: int = 2048, whole: bool = False, **options) -> DataFrame:
-    """(tr, tc, content): a file of every ``size`` x ``size`` cells that hold any, each on its own part of the grid; made where the cells are."""
+    """(tr, tc, content): a file of every ``size`` x ``size`` cells that hold any, each on its own part of the grid; made where the cells are. A piece with a cell of the value ``nodata`` has a NoData value of its own."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = key[0] * size, key[1] * size
         h, w = min(size, info.rows - r0), min(size, info.cols - c0)
         a = np.full((h, w), np.nan)
         a[pdf.r.to_numpy() - r0, pdf.c.to_numpy() - c0] = pdf.v.to_numpy(float)
+        own = dict(options)
         if whole:
-            a = np.where(np.isnan(a), options.get("nodata", -9999.0), a).astype(np.int32)
+            own["nodata"] = free_nodata(a[np.isfinite(a)], np.dtype("<i4"), options.get("nodata", -9999.0))
+            a = np.where(np.isnan(a), own["nodata"], a).astype(np.int32)
         part = GridInfo(h, w, info.x0 + c0 * info.cw, info.y0 - r0 * info.ch, info.cw, info.ch)
-        return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "content": [encode(a, part, **options)]})
+        return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "content": [encode(a, part, **own)]})
 
     own = cells.select("r", "c", F.col(column).cast("double").alias("v"), F.expr(f"r div {size}").cast("int").alias("tr"), F.expr(f"c div {size}").cast("int").alias("tc"))
     return own.groupBy("tr", "tc").applyInPandas(run, "tr int, tc int, content binary")

@@ -184,6 +184,15 @@ def test_folders_of_written_pieces(spark, tmp_path):
     assert back == info and sorted(map(tuple, got.select("r", "c", "z").collect())) == sorted(map(tuple, cells.collect()))
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_cells_of_the_value_that_stands_for_nodata_are_kept(spark, tmp_path, whole):
+    z = {(i, j): float([-9999, -9998, -2147483648, 7][(i + j) % 4]) for i in range(20) for j in range(20) if (i * j) % 5}
+    cells = spark.createDataFrame([(i, j, v) for (i, j), v in z.items()], "r int, c int, z double")
+    raster.write_folder(cells, GridInfo(20, 20, 0.0, 0.0, 1.0, 1.0), "z", f"file://{tmp_path}/out", size=16, tile=16, whole=whole)
+    got, _ = raster.read_grid(spark, f"file://{tmp_path}/out")
+    assert {(r, c): v for r, c, v in got.select("r", "c", "z").collect()} == z
+
+
 def test_overlaps():
     assert not raster.overlapping([(0, 0, 10, 10), (0, 10, 10, 10), (10, 0, 5, 20)])
     assert raster.overlapping([(0, 0, 10, 10), (9, 9, 10, 10)]) and raster.overlapping([(0, 0, 5, 50), (2, 10, 1, 3)])
