@@ -14,7 +14,7 @@ power of two) have lists of their own, as a word's weight in a short piece says
 words of a piece, up to a weight that cannot reach it alone, need no postings; their weight is kept as a number of the piece, and its maximum of the block.
 
 Block-max WAND, for a passage at a time. (0) Passages whose lists' maxima cannot sum to the threshold are skipped, a batch of them at once. (1) The block
-maxima of the passage's lists are summed; blocks that cannot reach the threshold with their light words are skipped. (2) The postings of the other
+maxima of the passage's lists are summed, for many passages at once; blocks that cannot reach the threshold with their light words are skipped. (2) The postings of the other
 blocks are read; pieces that cannot reach it are skipped. (3) What is left is scored exactly. All items with a piece at or
 above the threshold are retrieved; there is no top-k and no cap.
 
@@ -51,6 +51,8 @@ from . import _common as C
 WIDTH, STRIDE, BLOCK = 5, 64, 16
 #: How much of the threshold the terms of a piece may weigh that have no postings.
 LIGHT = 0.75
+#: How many sums of block maxima are held at once.
+BOUNDS = 1 << 17
 K1, LENGTH_WEIGHT = 1.2, 0.75
 OUT = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
@@ -181,6 +183,15 @@ def _ranges(first: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
+def promising(index: Lists, passage: np.ndarray, terms: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Which of ``n`` passages hold a block whose maxima, with its light words, reach the threshold; their distinct ``terms`` (numbers), each with its ``passage``."""
+    first, after = index.lists[terms], index.lists[terms + 1]
+    entries = _ranges(first, after)
+    key = np.repeat(passage, after - first) * len(index.light_max) + index.block[entries]
+    sums = np.bincount(key, weights=index.block_max[entries], minlength=n * len(index.light_max)).reshape(n, -1)
+    return (sums + index.light_max >= threshold - 1e-5).any(axis=1)
+
+
 def search(index: Lists, terms: np.ndarray, held: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(pieces, scores) of all pieces whose score for the distinct ``terms`` (numbers) reaches the threshold, by block-max WAND; ``held`` is true at these terms."""
     none, threshold = (np.zeros(0, np.int64), np.zeros(0)), threshold - 1e-5
@@ -227,12 +238,22 @@ def retrieve(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator
     held = np.zeros(v, bool)
     # terms that a segment shares with the next count once in the passage of both
     again = np.minimum(np.searchsorted(own, own + v), len(own) - 1) if len(own) else own
-    both = np.flatnonzero(own[again] == own + v)
+    twin = own[again] == own + v
+    both = np.flatnonzero(twin)
     for lists in index.classes:
         bound = np.bincount(seg, weights=lists.list_max[t], minlength=n_segments + 1)
         twice = np.bincount(seg[both], weights=lists.list_max[t[both]], minlength=n_segments + 1)
         hopeful = np.flatnonzero((bound[:-1] + bound[1:] - twice[:-1] >= threshold - 1e-6)[:n_segments] & inside)
-        for p in hopeful.tolist():
+        # the blocks of many passages at once, at most BOUNDS sums
+        some = max(1, BOUNDS // len(lists.light_max))
+        for k in range(0, len(hopeful), some):
+            part = hopeful[k : k + some]
+            middle, after = first[part + 1], first[np.minimum(part + 2, n_segments)]
+            at = _ranges(first[part], middle)
+            passage = np.repeat(np.arange(len(part)), middle - first[part])[~twin[at]]
+            rest = np.repeat(np.arange(len(part)), after - middle)
+            hopeful[k : k + some][~promising(lists, np.concatenate((passage, rest)), t[np.concatenate((at[~twin[at]], _ranges(middle, after)))], len(part), threshold)] = -1
+        for p in hopeful[hopeful >= 0].tolist():
             lo, hi = first[p], first[min(p + 2, n_segments)] if p + 1 < n_segments else first[p + 1]
             best: dict[int, float] = {}
             terms = np.unique(t[lo:hi])

@@ -194,3 +194,15 @@ def test_polynomial_hashes_tell_slices_apart():
     data = np.frombuffer(b"abcabcabd", np.uint8)
     h = C.span_hashes(C.BYTES[data], np.array([0, 3, 6, 0]), np.array([3, 6, 9, 2]))
     assert h[0] == h[1] and len(set(h.tolist())) == 3
+
+
+def test_passages_without_a_hopeful_block_are_not_searched(monkeypatch):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(6))) for i in range(64)]
+    terms = np.unique(np.concatenate([w for w in decontamination.words_of(pa.array([x for _, x in items]))]))
+    index = decontamination.build_index(items, len(items), (terms, np.ones(len(terms), np.int64)), 6.0, 0.6)
+    calls, search = [], decontamination.search
+    monkeypatch.setattr(decontamination, "search", lambda *a: calls.append(1) or search(*a))
+    # four words, each of an item in another block
+    docs = list(decontamination.words_of(pa.array([" ".join(f"w{i}x0" for i in (0, 17, 34, 51)), items[40][1], "w3x0 " * 70 + items[3][1]])))
+    assert {(d, i) for d, _, i, _ in decontamination.retrieve(index, docs, 0.6)} == {(1, 40), (2, 3)}
+    assert len(calls) == 3  # the copy of item 3 lies in two passages
