@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.grids import cut
 from .ranks import numbered, padded
 
 
@@ -198,7 +199,8 @@ def crossing_sensitivity(flows: dict[str, tuple[DataFrame, DataFrame]], points:
         f, _ = flows[name]
         stream = drainage.streams(f, threshold_cells=threshold)
         got = drainage.snap(points.select(F.col("outlet_uid").alias("fid"), F.col(x).alias("x"), F.col(y).alias("y")), stream, info, n).select(F.col("fid").alias("outlet_uid"), F.col("snap_r").alias("r"), F.col("snap_c").alias("c"))
-        return at(got.join(stream.select("r", "c"), ["r", "c"], "left_semi"), name)
+        # a row a crossing; written down, so that no task runs the joins of all variants
+        return cut(at(got.join(stream.select("r", "c"), ["r", "c"], "left_semi"), name), "snapped")
 
     if has_outlet:
         base = at(points.select("outlet_uid", info.row(F.col("outlet_y")).alias("r"), info.col(F.col("outlet_x")).alias("c")), method)
@@ -210,7 +212,7 @@ def crossing_sensitivity(flows: dict[str, tuple[DataFrame, DataFrame]], points:
     variants += [("stream threshold", f"{t:g} cells", snap(method, radius, t)) for t in (max(1.0, threshold_cells / 2), threshold_cells * 2)]
     every = points.select("outlet_uid")
     b = base.select("outlet_uid", F.col("area_km2").alias("ba"), F.col("lfp_length_m").alias("bl"), F.col("r").alias("br"), F.col("c").alias("bc"))
-    b = every.join(b, "outlet_uid", "left")
+    b = cut(every.join(b, "outlet_uid", "left"), "base")
     pct = lambda v, w: F.when(F.col(w) != 0, 100 * (F.col(v) - F.col(w)) / F.col(w))
     long = b.select("outlet_uid", F.lit("base").alias("factor"), F.lit(method).alias("setting"), F.col("ba").alias("area_km2"), F.when(F.col("ba").isNotNull(), 0.0).alias("d_area_pct"), F.col("bl").alias("lfp_length_m"), F.when(F.col("bl").isNotNull(), 0.0).alias("d_lfp_pct"), F.lit(0).alias("outlet_moved"), F.col("ba").isNull().cast("int").alias("outlet_lost"))
     for factor, setting, got in variants:

@@ -405,6 +405,8 @@ def test_sensitivity_of_a_valley(spark):
     assert len(rows) == 12 and rows["X001", "base", "barnes"].d_area_pct == 0 and rows["X002", "base", "barnes"].outlet_lost == 1
     s = {r.outlet_uid: r for r in summary.collect()}
     assert s["X001"].sens_max_area_pct == 0 and s["X002"].base_area_km2 is None
+    # no task snaps all variants: the grid is joined before, a variant at a time
+    assert summary._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
     flat = review.flat_sensitivity({"barnes": flow, "toward": flow}, spark.createDataFrame([("X001", 55 * 50 + 20)], "outlet string, id long"), own.limit(0), info, threshold_cells=100.0).first()
     assert flat.flat_sensitivity_pct == 0 and flat.flat_moved == 0
 
