@@ -107,7 +107,7 @@ def autoclip(cells: DataFrame, segments: DataFrame, info: GridInfo, buffer_m: fl
     small = GridInfo(-(-info.rows // k), -(-info.cols // k), info.x0, info.y0, info.cw * k, info.ch * k)
     low = cut(stencil.block_min(cells, k).select(F.col("br").alias("r"), F.col("bc").alias("c"), F.col("z_min").alias("z")), "coarse")
     surface = cut(fill.fill_depressions(low, small).select("r", "c", F.col("filled").alias("z")), "coarse-filled")
-    flow = fill.resolve_flats(stencil.d8(surface, small).join(surface, ["r", "c"]), small)
+    flow = fill.resolve_flats(stencil.d8_surface(surface, small), small)
     flow = cut(graph._valid(graph.with_receiver(flow, small)), "coarse-flow")
     road = coverage.road_cells(segments, small, buffer_m, per_cell=3.0).join(flow.select("id", "r", "c"), ["r", "c"])
     up = drains_to(flow, road, small).join(flow.select("id", "r", "c"), "id").select("r", "c").union(road.select("r", "c")).distinct()

@@ -35,7 +35,7 @@ HALF = OFFSETS[:4]
 def _seeded(cells: DataFrame) -> DataFrame:
     """(r, c, z, seed) of the valid cells: those of the boundary, or the lowest cell if there are none."""
     valid = cells.filter("z is not null").select("r", "c", F.col("z").cast("double").alias("z"))
-    marked = boundary(valid).select("r", "c", (F.col("boundary") == 1).alias("seed")).join(valid, ["r", "c"])
+    marked = cut(boundary(valid, keep=True).select("r", "c", "z", (F.col("boundary") == 1).alias("seed")), "seeds")
     if marked.filter("seed").limit(1).count():
         return marked.select("r", "c", "z", "seed")
     low = marked.agg(F.min(F.struct("z", "r", "c")).alias("m")).select("m.r", "m.c").withColumn("_s", F.lit(True))
@@ -378,11 +378,14 @@ def _around(cells: DataFrame, tile: int, columns: list[str]) -> DataFrame:
 
 
 def _padded(key: tuple, tile: int, own: pd.DataFrame, around: pd.DataFrame, column: str) -> np.ndarray:
-    """A tile's values with one cell around it, NaN where there is none."""
-    out = np.full((tile + 2, tile + 2), np.nan)
-    out[own.r.to_numpy() - key[0] * tile + 1, own.c.to_numpy() - key[1] * tile + 1] = own[column].to_numpy(float)
+    """A tile's values, up to its last row and column that hold a cell, with one cell around, NaN where there is none."""
+    r, c = own.r.to_numpy() - key[0] * tile + 1, own.c.to_numpy() - key[1] * tile + 1
+    out = np.full((r.max() + 2, c.max() + 2), np.nan)
+    out[r, c] = own[column].to_numpy(float)
     if len(around):
-        out[around.hr.to_numpy() - key[0] * tile + 1, around.hc.to_numpy() - key[1] * tile + 1] = around[column].to_numpy(float)
+        r, c = around.hr.to_numpy() - key[0] * tile + 1, around.hc.to_numpy() - key[1] * tile + 1
+        seen = (r < out.shape[0]) & (c < out.shape[1])
+        out[r[seen], c[seen]] = around[column].to_numpy(float)[seen]
     return out
 
 
@@ -401,11 +404,12 @@ def distances(cells: DataFrame, tolerance: float, tile: int = TILE) -> DataFrame
             return own
         z, level = _padded(key, tile, own, around, "z"), _padded(key, tile, own, around, "level")
         inner = (slice(1, -1), slice(1, -1))
-        fits = [np.abs(z[inner] - z[1 + dr : 1 + dr + tile, 1 + dc : 1 + dc + tile]) <= tolerance for dr, dc in OFFSETS]
+        rows, cols = z[inner].shape
+        fits = [np.abs(z[inner] - z[1 + dr : 1 + dr + rows, 1 + dc : 1 + dc + cols]) <= tolerance for dr, dc in OFFSETS]
         while True:
             best = level[inner].copy()
             for (dr, dc), fit in zip(OFFSETS, fits, strict=True):
-                there = level[1 + dr : 1 + dr + tile, 1 + dc : 1 + dc + tile] + 1
+                there = level[1 + dr : 1 + dr + rows, 1 + dc : 1 + dc + cols] + 1
                 best = np.where(fit & (there < best), there, best)
             if not (best < level[inner]).any():
                 break
@@ -478,7 +482,7 @@ SCAN = (4, 5, 6, 7, 0, 1, 2, 3)
 
 
 def resolve_flats(flow: DataFrame, info: GridInfo, method: str = "barnes", tolerance: float = 1e-9, tile: int = TILE, weight: int = 2, small_flat_cells: int = 0) -> DataFrame:
-    """(r, c, z, dir): directions for cells of ``flow`` (r, c, z, dir) without descent.
+    """(r, c, z, dir): directions for cells of ``flow`` (r, c, z, dir, and perhaps boundary) without descent.
 
     ``barnes``: flats (components of equal elevation that hold a cell beside a lower or routed equal one) drain by the
     mask ``weight`` * toward + (height - away): away from higher ground and toward the outlets; flats of at most ``small_flat_cells`` cells by the distance to the outlets alone (the hybrid of the two). ``toward``: distance to the outlets alone. Boundary cells without descent are
@@ -486,9 +490,13 @@ def resolve_flats(flow: DataFrame, info: GridInfo, method: str = "barnes", toler
     """
     store, near_store = State("flats"), State("near")
     id_ = F.col("r").cast("long") * info.cols + F.col("c")
-    cells = store.put(flow.select(id_.alias("id"), "r", "c", F.col("z").cast("double").alias("z"), F.col("dir").cast("int").alias("dir")).filter("z is not null"))
-    edge = boundary(cells.select("r", "c", "z")).select("r", "c", (F.col("boundary") == 1).alias("drain"))
-    cells = store.put(cells.join(edge, ["r", "c"]).withColumn("drain", F.col("drain") & F.col("dir").isNull()))
+    own = [id_.alias("id"), "r", "c", F.col("z").cast("double").alias("z"), F.col("dir").cast("int").alias("dir")]
+    if "boundary" in flow.columns:
+        cells = store.put(flow.filter("z is not null").select(*own, ((F.col("boundary") == 1) & F.col("dir").isNull()).alias("drain")))
+    else:
+        cells = store.put(flow.select(*own).filter("z is not null"))
+        edge = boundary(cells.select("r", "c", "z")).select("r", "c", (F.col("boundary") == 1).alias("drain"))
+        cells = store.put(cells.join(edge, ["r", "c"]).withColumn("drain", F.col("drain") & F.col("dir").isNull()))
     barnes = method == "barnes"
     tol = tolerance if barnes else 0.0
     scan = F.array_position(F.array(*[F.lit(k) for k in (SCAN if barnes else range(8))]), F.col("k"))

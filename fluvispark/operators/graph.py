@@ -311,34 +311,56 @@ def upstream_longest(nodes: DataFrame, info: GridInfo, tile: int = TILE) -> Data
 def walk_down(nodes: DataFrame, starts: DataFrame, info: GridInfo, limit_m: float, tile: int = TILE) -> DataFrame:
     """(start, pos, id, cum_m): the cells on the way down from ``starts`` (start, id), as long as the sum of links (id, parent, link) is within ``limit_m``.
 
-    A walk goes on within a tile as far as it can, so there are as many rounds as tiles on the way.
+    Tiles are contracted to the ways from their rim cells, and from the starts, to the first cell of the next tile. Pointers over these ways double as often as the longest walk has binary digits of tiles, and
+    from the longest pointers to the shortest each doubles the places known on the walks; a last pass over the tiles fills in the cells between. An error if a walk without a limit goes round.
     """
-    cells = cut(_tiled(_valid(nodes.select("id", "parent", F.col("link").cast("double").alias("link"))), info, tile).select("tr", "tc", "id", "parent", "link"), "links")
-    front = _tiled(starts.select("start", "id").withColumn("pos", F.lit(0)).withColumn("cum_m", F.lit(0.0)), info, tile).select("tr", "tc", "start", "id", "pos", "cum_m")
+    # a parent that is no cell ends a walk at the last pass
+    cells = _tiled(nodes.select("id", "parent", F.col("link").cast("double").alias("link")), info, tile)
+    cells = cut(cells.join(starts.select("id", F.lit(True).alias("begin")).distinct(), "id", "left").select("tr", "tc", "r", "c", "id", "parent", "link", F.coalesce("begin", F.lit(False)).alias("begin")), "links")
     kind = starts.schema["start"].dataType.simpleString()
+    least = limit_m + 1e-9
+
+    def ways(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        forest, link = Forest(pdf), pdf.link.to_numpy(float)
+        end, steps, length = forest.follow(np.zeros(len(pdf), bool), link)
+        out = (forest.raw[end] >= 0) & forest.ordered & (forest.inner[end] < 0)
+        k = np.flatnonzero((_rim(pdf, info, tile) | pdf.begin.to_numpy(bool)) & out)
+        return pd.DataFrame({"id": forest.ids[k], "at": forest.raw[end[k]], "steps": steps[k] + 1, "length": length[k] + link[end[k]]})
+
+    within = F.col("length") <= least
+    hops = [State("hops").put(cells.groupBy("tr", "tc").applyInPandas(ways, "id long, at long, steps long, length double").filter(within))]
+    most = hops[0].count().bit_length() + 1
+    while True:
+        ahead = hops[-1].select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("length").alias("further"))
+        further = hops[-1].join(ahead, "at").select("id", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("length") + F.col("further")).alias("length"))
+        further = State("hops").put(further.filter(within))
+        if not further.limit(1).count():
+            break
+        hops.append(further)
+        if len(hops) > most:
+            raise CycleError("the receivers hold a cycle")
+
+    store = State("walk")
+    places = store.put(starts.select("start", "id").join(cells.select("id"), "id").select("start", "id", F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("cum_m")))
+    for hop in reversed(hops):
+        moved = places.join(hop, "id").select("start", F.col("at").alias("id"), (F.col("pos") + F.col("steps")).alias("pos"), (F.col("cum_m") + F.col("length")).alias("cum_m"))
+        places = store.put(places.unionByName(moved.filter(F.col("cum_m") <= least)))
 
     def run(key: tuple, walks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         below = {i: (p, d) for i, p, d in zip(own.id.tolist(), own.parent.tolist(), own.link.tolist(), strict=True)}
         rows = []
         for start, i, pos, cum in zip(walks.start.tolist(), walks.id.tolist(), walks.pos.tolist(), walks.cum_m.tolist(), strict=True):
-            here = i in below  # a start beside the grid goes nowhere
+            seen = 0
             while i in below:
-                rows.append((start, pos, i, cum, False))
+                rows.append((start, pos, i, cum))
                 p, d = below[i]
-                if p is None or p != p or cum + d > limit_m + 1e-9:
+                if p is None or p != p or cum + d > least:
                     break
-                i, pos, cum = int(p), pos + 1, cum + d
-            else:
-                if here:
-                    rows.append((start, pos, i, cum, True))
-        return pd.DataFrame(rows, columns=["start", "pos", "id", "cum_m", "goes_on"])
-
-    done = None
-    while True:
-        here = cells.join(front.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
-        step = cut(front.groupBy("tr", "tc").cogroup(here.groupBy("tr", "tc")).applyInPandas(run, f"start {kind}, pos int, id long, cum_m double, goes_on boolean"), "walk")
-        found = step.filter("not goes_on").drop("goes_on")
-        done = found if done is None else done.union(found)
-        front = _tiled(step.filter("goes_on").select("start", "id", "pos", "cum_m"), info, tile).select("tr", "tc", "start", "id", "pos", "cum_m")
-        if not step.filter("goes_on").limit(1).count():
-            return done
+                i, pos, cum, seen = int(p), pos + 1, cum + d, seen + 1
+                if seen > len(below) and limit_m == float("inf"):
+                    raise CycleError("the receivers hold a cycle")
+        return pd.DataFrame(rows, columns=["start", "pos", "id", "cum_m"])
+
+    front = _tiled(places, info, tile).select("tr", "tc", "start", "id", "pos", "cum_m")
+    here = cells.join(front.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi").select("tr", "tc", "id", "parent", "link")
+    return cut(front.groupBy("tr", "tc").cogroup(here.groupBy("tr", "tc")).applyInPandas(run, f"start {kind}, pos int, id long, cum_m double"), "walk")

@@ -26,7 +26,7 @@ Kernel = Callable[[dict[str, np.ndarray], int], dict[str, np.ndarray]]
 def stencil(cells: DataFrame, variables: list[str], kernel: Kernel, out: str, halo: int = 1, tile: int = TILE, keys: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``kernel`` to padded tiles of ``variables``; returns ``keys``, r, c and the columns ``out`` for the cells present.
 
-    The kernel gets arrays of (rows + 2 halo, cols + 2 halo), NaN where there is no cell, with the mask
+    The kernel gets arrays of (rows + 2 halo, cols + 2 halo), up to the tile's last row and column that hold a cell, NaN where there is no cell, with the mask
     ``"present"``, and the halo's width; it returns arrays of the inner shape. A NaN result is null.
     """
     names = [x.split()[0] for x in out.split(", ")]
@@ -38,12 +38,16 @@ def stencil(cells: DataFrame, variables: list[str], kernel: Kernel, out: str, ha
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tr, tc = key[-2], key[-1]
         r, c = pdf.r.to_numpy() - tr * tile + halo, pdf.c.to_numpy() - tc * tile + halo
+        inner = (r >= halo) & (r < tile + halo) & (c >= halo) & (c < tile + halo)
+        shape = (r[inner].max() + halo + 1, c[inner].max() + halo + 1) if inner.any() else (2 * halo + 1, 2 * halo + 1)
+        seen = (r < shape[0]) & (c < shape[1])
+        r, c = r[seen], c[seen]
         arrays = {}
         for v in variables:
-            a = np.full((tile + 2 * halo, tile + 2 * halo), np.nan)
-            a[r, c] = pdf[v].to_numpy()
+            a = np.full(shape, np.nan)
+            a[r, c] = pdf[v].to_numpy()[seen]
             arrays[v] = a
-        present = np.zeros((tile + 2 * halo, tile + 2 * halo), bool)
+        present = np.zeros(shape, bool)
         present[r, c] = True
         arrays["present"] = present
         found = kernel(arrays, halo)
@@ -80,12 +84,12 @@ def boundary_kernel(a: dict[str, np.ndarray], h: int) -> dict[str, np.ndarray]:
     valid = ~np.isnan(a["z"])
     count = sum(shifted(valid, dr, dc, h).astype(int) for dr, dc in OFFSETS)
     own = shifted(valid, 0, 0, h)
-    return {"boundary": (own & (count < 8)).astype(np.int64), "valid_neighbours": count}
+    return {"boundary": (own & (count < 8)).astype(np.int64), "valid_neighbours": count, "z": shifted(a["z"], 0, 0, h)}
 
 
-def boundary(cells: DataFrame, **more) -> DataFrame:
-    """boundary: 1 for valid cells on the grid's edge or beside NoData; and the number of valid neighbours."""
-    return stencil(cells, ["z"], boundary_kernel, "boundary int, valid_neighbours int", **more)
+def boundary(cells: DataFrame, keep: bool = False, **more) -> DataFrame:
+    """boundary: 1 for valid cells on the grid's edge or beside NoData; and the number of valid neighbours. With ``keep`` z as well."""
+    return stencil(cells, ["z"], boundary_kernel, "boundary int, valid_neighbours int" + ", z double" * keep, **more)
 
 
 def horn_kernel(cw: float, ch: float, rows: int, cols: int):
@@ -146,6 +150,16 @@ def d8(cells: DataFrame, info, column: str = "z", **more) -> DataFrame:
     return stencil(cells, [column], d8_kernel(info.cw, info.ch, column), "dir int, drop double", **more)
 
 
+def d8_surface(cells: DataFrame, info, **more) -> DataFrame:
+    """(r, c, dir, drop, boundary, z): ``d8`` and ``boundary`` of the cells in one pass, with their z."""
+    descent = d8_kernel(info.cw, info.ch)
+
+    def run(a: dict[str, np.ndarray], h: int) -> dict[str, np.ndarray]:
+        return descent(a, h) | boundary_kernel(a, h)
+
+    return stencil(cells, ["z"], run, "dir int, drop double, boundary int, z double", **more)
+
+
 def mean_drop(cells: DataFrame, info) -> DataFrame:
     """mean_drop: the mean over valid cells of the steepest drop in metres, 0 where there is none."""
 

@@ -88,7 +88,7 @@ def crossings(cells: DataFrame, points: DataFrame, info: GridInfo, n: int, sigma
     tall = GridInfo(step * (n + 1), info.cols, info.x0, info.y0, info.cw, info.ch)
     ground = cut(every.select((F.col("r") + F.col("realisation") * step).cast("int").alias("r"), "c", "z"), "realisations")
     surface = cut(fill.fill_depressions(ground, tall, tile=tile).select("r", "c", F.col("filled").alias("z")), "realisations-filled")
-    routed = fill.resolve_flats(stencil.d8(surface, tall).join(surface, ["r", "c"]), tall, tile=tile)
+    routed = fill.resolve_flats(stencil.d8_surface(surface, tall), tall, tile=tile)
     flow = cut(graph.flow_accumulation(routed.select("r", "c", "dir"), tall, tile=tile), "realisations-flow")
 
     inside = F.col("x").between(info.x0, info.x0 + info.cols * info.cw) & F.col("y").between(info.y0 - info.rows * info.ch, info.y0)

@@ -217,3 +217,32 @@ def test_components_over_tiles(spark):
                         label[q] = label[p]
                         todo.append(q)
     assert got == label
+
+
+def test_a_long_walk_takes_rounds_by_its_logarithm(spark, monkeypatch):
+    n = 400  # one column of 100 tiles
+    nodes = spark.createDataFrame([(i, i + 1 if i + 1 < n else None, 2.0) for i in range(n)], "id long, parent long, link double")
+    writes, put = [], graph.State.put
+    monkeypatch.setattr(graph.State, "put", lambda self, df: writes.append(self.label) or put(self, df))
+    got = graph.walk_down(nodes, spark.createDataFrame([("a", 0), ("b", 390)], "start string, id long"), GridInfo(n, 1), float("inf"), tile=4)
+    rows = sorted(map(tuple, got.select("start", "pos", "id", "cum_m").collect()))
+    assert rows == [("a", i, i, 2.0 * i) for i in range(n)] + [("b", i, 390 + i, 2.0 * i) for i in range(10)]
+    assert len(writes) <= 20
+
+
+def test_a_walk_round_a_cycle_is_an_error(spark):
+    nodes = spark.createDataFrame([(i, (i + 1) % 8, 1.0) for i in range(8)], "id long, parent long, link double")
+    for tile in (2, 8):
+        with pytest.raises(Exception, match="cycle"):
+            graph.walk_down(nodes, spark.createDataFrame([(0, 0)], "start long, id long"), GridInfo(8, 1), float("inf"), tile=tile).collect()
+
+
+def test_descent_and_boundary_in_one_pass(spark):
+    r = np.random.default_rng(4)
+    z = {(i, j): float(r.integers(5)) for i in range(11) for j in range(7) if r.random() < 0.9}
+    own, info = spark.createDataFrame([(*k, v) for k, v in z.items()], "r int, c int, z double"), GridInfo(11, 7)
+    at = lambda df, *names: {(x.r, x.c): tuple(x[n] for n in names) for x in df.collect()}
+    for tile in (4, 256):
+        both = at(stencil.d8_surface(own, info, tile=tile), "dir", "drop", "boundary", "z")
+        plain, edge = at(stencil.d8(own, info), "dir", "drop"), at(stencil.boundary(own), "boundary")
+        assert both == {k: (*plain[k], *edge[k], v) for k, v in z.items()}
