@@ -119,7 +119,7 @@ def pkg_records(spark, sf_dir):
 def conditioned(spark, sf_dir, name="dem_part"):
     cells, info = dem(spark, sf_dir, name)
     surface = cut(fill.fill_depressions(cells, info).select("r", "c", F.col("filled").alias("z")), "filled")
-    plain = cut(stencil.d8(surface, info).join(surface, ["r", "c"]), "plain")
+    plain = cut(stencil.d8_surface(surface, info), "plain")
     flows = {m: cut(graph.flow_accumulation(fill.resolve_flats(plain, info, m), info), "flow") for m in ("barnes", "toward")}
     return cells, surface, plain, flows, info
 
@@ -127,9 +127,8 @@ def conditioned(spark, sf_dir, name="dem_part"):
 @query()
 def sens_flats(spark, sf_dir):
     _, surface, plain, flows, info = conditioned(spark, sf_dir)
-    outlets = top_outlets(flows["barnes"]).select("outlet", "id")
-    edge = stencil.boundary(surface).filter("boundary = 1").select("r", "c")
-    flats = plain.filter("dir is null").join(edge, ["r", "c"], "left_anti").select((F.col("r").cast("long") * info.cols + F.col("c")).alias("id"))
+    outlets = cut(top_outlets(flows["barnes"]).select("outlet", "id"), "outlets")
+    flats = plain.filter("dir is null and boundary = 0").select((F.col("r").cast("long") * info.cols + F.col("c")).alias("id"))
     return rounded(review.flat_sensitivity(flows, outlets, flats, info, drainage.catchments(flows["barnes"], outlets, full=True, info=info), drainage.longest_paths(flows["barnes"], outlets, info), threshold_cells=20))
 
 
