@@ -141,13 +141,11 @@ def routed(spark, sf_dir, name="dem_orders", conditioned=False):
     cells, info = dem(spark, sf_dir, name)
     if conditioned:
         surface = fill.fill_depressions(cells, info).select("r", "c", F.col("filled").alias("z"))
-        plain = stencil.d8(surface, info).join(surface, ["r", "c"])
-        plain = fill.resolve_flats(plain, info)
-        plain = plain.drop("z").join(cells.select("r", "c", "z"), ["r", "c"])
+        plain = fill.resolve_flats(stencil.d8_surface(surface, info), info)
     else:
-        plain = stencil.d8(cells, info).join(cells.select("r", "c", "z"), ["r", "c"])
+        plain = stencil.d8(cells, info)
     acc = graph.flow_accumulation(plain, info)
-    return cut(acc.join(plain.select("r", "c", "z"), ["r", "c"]), "routed"), info
+    return cut(acc.join(cells.select("r", "c", "z"), ["r", "c"]), "routed"), info
 
 
 @query(f"WITH {ctes('dem_orders')}, {PAIRS}, {D8} SELECT r, c, CAST(dir AS INT) AS dir, CAST(CASE WHEN dir IS NULL THEN 0 ELSE 1 << dir END AS INT) AS code, round(m, 6) AS \"drop\" FROM flow")
@@ -358,7 +356,7 @@ d(id, l) USING KEY (id) AS (SELECT a, 1 FROM outlet UNION ALL (SELECT np.b, min(
 @query(f"WITH RECURSIVE {ctes('dem_flat')}, {PAIRS}, {D8}, {FLATS.format(first='k')}, step AS (SELECT x.id, arg_min(np.k, y.l * 10 + np.k) AS k FROM d x JOIN np ON np.a = x.id AND NOT routed AND za = zb JOIN d y ON y.id = np.b WHERE y.l < x.l GROUP BY x.id) SELECT st.r, st.c, CAST(coalesce(st.dir, outlet.k, step.k) AS INT) AS dir FROM st LEFT JOIN outlet ON outlet.a = st.cell_id LEFT JOIN step ON step.id = st.cell_id")
 def flats_toward(spark, sf_dir):
     cells, info = dem(spark, sf_dir, "dem_flat")
-    return fill.resolve_flats(stencil.d8(cells, info).join(cells.select("r", "c", "z"), ["r", "c"]), info, method="toward").select("r", "c", "dir")
+    return fill.resolve_flats(stencil.d8_surface(cells, info), info, method="toward").select("r", "c", "dir")
 
 
 # layers away from higher ground within each flat, and its greatest; of the steps to a lesser mask the least, then straight ones, then W, NW, N, NE, E, SE, S, SW
@@ -372,7 +370,7 @@ step AS (SELECT x.id, arg_min(np.k, y.m * 100 + np.k % 2 * 10 + (np.k + 4) % 8)
 @query(f"WITH RECURSIVE {ctes('dem_flat')}, {PAIRS}, {D8}, {FLATS.format(first='k % 2 * 10 + (k + 4) % 8')}, {BARNES} SELECT st.r, st.c, CAST(coalesce(st.dir, outlet.k, step.k) AS INT) AS dir FROM st LEFT JOIN outlet ON outlet.a = st.cell_id LEFT JOIN step ON step.id = st.cell_id")
 def flats_barnes(spark, sf_dir):
     cells, info = dem(spark, sf_dir, "dem_flat")
-    return fill.resolve_flats(stencil.d8(cells, info).join(cells.select("r", "c", "z"), ["r", "c"]), info).select("r", "c", "dir")
+    return fill.resolve_flats(stencil.d8_surface(cells, info), info).select("r", "c", "dir")
 
 
 def on_filled(text: str) -> str:

@@ -246,3 +246,12 @@ def test_descent_and_boundary_in_one_pass(spark):
         both = at(stencil.d8_surface(own, info, tile=tile), "dir", "drop", "boundary", "z")
         plain, edge = at(stencil.d8(own, info), "dir", "drop"), at(stencil.boundary(own), "boundary")
         assert both == {k: (*plain[k], *edge[k], v) for k, v in z.items()}
+
+
+def test_routing_makes_its_directions_once(spark, monkeypatch):
+    from fluvispark.plans import terrain
+
+    monkeypatch.setattr(terrain, "cut", lambda df, label: df)
+    flow, _ = terrain.routed(spark, "/root/testdata/sf0.001")
+    # the stencil's pass is written down in the accumulation; what is left is the second pass over its tiles
+    assert flow._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
