@@ -65,7 +65,7 @@ def walled_flow(filled: DataFrame, segments: DataFrame, info: GridInfo, gaps: Da
     """(flow, wall): routing of ``filled`` (r, c, z) with the road's cells raised by ``height_m`` and not filled again, so that water stops against the embankment."""
     wall = cut(wall_cells(segments, info, gaps), "wall")
     raised = cut(filled.join(wall.withColumn("_w", F.lit(True)), ["r", "c"], "left").withColumn("z", F.col("z") + F.when(F.col("_w"), height_m).otherwise(0.0)).drop("_w"), "walled")
-    plain = stencil.d8(raised, info).join(raised.select("r", "c", "z"), ["r", "c"])
+    plain = stencil.d8_surface(raised, info)
     flow = graph.flow_accumulation(fill.resolve_flats(plain, info, method), info)
     return cut(flow, "walled-flow"), wall
 
